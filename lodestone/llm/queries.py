@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import fingerprint, language, line_dedup, packing, pii, url_filter
+from . import cover_tree, fingerprint, jaccard, language, line_dedup, packing, pii, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_cover_tree": cover_tree.op1_cover_tree,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_pii": pii.op3_pii,
     "op5_packing": packing.op5_packing,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_fingerprint": fingerprint.op8_fingerprint,
     "op9_language": language.op9_language,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLE_SQL = {
+    "op1_cover_tree": cover_tree.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
