@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import cover_tree, fingerprint, jaccard, language, line_dedup, packing, pii, suffix_dedup, url_filter
+from . import cover_tree, fingerprint, jaccard, language, lattice, line_dedup, packing, pii, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_cover_tree": cover_tree.op1_cover_tree,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_pii": pii.op3_pii,
+    "op4_sentencepiece": lattice.op4_sentencepiece,
     "op5_packing": packing.op5_packing,
     "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
