@@ -1 +1,249 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries over graph, grounding, memory and query-log operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import graph, grounding, memory, query_log
+from .views import BASE, base, chunks, edges, episodes, facts, golden, markdown, query_log as log_view, read, recall_queries, sql
+
+_STOP = ", ".join("'" + w + "'" for w in S.STOP_WORDS)
+
+
+def _words(x: str) -> str:
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({x}, '[a-zA-Z'']+'), lambda w: lower(w)), lambda w: length(w) > 2 and w not in ({_STOP})))"
+
+
+def d1(spark, d):
+    roots = read(spark, d, "documents").where("doc_id % 50 = 0").select(F.concat(F.lit("d"), "doc_id").alias("root"))
+    return graph.walk(roots, edges(spark, d), 3)
+
+
+def d2(spark, d):
+    nodes = read(spark, d, "documents").where("doc_id % 3 <> 0").select(F.concat(F.lit("d"), "doc_id").alias("node_id"))
+    kept, skipped = graph.load_edges(edges(spark, d), nodes)
+    return kept.withColumn("kept", F.lit(True)).union(skipped.withColumn("kept", F.lit(False)))
+
+
+def d3(spark, d):
+    known = read(spark, d, "documents").select((F.col("doc_id") % 20).alias("qid"), F.concat(F.lit("d"), "doc_id").alias("doc_id"))
+    return graph.neighbours(known, edges(spark, d))
+
+
+def _answers(spark, d):
+    """One answer a conversation: its first assistant turn, citing the sections s0, s1 and a missing one."""
+    c = read(spark, d, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("answer"))
+    return c.select(F.col("conv_id").alias("answer_id"), "answer", F.array(F.lit("# S0 "), F.lit("s1"), F.lit("gone")).alias("cited_sections"), (F.col("conv_id") % 2 == 0).alias("high_stakes"))
+
+
+def _evidence(spark, d):
+    """Chunks for each answer: the turns of its conversation."""
+    c = read(spark, d, "conversations")
+    return c.select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("rank"), F.concat(F.lit("S"), F.col("turn") % 3).alias("section_title"), F.col("text").alias("content"), F.concat(F.lit("f"), F.col("turn") % 2).alias("file_path"))
+
+
+_ANSWERS = """answers as (select conv_id as answer_id, min_by(text, turn) as answer, ['s0', 's1', 'gone'] as keys, conv_id % 2 = 0 as high_stakes from conversations where role = 'assistant' group by conv_id),
+ev as (select conv_id as answer_id, turn as rank, 's' || (turn % 3) as key, text as content, 'f' || (turn % 2) as file_path from conversations),
+last as (select answer_id, key, max_by(content, rank) as content, max_by(file_path, rank) as file_path from ev group by all),
+cited as (select answer_id, answer, unnest(range(3)) as place, unnest(keys) as key from answers)"""
+_CHECKS = _ANSWERS + f""",
+w as (select c.answer_id, c.place, l.file_path, l.content, {_words('answer')} as a, {_words('l.content')} as b from cited c left join last l using (answer_id, key)),
+checks as (select answer_id, place, file_path, content, case when content is not null and len(a) > 0 then len(list_intersect(a, b))::double / len(a) else 0 end as support from w)"""
+
+
+def e4(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.size(S.content_words(F.col("text"))).alias("n_words"))
+
+
+def e5(spark, d):
+    s = S.sentences(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.size(s).alias("n_sentences"), F.get(s, F.lit(0)).alias("first"))
+
+
+def e7(spark, d):
+    c = grounding.check_citations(_answers(spark, d), _evidence(spark, d))
+    return c.select("answer_id", "place", "file_path", F.round("support", 6).alias("support"), "verified", "reason")
+
+
+def e8(spark, d):
+    a, v = _answers(spark, d), _evidence(spark, d)
+    return grounding.envelope(a, grounding.check_citations(a, v), v.groupBy("answer_id").agg(F.count("*").alias("n_chunks")))
+
+
+def e1(spark, d):
+    q = read(spark, d, "events").select(F.col("event_id").alias("qid"), "value")
+    conf = q.where("qid % 8 <> 0").select("qid", (F.col("value") / (F.col("value") + 10)).alias("confidence"))
+    return grounding.abstain_gate(q, conf, q.where("qid % 6 <> 0").select("qid", F.lit(3).alias("n")))
+
+
+def e3(spark, d):
+    c = read(spark, d, "conversations")
+    rows = c.select(F.col("conv_id").alias("qid"), F.col("turn").alias("rank"), F.when(F.col("turn") % 3 != 0, F.col("role")).alias("title"), ((F.col("turn") + 1) / 7).alias("score"), F.col("text").alias("content"))
+    return grounding.context_block(rows).select("qid", F.sha2("context", 256).alias("context_sha256"))
+
+
+def e9(spark, d):
+    c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    turns = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    c = c.select("conv_id", grounding.append_turns(turns, F.lit("more"), F.lit("ok")).alias("turns"), grounding.add_topics(F.array_distinct(F.transform("t", lambda x: x["role"])), F.array(F.lit("user"), F.lit("new"), F.lit("new"))).alias("topics"))
+    return c.select("conv_id", F.size("turns").alias("n_turns"), F.element_at("turns", -1)["content"].alias("last"), F.array_join("topics", ",").alias("topics"))
+
+
+def f1(spark, d):
+    f = memory.effective(facts(spark, d), base())
+    return f.select("fact_id", "weeks", F.round("effective", 6).alias("effective"))
+
+
+def f3(spark, d):
+    e = episodes(spark, d)
+    half = F.col("session_id") % 2 == 0
+    peers = e.where(half).groupBy("workspace_id", "peer_id").agg(F.min("occurred_at").alias("updated_at"))
+    out = memory.upsert_peers(peers, e.select("workspace_id", "peer_id", F.col("occurred_at").alias("updated_at")))
+    return out.select("workspace_id", "peer_id", F.unix_micros("updated_at").alias("updated_at"))
+
+
+def f5(spark, d):
+    n = facts(spark, d).select("fact_id", F.when(F.col("fact_id") % 2 == 0, F.col("confidence")).alias("confidence"), F.lit(None).cast("double").alias("decay_factor"), F.when(F.col("fact_id") % 3 == 0, F.array(F.lit("own"))).otherwise(F.array().cast("array<string>")).alias("evidence"))
+    out = memory.insert_facts(n, F.array(F.lit("batch")))
+    return out.select("fact_id", "confidence", "decay_factor", F.array_join("evidence", ",").alias("evidence"))
+
+
+def f6(spark, d):
+    f = facts(spark, d)
+    hits = f.where("fact_id % 4 = 0").select("fact_id").union(f.where("fact_id % 8 = 0").select("fact_id")).union(f.limit(1).select(F.lit(-5).cast("long")))
+    out = memory.contradict(f, hits, base())
+    return out.select("fact_id", F.round("confidence", 6).alias("confidence"), F.unix_micros("updated_at").alias("updated_at"))
+
+
+def _ranked(spark, d, as_of):
+    q = recall_queries(spark, d).withColumnRenamed("qproject", "workspace_id")
+    return memory.rank_facts(q, facts(spark, d), 5, as_of).select("qid", F.col("id").alias("fact_id"), F.round("score", 6).alias("score"), "rn")
+
+
+def f7(spark, d):
+    return _ranked(spark, d, None)
+
+
+def f8(spark, d):
+    return _ranked(spark, d, base())
+
+
+_RANK = """sim as (select qid, fact_id, coalesce(list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))), 0) * {w} as score from q join facts on workspace_id = qproject)
+select qid, fact_id, round(score, 6) as score, rn from (select *, row_number() over (partition by qid order by score desc, fact_id) as rn from sim) where rn <= 5"""
+_WEEKS = f"greatest(0, floor((epoch_us(timestamp '{BASE}') - epoch_us(updated_at))::double / 604800000000))"
+
+
+def f9(spark, d):
+    return memory.recent_episodes(episodes(spark, d), 3).select("peer_id", "episode_id", "rn")
+
+
+def f10(spark, d):
+    return memory.context_budget(episodes(spark, d), "peer_id", "summary")
+
+
+def f11(spark, d):
+    e, f = episodes(spark, d), facts(spark, d).select(F.concat(F.lit("p"), F.col("fact_id") % 60).alias("peer_id"), "fact_id")
+    peers = e.select("peer_id").distinct()
+    since = F.lit("2024-06-05 00:00:00").cast("timestamp")
+    out = memory.consolidation_context(peers, e, f, since)
+    return out.select("peer_id", F.array_join("episodes", ",").alias("episodes"), F.array_join("facts", ",").alias("facts"))
+
+
+def f13(spark, d):
+    e = episodes(spark, d).withColumn("facts", F.filter(S.sentences(F.col("summary")), lambda s: F.length(s) > 40))
+    _, f = memory.interaction_rows(e)
+    return f.groupBy("peer_id").agg(F.count("*").alias("n_facts"), F.count_distinct(F.get("evidence", F.lit(0))).alias("n_episodes"))
+
+
+def g1(spark, d):
+    from .retrieval import _hybrid
+    from ..operators.retrieval import confidence
+
+    q, r = _hybrid(spark, d)
+    x = query_log.log_rows(q, r, confidence(q, r))
+    return x.select("qid", "query", "result_count", F.round("top_score", 6).alias("top_score"), F.array_join("top_doc_ids", ",").alias("top_doc_ids"), F.coalesce(F.try_element_at("via_mix", F.lit("keyword")), F.lit(0)).alias("n_keyword"), "abstained", "surface")
+
+
+def g2(spark, d):
+    x = query_log.read_log(log_view(spark, d), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return query_log.abstain_rate(x).select("n", F.round("rate", 6).alias("rate"))
+
+
+def _mined(spark, d):
+    return query_log.mined(log_view(spark, d), golden(spark, d))
+
+
+def g3(spark, d):
+    return _mined(spark, d).select("query", "n", F.round("confidence", 6).alias("confidence"), F.unix_micros("last_seen").alias("last_seen"), F.col("latest.id").alias("latest_id"))
+
+
+def g5(spark, d):
+    return query_log.low_threshold(_mined(spark, d)).select(F.round("low", 6).alias("low"))
+
+
+def g6(spark, d):
+    return query_log.ranked(query_log.classified(_mined(spark, d))).select("query", "n", "reason", "place")
+
+
+def g8(spark, d):
+    return query_log.draft_cases(query_log.classified(_mined(spark, d))).select("case_id", "query", F.size("expect_docs").alias("n_expected"), "expect_abstain", "source")
+
+
+def g9(spark, d):
+    _, counts = query_log.retained(log_view(spark, d), F.lit("2024-02-01 00:00:00").cast("timestamp"), query_log.keep_days("15"))
+    return counts
+
+
+_MINED = """m as (select query, count(*) as n, avg(confidence) as confidence, max(created_at) as last_seen, max_by(id, (created_at, id)) as latest_id from query_log where (surface is null or surface <> 'eval') group by query having count(*) >= 2),
+latest as (select m.*, l.abstained, l.top_scores, l.via_keyword, l.via_semantic from m join query_log l on l.id = m.latest_id),
+low as (select case when count(*) < 4 then min(confidence) else quantile_cont(confidence, 0.25) end as low from latest where not abstained),
+cls as (select *, case when abstained then 'abstained' when confidence <= low then 'low_confidence'
+  when round(top_scores[1] - top_scores[2], 9) <= 0.05 or (via_keyword + via_semantic > 0 and via_keyword::double / (via_keyword + via_semantic) >= 0.5) then 'suspect' end as reason from latest, low)"""
+
+QUERIES = {
+    "d1_walk": d1, "d2_edge_load": d2, "d3_neighbours": d3, "e1_abstain_gate": e1, "e3_context_block": e3, "e4_content_words": e4, "e5_sentences": e5, "e7_citations": e7, "e8_envelope": e8, "e9_session_update": e9,
+    "f1_decay": f1, "f3_peer_upsert": f3, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "f13_interactions": f13,
+    "g1_log_rows": g1, "g2_abstain_rate": g2, "g3_mining": g3, "g5_low_threshold": g5, "g6_classification": g6, "g8_draft_cases": g8, "g9_retention": g9,
+}
+from .retrieval import _CTE, _V  # noqa: E402
+
+ORACLE_SQL = {
+    "d1_walk": sql("edges", """hop(root, node, level) as (select 'd' || doc_id, 'd' || doc_id, 0 from documents where doc_id % 50 = 0
+  union select root, target_id, level + 1 from hop join edges on source_id = node where level < 3 and target_id is not null)
+select root, node, min(level) as level from hop group by all"""),
+    "d2_edge_load": sql("edges", "select *, substr(source_id, 2)::bigint % 3 <> 0 as kept from edges"),
+    "d3_neighbours": sql("edges", "known as (select doc_id % 20 as qid, 'd' || doc_id as doc_id from documents) select distinct qid, target_id as doc_id from known join edges on source_id = doc_id where target_id is not null and not exists (select 1 from known k where k.qid = known.qid and k.doc_id = target_id)"),
+    "e1_abstain_gate": """select qid, none or low as abstain, case when none then 'no_chunks' when low then 'low_confidence' end as reason, case when none or low then 'There is not enough evidence to answer.' end as message
+from (select event_id as qid, event_id % 6 = 0 as none, coalesce(case when event_id % 8 <> 0 then value / (value + 10) end, 0) < 0.6552::double as low from events)""",
+    "e3_context_block": """select conv_id as qid, sha256(string_agg('Section: ' || case when turn % 3 <> 0 then role else 'General' end || ' (relevance: ' || printf('%.2f', (turn + 1)::double / 7) || ')' || chr(10) || text, chr(10) || chr(10) order by turn)) as context_sha256 from conversations group by conv_id""",
+    "e4_content_words": f"select doc_id, len({_words('text')}) as n_words from documents",
+    "e5_sentences": r"""select doc_id, len(s) as n_sentences, s[1] as first from (select doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as s from documents)""",
+    "e7_citations": "with " + _CHECKS + " select answer_id, place, file_path, round(support, 6) as support, content is not null and support >= 0.3 as verified, case when content is null then 'not_found' when support < 0.3 then 'unsupported' end as reason from checks",
+    "e8_envelope": "with " + _CHECKS + """, v as (select answer_id, count(*) filter (content is not null and support >= 0.3) as verified, count(*) as cited, count(distinct case when content is not null and support >= 0.3 then file_path end) as files from checks group by answer_id)
+select answer_id, verified, cited, cited > 0 and verified = 0 as withheld, files >= 2 as corroborated, high_stakes and files < 2 as escalate from answers join v using (answer_id)""",
+    "e9_session_update": """select conv_id, count(*) + 2 as n_turns, 'ok' as last, array_to_string(list_concat(list_distinct_in_order, list_filter(['user', 'new', 'new'], lambda t: not list_contains(list_distinct_in_order, t))), ',') as topics
+from (select conv_id, turn, list(role) over (partition by conv_id) as x from conversations) join (select conv_id, list(role order by first) as list_distinct_in_order from (select conv_id, role, min(turn) as first from conversations group by all) group by conv_id) using (conv_id) group by conv_id, list_distinct_in_order""",
+    "f1_decay": sql("facts", f"select fact_id, {_WEEKS}::int as weeks, round(confidence * power(0.95::double, {_WEEKS}), 6) as effective from facts"),
+    "f3_peer_upsert": sql("episodes", "select workspace_id, peer_id, epoch_us(max(occurred_at)) as updated_at from episodes group by all"),
+    "f5_fact_insert": sql("facts", "select fact_id, case when fact_id % 2 = 0 then confidence else 0.9::double end as confidence, 0.95::double as decay_factor, case when fact_id % 3 = 0 then 'own' else 'batch' end as evidence from facts"),
+    "f6_contradiction": sql("facts", f"select fact_id, round(case when fact_id % 4 = 0 then confidence * power(0.95::double, {_WEEKS}) * case when fact_id % 8 = 0 then 0.25::double else 0.5::double end else confidence end, 6) as confidence, epoch_us(case when fact_id % 4 = 0 then timestamp '{BASE}' else updated_at end) as updated_at from facts"),
+    "f7_rank_facts": sql("chunks q facts", _RANK.format(w="1")),
+    "f8_rank_decayed": sql("chunks q facts", _RANK.format(w=f"confidence * power(0.95::double, {_WEEKS})")),
+    "f9_recent_episodes": sql("episodes", "select peer_id, episode_id, rn from (select *, row_number() over (partition by peer_id order by occurred_at desc, episode_id desc) as rn from episodes) where rn <= 3"),
+    "f10_budget": sql("episodes", "select peer_id, sum(greatest(1, length(summary) // 4))::bigint as tokens, sum(greatest(1, length(summary) // 4)) > 800 as over_budget from episodes group by peer_id"),
+    "f11_consolidation_context": sql("episodes facts", """e as (select peer_id, string_agg(episode_id::varchar, ',' order by occurred_at, episode_id) as x from episodes where occurred_at >= timestamp '2024-06-05' group by peer_id),
+f as (select 'p' || (fact_id % 60) as peer_id, string_agg(fact_id::varchar, ',' order by fact_id) as y from facts group by 1)
+select p.peer_id, coalesce(x, '') as episodes, coalesce(y, '') as facts from (select distinct peer_id from episodes) p left join e using (peer_id) left join f using (peer_id)"""),
+    "f13_interactions": sql("episodes", r"""s as (select peer_id, episode_id, unnest(list_filter(string_split(regexp_replace(regexp_replace(summary, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 40)) as fact from episodes)
+select peer_id, count(*) as n_facts, count(distinct episode_id) as n_episodes from s group by peer_id"""),
+    "g1_log_rows": sql(_V, _CTE + """select q.qid, query, count(f.id) as result_count, round(max(f.score) filter (f.rank = 1), 6) as top_score, string_agg(f.doc_id, ',' order by f.rank) filter (f.rank <= 5) as top_doc_ids, count(*) filter (f.via = 'keyword') as n_keyword,
+  max(confidence) < 0.6552::double as abstained, 'unknown' as surface from q left join final f using (qid) join conf using (qid) group by q.qid, query"""),
+    "g2_abstain_rate": sql("query_log", "select count(*) as n, round(avg(abstained::int), 6) as rate from query_log where created_at >= timestamp '2024-01-20'"),
+    "g3_mining": sql("query_log", _MINED + " select query, n, round(confidence, 6) as confidence, epoch_us(last_seen) as last_seen, latest_id from m"),
+    "g5_low_threshold": sql("query_log", _MINED + " select round(low, 6) as low from low"),
+    "g6_classification": sql("query_log", _MINED + " select query, n, reason, row_number() over (partition by reason order by n desc, last_seen desc, query) as place from cls where reason is not null"),
+    "g8_draft_cases": sql("query_log", _MINED + " select 'mined-' || latest_id as case_id, query, 0 as n_expected, reason = 'abstained' as expect_abstain, 'mined' as source from cls where reason is not null"),
+    "g9_retention": sql("query_log", "select count(*) filter (created_at < timestamp '2024-01-17') as deleted, count(*) filter (created_at >= timestamp '2024-01-17') as kept from query_log"),
+}
