@@ -1,0 +1,138 @@
+"""The corpus index: discovery, attribution, incremental upkeep, whole-group replacement."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Folders that are never read, and types of documents by path prefix, in order.
+SKIPPED = ["target", "node_modules", "archive"]
+TYPES = [("docs/adr/", "adr"), ("docs/src1/", "guide"), ("docs/src2/", "reference"), ("docs/", "docs"), ("planning/", "planning")]
+
+
+def parts(path: Column) -> Column:
+    return F.split(path, "/")
+
+
+def skipped(path: Column, names: list[str] = SKIPPED, prefixes: tuple[str, ...] = ()) -> Column:
+    """Why a path is skipped, or null: underscore file, hand-over note, hidden part, skipped folder or prefix."""
+    stem = F.element_at(parts(path), -1)
+    why = F.when(stem.startswith("_"), "underscore").when(stem == "handoff.md", "ephemeral").when(F.exists(parts(path), lambda p: p.startswith(".")), "hidden")
+    why = why.when(F.arrays_overlap(parts(path), F.array(*[F.lit(n) for n in names])), "skip_dir")
+    for p in prefixes:
+        why = why.when((path == p) | path.startswith(p + "/"), "skip_dir")
+    return why
+
+
+def discover(files: DataFrame, lanes: list[tuple[str, str]]) -> DataFrame:
+    """files(path) that a lane claims, with lane number and name: lanes are (name, pattern), the first to match wins."""
+    n = F.coalesce(*[F.when(F.col("path").rlike(p), F.lit(i)) for i, (_, p) in enumerate(lanes)])
+    ok = files.where(F.col("path").rlike(r"\.mdx?$") & skipped(F.col("path")).isNull()).withColumn("lane", n)
+    first = F.row_number().over(Window.partitionBy("path").orderBy("lane"))
+    return ok.where("lane is not null").withColumn("__n", first).where("__n = 1").drop("__n").withColumn("lane_name", F.get(F.array(*[F.lit(x) for x, _ in lanes]), F.col("lane")))
+
+
+def doc_type(path: Column, types: list[tuple[str, str]] = TYPES) -> Column:
+    """By the first prefix that fits; content otherwise."""
+    out = F.lit("content")
+    for prefix, name in reversed(types):
+        out = F.when(path.startswith(prefix), name).otherwise(out)
+    return out
+
+
+def attributed(lane: Column, slug: Column, own: Column) -> Column:
+    """Project: the manifest's slug always in lane 2, the document's own before the slug in lane 3, its own elsewhere."""
+    return F.when(lane == 2, slug).when(lane == 3, F.coalesce(own, slug)).otherwise(own)
+
+
+def to_index(files: DataFrame, index: DataFrame) -> DataFrame:
+    """files(path, mtime) to read again: those whose newest row isn't strictly later than the file."""
+    newest = index.groupBy(F.col("file_path").alias("path")).agg(F.max("indexed_at").alias("newest"))
+    return files.join(newest, "path", "left").where("newest is null or newest <= mtime")
+
+
+def stale(files: DataFrame, index: DataFrame) -> DataFrame:
+    """files strictly newer than their newest row, or without any."""
+    newest = index.groupBy(F.col("file_path").alias("path")).agg(F.max("indexed_at").alias("newest"))
+    return files.join(newest, "path", "left").where("newest is null or mtime > newest")
+
+
+def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with whole groups replaced: all rows under a key that new has go, all rows of new come."""
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def after_rebuild(index: DataFrame, manifest: DataFrame, workspace: str | None = None) -> DataFrame:
+    """What a scoped rebuild keeps: clients' rows, and projects that the manifest doesn't name (or other workspaces)."""
+    if workspace is not None:
+        return index.where(~F.col("project").eqNullSafe(F.lit(workspace)))
+    named = manifest.select(F.col("slug").alias("project"), F.lit(True).alias("named"))
+    x = index.join(F.broadcast(named), "project", "left")
+    gone = F.col("client_slug").isNull() & (F.col("project").isNull() | (F.col("project") == "") | F.col("named").isNotNull())
+    return x.where(~gone).select(*index.columns)
+
+
+def pruned(index: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(index without paths' rows, counts): rows with a client stay and count as protected."""
+    hit = index.join(paths.select(F.col("path").alias("file_path")).distinct().withColumn("hit", F.lit(True)), "file_path", "left")
+    gone = F.col("hit").isNotNull() & F.col("client_slug").isNull()
+    counts = hit.agg(F.count_if(gone).alias("deleted"), F.count_if(F.col("hit").isNotNull() & F.col("client_slug").isNotNull()).alias("protected"))
+    return hit.where(~gone).select(*index.columns), counts
+
+
+def quarantined(failed: DataFrame, index: DataFrame) -> DataFrame:
+    """(path, rows): how many old rows each file keeps that failed to parse."""
+    n = index.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("rows"))
+    return failed.select("path").join(n, "path", "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def backfilled(index: DataFrame, files: DataFrame) -> DataFrame:
+    """index with authored_at from the files' times."""
+    m = files.select(F.col("path").alias("file_path"), "mtime")
+    return index.join(m, "file_path", "left").withColumn("authored_at", F.coalesce("mtime", "authored_at")).drop("mtime").select(*index.columns)
+
+
+def restricted(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files named by wanted, names outside the corpus)."""
+    return files.join(wanted, "path", "left_semi"), wanted.join(files, "path", "left_anti")
+
+
+def ingested(artifacts: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
+    """Chunks of artifacts(type, id, content, section) under a synthetic path; a given section keeps the text whole."""
+    from .chunking import sections, windows
+
+    a = artifacts.withColumn("path", F.concat(F.lit("ingested/"), "type", F.lit("/"), "id", F.lit(".md")))
+    cut = sections(a.where("section is null"), "path", "content").select("path", "no", "section", "content")
+    whole = a.where("section is not null").select("path", F.lit(0).alias("no"), "section", "content")
+    return windows(cut.union(whole), "content", ["path", "no", "section"], size, overlap)
+
+
+class Repository:
+    """Verbs over a table with an id column; every change is a new DataFrame."""
+
+    def __init__(self, rows: DataFrame, id: str = "id") -> None:
+        self.rows, self.id = rows, id
+
+    def create(self, new: DataFrame) -> DataFrame:
+        return self.rows.unionByName(new)
+
+    def get(self, id) -> DataFrame:
+        return self.rows.where(F.col(self.id) == id)
+
+    def merge(self, new: DataFrame) -> DataFrame:
+        return replaced(self.rows, new, [self.id])
+
+    def delete(self, ids: DataFrame) -> DataFrame:
+        return self.rows.join(ids, self.id, "left_anti")
+
+    def latest(self, n: int) -> DataFrame:
+        return self.rows.orderBy(F.desc(self.id)).limit(n)
+
+    def count(self) -> int:
+        return self.rows.count()
+
+    def exists(self, **equal) -> bool:
+        x = self.rows
+        for k, v in equal.items():
+            x = x.where(F.col(k) == v)
+        return not x.isEmpty()

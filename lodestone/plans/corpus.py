@@ -1 +1,198 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries over chunking and corpus upkeep."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import chunking as K
+from ..operators import corpus as C
+from .views import BASE, base, chunks, days, markdown, read, sql
+
+LANES = [("root", "^docs/"), ("tier", "^tier[0-9]/docs/"), ("planning", "^[^/]+/planning/"), ("repo_docs", "^[^/]+/docs/")]
+
+
+def _files(spark, d):
+    """A listing: a path of one of seven kinds for each document."""
+    i = F.col("doc_id")
+    kinds = ["docs/src1/{}.md", "tier1/docs/{}.mdx", "sub/planning/{}.md", "sub/docs/_{}.md", "sub/target/{}.md", "docs/.git/{}.md", "sub/docs/{}.txt"]
+    path = F.coalesce(*[F.when(i % 7 == k, F.concat(F.lit(p.split("{}")[0]), i, F.lit(p.split("{}")[1]))) for k, p in enumerate(kinds)])
+    return read(spark, d, "documents").select(path.alias("path"), "lang", "doc_id")
+
+
+_FILES = """files as (select doc_id, lang, case doc_id % 7 when 0 then 'docs/src1/' || doc_id || '.md' when 1 then 'tier1/docs/' || doc_id || '.mdx' when 2 then 'sub/planning/' || doc_id || '.md' when 3 then 'sub/docs/_' || doc_id || '.md'
+  when 4 then 'sub/target/' || doc_id || '.md' when 5 then 'docs/.git/' || doc_id || '.md' else 'sub/docs/' || doc_id || '.txt' end as path from documents)"""
+
+
+def _times(spark, d):
+    """Twelve files with times; the index has ten of them."""
+    i = F.col("doc_id")
+    return read(spark, d, "documents").groupBy(F.concat(F.lit("docs/f"), i % 12, F.lit(".md")).alias("path")).agg(F.max(base() - days(i % 25 + i % 12)).alias("mtime")).where("path <> 'docs/f3.md'")
+
+
+_TIMES = f"times as (select 'docs/f' || (doc_id % 12) || '.md' as path, max(timestamp '{BASE}' - to_days((doc_id % 25 + doc_id % 12)::int)) as mtime from documents where doc_id % 12 <> 3 group by 1)"
+_NEWEST = "newest as (select file_path as path, max(indexed_at) as newest from chunks group by 1)"
+
+
+def a1(spark, d):
+    return C.discover(_files(spark, d), LANES).select("path", "lane_name", C.doc_type(F.col("path")).alias("doc_type"))
+
+
+def a3(spark, d):
+    return _files(spark, d).select("path", C.skipped(F.col("path")).alias("reason"))
+
+
+def a5(spark, d):
+    f = C.discover(_files(spark, d), LANES)
+    own = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
+    return f.select("path", C.attributed(F.col("lane"), F.split_part("path", F.lit("/"), F.lit(1)), own).alias("project"))
+
+
+def _front(spark, d):
+    """documents with a YAML block; every ninth is malformed."""
+    i = F.col("doc_id")
+    block = F.concat(F.lit("---\ntitle: T"), i, F.lit("\nlayer: ["), "lang", F.lit(", Research]\nstatus: ' Active '\nkeywords: "), F.when(i % 2 == 0, "[]").otherwise(F.concat(F.lit("k"), i % 5)), F.when(i % 9 == 0, "\n: [bad").otherwise(""), F.lit("\n---\n"))
+    return read(spark, d, "documents").select(F.concat(F.lit("docs/x"), i, F.lit(".md")).alias("path"), F.concat(block, F.substring("text", 1, 50)).alias("content"))
+
+
+def a6(spark, d):
+    p = K.normalised(K.parse_documents(_front(spark, d)))
+    return p.select("path", "doc_id", "title", F.array_join("layer", ",").alias("layer"), "status", F.array_join("keywords", ",").alias("keywords"), F.array_join("unknown_layers", ",").alias("unknown"), F.col("parse_error").isNotNull().alias("failed"))
+
+
+def a8(spark, d):
+    c = chunks(spark, d)
+    return c.select("id", K.context_prefix({"Title": F.col("title"), "Project": F.col("project"), "Status": F.col("status")}).alias("prefix"))
+
+
+def a9(spark, d):
+    s = K.sections(markdown(spark, d))
+    return s.select("doc_id", "no", "section", F.sha2("content", 256).alias("content_sha256"), K.header_only(F.col("content"), F.col("section")).alias("header_only"))
+
+
+def a11(spark, d):
+    w = K.windows(read(spark, d, "documents"), "text", ["doc_id"])
+    return w.select("doc_id", "window", F.sha2("content", 256).alias("content_sha256"))
+
+
+def a12(spark, d):
+    c = K.content_chunks(markdown(spark, d))
+    return c.select("doc_id", "position", "section_title", "is_section_title", F.length("content").alias("length"))
+
+
+def a13(spark, d):
+    c = markdown(spark, d).select("doc_id", "body")
+    e = K.embedded(c, "body", K.hashed_words(32), 32, "hashed-32")
+    return e.select("doc_id", F.size("embedding").alias("width"), "embedding_model")
+
+
+def a14(spark, d):
+    return C.to_index(_times(spark, d), chunks(spark, d)).select("path")
+
+
+def a15(spark, d):
+    c = chunks(spark, d).select("id", "file_path", "section", "title")
+    new = c.where("id % 9 = 0").select((F.col("id") + 1_000_000).alias("id"), "file_path", "section", F.lit("new").alias("title"))
+    return C.replaced(c, new, ["file_path", "section"]).select("id", "file_path", "section", "title")
+
+
+def a16(spark, d):
+    manifest = spark.createDataFrame([("en",), ("de",)], "slug string")
+    return C.after_rebuild(chunks(spark, d), manifest).select("id", "project", "client_slug")
+
+
+def _paths(spark, d):
+    return read(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.concat(F.lit("docs/f"), "n_nationkey", F.lit(".md")).alias("path"))
+
+
+def a17(spark, d):
+    return C.pruned(chunks(spark, d), _paths(spark, d))[1]
+
+
+def a18(spark, d):
+    return C.quarantined(_paths(spark, d), chunks(spark, d))
+
+
+def a19(spark, d):
+    return C.backfilled(chunks(spark, d), _times(spark, d)).select("id", F.coalesce(F.unix_micros("authored_at"), F.lit(-1)).alias("authored_at"))
+
+
+def a20(spark, d):
+    inside, outside = C.restricted(_times(spark, d).select("path"), _paths(spark, d))
+    return inside.withColumn("known", F.lit(True)).union(outside.withColumn("known", F.lit(False)))
+
+
+def a21(spark, d):
+    m = markdown(spark, d)
+    a = m.select(F.col("source").alias("type"), F.col("doc_id").cast("string").alias("id"), F.col("body").alias("content"), F.when(F.col("doc_id") % 4 == 0, "given").alias("section"))
+    return C.ingested(a).groupBy("path").agg(F.count("*").alias("chunks"))
+
+
+def a23(spark, d):
+    """Logs: lines of a text with headers of every kind put in between."""
+    i = F.col("doc_id")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.when(k % 7 == 1, F.format_string("## [run: 2026-01-%02d]", (i + k) % 28 + 1)).when(k % 7 == 3, F.concat(F.lit("### "), F.substring(x, 1, 12))).when(k % 7 == 5, F.format_string("## 2026-02-%02d (entry)", (i + k) % 28 + 1)).otherwise(x))
+    return K.log_entries(read(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("body"))).select("doc_id", "entry", "date", "title", F.sha2("body", 256).alias("body_sha256"))
+
+
+def a25(spark, d):
+    return K.article_text(read(spark, d, "pages")).select("page_id", "fetch_status", F.sha2("article", 256).alias("article_sha256"))
+
+
+def a26(spark, d):
+    c = read(spark, d, "conversations")
+    u = c.select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, "application/pdf").otherwise("text/plain").alias("mime"), F.base64(F.encode("text", "UTF-8")).alias("data"))
+    ok, bad = K.plain_text(u)
+    return ok.select("conv_id", "turn", F.length("text").alias("length"), F.lit(None).cast("string").alias("reason")).union(bad.select("conv_id", "turn", F.lit(-1), "reason"))
+
+
+def a28(spark, d):
+    r = C.Repository(read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    r = C.Repository(r.merge(r.rows.where("id % 10 = 0").withColumn("name", F.lit("merged"))))
+    r = C.Repository(r.delete(r.rows.where("id % 7 = 0").select("id")))
+    return r.latest(50)
+
+
+def _refresh(spark, d):
+    """A refresh in one frame: which files are read, what replaces what, how many edges follow."""
+    from .views import edges
+
+    due = C.to_index(_times(spark, d), chunks(spark, d)).select(F.col("path").alias("file_path"))
+    c = chunks(spark, d)
+    new = c.join(due, "file_path", "left_semi")
+    after = C.replaced(c.select("id", "file_path", "section"), new.select("id", "file_path", "section"), ["file_path", "section"])
+    return after.agg(F.count("*").alias("chunks")).join(F.broadcast(new.agg(F.count("*").alias("refreshed")))).join(F.broadcast(edges(spark, d).agg(F.count("*").alias("edges"))))
+
+
+QUERIES = {
+    "a1_discovery": a1, "a3_skip_rules": a3, "a5_attribution": a5, "a6_metadata": a6, "a8_context_prefix": a8, "a9_sections": a9, "a11_token_windows": a11, "a12_content_chunks": a12, "a13_embedding": a13,
+    "a14_incremental": a14, "a15_group_replace": a15, "a16_scoped_rebuild": a16, "a17_prune": a17, "a18_quarantine": a18, "a19_backfill": a19, "a20_restrict": a20, "a21_artifacts": a21, "a23_log_entries": a23,
+    "a25_article_text": a25, "a26_plain_text": a26, "a28_repository": a28, "a29_refresh": _refresh,
+}
+_SKIP = "case when regexp_matches(path, '/_[^/]*$') then 'underscore' when regexp_matches(path, '(^|/)\\.') then 'hidden' when regexp_matches(path, '(^|/)target/') then 'skip_dir' end"
+_SECTION = r"""parts as (select doc_id, list_filter(string_split(regexp_replace(body, '(^|\n)(#{2,3}[ \t]+\S)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\S')) as p from markdown),
+raw as (select doc_id, unnest(range(len(p))) as no, unnest(p) as raw from parts),
+sec as (select doc_id, no, regexp_replace(regexp_extract(raw, '^(#{2,3}[ \t]+[^\n]+)', 1), '^\s+|\s+$', '', 'g') as section, regexp_replace(raw, '^\s+|\s+$', '', 'g') as content from raw)"""
+ORACLE_SQL = {
+    "a1_discovery": "with " + _FILES + " select path, case doc_id % 7 when 0 then 'root' when 1 then 'tier' when 2 then 'planning' end as lane_name, case doc_id % 7 when 0 then 'guide' else 'content' end as doc_type from files where doc_id % 7 < 3",
+    "a3_skip_rules": "with " + _FILES + f" select path, {_SKIP} as reason from files",
+    "a5_attribution": "with " + _FILES + " select path, case when doc_id % 7 = 2 then 'sub' when doc_id % 2 = 0 then lang end as project from files where doc_id % 7 < 3",
+    "a6_metadata": """select 'docs/x' || doc_id || '.md' as path, 'x' || doc_id as doc_id, case when doc_id % 9 <> 0 then 'T' || doc_id end as title, case when doc_id % 9 <> 0 then lang || ',research' end as layer,
+  case when doc_id % 9 <> 0 then 'active' end as status, case when doc_id % 9 <> 0 and doc_id % 2 <> 0 then 'k' || (doc_id % 5) end as keywords, case when doc_id % 9 <> 0 then lang else '' end as unknown, doc_id % 9 = 0 as failed from documents""",
+    "a8_context_prefix": sql("chunks", "select id, 'Title: ' || title || chr(10) || 'Project: ' || project || coalesce(chr(10) || 'Status: ' || status, '') || chr(10) || chr(10) as prefix from chunks"),
+    "a9_sections": sql("markdown", _SECTION + r"select doc_id, no, section, sha256(content) as content_sha256, length(regexp_replace(substr(content, length(section) + 1), '^\s+|\s+$', '', 'g')) < 40 as header_only from sec".replace("select", " select", 1)),
+    "a11_token_windows": r"""with t as (select doc_id, text, regexp_extract_all(text, '\S+\s*') as t from documents),
+w as (select doc_id, text, t, unnest(case when len(t) > 500 then range(0, len(t), 450) else [0] end) as start from t)
+select doc_id, start // 450 as "window", sha256(case when len(t) > 500 then array_to_string(t[start + 1:start + 500], '') else text end) as content_sha256 from w""",
+    "a14_incremental": sql("chunks", _TIMES + ", " + _NEWEST + " select path from times left join newest using (path) where newest is null or newest <= mtime"),
+    "a15_group_replace": sql("chunks", "k as (select distinct file_path, section from chunks where id % 9 = 0) select id, file_path, section, title from chunks c where not exists (select 1 from k where k.file_path = c.file_path and k.section = c.section) union all select id + 1000000, file_path, section, 'new' from chunks where id % 9 = 0"),
+    "a16_scoped_rebuild": sql("chunks", "select id, project, client_slug from chunks where not (client_slug is null and (project is null or project in ('', 'en', 'de')))"),
+    "a17_prune": sql("chunks", "p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0) select count(*) filter (client_slug is null) as deleted, count(*) filter (client_slug is not null) as protected from chunks join p on path = file_path"),
+    "a18_quarantine": sql("chunks", "p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0) select path, count(id) as rows from p left join chunks on path = file_path group by path"),
+    "a19_backfill": sql("chunks", _TIMES + " select id, coalesce(epoch_us(coalesce(mtime, authored_at)), -1) as authored_at from chunks left join times on path = file_path"),
+    "a20_restrict": "with " + _TIMES + ", p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0) select path, times.path is not null as known from p left join times using (path)",
+    "a25_article_text": r"""select page_id, case when a = '' then 'failed' else 'ok' end as fetch_status, sha256(a) as article_sha256 from (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
+  '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<head\b.*?</head\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as a from pages)""",
+    "a26_plain_text": "select conv_id, turn, case when turn % 3 <> 0 then length(text) else -1 end as length, case when turn % 3 = 0 then 'unsupported type application/pdf' end as reason from conversations",
+    "a28_repository": "select c_custkey as id, case when c_custkey % 10 = 0 then 'merged' else c_name end as name from customer where c_custkey % 7 <> 0 order by 1 desc limit 50",
+    "a29_refresh": sql("chunks edges", _TIMES + ", " + _NEWEST + " select (select count(*) from chunks) as chunks, (select count(*) from chunks where file_path in (select path from times left join newest using (path) where newest is null or newest <= mtime)) as refreshed, (select count(*) from edges) as edges"),
+}

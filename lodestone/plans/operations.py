@@ -1 +1,168 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Queries over reconciliation, runs, scalars and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import chunking as K
+from ..operators import reconcile as I
+from ..operators import runs as J
+from ..streaming import feeds
+from .corpus import _FILES, _files, _times, _TIMES
+from .views import base, chunks, edges, query_log, read, runs, sql
+
+
+def _content(spark, d):
+    """Content chunks: the turns of conversations as positions; every ninth conversation lacks its first."""
+    c = read(spark, d, "conversations")
+    return c.where("turn <> 0 or conv_id % 9 <> 0").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("position"), F.when(F.col("conv_id") % 4 != 0, F.lit("m1")).alias("embedding_model"))
+
+
+def _current(spark, d):
+    c = chunks(spark, d)
+    return c.where("section <> 's3' and file_path <> 'docs/f5.md'").select(F.col("file_path").alias("path"), "section").distinct()
+
+
+def i1(spark, d):
+    return I.deleted_files(chunks(spark, d), _times(spark, d))
+
+
+def i2(spark, d):
+    return I.orphan_sections(chunks(spark, d), _current(spark, d))
+
+
+def i3(spark, d):
+    return I.orphan_chunks(_content(spark, d))
+
+
+def i4(spark, d):
+    return I.dangling(edges(spark, d), chunks(spark, d))
+
+
+def i5(spark, d):
+    return I.model_mismatch({"index": chunks(spark, d), "content": _content(spark, d)}, "m1")
+
+
+def i6(spark, d):
+    x = chunks(spark, d).withColumn("file_path", F.when(F.col("id") % 6 == 0, F.concat(F.lit("ingested/a/"), "id", F.lit(".md"))).otherwise(F.col("file_path")))
+    return I.synthetic(x).select("n", F.unix_micros("first").alias("first"), F.unix_micros("last").alias("last"))
+
+
+def i7(spark, d):
+    f = _files(spark, d)
+    index = f.where("doc_id % 3 = 0").select(F.col("path").alias("file_path"))
+    return I.ceiling(f, index, f.where("doc_id % 10 = 0").select("path"))
+
+
+def i8(spark, d):
+    r = I.report(chunks(spark, d), _times(spark, d), _current(spark, d), _content(spark, d), edges(spark, d), "m1")
+    return r.groupBy("axis").agg(F.count("*").alias("n"))
+
+
+def i9(spark, d):
+    from ..operators.corpus import stale
+
+    return stale(_times(spark, d), chunks(spark, d)).select("path")
+
+
+def i10(spark, d):
+    c = chunks(spark, d)
+    new, content, cut = I.repaired(c, _times(spark, d), _content(spark, d), edges(spark, d))
+    return new.agg(F.count("*").alias("chunks")).join(F.broadcast(content.agg(F.count("*").alias("content")))).join(F.broadcast(cut.agg(F.count("target_id").alias("targets"))))
+
+
+def i11(spark, d):
+    x = I.health(chunks(spark, d).withColumn("related", F.array(F.lit("x"))), edges(spark, d))
+    return x.withColumn("newest", F.unix_micros("newest"))
+
+
+def j1(spark, d):
+    return J.with_status(runs(spark, d)).select("run_id", "status")
+
+
+def j2(spark, d):
+    return J.active(runs(spark, d)).select("run_id")
+
+
+def j3(spark, d):
+    return J.node_rows(runs(spark, d)).select("run_id", "node", "status", F.round("seconds", 6).alias("seconds"))
+
+
+def j4(spark, d):
+    r = read(spark, d, "events").select("event_id", F.create_map(F.lit("failure"), F.lit("old"), F.lit("kind"), F.col("event_type")).alias("metadata"))
+    m = J.mark_failed(r, F.concat(F.lit("event "), "event_id"))
+    return m.select("event_id", F.try_element_at("metadata", F.lit("failure")).alias("failure"), F.try_element_at("metadata", F.lit("kind")).alias("kind"))
+
+
+def _intake(spark, d):
+    e = read(spark, d, "events")
+    return e.withColumn("props", F.when(F.col("event_id") % 9 == 0, "{broken").otherwise(F.col("props")))
+
+
+def j5(spark, d):
+    ok, bad = J.intake(_intake(spark, d))
+    return ok.select("event_id", F.lit(None).cast("string").alias("reason")).union(bad.select("event_id", "reason"))
+
+
+def s_text(spark, d):
+    t = F.concat(F.lit("see AB12 and "), F.substring("text", 1, 40))
+    return read(spark, d, "documents").select("doc_id", S.first_structured_id(t).alias("found"), S.normal_title(F.concat(F.lit(" ## "), F.substring("text", 1, 30))).alias("title"), S.token_estimate(F.col("text")).alias("tokens"), S.is_kebab(F.lower("source")).alias("kebab"))
+
+
+def s_window(spark, d):
+    e = read(spark, d, "events")
+    w = F.concat(F.col("event_id") % 9, F.when(F.col("event_id") % 3 == 0, "d").when(F.col("event_id") % 3 == 1, "h").otherwise("x"))
+    return e.select("event_id", F.coalesce(S.window_hours(w), F.lit(-1)).alias("hours"), S.video_id(F.concat(F.lit("https://v.example/watch?v=abcdefghij"), F.col("event_id") % 10)).alias("video"), F.round(S.squash(F.col("value") / 100), 6).alias("squashed"))
+
+
+def s_vector(spark, d):
+    e = read(spark, d, "embeddings")
+    f = e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("other"))
+    x = e.join(f, "vec_id")
+    return x.select("vec_id", F.round(S.cosine_similarity(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+def b7(spark, d):
+    return query_log(spark, d).where(F.col("created_at") >= F.lit("2024-01-30").cast("timestamp") - F.make_dt_interval(F.lit(7))).groupBy("surface").agg(F.count("*").alias("n"))
+
+
+QUERIES = {
+    "b7_time_window": b7, "i1_deleted_files": i1, "i2_orphan_sections": i2, "i3_orphan_chunks": i3, "i4_dangling_edges": i4, "i5_model_mismatch": i5, "i6_synthetic": i6, "i7_ceiling": i7, "i8_drift_report": i8, "i9_staleness": i9,
+    "i10_repair": i10, "i11_health": i11, "j1_run_status": j1, "j2_active_runs": j2, "j3_node_rows": j3, "j4_failure_marker": j4, "j5_intake": j5, "s_text": s_text, "s_window": s_window, "s_vector": s_vector,
+    "t1_intake_stream": feeds.t1, "t2_status_stream": feeds.t2, "t3_ingest_stream": feeds.t3, "t4_memory_stream": feeds.t4, "t5_session_stream": feeds.t5, "t6_abstain_stream": feeds.t6,
+}
+_CONTENT = "content as (select conv_id as doc_id, turn as position, case when conv_id % 4 <> 0 then 'm1' end as embedding_model from conversations where turn <> 0 or conv_id % 9 <> 0)"
+_I1 = "del as (select distinct file_path as path from chunks where client_slug is null and file_path not in (select path from times))"
+_I2 = "orph as (select distinct file_path as path, section from chunks where client_slug is null and section = 's3' and file_path <> 'docs/f5.md')"
+_I4 = "dang as (select source_id, to_ref from edges where target_id is null or target_id not in (select doc_id from chunks))"
+_STATUS = """nn as (select run_id, count(*) as n, bool_or(status = 'failed') as failed, bool_or(status = 'running') as running from nodes group by run_id),
+st as (select r.run_id, case when no_nodes and not cancelled and not halted and not failure and not completion then 'queued' when cancelled then 'cancelled' when halted then 'halted'
+  when failure or coalesce(failed, false) then 'failed' when completion then 'succeeded' when n is null then 'running' when running then 'running' else 'succeeded' end as status
+  from runs r left join nn on nn.run_id = r.run_id)"""
+ORACLE_SQL = {
+    "b7_time_window": sql("query_log", "select surface, count(*) as n from query_log where created_at >= timestamp '2024-01-23' group by surface"),
+    "i1_deleted_files": sql("chunks", _TIMES + ", " + _I1 + " select path from del"),
+    "i2_orphan_sections": sql("chunks", _I2 + " select * from orph"),
+    "i3_orphan_chunks": "with " + _CONTENT + " select doc_id from content group by doc_id having count(*) filter (position = 0) = 0",
+    "i4_dangling_edges": sql("chunks edges", _I4 + " select * from dang"),
+    "i5_model_mismatch": sql("chunks", _CONTENT + " select 'index' as \"table\", count(*) filter (embedding_model <> 'm1') as mismatched, count(*) filter (embedding_model is null) as unstamped from chunks union all select 'content', count(*) filter (embedding_model <> 'm1'), count(*) filter (embedding_model is null) from content"),
+    "i6_synthetic": sql("chunks", "select count(*) as n, epoch_us(min(authored_at)) as first, epoch_us(max(authored_at)) as last from chunks where id % 6 = 0"),
+    "i7_ceiling": "with " + _FILES + " select case when doc_id % 7 = 3 then 'underscore' when doc_id % 7 = 4 then 'skip_dir' when doc_id % 7 = 5 then 'hidden' when doc_id % 10 = 0 then 'unparseable' else 'no_rows' end as reason, count(*) as n from files where doc_id % 7 in (3, 4, 5) or doc_id % 10 = 0 or doc_id % 3 <> 0 group by 1",
+    "i8_drift_report": sql("chunks edges", _TIMES + ", " + _I1 + ", " + _I2 + ", " + _I4 + ", " + _CONTENT + """ select axis, count(*) as n from (select 'deleted' as axis from del union all select 'section' from orph union all select 'dangling' from dang
+  union all select 'orphan_chunk' from (select doc_id from content group by doc_id having count(*) filter (position = 0) = 0) union all select distinct 'model' from chunks where embedding_model <> 'm1') group by axis"""),
+    "i9_staleness": sql("chunks", _TIMES + " select path from times left join (select file_path as path, max(indexed_at) as newest from chunks group by 1) using (path) where newest is null or mtime > newest"),
+    "i10_repair": sql("chunks edges", _TIMES + ", " + _I1 + ", " + _CONTENT + """, left_ as (select * from chunks where client_slug is not null or file_path not in (select path from del))
+select (select count(*) from left_) as chunks, (select count(*) from content where doc_id in (select doc_id from content where position = 0)) as content, (select count(*) from edges where target_id in (select doc_id from left_)) as targets"""),
+    "i11_health": sql("chunks edges", "select count(distinct doc_id) as documents, count(*) as chunks, epoch_us(max(indexed_at)) as newest, (select count(*) from edges) as edges, false as edges_missing from chunks"),
+    "j1_run_status": sql("runs", _STATUS + " select run_id, status from st"),
+    "j2_active_runs": sql("runs", "select run_id from runs r where run_id % 10 <= 1 or exists (select 1 from nodes n where n.run_id = r.run_id and status = 'running')"),
+    "j3_node_rows": sql("runs", "select run_id, node, status, round((epoch_us(completed_at) - epoch_us(started_at)) / 1000000, 6) as seconds from nodes"),
+    "j4_failure_marker": "select event_id, 'event ' || event_id as failure, event_type as kind from events",
+    "j5_intake": "select event_id, case when event_type = 'error' then 'unknown_type' when event_id % 9 = 0 then 'bad_payload' end as reason from events",
+    "s_text": r"select doc_id, 'AB12' as found, lower(regexp_replace(regexp_replace(substr(text, 1, 30), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) as title, greatest(1, length(text) // 4) as tokens, regexp_matches(lower(source), '^[a-z0-9]+(-[a-z0-9]+)*$') as kebab from documents",
+    "s_window": "select event_id, case event_id % 3 when 0 then (event_id % 9) * 24 when 1 then event_id % 9 else -1 end as hours, 'abcdefghij' || (event_id % 10) as video, round(1 / (1 + exp(-value / 100)), 6) as squashed from events",
+    "s_vector": "select a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as similarity from (select vec_id, embedding::double[] as e from embeddings) a join (select vec_id + 1 as vec_id, embedding::double[] as e from embeddings) b using (vec_id)",
+    "t1_intake_stream": "select event_id, case when event_type = 'error' then 'unknown_type' when event_id % 9 = 0 then 'bad_payload' end as reason from events",
+    "t6_abstain_stream": sql("query_log", "select epoch_us(time_bucket(interval '1 day', created_at)) as day, count(*) as n, round(avg(abstained::int), 6) as rate from query_log group by 1"),
+}
