@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected, stored, table
-from .jaccard import forest
 
 COSINE = 0.95
 SAMPLE = 4096  # vectors that shape the tree; all vectors are in it
 FANOUT = 16
 LEVELS = 6
-BLOCK = 1500  # vectors in a leaf or a block of one, about
+BLOCK = 3000  # vectors in a leaf or a block of one, about
+ROWS = 500  # rows of a block that are multiplied at once
 BROADCAST_TASKS = 200_000
 
 
@@ -43,7 +43,9 @@ class Tree:
         # the node's own centre is its first child: levels are nested
         near = np.linalg.norm(points - self.centre[node], axis=1)
         whose, centres = np.zeros(len(points), int), [self.centre[node]]
-        while near.max() > radius and len(centres) < FANOUT:
+        # no more children than leaves are due here: a vector travels once for each leaf it is compared with
+        most = min(FANOUT, max(2, math.ceil(len(points) / leaf)))
+        while near.max() > radius and len(centres) < most:
             c = points[int(near.argmax())]
             d = np.linalg.norm(points - c, axis=1)
             whose[d < near] = len(centres)
@@ -116,16 +118,44 @@ def unit(v) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
-def links(a: np.ndarray, b: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs at the threshold: single precision decides far from it, double precision near it."""
-    s = a.astype(np.float32) @ b.astype(np.float32).T
-    i, j = np.nonzero(s >= cosine - 1e-4)
-    close = s[i, j] <= cosine + 1e-4
-    ok = ~close
-    for at in range(0, len(c := np.flatnonzero(close)), 100_000):
-        k = c[at : at + 100_000]
-        ok[k] = (a[i[k]] * b[j[k]]).sum(axis=1) >= cosine
-    return i[ok], j[ok]
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1 in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def block_links(a: np.ndarray, b: np.ndarray | None, cosine: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links between the rows of a and b, or within a: the number for each row (a's, then b's), and a spanning forest.
+
+    Single precision decides pairs far from the threshold, double precision those near it. Rows go in slices, so
+    memory stays small though all may link.
+    """
+    n = len(a)
+    other = a if b is None else b
+    off = 0 if b is None else n
+    count, label, out = np.zeros(n + (0 if b is None else len(b)), np.int64), np.arange(n + (0 if b is None else len(b))), []
+    a32, b32 = a.astype(np.float32), other.astype(np.float32).T
+    for at in range(0, n, ROWS):
+        s = a32[at : at + ROWS] @ b32
+        hit = s >= cosine + 1e-4
+        i, j = np.nonzero((s >= cosine - 1e-4) & ~hit)
+        for k in range(0, len(i), 100_000):
+            x, y = i[k : k + 100_000], j[k : k + 100_000]
+            hit[x, y] = (a[at + x] * other[y]).sum(axis=1) >= cosine
+        if b is None:  # each pair once
+            hit &= np.arange(n)[None, :] > np.arange(at, at + len(s))[:, None]
+        count[at : at + len(s)] += hit.sum(axis=1)
+        count[off : off + len(other)] += hit.sum(axis=0)
+        for r in np.flatnonzero(hit.any(axis=1)):
+            j = np.flatnonzero(hit[r]) + off
+            which, first = np.unique(label[j], return_index=True)
+            mine = label[at + r]
+            for w, f in zip(which, j[first]):
+                if w != mine:
+                    label[label == w] = mine
+                    out.append((at + int(r), int(f)))
+    return count, out
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -141,14 +171,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = [unit(v) for v in b["embedding"]]
-            yield pd.DataFrame({"vec_id": b["vec_id"], "width": [0 if v is None else len(v) for v in x], "x": [None if v is None else v.tobytes() for v in x]})
+            raw = [None if u is None else np.asarray(v, kind).tobytes() for u, v in zip(x, b["embedding"])]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "width": [0 if v is None else len(v) for v in x], "x": raw})
 
-    # double precision throughout: 8 bytes a component
+    # the numbers as they are, so that nothing is lost; each use takes them to double precision
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     rows = stored(one.mapInPandas(clean, "vec_id long, width int, x binary"), "vectors")
     good = rows.where("x is not null and vec_id is not null")
     found = []
     for r in good.groupBy("width").agg(F.count("*").alias("n")).orderBy("width").collect():
-        found.append(_links_of_width(spark, good.where(F.col("width") == r["width"]), r["n"], cosine))
+        found.append(_links_of_width(spark, good.where(F.col("width") == r["width"]), r["n"], kind, cosine))
     ids = rows.select("vec_id")
     if not found:
         return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
@@ -162,18 +194,18 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     return joined.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links_of_width(spark: SparkSession, good: DataFrame, n: int, cosine: float) -> DataFrame:
+def _links_of_width(spark: SparkSession, good: DataFrame, n: int, kind: str, cosine: float) -> DataFrame:
     """(a, b, n): a vector's number of links (b null), and links that span the components (n null)."""
     share = min(1.0, SAMPLE / n)
     sample = good.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_003)) < share * 1_000_003).orderBy(F.xxhash64("vec_id"), "vec_id").limit(2 * SAMPLE).select("x").collect()
     if not sample:
         sample = good.select("x").limit(1).collect()
-    points = np.array([np.frombuffer(r["x"]) for r in sample])
+    points = units(np.array([np.frombuffer(r["x"], kind) for r in sample]))
     tree = Tree(points, BLOCK * len(points) / n)  # travels with the function, which Spark broadcasts
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            at, path, dist = tree.descend(np.array([np.frombuffer(v) for v in b["x"]])) if len(b) else ([], [], [])
+            at, path, dist = tree.descend(units(np.array([np.frombuffer(v, kind) for v in b["x"]]))) if len(b) else ([], [], [])
             yield pd.DataFrame({"vec_id": b["vec_id"], "leaf": at, "path": path, "dist": dist, "x": b["x"]})
 
     placed = stored(good.mapInPandas(place, "vec_id long, leaf int, path array<int>, dist array<double>, x binary"), "placed")
@@ -192,18 +224,12 @@ def _links_of_width(spark: SparkSession, good: DataFrame, n: int, cosine: float)
     rows = placed.join(sizes, "leaf").select("vec_id", "leaf", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "x").join(sides, ["leaf", "block"]).select("task", "side", "vec_id", "x")
 
     def compare(b: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(b["x"])).reshape(len(b), -1)
-        first, second = np.flatnonzero(b["side"] == 0), np.flatnonzero(b["side"] == 1)
-        if len(second):
-            i, j = links(x[first], x[second], cosine)
-            i, j = first[i], second[j]
-        else:
-            i, j = links(x, x, cosine)
-            i, j = i[i < j], j[i < j]
-        n = np.bincount(i, minlength=len(b)) + np.bincount(j, minlength=len(b))
-        some = np.flatnonzero(n)
-        ids = b["vec_id"].to_numpy()
-        tree_ = np.array(forest(i, j, len(b)), int).reshape(-1, 2)
+        x = units(np.frombuffer(b"".join(b["x"]), kind).reshape(len(b), -1))
+        order = np.argsort(b["side"].to_numpy(), kind="stable")
+        first = int((b["side"] == 0).sum())
+        ids, x = b["vec_id"].to_numpy()[order], x[order]
+        n, links = block_links(x[:first], x[first:] if first < len(b) else None, cosine)
+        some, tree_ = np.flatnonzero(n), np.array(links, int).reshape(-1, 2)
         return pd.DataFrame(
             {
                 "a": np.concatenate([ids[some], ids[tree_[:, 0]]]),
