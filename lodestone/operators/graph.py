@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def load_edges(payload: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, skipped) edges of payload(source_id, to_ref, target_id): sources must be known, targets may be missing."""
@@ -17,6 +19,7 @@ def walk(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
     A walk never visits a node twice, so cycles end it; it stops at the first level without new nodes.
     """
+    shared_dir(roots.sparkSession)  # checkpoints go there
     step = edges.where("target_id is not null").select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct()
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("level"))
     frontier = seen

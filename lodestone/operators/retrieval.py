@@ -160,6 +160,17 @@ def merged(*stages: DataFrame) -> DataFrame:
     return best.withColumn("via", F.get(F.array(*[F.lit(n) for n in names]), F.col("stage")))
 
 
+def memory_candidates(queries: DataFrame, facts: DataFrame, as_of: Column, k: int = MEMORY) -> DataFrame:
+    """(qid, id, distance) of the best facts of the query's workspace, similarity times effective confidence.
+
+    Ids are -1 - fact_id, so they never meet those of chunks. Queries without a workspace have none.
+    """
+    from .memory import rank_facts
+
+    best = rank_facts(queries.where("workspace_id is not null"), facts, k, as_of)
+    return best.select("qid", (-1 - F.col("id")).alias("id"), (1 - F.col("score")).alias("distance"))
+
+
 def fused(candidates: DataFrame, chunks: DataFrame, ranks: DataFrame | None, as_of: Column, threshold: float = 0.0, decay: bool = True) -> DataFrame:
     """candidates with score: similarity plus weighted keyword rank, decayed by whole weeks since authored_at."""
     x = candidates.join(chunks.select("id", "file_path", "doc_id", "authored_at"), "id")
@@ -187,8 +198,8 @@ def confidence(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.select("qid").join(mean, "qid", "left").select("qid", F.coalesce(squash(F.col("mean")), F.lit(0.0)).alias("confidence"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Column, k: int = 10, include_archived: bool = False, expand: bool = True, decay: bool = True, threshold: float = 0.0, corpus: Corpus = Corpus(), filters: dict | None = None) -> DataFrame:
-    """The whole pipeline; (qid, id, rank, score, via, distance, doc_id, file_path)."""
+def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Column, k: int = 10, include_archived: bool = False, expand: bool = True, decay: bool = True, threshold: float = 0.0, corpus: Corpus = Corpus(), filters: dict | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """The whole pipeline; (qid, id, rank, score, via, distance, doc_id, file_path). Facts take part where they are given."""
     c = filtered(live(chunks, include_archived), filters, corpus)
     found = semantic(queries, c)
     stages = [found]
@@ -199,7 +210,12 @@ def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Colum
     stages.append(distances(keyword_candidates(ranks, present).select("qid", "id"), queries, c))
     if not corpus.graded:
         ranks = flat_matches(queries, c).withColumn("rank", F.lit(FLAT_BOOST / KEYWORD_WEIGHT))
-    return diverse(fused(merged(*stages), c, ranks, as_of, threshold, decay), k)
+    found = fused(merged(*stages), c, ranks, as_of, threshold, decay)
+    if facts is not None:
+        m = memory_candidates(queries, facts, as_of).withColumns({"score": 1 - F.col("distance"), "via": F.lit("memory"), "file_path": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("string")})
+        cols = ["qid", "id", "distance", "via", "score", "file_path", "doc_id"]
+        found = found.select(*cols).unionByName(m.where(F.col("score") >= threshold).select(*cols))
+    return diverse(found, k)
 
 
 def exact_id(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:
@@ -211,3 +227,26 @@ def exact_id(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame
     hit = chunks.select("id", "doc_id", "file_path").join(F.broadcast(ids), F.ilike("doc_id", like) | F.ilike("file_path", like))
     rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.when(F.ilike("doc_id", like), 0).otherwise(1), "file_path", "id"))
     return hit.withColumn("rn", rn).where(F.col("rn") <= limit)
+
+
+def recall(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:
+    """(qid, id, doc_id, file_path, title, section, score, via, rn), one shape on every path.
+
+    A query that names an id is looked up by it, even if nothing is found; all others go by meaning. The hybrid path is
+    ``hybrid``, in the same shape by ``shaped``.
+    """
+    from ..functions.scalars import first_structured_id
+
+    named = first_structured_id(F.col("query")).isNotNull()
+    exact = exact_id(queries.where(named), chunks, limit).select("qid", "id", F.lit(1.0).alias("score"), F.lit("exact-id").alias("via"), "rn")
+    near = semantic(queries.where(~named), chunks, limit).select("qid", "id", (1 - F.col("distance")).alias("score"), F.lit("semantic").alias("via"), "rn")
+    return shaped(exact.unionByName(near), chunks)
+
+
+def shaped(results: DataFrame, chunks: DataFrame) -> DataFrame:
+    return results.join(chunks.select("id", "doc_id", "file_path", "title", "section"), "id").select("qid", "id", "doc_id", "file_path", "title", "section", "score", "via", "rn")
+
+
+def scoped(filters: Column, workspace: Column) -> Column:
+    """Project to filter by: an explicit one wins over the workspace."""
+    return F.coalesce(filters, workspace)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
 from ..operators import retrieval as R
+from ..sources.shared import read_report, shared_dir, write_report
 from .memory import _words
 from .retrieval import _CTE
 from .views import base, chunks, edges, golden, read, sql
@@ -140,6 +143,14 @@ def h16(spark, d):
     return E.gate(E.paired(_values(spark, d)), True)
 
 
+def a24(spark, d):
+    """A run's report, written as JSON and read again."""
+    r = _means(spark, d, "base").select("metric", F.round("value", 6).alias("value"))
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex}"
+    write_report(r, path)
+    return read_report(spark, path, r.schema)
+
+
 def h18(spark, d):
     r = read(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderkey") % 4 != 0, F.lit("better recall")).alias("reason"), F.when(F.col("o_orderkey") % 5 != 0, "g").alias("golden_digest"), F.lit("c").alias("corpus_digest"), F.lit("k").alias("constants"), (F.col("o_orderkey") % 7 == 0).alias("worse"))
     return E.promotable(r).select("run_id", "eligible", "why_not")
@@ -147,7 +158,7 @@ def h18(spark, d):
 
 QUERIES = {
     "h1_case_scores": h1, "h4_aggregates": h4, "h5_wilson": h5, "h6_bootstrap_exact": h6, "h6_bootstrap_spread": h6b, "h7_corpus_stamp": h7, "h8_sign_test": h8, "h10_paired_verdict": h10,
-    "h11_deltas": h11, "h12_confounded": h12, "h13_constants": h13, "h14_case_rules": h14, "h15_case_digest": h15, "h16_gate": h16, "h18_promotable": h18,
+    "h11_deltas": h11, "h12_confounded": h12, "h13_constants": h13, "h14_case_rules": h14, "h15_case_digest": h15, "h16_gate": h16, "h18_promotable": h18, "a24_report": a24,
 }
 ORACLE_SQL = {
     "h1_case_scores": _h_sql("select case_id, recall_at_5::double as recall_at_5, recall_at_10::double as recall_at_10, round(mrr, 6) as mrr, round(groundedness, 6) as groundedness, matched, abstained, abstain_correct from scores"),
@@ -164,6 +175,7 @@ select metric, round(point, 6) as point, round(quantile_cont(mean, 0.025), 6) as
     "h8_sign_test": """select user_id, better, worse, round(case when better + worse = 0 then 1::double else least(1, 2 * (select sum(exp(lgamma(better + worse + 1) - lgamma(i + 1) - lgamma(better + worse - i + 1) - (better + worse) * ln(2::double))) from range(least(better, worse) + 1) t(i))) end, 6) as p
 from (select user_id, count(*) filter (event_id % 3 = 0) as better, count(*) filter (event_id % 3 = 1) as worse from events group by user_id)""",
     "h10_paired_verdict": "with " + _PAIRED + " select metric, added, removed, better, worse, round(delta, 6) as delta, round(p, 6) as p, verdict from verdicts",
+    "a24_report": "with " + _VALUES + " select metric, round(avg(value), 6) as value from vals where run = 'base' group by metric",
     "h11_deltas": "with " + _VALUES + """, b as (select metric, avg(value) as base from vals where run = 'base' group by metric), c as (select metric, avg(value) as current from vals where run = 'current' and metric <> 'mrr' group by metric)
 select metric, round(base, 6) as base, round(coalesce(current, 0), 6) as current, round(coalesce(current, 0) - base, 6) as delta, coalesce(current, 0) - base < 0 as regressed from b left join c using (metric)""",
     "h12_confounded": sql("chunks", """s as (select project, count(*) as n, count(distinct file_path) as f from chunks group by project)

@@ -151,6 +151,15 @@ def f11(spark, d):
     return out.select("peer_id", F.array_join("episodes", ",").alias("episodes"), F.array_join("facts", ",").alias("facts"))
 
 
+def f12(spark, d):
+    """Facts of every third document contradict one of their peer's; ids that are no uuid count as none."""
+    f = facts(spark, d).withColumn("fact_id", F.format_string("00000000-0000-4000-8000-%012d", "fact_id"))
+    peers = f.select("peer_id").distinct().withColumn("representation", F.lit("old"))
+    r = f.select("peer_id", F.lit("new").alias("fact"), F.when(F.substring("fact_id", 36, 1) == "3", F.col("fact_id")).otherwise("none").alias("contradicts"), F.lit("fresh").alias("representation"))
+    p, old, new = memory.consolidation_apply(peers, f, r, base())
+    return old.groupBy("peer_id").agg(F.round(F.sum("confidence"), 6).alias("confidence")).join(p, "peer_id").join(new.groupBy("peer_id").agg(F.count("*").alias("new")), "peer_id").select("peer_id", "confidence", "representation", "new")
+
+
 def f13(spark, d):
     e = episodes(spark, d).withColumn("facts", F.filter(S.sentences(F.col("summary")), lambda s: F.length(s) > 40))
     _, f = memory.interaction_rows(e)
@@ -204,7 +213,7 @@ cls as (select *, case when abstained then 'abstained' when confidence <= low th
 
 QUERIES = {
     "d1_walk": d1, "d2_edge_load": d2, "d3_neighbours": d3, "e1_abstain_gate": e1, "e3_context_block": e3, "e4_content_words": e4, "e5_sentences": e5, "e7_citations": e7, "e8_envelope": e8, "e9_session_update": e9,
-    "f1_decay": f1, "f3_peer_upsert": f3, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "f13_interactions": f13,
+    "f1_decay": f1, "f3_peer_upsert": f3, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "f12_consolidation_apply": f12, "f13_interactions": f13,
     "g1_log_rows": g1, "g2_abstain_rate": g2, "g3_mining": g3, "g5_low_threshold": g5, "g6_classification": g6, "g8_draft_cases": g8, "g9_retention": g9,
 }
 from .retrieval import _CTE, _V  # noqa: E402
@@ -236,6 +245,7 @@ from (select conv_id, turn, list(role) over (partition by conv_id) as x from con
     "f11_consolidation_context": sql("episodes facts", """e as (select peer_id, string_agg(episode_id::varchar, ',' order by occurred_at, episode_id) as x from episodes where occurred_at >= timestamp '2024-06-05' group by peer_id),
 f as (select 'p' || (fact_id % 60) as peer_id, string_agg(fact_id::varchar, ',' order by fact_id) as y from facts group by 1)
 select p.peer_id, coalesce(x, '') as episodes, coalesce(y, '') as facts from (select distinct peer_id from episodes) p left join e using (peer_id) left join f using (peer_id)"""),
+    "f12_consolidation_apply": sql("facts", f"select peer_id, round(sum(case when fact_id % 10 = 3 then confidence * power(0.95::double, {_WEEKS}) * 0.5::double else confidence end), 6) as confidence, 'fresh' as representation, count(*) as new from facts group by peer_id"),
     "f13_interactions": sql("episodes", r"""s as (select peer_id, episode_id, unnest(list_filter(string_split(regexp_replace(regexp_replace(summary, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 40)) as fact from episodes)
 select peer_id, count(*) as n_facts, count(distinct episode_id) as n_episodes from s group by peer_id"""),
     "g1_log_rows": sql(_V, _CTE + """select q.qid, query, count(f.id) as result_count, round(max(f.score) filter (f.rank = 1), 6) as top_score, string_agg(f.doc_id, ',' order by f.rank) filter (f.rank <= 5) as top_doc_ids, count(*) filter (f.via = 'keyword') as n_keyword,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
-from .views import BASE, base, chunks, edges, recall_queries, sql
+from .views import BASE, base, chunks, edges, facts, recall_queries, sql
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOPPED)
 _LIVE = "status is null or status <> 'archived'"
@@ -116,12 +116,46 @@ def b1(spark, d):
     return c.select("id", "project", "title", "status")
 
 
+def _workspace_queries(spark, d):
+    return recall_queries(spark, d).withColumnRenamed("qproject", "workspace_id")
+
+
+def c7(spark, d):
+    m = R.memory_candidates(_workspace_queries(spark, d), facts(spark, d), base())
+    return m.select("qid", "id", F.round("distance", 6).alias("distance"))
+
+
+def c12(spark, d):
+    q = recall_queries(spark, d)
+    q = q.withColumn("query", F.when(F.col("qid") % 100 == 0, F.concat(F.lit("see F"), F.col("qid") % 7)).otherwise(F.col("query")))
+    return R.recall(q, chunks(spark, d)).select("qid", "id", "doc_id", "title", "section", "via", "rn", F.round("score", 6).alias("score"))
+
+
+def c15m(spark, d):
+    r = R.hybrid(_workspace_queries(spark, d), chunks(spark, d), edges(spark, d), base(), facts=facts(spark, d))
+    return r.select("qid", "id", "via", "rank", F.round("score", 6).alias("score"))
+
+
 QUERIES = {
+    "c7_memory_candidates": c7, "c12_dispatch": c12, "c15_with_memory": c15m,
     "b1_metadata_filters": b1, "b3_exact_lookup": b3, "c1_semantic_candidates": c1, "c2_semantic_search": c2, "c3_structural": c3, "c4_keyword_candidates": c4,
     "c5_keyword_rank": c5, "c6_flat_keyword": c6, "c8_priority_merge": c8, "c11_confidence": c11, "c14_text_index": c14, "c15_hybrid_recall": c15,
 }
 _tail = lambda body: sql(_V, _CTE + body)
+_MEM = f"""msim as (select qid, fact_id, coalesce(list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))), 0)
+  * confidence * power(0.95::double, greatest(0, floor((epoch_us(timestamp '{BASE}') - epoch_us(updated_at))::double / 604800000000))) as score from q join facts on workspace_id = qproject),
+mem as (select qid, -1 - fact_id as id, 1 - score as distance from (select *, row_number() over (partition by qid order by score desc, fact_id) as rn from msim) where rn <= {R.MEMORY})"""
 ORACLE_SQL = {
+    "c7_memory_candidates": sql("chunks q facts", _MEM + " select qid, id, round(distance, 6) as distance from mem"),
+    "c15_with_memory": sql("chunks q edges facts", _CTE.rstrip() + ",\n" + _MEM + """, every as (select qid, id, via, file_path, score from fuse where score >= 0 union all select qid, id, 'memory', null, 1 - distance from mem where distance <= 1),
+kept2 as (select *, case when file_path is not null and row_number() over (partition by qid, file_path order by score desc, id) > 2 then 1 else 0 end as over_ from every)
+select qid, id, via, rank, round(score, 6) as score from (select *, row_number() over (partition by qid order by over_, score desc, id) as rank from kept2) where rank <= 10"""),
+    "c12_dispatch": sql("chunks q", """want as (select qid, 'F' || (qid % 7) as wanted from q where qid % 100 = 0),
+ex as (select qid, id, 1.0::double as score, 'exact-id' as via, row_number() over (partition by qid order by case when doc_id ilike '%' || wanted || '%' then 0 else 1 end, file_path, id) as rn
+  from chunks, want where doc_id ilike '%' || wanted || '%' or file_path ilike '%' || wanted || '%'),
+d as (select qid, id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as score from q, chunks where qid % 100 <> 0),
+r as (select * from ex union all select qid, id, score, 'semantic', row_number() over (partition by qid order by score desc, id) from d)
+select qid, r.id, doc_id, title, section, via, rn, round(score, 6) as score from r join chunks c on c.id = r.id where rn <= 5"""),
     "b1_metadata_filters": sql("chunks", f"select id, project, title, status from chunks where ({_LIVE}) and project = 'en' and list_contains(layer, 'src1')"),
     "b3_exact_lookup": sql("chunks", """want as (select id as qid, 'F' || (id % 7) as wanted from chunks where id % 50 = 0)
 select qid, id, rn from (select qid, id, row_number() over (partition by qid order by case when doc_id ilike '%' || wanted || '%' then 0 else 1 end, file_path, id) as rn

@@ -220,3 +220,16 @@ def test_stream_keeps_late_turn_in_order(spark, tmp_path):
     out = []
     feeds.drained(feeds.append_session_turns(s), lambda b, n: out.extend(b.collect()), "update")
     assert out[-1]["turns"] == 3 and out[-1]["last"] == 3
+
+
+def test_versions_and_reports(spark, tmp_path):
+    from lodestone.sources.shared import VersionedTable, read_report, write_report
+
+    t = VersionedTable(spark, f"{tmp_path}/t")
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    assert t.versions() == [] and t.write(df) == 1
+    assert t.write(t.read().unionByName(df)) == 2 and t.read().count() == 2
+    (tmp_path / "t" / "v=3").mkdir()
+    assert t.versions() == [1, 2]
+    write_report(df, f"{tmp_path}/r")
+    assert read_report(spark, f"{tmp_path}/r", df.schema).collect() == df.collect()
