@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import broadcast_if_small
+
 #: Folders that are never read, and types of documents by path prefix, in order.
 SKIPPED = ["target", "node_modules", "archive"]
 TYPES = [("docs/adr/", "adr"), ("docs/src1/", "guide"), ("docs/src2/", "reference"), ("docs/", "docs"), ("planning/", "planning")]
@@ -67,7 +69,7 @@ def after_rebuild(index: DataFrame, manifest: DataFrame, workspace: str | None =
     if workspace is not None:
         return index.where(~F.col("project").eqNullSafe(F.lit(workspace)))
     named = manifest.select(F.col("slug").alias("project"), F.lit(True).alias("named"))
-    x = index.join(F.broadcast(named), "project", "left")
+    x = index.join(broadcast_if_small(named), "project", "left")
     gone = F.col("client_slug").isNull() & (F.col("project").isNull() | (F.col("project") == "") | F.col("named").isNotNull())
     return x.where(~gone).select(*index.columns)
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sizes import broadcast_if_small
 from ..functions.scalars import doubles, squash, tokens, weeks_between
 
 # Sizes and weights of the retrieval stages.
@@ -146,7 +147,7 @@ def flat_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, id) of chunks that contain any word of the query, letter case aside; _ in a word stands for any character."""
     words = F.filter(F.transform(F.split("query", r"\s+"), lambda w: F.regexp_replace(w, r"(?U)\W+", "")), lambda w: w != "")
     terms = queries.select("qid", F.explode(F.array_distinct(words)).alias("word"))
-    return chunks.select("id", "content").join(F.broadcast(terms), F.ilike("content", F.concat(F.lit("%"), F.col("word"), F.lit("%")))).select("qid", "id").distinct()
+    return chunks.select("id", "content").join(broadcast_if_small(terms), F.ilike("content", F.concat(F.lit("%"), F.col("word"), F.lit("%")))).select("qid", "id").distinct()
 
 
 def merged(*stages: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def exact_id(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame
 
     ids = queries.select("qid", first_structured_id(F.col("query")).alias("wanted")).where("wanted is not null")
     like = F.concat(F.lit("%"), F.col("wanted"), F.lit("%"))
-    hit = chunks.select("id", "doc_id", "file_path").join(F.broadcast(ids), F.ilike("doc_id", like) | F.ilike("file_path", like))
+    hit = chunks.select("id", "doc_id", "file_path").join(broadcast_if_small(ids), F.ilike("doc_id", like) | F.ilike("file_path", like))
     rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.when(F.ilike("doc_id", like), 0).otherwise(1), "file_path", "id"))
     return hit.withColumn("rn", rn).where(F.col("rn") <= limit)
 
