@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard, language, line_dedup, packing, pii
-from lodestone.llm.common import stored, table
+from lodestone.llm.common import small_batches, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -21,6 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     lang becomes the predicted one.
     """
+    small_batches(spark)
     profiles = language.fit(docs.where(~language.held_out()))
     said = language.identify(docs, profiles, docs.columns)
     return said.where("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*docs.columns)
@@ -28,24 +29,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut lines that more than a tenth of a source's documents share; no document goes."""
+    small_batches(spark)
     out = line_dedup.line_dedup(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     return out.select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest doc_id, of each group linked by five-word shingles at 0.8 or more."""
+    small_batches(spark)
     found = jaccard.jaccard_join(docs, words=5, percent=80)
     return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace personal data by its kind."""
+    small_batches(spark)
     out = pii.redacted(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long"))
     return out.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack into sequences of 4096 tokens along the Hilbert curve."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

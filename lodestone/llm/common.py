@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows that Python workers get at once: whole texts are long, and a worker holds several copies of a batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
-    Where it is unset (tests on one machine) a temporary folder is set as checkpoint folder.
-    """
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
+
+def tidy() -> None:
+    """At a task's start: free what earlier tasks of this Python worker left, whose functions came with tables of their own."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

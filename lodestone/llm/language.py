@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 TOP = 300  # n-grams in a profile
 TRAIN_DOCS = 2000  # labelled documents for each language that profiles are fitted on, about; a bound on fitting alone
@@ -135,6 +135,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str]) -> DataFrame:
     with_text = docs.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         p = profiles.ready()
         for b in batches:
             said = [p.predict(t) for t in b["__text"]]

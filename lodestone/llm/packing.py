@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, table
+from .common import shuffle_partitions, stored, table, tidy
 from .wordcache import WordCache
 
 LENGTH = 4096
@@ -72,6 +72,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         words = WordCache(path)
         size = max(words.whole.get_vocab_size(), END + 1)
         assert size <= 1 << 16
@@ -115,6 +116,7 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     placed = places.join(F.broadcast(base), "part").select("row", (F.col("at") + F.col("before")).alias("at"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         for b in batches:
             out = []
             for doc, n, at, ids in zip(b["doc_id"], b["n"], b["at"], b["ids"]):

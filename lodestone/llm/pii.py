@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import table, tidy
 
 # The four base patterns of the contract, the two added ones, and their context words.
 BASE = ["email", "ip", "card", "phone"]
@@ -128,6 +128,7 @@ def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         for b in batches:
             spans = [[{"kind": k, "start": a, "end": z, "score": s} for k, a, z, s in find_spans(t, threshold)] for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "spans": spans})
@@ -140,6 +141,7 @@ def redacted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         for b in batches:
             new = [redact(t, find_spans(t, threshold)) for t in b.iloc[:, at]]
             b.isetitem(at, pd.Series(new, dtype=object, index=b.index))

@@ -2,9 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from . import cover_tree, fingerprint, jaccard, language, lattice, line_dedup, packing, pii, suffix_dedup, url_filter
+from .common import small_batches
+
+
 
-QUERIES = {
+def batched(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES = {
     "op1_cover_tree": cover_tree.op1_cover_tree,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_pii": pii.op3_pii,
@@ -17,6 +34,8 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
+QUERIES = {name: batched(query) for name, query in _QUERIES.items()}
+
 ORACLE_SQL = {
     "op1_cover_tree": cover_tree.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,

@@ -13,7 +13,6 @@ cover takes 3 %, with the same guarantee that two equal windows share a sampled
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -115,7 +114,7 @@ def repeated_buckets(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarr
     """
 
     def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.collect()  # what earlier tasks of this worker left: their functions came with tables of their own
+        tidy()
         for b in batches:
             for at in range(0, len(b), 500):
                 out = []
@@ -147,7 +146,7 @@ def duplicated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kept = spark.sparkContext.broadcast(repeated_buckets(docs, length))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.collect()  # what earlier tasks of this worker left: their functions came with tables of their own
+        tidy()
         bitmap, hot = kept.value
         first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
         low = np.uint64((1 << BITMAP) - 1)
@@ -188,7 +187,7 @@ def duplicated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.collect()  # what earlier tasks of this worker left: their functions came with tables of their own
+        tidy()
         rest = None
         for b in batches:
             b = b if rest is None else pd.concat([rest, b], ignore_index=True)
