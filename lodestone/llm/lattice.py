@@ -11,7 +11,6 @@ Decoding joins the ids with the piece table again.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, table
+from .common import shuffle_partitions, stored, table, tidy
 
 SPACE = "▁"
 #: A word: spaces and the letters after them; or other characters; or spaces. Longer ones are cut, which loses nothing.
 WORD = SPACE + r"{0,16}[\p{L}\p{M}]{1,64}|[^\p{L}\p{M}" + SPACE + "]{1,64}|" + SPACE + "{1,64}"
-FREQUENT = 100_000  # words whose ids every task gets; all others are joined
+FREQUENT = 4_000_000  # words whose ids every task gets, in some 90 MB at most; all others are joined
 WORDS_A_TASK = 8_000
 WEIGHT = 5.0  # of a piece whatever its rank; with it most words fall into the pieces that the library gives
 BYTE_COST = 40.0
@@ -92,12 +91,41 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
+class Dictionary:
+    """Ids by a word's 64-bit hash in three plain arrays: some 20 bytes a word, looked up by binary search."""
+
+    def __init__(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
+        size = np.diff(ends, prepend=0)
+        order = np.argsort(hashes)
+        self.hashes, self.start, self.size, self.ids = hashes[order], (ends - size)[order].astype(np.int32), size[order].astype(np.int16), ids.astype(np.uint16)
+
+    @classmethod
+    def of(cls, coded: DataFrame) -> Dictionary:
+        t = coded.select("h", "ids").toArrow()
+        lists = [c for c in t["ids"].chunks if len(c)]
+        size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else np.zeros(0, np.int64)
+        flat = np.concatenate([c.flatten().to_numpy() for c in lists]) if lists else np.zeros(0, np.int64)
+        return cls(t["h"].to_numpy(), flat, np.cumsum(size))
+
+    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each hash, and whether it is there."""
+        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
+        return at, self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+
+    def join(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words at these places one after the other, and the number of each."""
+        n = self.size[at].astype(np.int64)
+        before = np.cumsum(n) - n
+        return self.ids[np.repeat(self.start[at] - before, n) + np.arange(n.sum())], n
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text, ids array<int> for every row of docs(doc_id, text).
 
-    Null and empty texts have no ids. Frequent words, a bounded number, travel to every task as a dictionary; the
-    rest are joined by shuffle, once for each document that holds them, so no word is hot there. Repeated rows and
-    very long texts need no care; an empty table gives an empty result; other columns are ignored.
+    Null and empty texts have no ids. The most frequent words, a bounded number, travel to every task as a compact
+    dictionary. If there are more, the rest are joined by shuffle, once for each document that holds them, so that no
+    word is hot there. Words are told apart by 64-bit hashes. Repeated rows and very long texts need no care; an
+    empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or model_path()
@@ -108,34 +136,51 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     old = spark.conf.get(key)
     spark.conf.set(key, 4 * WORDS_A_TASK)  # a task's lattices fit its memory; sorting them would only spill
     try:
-        coded = stored(best_paths(dealt, piece_table(spark, path), byte_ids(path)), "coded")
+        coded = stored(best_paths(dealt, piece_table(spark, path), byte_ids(path)).withColumn("h", F.xxhash64("word")), "coded")
     finally:
         spark.conf.set(key, old)
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).join(coded, "word").select("word", "ids").toArrow()
-    common = spark.sparkContext.broadcast({w: np.array(i, "<u2").tobytes() for w, i in zip(top["word"].to_pylist(), top["ids"].to_pylist())})
+    top = coded if total <= FREQUENT else words.orderBy(F.desc("n"), "word").limit(FREQUENT).join(coded, "word")
+    d = Dictionary.of(top)
+    common = spark.sparkContext.broadcast((d.hashes, d.ids, d.start, d.size))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hs")
+
+    def dictionary() -> Dictionary:
+        d = object.__new__(Dictionary)
+        d.hashes, d.ids, d.start, d.size = common.value
+        return d
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
+        d = dictionary()
         for b in batches:
-            out = [(r, w) for r, ws in zip(b["row"], b["words"]) for w in set(ws) if w not in common.value]
-            yield pd.DataFrame(out, columns=["row", "word"])
-
-    cut = rows.select("row", words_of(F.col("text")).alias("words"))
-    found = cut.mapInPandas(rare, "row long, word string").join(coded, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
-    full = rows.withColumn("words", words_of(F.col("text"))).join(found, "row", "left")
+            out = []
+            for r, hs in zip(b["row"], b["hs"]):
+                own = np.unique(np.asarray(hs, np.int64))
+                out += [(r, h) for h in own[~d.known(own)[1]].tolist()]
+            yield pd.DataFrame(out, columns=["row", "h"])
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
+        d = dictionary()
         for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                out = []
-                for ws, r in zip(part["words"], part["rare"]):
-                    own = {x["word"]: np.array(x["ids"], "<u2").tobytes() for x in r} if r is not None else {}
-                    out.append(np.frombuffer(b"".join([common.value[w] if w in common.value else own[w] for w in ws]), "<u2").astype(np.int32))
-                yield pd.DataFrame({"doc_id": part["doc_id"], "text": part["text"], "ids": out})
-
-    return full.select("doc_id", "text", "words", "rare").mapInPandas(put, f"doc_id {kind}, text string, ids array<int>")
+            out = []
+            for hs, r in zip(b["hs"], b["rare"]):
+                at, ok = d.known(hs := np.asarray(hs, np.int64))
+                if ok.all():
+                    out.append(d.join(at)[0].astype(np.int32))
+                else:
+                    own = {x["h"]: np.asarray(x["ids"], np.int32) for x in r}
+                    out.append(np.concatenate([d.join(at[i : i + 1])[0].astype(np.int32) if ok[i] else own[int(hs[i])] for i in range(len(hs))]))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "ids": out})
+
+    if total <= FREQUENT:
+        full = rows.select("doc_id", "text", hashes, F.lit(None).cast("array<struct<h:bigint,ids:array<int>>>").alias("rare"))
+    else:
+        found = rows.select("row", hashes).mapInPandas(rare, "row long, h long").join(coded, "h").groupBy("row").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))
+        full = rows.join(found, "row", "left").select("doc_id", "text", hashes, "rare")
+    return full.mapInPandas(put, f"doc_id {kind}, text string, ids array<int>")
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -149,6 +194,7 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     pieces = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in ((i, m.id_to_piece(i)) for i in range(m.get_piece_size()))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
         for b in batches:
             text = [None if x is None else b"".join([pieces[i] for i in x]).decode("utf-8", "replace")[1:] for x in b["ids"]]
             yield b.assign(decoded=text)
@@ -157,16 +203,8 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     return coded.mapInPandas(run, f"{schema}, decoded string")
 
 
-def digest(coded: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_ids": [len(x) for x in b["ids"]], "ids_crc32": [zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in b["ids"]], "round_trip": b["same"]})
-
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.mapInPandas(run, f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean")
-
-
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (little-endian unsigned 32-bit ids) and whether decoding gives the text again."""
+    """doc_id, n_ids, a hash of the ids, and whether decoding gives the text again."""
     coded = decode(encode(table(spark, sf_dir, "documents")))
-    return digest(coded.select("doc_id", "ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("same")))
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), same.alias("round_trip"))
