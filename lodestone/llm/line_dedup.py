@@ -27,7 +27,9 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     A host has at most (mean distinct lines of a page) / ratio such lines, so the arrays are small whatever the
     number of pages. Counts combine before the shuffle, so a hot host or line is a few rows for each task.
     """
-    pages = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("__host"), F.array_distinct(F.array_compact(line_keys(F.col("text")))).alias("__lines"))
+    pages = docs.where(F.col(host).isNotNull()).select(F.col(host).alias("__host"), F.xxhash64("text").alias("__page"), F.array_distinct(F.array_compact(line_keys(F.col("text")))).alias("__lines"))
+    # pages of one host with the same text count once: copies of a page don't make its text boilerplate
+    pages = pages.dropDuplicates(["__host", "__page"])
     # the row with a null line counts the page itself
     rows = pages.select("__host", F.explode(F.concat(F.array(F.lit(None).cast("long")), F.coalesce("__lines", F.array().cast("array<long>")))).alias("line"))
     counts = rows.groupBy("__host", "line").agg(F.count("*").alias("n"))
@@ -41,7 +43,7 @@ def line_dedup(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_
     """docs with the boilerplate lines of each host cut from text; columns n_lines and n_dropped are added.
 
     Lines are compared without outer spaces; blank lines stay. Pages without a host and null texts stay as they
-    are (0 lines for null). Each repeated row is a page of its own. A page may end up with an empty text; no row
+    are (0 lines for null). Repeated rows and copies count as one page and are all cut alike. A page may end up with an empty text; no row
     goes. Columns of other names are untouched.
     """
     drop = stored(boilerplate(docs, host, ratio, min_pages), "boilerplate")
@@ -69,9 +71,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = f"""
 with pages as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
-totals as (select source, count(*) as total from pages group by source),
+totals as (select source, count(distinct text) as total from pages group by source),
 often as (
-  select source, line from (select source, doc_id, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) as line from pages)
+  select source, line from (select source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) as line from (select distinct source, text, lines from pages))
   join totals using (source) where line <> '' group by source, line, total having count(*) >= {MIN_PAGES} and count(*) > {RATIO} * total
 ),
 gone as (select source, list(line) as gone from often group by source),
