@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no content, as the grounding rules have them.
+# Words that carry no content, and the pattern of an id in a query.
 STOP_WORDS = (
-    "the and for are but not you all any can had her was one our out has him his how its may new now old see two way who did "
-    "get let put say she too use that this with have from they will would there their what about which when your into than "
-    "then them these some could other more were been also"
+    "a an the is are was were be been being in on at to of and or for with that this these those it its as by from has have had "
+    "not but if then so do does did you your we our they their he she his her i my me them than which who what when where how "
+    "can will would could should into about also"
 ).split()
 STRUCTURED_ID = r"\b[A-Z]{1,5}(?:[0-9]{1,4}|(?:\.[A-Z0-9]{1,5})+)\b"
 WEEK_US = 7 * 24 * 3600 * 1_000_000
@@ -113,7 +113,7 @@ def sign_test(better: Column, worse: Column) -> Column:
 
 def video_id(url: Column) -> Column:
     """The 11 characters of a video id in a url; null where there is none."""
-    return F.nullif(F.regexp_extract(url, r"(?:v=|/)([0-9A-Za-z_-]{11})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, r"(?:v=|youtu\.be/|embed/|shorts/)([a-zA-Z0-9_-]{11})", 1), F.lit(""))
 
 
 def uuid_or_null(text: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import strip
 
 SIZE, OVERLAP, HEADER_ONLY = 500, 50, 40
-#: Layers that metadata may name.
+#: Layers that metadata may name; a corpus gives its own.
 LAYERS = ["strategy", "product", "engineering", "operations", "research", "personal"]
 FIELDS = "type string, title string, description string, doc_id string, id string, layer array<string>, project string, status string, keywords array<string>, related array<string>"
 
@@ -57,7 +57,7 @@ def parse_documents(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, f"path string, meta struct<{FIELDS.replace(' ', ':').replace(',:', ',')}>, body string, parse_error string")
 
 
-def normalised(parsed: DataFrame) -> DataFrame:
+def normalised(parsed: DataFrame, layers: list[str] = LAYERS) -> DataFrame:
     """Metadata columns with defaults: doc_id from the file's stem, lower case, empty lists as null, unknown layers named."""
     m = lambda n: F.col(f"meta.{n}")
     low = lambda c: F.nullif(F.lower(strip(c)), F.lit(""))
@@ -72,7 +72,7 @@ def normalised(parsed: DataFrame) -> DataFrame:
         low(m("status")).alias("status"),
         some(m("keywords")).alias("keywords"),
         some(m("related")).alias("related"),
-        F.array_except(F.coalesce(layer, F.array().cast("array<string>")), F.array(*[F.lit(x) for x in LAYERS])).alias("unknown_layers"),
+        F.array_except(F.coalesce(layer, F.array().cast("array<string>")), F.array(*[F.lit(x) for x in layers])).alias("unknown_layers"),
         "body",
         "parse_error",
     )

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.sizes import broadcast_if_small
 
-#: Folders that are never read, and types of documents by path prefix, in order.
+#: Folders that are never read; a corpus names its own.
 SKIPPED = ["target", "node_modules", "archive"]
-TYPES = [("docs/adr/", "adr"), ("docs/src1/", "guide"), ("docs/src2/", "reference"), ("docs/", "docs"), ("planning/", "planning")]
+#: Types of documents by path prefix; the order counts.
+TYPES = [
+    ("docs/decisions", "decision"), ("docs/projects", "project"), ("docs/business", "business"), ("docs/content", "content"), ("docs/diagnostic", "diagnostic"),
+    ("docs/career.md", "career"), ("docs/profile-and-pitch.md", "career"), ("docs/brand.md", "brand"), ("docs/linkedin.md", "content"),
+    ("planning", "plan"), ("docs", "meta"), ("README.md", "meta"), ("CLAUDE.md", "meta"),
+]
 
 
 def parts(path: Column) -> Column:

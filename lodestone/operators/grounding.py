@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import content_words, normal_title, support
 
 ABSTAIN_BELOW, SUPPORTED_FROM = 0.6552, 0.3
-ABSTAIN_MESSAGE = "There is not enough evidence to answer."
+#: Fixed value: what an abstained answer says.
+ABSTAIN_MESSAGE = "I don't have that in my documents."
 
 
 def abstain_gate(queries: DataFrame, confidence: DataFrame, counts: DataFrame, threshold: float = ABSTAIN_BELOW) -> DataFrame:

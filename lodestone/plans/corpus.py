@@ -61,7 +61,7 @@ def a6(spark, d):
 
 def a8(spark, d):
     c = chunks(spark, d)
-    return c.select("id", K.context_prefix({"Title": F.col("title"), "Project": F.col("project"), "Status": F.col("status")}).alias("prefix"))
+    return c.select("id", K.context_prefix({"type": F.lit(None).cast("string"), "title": F.col("title"), "layer": F.array_join("layer", ", "), "project": F.col("project"), "keywords": F.col("status")}).alias("prefix"))
 
 
 def a9(spark, d):
@@ -173,12 +173,12 @@ _SECTION = r"""parts as (select doc_id, list_filter(string_split(regexp_replace(
 raw as (select doc_id, unnest(range(len(p))) as no, unnest(p) as raw from parts),
 sec as (select doc_id, no, regexp_replace(regexp_extract(raw, '^(#{2,3}[ \t]+[^\n]+)', 1), '^\s+|\s+$', '', 'g') as section, regexp_replace(raw, '^\s+|\s+$', '', 'g') as content from raw)"""
 ORACLE_SQL = {
-    "a1_discovery": "with " + _FILES + " select path, case doc_id % 7 when 0 then 'root' when 1 then 'tier' when 2 then 'planning' end as lane_name, case doc_id % 7 when 0 then 'guide' else 'content' end as doc_type from files where doc_id % 7 < 3",
+    "a1_discovery": "with " + _FILES + " select path, case doc_id % 7 when 0 then 'root' when 1 then 'tier' when 2 then 'planning' end as lane_name, case doc_id % 7 when 0 then 'meta' else 'content' end as doc_type from files where doc_id % 7 < 3",
     "a3_skip_rules": "with " + _FILES + f" select path, {_SKIP} as reason from files",
     "a5_attribution": "with " + _FILES + " select path, case when doc_id % 7 = 2 then 'sub' when doc_id % 2 = 0 then lang end as project from files where doc_id % 7 < 3",
     "a6_metadata": """select 'docs/x' || doc_id || '.md' as path, 'x' || doc_id as doc_id, case when doc_id % 9 <> 0 then 'T' || doc_id end as title, case when doc_id % 9 <> 0 then lang || ',research' end as layer,
   case when doc_id % 9 <> 0 then 'active' end as status, case when doc_id % 9 <> 0 and doc_id % 2 <> 0 then 'k' || (doc_id % 5) end as keywords, case when doc_id % 9 <> 0 then lang else '' end as unknown, doc_id % 9 = 0 as failed from documents""",
-    "a8_context_prefix": sql("chunks", "select id, 'Title: ' || title || chr(10) || 'Project: ' || project || coalesce(chr(10) || 'Status: ' || status, '') || chr(10) || chr(10) as prefix from chunks"),
+    "a8_context_prefix": sql("chunks", "select id, 'title: ' || title || chr(10) || 'layer: ' || array_to_string(layer, ', ') || chr(10) || 'project: ' || project || coalesce(chr(10) || 'keywords: ' || status, '') || chr(10) || chr(10) as prefix from chunks"),
     "a9_sections": sql("markdown", _SECTION + r"select doc_id, no, section, sha256(content) as content_sha256, length(regexp_replace(substr(content, length(section) + 1), '^\s+|\s+$', '', 'g')) < 40 as header_only from sec".replace("select", " select", 1)),
     "a11_token_windows": r"""with t as (select doc_id, text, regexp_extract_all(text, '\S+\s*') as t from documents),
 w as (select doc_id, text, t, unnest(case when len(t) > 500 then range(0, len(t), 450) else [0] end) as start from t)

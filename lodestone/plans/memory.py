@@ -224,7 +224,7 @@ ORACLE_SQL = {
 select root, node, min(level) as level from hop group by all"""),
     "d2_edge_load": sql("edges", "select *, substr(source_id, 2)::bigint % 3 <> 0 as kept from edges"),
     "d3_neighbours": sql("edges", "known as (select doc_id % 20 as qid, 'd' || doc_id as doc_id from documents) select distinct qid, target_id as doc_id from known join edges on source_id = doc_id where target_id is not null and not exists (select 1 from known k where k.qid = known.qid and k.doc_id = target_id)"),
-    "e1_abstain_gate": """select qid, none or low as abstain, case when none then 'no_chunks' when low then 'low_confidence' end as reason, case when none or low then 'There is not enough evidence to answer.' end as message
+    "e1_abstain_gate": """select qid, none or low as abstain, case when none then 'no_chunks' when low then 'low_confidence' end as reason, case when none or low then 'I don''t have that in my documents.' end as message
 from (select event_id as qid, event_id % 6 = 0 as none, coalesce(case when event_id % 8 <> 0 then value / (value + 10) end, 0) < 0.6552::double as low from events)""",
     "e3_context_block": """select conv_id as qid, sha256(string_agg('Section: ' || case when turn % 3 <> 0 then role else 'General' end || ' (relevance: ' || printf('%.2f', (turn + 1)::double / 7) || ')' || chr(10) || text, chr(10) || chr(10) order by turn)) as context_sha256 from conversations group by conv_id""",
     "e4_content_words": f"select doc_id, len({_words('text')}) as n_words from documents",
