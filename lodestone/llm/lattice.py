@@ -193,11 +193,18 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
     m = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
     pieces = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in ((i, m.id_to_piece(i)) for i in range(m.get_piece_size()))]
 
+    size = np.array([len(p) for p in pieces])
+    start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(pieces), np.uint8)
+
+    def text_of(ids) -> str:
+        x = np.asarray(ids, np.int64)
+        n = size[x]
+        return flat[np.repeat(start[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes().decode("utf-8", "replace")[1:]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy()
         for b in batches:
-            text = [None if x is None else b"".join([pieces[i] for i in x]).decode("utf-8", "replace")[1:] for x in b["ids"]]
-            yield b.assign(decoded=text)
+            yield b.assign(decoded=[None if x is None else text_of(x) for x in b["ids"]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
     return coded.mapInPandas(run, f"{schema}, decoded string")
