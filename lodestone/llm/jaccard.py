@@ -123,7 +123,8 @@ def small_pairs(regions: DataFrame, percent: int) -> DataFrame:
 
     With c shared shingles among the first ones, the set whose first ones end earlier has all but c of them
     outside the other set, and so has the other set up to the last shared place. The sum can't exceed the
-    symmetric difference that the threshold allows.
+    symmetric difference that the threshold allows. A pair that shares a large region too may be left out here,
+    as not all of its shared shingles are counted; large regions are compared on their own.
     """
     x = regions.select("token", *[F.col(c).alias(f"{c}1") for c in ("doc_id", "n", "pos", "k", "last", "dense")])
     y = regions.select("token", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "n", "pos", "k", "last", "dense")])
@@ -256,7 +257,7 @@ def choose_pivots(sample: list[np.ndarray]) -> Pivots | None:
 
 
 def dense_links(sets: DataFrame, regions: DataFrame, percent: int) -> list[DataFrame]:
-    """Links among the documents of large regions. sets: theirs; regions: their rows in large regions."""
+    """Links among the documents of large regions. sets: theirs; regions: rows of all shared regions."""
     eps = 1 - percent / 100
     links, rest = [], sets
     for k in range(ROUNDS):
@@ -283,9 +284,12 @@ def dense_links(sets: DataFrame, regions: DataFrame, percent: int) -> list[DataF
         dealt = stored(rest.mapInPandas(deal, "key long, doc_id long, n long, tokens binary"), "balls")
         links.append(stored(compared(dealt.where("key >= 0"), percent), "links"))
         rest = dealt.where("key < 0").drop("key")
-    # what no pivot is near to: region by region
-    last = rest.join(regions.select("doc_id", F.col("token").alias("key")), "doc_id").select("key", "doc_id", "tokens")
+    # what no pivot is near to: large regions one by one, and pair by pair what shares small ones alone
+    mine = stored(regions.join(rest.select("doc_id"), "doc_id", "left_semi"), "left")
+    last = rest.join(mine.where(F.col("docs") > SMALL).select("doc_id", F.col("token").alias("key")), "doc_id").select("key", "doc_id", "tokens")
     links.append(stored(compared(last, percent), "links"))
+    pairs = small_pairs(mine.where(F.col("docs") <= SMALL).withColumn("dense", F.lit(False)), percent)
+    links.append(stored(verified(pairs, rest, percent), "links"))
     return links
 
 
@@ -311,7 +315,7 @@ def jaccard_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFram
     pairs = stored(small_pairs(regions, percent), "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense).distinct(), "ids")
     sets = stored(shingle_sets(docs, ids, words, level), "sets")
-    links = [stored(verified(pairs, sets, percent), "links"), *dense_links(sets.join(dense, "doc_id", "left_semi"), shared.where(F.col("docs") > SMALL), percent)]
+    links = [stored(verified(pairs, sets, percent), "links"), *dense_links(sets.join(dense, "doc_id", "left_semi"), shared, percent)]
     edges = links[0]
     for x in links[1:]:
         edges = edges.union(x)

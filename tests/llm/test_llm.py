@@ -53,6 +53,18 @@ def test_jaccard_against_brute_force(spark, monkeypatch, words, percent, small):
     assert got == jaccard.brute_force(texts, words, percent)
 
 
+def test_jaccard_more_clusters_than_pivots(spark, monkeypatch):
+    """Two versions of an article, each with a passage that many documents hold: linked though no pivot is near."""
+    for name, value in [("SMALL", 4), ("PIVOTS", 2), ("ROUNDS", 1), ("word_levels", lambda docs: np.zeros(1 << jaccard.SLOTS, np.uint8))]:
+        monkeypatch.setattr(jaccard, name, value)
+    body = lambda i: " ".join(f"b{i}x{k}" for k in range(300))
+    passage = lambda i: " ".join(f"p{i % 6}x{k}" for k in range(12))
+    texts = {2 * i + v: f"{body(i)} {passage(i + v)}" for i in range(30) for v in (0, 1)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs).collect()}
+    assert got == jaccard.brute_force(texts, 3, 90)
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(odd).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 1), (None, None), (7, 7)], key=str)
