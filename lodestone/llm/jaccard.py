@@ -36,6 +36,7 @@ SAMPLE = 1000  # documents that a round's pivots are chosen from
 ROUNDS = 4
 BLOCK = 1000
 BROADCAST_IDS = 1_000_000
+TOP_BIT = np.uint64(1 << 63)
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -101,7 +102,8 @@ def least_common(n: int, percent: int) -> int:
 
 
 def features(docs: DataFrame, words: int, percent: int, level) -> DataFrame:
-    """doc_id, n, two digests of the set, and the shingles whose regions the document goes to."""
+    """doc_id, n, two digests of the set, and the shingles whose regions the document goes to: in order, as
+    longs with the top bit flipped, so that longs have the order of the unsigned shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy()
@@ -112,7 +114,7 @@ def features(docs: DataFrame, words: int, percent: int, level) -> DataFrame:
                     s = shingles(text, words, level.value)
                     n = len(s)
                     d = (int(mix(s).sum()), int(mix(s ^ np.uint64(0x5555)).sum())) if n else (0, 0)
-                    out.append((doc, n, *(x - (1 << 64) if x >> 63 else x for x in d), s[: n - least_common(n, percent) + 1].view(np.int64) if n else []))
+                    out.append((doc, n, *(x - (1 << 64) if x >> 63 else x for x in d), (s[: n - least_common(n, percent) + 1] ^ TOP_BIT).view(np.int64) if n else []))
                 yield pd.DataFrame(out, columns=["doc_id", "n", "d1", "d2", "first"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, d1 long, d2 long, first array<long>")

@@ -65,6 +65,17 @@ def test_jaccard_more_clusters_than_pivots(spark, monkeypatch):
     assert got == jaccard.brute_force(texts, 3, 90)
 
 
+def test_jaccard_levels_beyond_31(spark, monkeypatch):
+    """Rarest words of levels 31 and 32 in one pair: the order of shingles has to hold as long too."""
+    rare, shared, often = [f"r{i}" for i in range(10)], ["s"], [f"f{i}" for i in range(89)]
+    level = np.zeros(1 << jaccard.SLOTS, np.uint8)
+    for words, k in [(rare, 10), (shared, 31), (often, 32)]:
+        level[(jaccard.word_hashes(" ".join(words)) & np.uint64(len(level) - 1)).astype(np.int64)] = k
+    monkeypatch.setattr(jaccard, "word_levels", lambda docs: level)
+    docs = spark.createDataFrame([(1, " ".join(rare + shared + often)), (2, " ".join(shared + often))], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(docs, 1, 90).collect()) == [(1, 1), (2, 1)]
+
+
 def test_jaccard_odd_rows(spark, odd):
     got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.jaccard_join(odd).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (2, 1), (3, 3), (4, 4), (5, 5), (6, 1), (None, None), (7, 7)], key=str)
