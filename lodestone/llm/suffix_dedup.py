@@ -208,6 +208,8 @@ def keep_first(first: dict, key: tuple, row: tuple, marks: list, length: int) ->
     if old is None:
         first[key] = row
         return
+    if row == old:  # a repeated row starts no later
+        return
     if row < old:
         first[key], row = row, old
     marks.append((row[0], row[1], row[2] + length - 1))
@@ -231,6 +233,8 @@ def seen_before(b: pd.DataFrame, length: int) -> pd.DataFrame:
         order = np.lexsort((start, doc, h, live["key"].to_numpy()[row]))
         h, doc, start, key = h[order], doc[order], start[order], live["key"].to_numpy()[row][order]
         again = np.concatenate([[False], (h[1:] == h[:-1]) & (key[1:] == key[:-1])])
+        kept = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))  # the first of each group of equal windows
+        again &= (doc != doc[kept]) | (start != start[kept])  # a repeated row starts no later
         doc, start = doc[again], start[again]
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]

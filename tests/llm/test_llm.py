@@ -100,6 +100,17 @@ def test_suffix_dedup_odd_rows(spark, odd):
     assert suffix_dedup.suffix_dedup(odd.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_suffix_dedup_repeated_rows_keep_their_text(spark, parts):
+    """A row that stands twice is one document: its own copy starts no earlier, whichever task holds it."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(200))
+    texts = {1: text("a"), 2: text("b"), 3: text("b") + text("c"), 4: text("d") + text("d")}
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items() for _ in range(3)], "doc_id long, text string").repartition(parts)
+    want = suffix_dedup.brute_force(texts, 100)
+    got = [(r["doc_id"], (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest())) for r in suffix_dedup.suffix_dedup(docs).collect()]
+    assert len(got) == 12 and all(w == want[d] for d, w in got)
+
+
 def test_window_min():
     x = np.random.default_rng(1).integers(0, 99, 300).astype(np.uint64)
     assert suffix_dedup.window_min(x, 7).tolist() == [x[i : i + 7].min() for i in range(294)]
