@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from .common import shuffle_partitions, stored, table, tidy
 
 SPACE = "▁"
-#: A word: spaces and the letters after them; or other characters; or spaces. Longer ones are cut, which loses nothing.
-WORD = SPACE + r"{0,16}[\p{L}\p{M}]{1,64}|[^\p{L}\p{M}" + SPACE + "]{1,64}|" + SPACE + "{1,64}"
+#: A word: spaces and the letters after them; or spaces and the other characters after them; or spaces at the end.
+#: No piece reaches across a border of such words (encode checks that), so the split loses no edge.
+WORD = SPACE + r"*+[\p{L}\p{M}]++|" + SPACE + r"*+[^\p{L}\p{M}" + SPACE + "]++|" + SPACE + "++"
+LONG = 64  # characters; longer words are folded one by one outside the relations
+LONG_CHARACTERS = 4_000_000  # of all long words together, up to which they go to every task too
 FREQUENT = 4_000_000  # words whose ids every task gets, in some 90 MB at most; all others are joined
 WORDS_A_TASK = 8_000
 WEIGHT = 5.0  # of a piece whatever its rank; with it most words fall into the pieces that the library gives
@@ -86,18 +89,49 @@ def best_paths(words: DataFrame, pieces: DataFrame, bytes_: list[int]) -> DataFr
     return lattice.select("word", path.alias("path")).select("word", F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(as_bytes(i)))).alias("ids"))
 
 
+def fold(word: str, pieces: dict[str, tuple[int, float]], longest: int, bytes_: list[int]) -> list[int]:
+    """The best path of one word of any length, with the ties of best_paths."""
+    cost, came = [0.0], [(0, -1)]
+    for z in range(1, len(word) + 1):
+        least, best = math.inf, (z - 1, -1)
+        for a in range(max(0, z - longest), z):
+            i, c = pieces.get(word[a:z], (-1, BYTE_COST if a == z - 1 else math.inf))
+            if cost[a] + c < least:
+                least, best = cost[a] + c, (a, i)
+        cost.append(least)
+        came.append(best)
+    out, z = [], len(word)
+    while z:
+        a, i = came[z]
+        out.append([i] if i >= 0 else [bytes_[b] for b in word[a].encode()])
+        z = a
+    return [i for part in reversed(out) for i in part]
+
+
+def long_paths(words: DataFrame, pieces: DataFrame, bytes_: list[int]) -> DataFrame:
+    """As best_paths, for words of more than LONG characters."""
+    known = {r["piece"]: (r["id"], r["cost"]) for r in pieces.collect()}
+    longest = max(map(len, known), default=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"word": b["word"], "ids": [fold(w, known, longest, bytes_) for w in b["word"]]})
+
+    return words.select("word").mapInPandas(run, "word string, ids array<int>")
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word, n over all documents."""
     return docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Dictionary:
-    """Ids by a word's 64-bit hash in three plain arrays: some 20 bytes a word, looked up by binary search."""
+    """Ids by a word's 64-bit hash in plain arrays: some 22 bytes a word, looked up by binary search."""
 
     def __init__(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
         size = np.diff(ends, prepend=0)
         order = np.argsort(hashes)
-        self.hashes, self.start, self.size, self.ids = hashes[order], (ends - size)[order].astype(np.int32), size[order].astype(np.int16), ids.astype(np.uint16)
+        self.hashes, self.start, self.size, self.ids = hashes[order], (ends - size)[order].astype(np.int32), size[order].astype(np.int32), ids.astype(np.uint16)
 
     @classmethod
     def of(cls, coded: DataFrame) -> Dictionary:
@@ -124,22 +158,27 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Null and empty texts have no ids. The most frequent words, a bounded number, travel to every task as a compact
     dictionary. If there are more, the rest are joined by shuffle, once for each document that holds them, so that no
-    word is hot there. Words are told apart by 64-bit hashes. Repeated rows and very long texts need no care; an
+    word is hot there; so are words of more than LONG characters if there are many. Words are told apart by 64-bit hashes. Repeated rows and very long texts need no care; an
     empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or model_path()
     words = stored(vocabulary(docs), "words")
-    total = words.count()
+    pieces = piece_table(spark, path)
+    if across := [r["piece"] for r in pieces.where(~F.col("piece").rlike(f"^(?:{WORD})\\z")).limit(5).collect()]:
+        raise ValueError(f"pieces reach across words: {across}")
+    is_long = F.length("word") > LONG
+    total, characters = words.agg(F.count("*"), F.coalesce(F.sum(F.when(is_long, F.length("word"))), F.lit(0))).first()
     dealt = words.repartition(max(shuffle_partitions(spark), total // WORDS_A_TASK + 1), "word").select("word")
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     old = spark.conf.get(key)
     spark.conf.set(key, 4 * WORDS_A_TASK)  # a task's lattices fit its memory; sorting them would only spill
     try:
-        coded = stored(best_paths(dealt, piece_table(spark, path), byte_ids(path)).withColumn("h", F.xxhash64("word")), "coded")
+        coded = stored(best_paths(dealt.where(~is_long), pieces, byte_ids(path)).union(long_paths(dealt.where(is_long), pieces, byte_ids(path))).withColumn("h", F.xxhash64("word")), "coded")
     finally:
         spark.conf.set(key, old)
-    top = coded if total <= FREQUENT else words.orderBy(F.desc("n"), "word").limit(FREQUENT).join(coded, "word")
+    all_known = total <= FREQUENT and characters <= LONG_CHARACTERS
+    top = coded if all_known else words.where(~is_long).orderBy(F.desc("n"), "word").limit(FREQUENT).join(coded, "word")
     d = Dictionary.of(top)
     common = spark.sparkContext.broadcast((d.hashes, d.ids, d.start, d.size))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -175,7 +214,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                     out.append(np.concatenate([d.join(at[i : i + 1])[0].astype(np.int32) if ok[i] else own[int(hs[i])] for i in range(len(hs))]))
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "ids": out})
 
-    if total <= FREQUENT:
+    if all_known:
         full = rows.select("doc_id", "text", hashes, F.lit(None).cast("array<struct<h:bigint,ids:array<int>>>").alias("rare"))
     else:
         found = rows.select("row", hashes).mapInPandas(rare, "row long, h long").join(coded, "h").groupBy("row").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))

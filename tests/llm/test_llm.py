@@ -268,6 +268,23 @@ def test_lattice_against_plain_viterbi(spark):
         assert sum(cost[names[i]] for i in got[w]) == pytest.approx(best[-1][0]) and "".join(names[i] for i in got[w]) == w
 
 
+def test_sentencepiece_takes_pieces_of_space_and_sign_and_folds_long_words(spark, monkeypatch):
+    """The whole text's best path, found without any split, is the one that words give."""
+    path = lattice.model_path()
+    pieces = {r["piece"]: (r["id"], r["cost"]) for r in lattice.piece_table(spark, path).collect()}
+    texts = ["a | b ( c \" d - e = f", "x" + " " * 20 + "word   | y  ", "ab" * 100 + " " + "-=" * 90, "日本" * 40 + " né\n\n{\r\n  }"]
+    cost = {i: c for i, c in pieces.values()}
+    price = lambda ids: sum(cost.get(i, lattice.BYTE_COST) for i in ids)
+    want = [lattice.fold("▁" + t.replace(" ", "▁"), pieces, 16, lattice.byte_ids(path)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (lattice.LONG_CHARACTERS, 10):
+        monkeypatch.setattr(lattice, "LONG_CHARACTERS", most)
+        got = {r["doc_id"]: r["ids"] for r in lattice.encode(docs).collect()}
+        for i, w in enumerate(want):
+            assert len(got[i]) == len(w) and math.isclose(price(got[i]), price(w))
+    assert {pieces[p][0] for p in ("▁|", "▁(")} <= set(want[0])
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(lattice, "FREQUENT", 2)
     docs = spark.createDataFrame([(1, "alpha beta gamma alpha"), (2, "alpha delta")], "doc_id long, text string")
