@@ -20,35 +20,38 @@ from .common import table, tidy
 
 TOP = 300  # n-grams in a profile
 TRAIN_DOCS = 2000  # labelled documents for each language that profiles are fitted on, about; a bound on fitting alone
-LETTERS = 62  # letters with a code of their own; all rarer ones share one
-CODES = 64
-BI, TRI = CODES, CODES + CODES**2
-GRAMS = TRI + CODES**3
+BITS = 18  # of a letter's code: Unicode has some 141,000 letters
+BI, TRI = 1 << 3 * BITS, 2 << 3 * BITS  # set n-grams of two and three letters apart
+MERGE = 1_000_000  # counts that a fitting task gathers before it adds equal n-grams up
 
 
 def code_table(letters: str) -> np.ndarray:
-    """Code of each code point: 0 for what is no letter, 1.. for known letters, the last one for other letters."""
-    codes = np.fromiter((63 if chr(c).isalpha() else 0 for c in range(0x110000)), np.uint8, 0x110000)
-    for i, c in enumerate(letters[:LETTERS]):
-        codes[ord(c)] = i + 1
+    """Code of each code point: 0 for what is no letter, 1.. for the known letters, then one for each other letter."""
+    is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    known = np.array([ord(c) for c in letters], np.int64)
+    is_letter[known] = False
+    rest = np.flatnonzero(is_letter)
+    assert len(known) + len(rest) < 1 << BITS
+    codes = np.zeros(0x110000, np.int64)
+    codes[known] = np.arange(1, len(known) + 1)
+    codes[rest] = np.arange(len(known) + 1, len(known) + len(rest) + 1)
     return codes
 
 
 def grams(text: str, codes: np.ndarray) -> np.ndarray:
     """Numbers of all n-grams of the text."""
-    c = np.zeros(len(low := text.lower()) + 2, np.int32)
+    c = np.zeros(len(low := text.lower()) + 2, np.int64)
     c[1:-1] = codes[np.frombuffer(low.encode("utf-32-le", "replace"), np.uint32)]
     a, b = c[:-1], c[1:]
     two = (a > 0) | (b > 0)
     three = two[:-1] & two[1:]
-    return np.concatenate([c[c > 0], BI + (a * CODES + b)[two], TRI + ((a[:-1] * CODES + b[:-1]) * CODES + c[2:])[three]])
+    return np.concatenate([c[c > 0], (BI | a << BITS | b)[two], (TRI | a[:-1] << 2 * BITS | b[:-1] << BITS | c[2:])[three]])
 
 
 def top_grams(text: str, codes: np.ndarray, top: int = TOP) -> np.ndarray:
     """The text's most frequent n-grams in order; ties by number."""
     g, n = np.unique(grams(text, codes), return_counts=True)
-    key = np.sort((n.astype(np.int64) << 20) | (GRAMS - g))[::-1][:top]
-    return GRAMS - (key & 0xFFFFF)
+    return g[np.argsort(-n, kind="stable")[:top]]
 
 
 class Profiles:
@@ -59,9 +62,10 @@ class Profiles:
 
     def ready(self) -> Profiles:
         self.codes = code_table(self.letters)
-        self.ranks = np.full((len(self.names), GRAMS), -1, np.int16)
+        self.known = np.unique(np.array([-1, *(g for name in self.names for g in self.ranked[name])], np.int64))
+        self.ranks = np.full((len(self.names), len(self.known)), -1, np.int32)  # the first column is for n-grams of no profile
         for i, name in enumerate(self.names):
-            self.ranks[i, self.ranked[name]] = np.arange(len(self.ranked[name]))
+            self.ranks[i, np.searchsorted(self.known, self.ranked[name])] = np.arange(len(self.ranked[name]))
         return self
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -70,7 +74,8 @@ class Profiles:
         g = top_grams(text, self.codes, self.top)
         if not len(g):
             return "und", 0.0
-        r = self.ranks[:, g].astype(np.int32)
+        at = np.searchsorted(self.known, g, "right") - 1
+        r = self.ranks[:, np.where(self.known[at] == g, at, 0)]
         d = np.where(r < 0, self.top, np.abs(r - np.arange(len(g), dtype=np.int32))).sum(axis=1)
         best = int(d.argmin())
         return self.names[best], float(1 - d[best] / (len(g) * self.top))
@@ -85,7 +90,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Profil
     """Profiles from labelled rows of docs(doc_id, text, lang).
 
     About ``train_docs`` rows for each language are taken by a hash of doc_id; texts whole. The driver gets
-    LETTERS letters and ``top`` numbers for each language.
+    the letters that occur and ``top`` numbers for each language.
     """
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     share = [(r["lang"], min(1.0, train_docs / r["n"])) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
@@ -102,19 +107,27 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, top: int = TOP) -> Profil
         known = [(c, k) for c, k in n.items() if c.isalpha()]
         yield pd.DataFrame(known, columns=["c", "n"])
 
-    letters = sample.mapInPandas(count_letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS).collect()
+    letters = sample.mapInPandas(count_letters, "c string, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").collect()
     letters = "".join(r["c"] for r in letters)
 
     def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, n = code_table(letters), {}
+        codes, parts, size = code_table(letters), {}, {}
+
+        def add_up(lang: str) -> None:
+            g, at = np.unique(np.concatenate([p[0] for p in parts[lang]]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([p[1] for p in parts[lang]])).astype(np.int64)
+            parts[lang], size[lang] = [(g, n)], 0
+
         for b in batches:
             for lang, t in zip(b["lang"], b["text"]):
-                if lang not in n:
-                    n[lang] = np.zeros(GRAMS, np.int64)
-                np.add.at(n[lang], (u := np.unique(grams(t, codes), return_counts=True))[0], u[1])
-        for lang, x in n.items():
-            g = np.flatnonzero(x)
-            yield pd.DataFrame({"lang": lang, "g": g, "n": x[g]})
+                u = np.unique(grams(t, codes), return_counts=True)
+                parts.setdefault(lang, []).append(u)
+                size[lang] = size.get(lang, 0) + len(u[0])
+                if size[lang] > MERGE:
+                    add_up(lang)
+        for lang in parts:
+            add_up(lang)
+            yield pd.DataFrame({"lang": lang, "g": parts[lang][0][0], "n": parts[lang][0][1]})
 
     counts = sample.mapInPandas(count_grams, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "g")

@@ -199,6 +199,19 @@ def test_language_odd_rows(spark, odd):
     assert language.identify(odd, nothing, ["doc_id"]).first()["lang_pred"] == "und"
 
 
+def test_language_with_many_letters(spark):
+    """Scripts whose letters are rare in the sample keep them apart."""
+    rng = random.Random(5)
+    scripts = {"el": "αβγδεζηθικλμνξοπ", "hy": "աբգդեզէըթժիլխծկհ", "ru": "абвгдежзийклмноп", "zh": "".join(chr(0x4E00 + i) for i in range(80))}
+    word = lambda k: "".join(rng.choice(scripts[k]) for _ in range(rng.randint(2, 6)))
+    rows = [(i, " ".join(word(k) for _ in range(400 if k == "zh" else 20)), k) for i, k in enumerate(list(scripts) * 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = language.fit(docs)
+    assert all(r["lang_pred"] == r["lang"] for r in language.identify(docs, p, ["doc_id", "lang"]).collect())
+    keys = language.grams("".join(chr(c) for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() == chr(c))[:100_000], p.ready().codes)
+    assert len(set(keys[keys < language.BI].tolist())) == 100_000
+
+
 def test_hilbert_key_is_a_continuous_bijection():
     n = 8
     grid = np.array([(a, b, c) for a in range(n) for b in range(n) for c in range(n)])
