@@ -1,11 +1,17 @@
-"""Removal of byte strings that repeat: blockwise suffix buckets over a cover sample.
+"""Removal of byte strings that repeat: suffix buckets, worked off one at a time, over a ranked cover sample.
 
 Every window of ``length`` bytes is a suffix cut to that length. A cover sample of the positions is ranked
 beforehand by the hash of the ``GRAM`` bytes there; the least rank inside a window names the window's bucket,
 so equal windows always meet in one bucket and a bucket holds few others. Windows that follow one another in
-a document mostly share their bucket and travel as one run with its bytes. A bucket is then worked off alone:
-its windows are compared in full length by 64-bit digests, in order of (doc_id, start), and each that was seen
-before is marked. Memory holds one bucket at a time.
+a document mostly share their bucket and travel as one run with its bytes. Buckets of one run alone are left out.
+
+A bucket with many runs (a passage of many documents, with other neighbours in each) is refined as in a radix
+sort of suffixes: its windows are told apart by the distance to the sampled position, in blocks of 32, 16, ... 1
+distances, and by the longer string that all windows of a block share. At each step a run falls into two parts or stays
+whole, so the number of rows never grows beyond twice the runs; what still is in a large bucket goes to the next step.
+
+A bucket is then worked off alone: its windows are put in order by the 64-bit digest of their full length, which settles
+ties of any length, then by (doc_id, start), and each that was seen before is marked. Memory holds one bucket at a time.
 
 A positional difference cover would sample about 14 % of all positions (8 of 57) where this content-defined
 cover takes 3 %, with the same guarantee that two equal windows share a sampled position.
@@ -18,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +34,9 @@ LENGTH = 100
 GRAM = 32
 CHUNK = 256  # windows in one run at most
 BITMAP = 27  # log2 of the bits of the map of repeated buckets
-HOT = 1000  # a bucket with more runs than this is dealt out window by window
+HOT = 1000  # a bucket with more runs than this is refined
 HOT_BUCKETS = 100_000  # bound on the number of such buckets
+HELD = 64 << 20  # bytes of runs that a task holds to find equal ones before they travel
 
 MUL = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD6E8FEB86659FD93
@@ -69,41 +77,68 @@ def digests(data: np.ndarray, size: int) -> np.ndarray:
 
 
 def window_min(h: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w values that follow one another, in two passes over blocks of w."""
-    n = len(h) - w + 1
-    full = -(-len(h) // w) * w
-    x = np.full(full, np.iinfo(np.uint64).max, np.uint64)
-    x[: len(h)] = h
-    x = x.reshape(-1, w)
-    left = np.minimum.accumulate(x, axis=1).ravel()
-    right = np.minimum.accumulate(x[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[:n], left[w - 1 : w - 1 + n])
-
-
-def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, first window, windows, whether two of them can be equal) of each run in one document.
+    """Minimum of every w values that follow one another, by doubling."""
+    m, k = h, 1
+    while 2 * k <= w:
+        m, k = np.minimum(m[k:], m[:-k]), 2 * k
+    return np.minimum(m[w - k :], m[: len(m) - w + k]) if w > k else m
+
+
+def groups(raws: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """(text, offset, bytes) in groups of about PIECE bytes; a long text is cut into parts that overlap, so that
+    each of its windows lies in just one."""
+    out, total = [], 0
+    for i, raw in enumerate(raws):
+        for at in range(0, len(raw) - length + 1, PIECE):
+            out.append((i, at, raw[at : at + PIECE + length - 1]))
+            total += len(out[-1][2])
+            if total >= PIECE:
+                yield out
+                out, total = [], 0
+    if out:
+        yield out
+
+
+def runs(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray, ...]:
+    """(text, bucket, first window, windows, whether two of them can be equal) of each run in a group.
 
     Two windows of a run can only be equal if its gram stands at more places than the one that all windows
     share: before the run's last window, or behind its first one.
     """
-    if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    h = digests(data, GRAM)
-    m = window_min(h, length - GRAM + 1)
-    same = m[1:] == m[:-1]
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    n = np.diff(np.append(first, len(m)))
-    again = np.flatnonzero(np.append(same & (h[: len(m) - 1] == m[:-1]), False) | np.append(False, same & (h[-len(m) + 1 :] == m[1:]))) if len(m) > 1 else np.zeros(0, int)
-    if n.max() > CHUNK:
+    size = np.array([len(p) for _, _, p in group])
+    ends = np.cumsum(size)
+    data = np.frombuffer(b"".join(p for _, _, p in group), np.uint8)
+    h, w = digests(data, GRAM), length - GRAM + 1
+    m = window_min(h, w)
+    new = np.empty(len(m) + 1, bool)  # a run begins here, or would behind the last
+    np.not_equal(m[1:], m[:-1], out=new[1:-1])
+    new[0] = new[-1] = True
+    inside = np.ones(len(m), bool)
+    for e in ends[:-1].tolist():  # windows across a border belong to no text
+        inside[e - length + 1 : e] = False
+        new[e - length + 1] = new[e] = True
+    again = np.flatnonzero(((h[: len(m)] == m) & ~new[1:]) | ((h[w - 1 :] == m) & ~new[:-1]))
+    first = np.flatnonzero(new)
+    n = np.diff(first)
+    first = first[:-1]
+    if len(n) and n.max() > CHUNK:
         first = np.concatenate([np.arange(a, a + k, CHUNK) for a, k in zip(first, n)])
         n = np.diff(np.append(first, len(m)))
     twice = np.zeros(len(first), bool)
     twice[np.searchsorted(first, again, "right") - 1] = True
-    return m[first], first, n, twice
+    ok = inside[first]
+    first, n, twice = first[ok], n[ok], twice[ok]
+    whose = np.searchsorted(ends, first, "right")
+    text, offset = np.array([(i, at) for i, at, _ in group], np.int64).T
+    return text[whose], m[first], first - (ends - size)[whose] + offset[whose], n, twice
+
+
+def raw_of(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass")
 
 
 def bytes_of(text: str | None) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return np.frombuffer(raw_of(text), np.uint8)
 
 
 def repeated_buckets(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,9 +152,9 @@ def repeated_buckets(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarr
         tidy()
         for b in batches:
             for at in range(0, len(b), 500):
-                out = []
-                for t in b["text"].iloc[at : at + 500]:
-                    m, _, _, twice = runs(bytes_of(t), length)
+                out = [np.zeros(0, np.uint64)]
+                for g in groups([raw_of(t) for t in b["text"].iloc[at : at + 500]], length):
+                    _, m, _, _, twice = runs(g, length)
                     out += [m, m[twice]]
                 m, n = np.unique(np.concatenate(out), return_counts=True)
                 yield pd.DataFrame({"m": m.view(np.int64), "n": n})
@@ -135,56 +170,137 @@ def repeated_buckets(docs: DataFrame, length: int) -> tuple[np.ndarray, np.ndarr
     return bitmap.view(np.uint64), np.sort(hot.view(np.uint64)) if len(hot) else np.zeros(0, np.uint64)
 
 
-def duplicated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, a, z): bytes a to z (exclusive) of a document, every window of which starts earlier elsewhere.
-
-    A task first compares the runs of its own documents: of equal runs only the earliest travels. What is left
-    of a hot bucket after that travels window by window under the window's own digest, so no bucket grows
-    with the number of documents that hold one passage.
-    """
-    spark = docs.sparkSession
-    kept = spark.sparkContext.broadcast(repeated_buckets(docs, length))
+ROW = "key long, doc_id long, a long, n long, off int, context binary"
+
+
+class First:
+    """The runs of a task: of equal ones only the earliest travels, the others are marked at once. What it holds is
+    bounded by bytes; beyond the bound the runs so far travel, and equal ones meet in their bucket."""
+
+    def __init__(self, length: int) -> None:
+        self.length, self.seen, self.bytes, self.marks = length, {}, 0, []
+
+    def add(self, key: int, context: bytes, row: tuple) -> None:
+        old = self.seen.get((key, context))
+        if old is None:
+            self.seen[key, context] = row
+            self.bytes += len(context) + 200
+            return
+        if row[:2] == old[:2]:  # a repeated row starts no later
+            return
+        if row < old:
+            self.seen[key, context], row = row, old
+        self.marks.append((row[0], row[1], row[1] + row[2] + self.length - 1))
+
+    def leave(self, last: bool = False) -> Iterator[pd.DataFrame]:
+        if self.marks:
+            m = merged(np.array(self.marks, np.int64))
+            self.marks = []
+            yield pd.DataFrame({"key": m[:, 0] * 31, "doc_id": m[:, 0], "a": m[:, 1], "n": m[:, 2] - m[:, 1], "off": 0, "context": None})
+        if last or self.bytes > HELD:
+            rows = list(self.seen.items())
+            self.seen, self.bytes = {}, 0
+            for at in range(0, len(rows), 20_000):
+                part = rows[at : at + 20_000]
+                doc, a, n, off = zip(*[v for _, v in part])
+                key = np.array([k[0] for k, _ in part], np.uint64).view(np.int64)
+                yield pd.DataFrame({"key": key, "doc_id": doc, "a": a, "n": n, "off": off, "context": [k[1] for k, _ in part]})
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans (doc, a, z) in order, those of a document that touch or overlap joined."""
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    doc, a, z = spans.T
+    # the farthest end so far within the document
+    wide = (int(z.max()) + 1) if len(z) else 1
+    order = np.cumsum(np.append(False, doc[1:] != doc[:-1]))
+    far = np.maximum.accumulate(order * wide + z) - order * wide
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (a[1:] > far[:-1]))) if len(z) else np.zeros(0, int)
+    return np.stack([doc[new], a[new], far[np.append(new[1:], len(z)) - 1]], axis=1) if len(z) else spans
+
+
+def candidates(docs: DataFrame, kept, length: int, hot_ones: bool) -> DataFrame:
+    """Runs of repeated buckets with their bytes: of the hot buckets or of all others."""
 
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy()
         bitmap, hot = kept.value
-        first: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        low = np.uint64((1 << BITMAP) - 1)
+        first, low = First(length), np.uint64((1 << BITMAP) - 1)
         for b in batches:
-            marks = []
-            for doc, text in zip(b["doc_id"], b["text"]):
-                data = bytes_of(text)
-                m, s, n, _ = runs(data, length)
-                if not len(m):
-                    continue
+            docs_, raws = b["doc_id"].tolist(), [raw_of(t) for t in b["text"]]
+            for g in groups(raws, length):
+                text, m, s, n, _ = runs(g, length)
+                if len(hot):
+                    is_hot = hot[np.minimum(np.searchsorted(hot, m), len(hot) - 1)] == m
+                    ok = is_hot if hot_ones else ~is_hot
+                else:
+                    ok = np.full(len(m), not hot_ones)
                 slot = m & low
-                ok = np.flatnonzero((bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
-                if not len(ok):
-                    continue
-                m, s, n = m[ok], s[ok], n[ok]
-                is_hot = np.isin(m, hot) if len(hot) else np.zeros(len(m), bool)
-                raw = data.tobytes()
-                for k, a, c, h in zip(m.tolist(), s.tolist(), n.tolist(), is_hot.tolist()):
-                    if h:
-                        for i, d in enumerate(digests(data[a : a + c + length - 1], length).tolist()):
-                            keep_first(first, (d, raw[a + i : a + i + length]), (doc, a + i, 1), marks, length)
-                    else:
-                        keep_first(first, (k, raw[a : a + c + length - 1]), (doc, a, c), marks, length)
-            if marks:
-                d, a, z = zip(*marks)
-                yield pd.DataFrame({"key": np.array(d, np.int64) * 31, "doc_id": d, "a": a, "n": z, "context": None})
-        rows = list(first.items())
-        for at in range(0, len(rows), 20_000):
-            part = rows[at : at + 20_000]
-            yield pd.DataFrame(
-                {
-                    "key": np.array([k[0] for k, _ in part], np.uint64).view(np.int64),
-                    "doc_id": [v[0] for _, v in part],
-                    "a": [v[1] for _, v in part],
-                    "n": [v[2] for _, v in part],
-                    "context": [k[1] for k, _ in part],
-                }
-            )
+                ok = np.flatnonzero(ok & (((bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)) > 0))
+                for i, k, a, c in zip(text[ok].tolist(), m[ok].tolist(), s[ok].tolist(), n[ok].tolist()):
+                    context = raws[i][a : a + c + length - 1]
+                    if not hot_ones:
+                        first.add(k, context, (docs_[i], a, c, 0))
+                        continue
+                    # windows by the leftmost place of the bucket's gram inside
+                    at = np.flatnonzero(digests(np.frombuffer(context, np.uint8), GRAM) == np.uint64(k))
+                    place = at[np.searchsorted(at, np.arange(c))]
+                    cut = np.flatnonzero(np.append(True, place[1:] != place[:-1])).tolist()
+                    for x, y in zip(cut, [*cut[1:], c]):
+                        first.add(k, context[x : y + length - 1], (docs_[i], a + x, y - x, int(place[x]) - x))
+            yield from first.leave()
+        yield from first.leave(last=True)
+
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(run, ROW)
+
+
+def refined(rows: DataFrame, length: int) -> list[DataFrame]:
+    """Runs of hot buckets (off: from the first window to its gram), cut until no bucket is large."""
+    spark, out = rows.sparkSession, []
+
+    def split(bits: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            tidy()
+            first = First(length)
+            for b in batches:
+                if (done := b["context"].isna()).any():
+                    yield b[done]
+                for doc, a, n, off, context in b.loc[~done, ["doc_id", "a", "n", "off", "context"]].itertuples(index=False):
+                    i = 0
+                    while i < n:
+                        block = (off - i) >> bits << bits  # distances from block on, 2 ** bits of them
+                        z = min(n, off - block + 1)
+                        shared = context[off - block : off - block + length + 1 - (1 << bits)]
+                        first.add(xxhash.xxh64_intdigest(shared, block << 3 | bits), context[i : z + length - 1], (doc, a + i, z - i, off - i))
+                        i = z
+                yield from first.leave()
+            yield from first.leave(last=True)
+
+        return run
+
+    for bits in range((length - GRAM).bit_length() - 2, -1, -1):
+        parts = stored(rows.mapInPandas(split(bits), ROW), "refined")
+        live = parts.where("context is not null")
+        counts = live.groupBy("key").agg(F.count("*").alias("n"))
+        total = live.count()
+        hot = [] if bits == 0 else [r["key"] for r in counts.where(F.col("n") > max(HOT, total // HOT_BUCKETS)).select("key").collect()]
+        if not hot:  # at the end a bucket holds one window, once for each task at most
+            return [*out, parts]
+        large = F.broadcast(spark.createDataFrame([(k,) for k in hot], "key long"))  # HOT_BUCKETS rows at most
+        out += [live.join(large, "key", "left_anti").select(*parts.columns), parts.where("context is null")]
+        rows = live.join(large, "key", "left_semi").select(*parts.columns)
+    return out
+
+
+def duplicated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, a, z): bytes a to z (exclusive) of a document, every window of which starts earlier elsewhere."""
+    spark = docs.sparkSession
+    bitmap, hot = repeated_buckets(docs, length)
+    kept = spark.sparkContext.broadcast((bitmap, hot))
+    rows = candidates(docs, kept, length, False)
+    if len(hot):
+        for part in refined(candidates(docs, kept, length, True), length):
+            rows = rows.unionByName(part)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy()
@@ -199,20 +315,23 @@ def duplicated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         if rest is not None and len(rest):
             yield seen_before(rest, length)
 
-    rows = docs.select("doc_id", "text").where("doc_id is not null").mapInPandas(candidates, "key long, doc_id long, a long, n long, context binary")
-    return rows.repartition("key").sortWithinPartitions("key", "doc_id", "a").mapInPandas(compare, "doc_id long, a long, z long")
+    return rows.drop("off").repartition("key").sortWithinPartitions("key", "doc_id", "a").mapInPandas(compare, "doc_id long, a long, z long")
 
 
-def keep_first(first: dict, key: tuple, row: tuple, marks: list, length: int) -> None:
-    old = first.get(key)
-    if old is None:
-        first[key] = row
-        return
-    if row == old:  # a repeated row starts no later
-        return
-    if row < old:
-        first[key], row = row, old
-    marks.append((row[0], row[1], row[2] + length - 1))
+def window_digests(contexts: list[bytes], n: np.ndarray, length: int) -> np.ndarray:
+    """Digests of the first n windows of each run, one run after the other."""
+    out, size, at = [], n + length - 1, 0
+    ends = np.cumsum(size)
+    while at < len(n):
+        z = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+        data = np.frombuffer(b"".join(contexts[at:z]), np.uint8)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(BYTES[data] * POWER[: len(data)], out=total[1:])
+        k = n[at:z]
+        i = np.arange(k.sum()) + np.repeat(np.cumsum(size[at:z]) - size[at:z] - np.cumsum(k) + k, k)
+        out.append(mix((total[i + length] - total[i]) * POWER_INVERSE[i]))
+        at = z
+    return np.concatenate(out)
 
 
 def seen_before(b: pd.DataFrame, length: int) -> pd.DataFrame:
@@ -222,28 +341,19 @@ def seen_before(b: pd.DataFrame, length: int) -> pd.DataFrame:
     live = b[~done]
     if len(live):
         n = live["n"].to_numpy()
-        data = np.frombuffer(b"".join(live["context"]), np.uint8)
-        size = n + length - 1
-        at = np.concatenate([[0], np.cumsum(size)[:-1]])
         row = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        h = digests(data, length)[at[row] + inside]
-        start = live["a"].to_numpy()[row] + inside
+        h = window_digests(live["context"].tolist(), n, length)
+        # equal windows have one bucket, and a bucket's windows come by (doc_id, start)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        again = np.append(False, h[1:] == h[:-1])
+        kept = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))[again]  # the first of each group of equal windows
+        start = live["a"].to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         doc = live["doc_id"].to_numpy()[row]
-        order = np.lexsort((start, doc, h, live["key"].to_numpy()[row]))
-        h, doc, start, key = h[order], doc[order], start[order], live["key"].to_numpy()[row][order]
-        again = np.concatenate([[False], (h[1:] == h[:-1]) & (key[1:] == key[:-1])])
-        kept = np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))  # the first of each group of equal windows
-        again &= (doc != doc[kept]) | (start != start[kept])  # a repeated row starts no later
-        doc, start = doc[again], start[again]
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        if len(doc):
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)])
-            i = np.flatnonzero(new)
-            last = np.append(i[1:], len(doc)) - 1
-            spans.append(np.stack([doc[i], start[i], start[last] + length], axis=1))
-    out = np.concatenate(spans).astype(np.int64)
+        own, other = order[again], order[kept]
+        own = own[(doc[own] != doc[other]) | (start[own] != start[other])]  # a repeated row starts no later
+        spans.append(np.stack([doc[own], start[own], start[own] + length], axis=1))
+    out = merged(np.concatenate(spans).astype(np.int64))
     return pd.DataFrame({"doc_id": out[:, 0], "a": out[:, 1], "z": out[:, 2]})
 
 
