@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +39,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession, data: bytes, where: str) -> None:
+    """Put the file into the shared folder and make it known to every executor, present and future."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(where)
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        with tempfile.NamedTemporaryFile(delete=False) as f:
+            f.write(data)
+        fs.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{f.name}"), target)
+        if os.path.exists(f.name):
+            os.unlink(f.name)
+    spark.sparkContext.addFile(where)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -53,6 +69,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     both = stored(e.union(e.select("b", "a")).distinct(), "links")
     labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("l"))
     labels = stored(labels, "labels")
+    total_of = lambda x: x.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
+    before = total_of(labels)  # labels only fall, so an equal sum means that none changed
     for _ in range(max_rounds):
         other = labels.select(F.col("id").alias("b"), "l")
         seen = both.join(other, "b").select(F.col("a").alias("id"), "l")
@@ -63,8 +81,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # hooking: the label's own vertex also takes the least label that its members have seen
         hooked = labels.join(near.withColumnRenamed("l", "m"), "id").groupBy(F.col("l").alias("id")).agg(F.min("m").alias("l"))
         new = stored(jumped.union(hooked).groupBy("id").agg(F.min("l").alias("l")), "labels")
-        changed = new.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0] != labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
-        labels = new
-        if not changed:
+        total, labels = total_of(new), new
+        if total == before:
             return labels.select("id", F.col("l").alias("component_id"))
+        before = total
     raise RuntimeError("links did not settle")

@@ -3,9 +3,10 @@
 Encoding: the texts' distinct words are taken apart into substrings of bounded length, which are joined with the
 piece table; the edges so found are grouped by word, and Spark's ``aggregate`` folds each word's lattice to its
 best path (Viterbi). A piece of rank r costs WEIGHT + log(r + 2), a Zipf-distributed unigram; a character
-that no piece holds becomes its UTF-8 bytes. Words then replace their occurrences in the texts.
+that no piece holds becomes its UTF-8 bytes. Words then replace their occurrences in the texts: the most frequent
+ones from a file that every task maps into memory, all others by a join.
 
-Decoding joins the ids with the piece table again.
+Decoding looks every id up in the piece table, laid out as one array of bytes.
 """
 
 from __future__ import annotations
@@ -15,22 +16,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, table, tidy
+from ..sources.shared import shared_dir
+from .common import ship, shuffle_partitions, stored, table, tidy
+from .suffix_dedup import BASE, BASE_INVERSE, BYTES, mix, powers
 
 SPACE = "▁"
-#: A word: spaces and the letters after them; or spaces and the other characters after them; or spaces at the end.
-#: No piece reaches across a border of such words (encode checks that), so the split loses no edge.
-WORD = SPACE + r"*+[\p{L}\p{M}]++|" + SPACE + r"*+[^\p{L}\p{M}" + SPACE + "]++|" + SPACE + "++"
 LONG = 64  # characters; longer words are folded one by one outside the relations
 LONG_CHARACTERS = 4_000_000  # of all long words together, up to which they go to every task too
 FREQUENT = 4_000_000  # words whose ids every task gets, in some 90 MB at most; all others are joined
 WORDS_A_TASK = 8_000
+GROUP = 1 << 20  # bytes of texts that are cut into words at once
 WEIGHT = 5.0  # of a piece whatever its rank; with it most words fall into the pieces that the library gives
 BYTE_COST = 40.0
 
+#: Kind of a character by the first byte of its UTF-8: 0 for the space, 2 for ASCII signs and digits and for the
+#: blocks that hold most other signs, 1 for all else. No piece holds a border of words inside (encode checks that).
+KIND = np.array([0 if b == 32 else 2 if b in (0xC2, 0xE2) or b < 128 and not chr(b).isalpha() else 1 for b in range(256)], np.uint8)
+
 
 def model_path() -> str:
     import public_tokenizers
@@ -55,23 +62,86 @@ def byte_ids(path: str) -> list[int]:
     return [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text with a space put in front; none for null and empty texts."""
-    marked = F.when(F.length(text) > 0, F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)))
-    return F.coalesce(F.regexp_extract_all(marked, F.lit(WORD), 0), F.array().cast("array<string>"))
+def marked(text: str | None) -> bytes:
+    """UTF-8 of a text with a space put in front; nothing for null and empty texts."""
+    return (" " + text.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if text else b""
+
+
+class Words:
+    """Words of a group of texts: which text, where they lie, and a 64-bit hash of each.
+
+    A word is a run of spaces with the characters of one kind that follow, so the words of a text lie end to end.
+    """
+
+    def __init__(self, raws: list[bytes]) -> None:
+        self.raw = b"".join(raws)
+        data = np.frombuffer(self.raw, np.uint8)
+        ends = np.cumsum([len(r) for r in raws])
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        kind = KIND[data[lead]]
+        new = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
+        self.a = np.append(0, lead[1:][new]) if len(data) else np.zeros(0, np.int64)
+        self.a = np.union1d(self.a, ends[:-1][ends[:-1] < len(data)])  # a text begins a word
+        self.z = np.append(self.a[1:], len(data))[: len(self.a)]
+        self.first = np.searchsorted(self.a, ends - [len(r) for r in raws])  # of each text
+        self.last = np.append(self.first[1:], len(self.a))
+        self.h = hashes(data, self.a, self.z)
+
+    def others(self, first: np.ndarray) -> np.ndarray:
+        """Words that share the hash of one of the given words, but not its bytes."""
+        rep, n, data = first[np.searchsorted(self.h[first], self.h)], self.z - self.a, np.frombuffer(self.raw, np.uint8)
+        at = np.minimum(np.repeat(self.a[rep] - self.a, n) + np.arange(len(data)), len(data) - 1)
+        return np.flatnonzero(np.logical_or.reduceat(data[at] != data, self.a) | (n != n[rep])) if len(data) else at
+
+    def text(self, i: int) -> str:
+        return self.raw[self.a[i] : self.z[i]].decode("utf-8", "surrogatepass").replace(" ", SPACE)
+
+
+_POWERS = [powers(BASE, 1 << 16), powers(BASE_INVERSE, 1 << 16)]
+
+
+def hashes(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[a:z] for spans that lie end to end."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(a):
+        to = max(at + 1, int(np.searchsorted(z, a[at] + (1 << 16) - 1, "right")))
+        part = data[a[at] : z[to - 1]]
+        while len(_POWERS[0]) <= len(part):  # one word of such a length
+            n = 2 * len(_POWERS[0])
+            _POWERS[:] = [powers(BASE, n), powers(BASE_INVERSE, n)]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTES[part] * _POWERS[0][: len(part)], out=total[1:])
+        x, y = a[at:to] - a[at], z[at:to] - a[at]
+        out.append(mix((total[y] - total[x]) * _POWERS[1][x] + (y - x).astype(np.uint64)))
+        at = to
+    return np.concatenate(out)
+
+
+def grouped(b: pd.DataFrame) -> Iterator[tuple[int, list[bytes]]]:
+    """The batch's texts in groups of about GROUP bytes, each with the number of its first row."""
+    at, out, size = 0, [], 0
+    for i, t in enumerate(b["text"]):
+        out.append(marked(t))
+        size += len(out[-1])
+        if size >= GROUP:
+            yield at, out
+            at, out, size = i + 1, [], 0
+    if out:
+        yield at, out
 
 
 def best_paths(words: DataFrame, pieces: DataFrame, bytes_: list[int]) -> DataFrame:
-    """word, ids array<int> for each row of words(word): substrings, join, grouping, fold."""
+    """ids array<int> for each row of words(word, ...): substrings, join, grouping, fold."""
     longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 1
-    at = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
+    names = words.columns
+    at = words.select(*names, F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
     size = F.least(F.lit(longest), F.length("word") - F.col("i") + 1)
-    sub = at.select("word", "i", F.explode(F.sequence(F.lit(1), size)).alias("n"))
-    sub = sub.select("word", "i", "n", F.substring("word", F.col("i"), F.col("n")).alias("piece"))
+    sub = at.select(*names, "i", F.explode(F.sequence(F.lit(1), size)).alias("n"))
+    sub = sub.select(*names, "i", "n", F.substring("word", F.col("i"), F.col("n")).alias("piece"))
     # the piece table is a vocabulary file: 32,000 rows here, whatever the corpus
     edges = sub.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
     edge = F.struct((F.col("i") + F.col("n")).cast("int").alias("z"), F.col("i").cast("int").alias("a"), F.coalesce("cost", F.lit(BYTE_COST)).alias("cost"), F.coalesce("id", F.lit(-1)).alias("id"))
-    lattice = edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    lattice = edges.groupBy(*names).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     # state: for each place reached, least cost and the ids up to it; edges come by end, so places are final when used
     start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("ids")))
 
@@ -86,7 +156,7 @@ def best_paths(words: DataFrame, pieces: DataFrame, bytes_: list[int]) -> DataFr
     # a negative number names the place of a character that goes as bytes
     hexed = lambda i: F.hex(F.encode(F.substring("word", -i, F.lit(1)), "UTF-8"))
     as_bytes = lambda i: F.transform(F.sequence(F.lit(1), (F.length(hexed(i)) / 2).cast("int")), lambda k: F.get(table_, F.conv(F.substring(hexed(i), 2 * k - 1, F.lit(2)), 16, 10).cast("int")))
-    return lattice.select("word", path.alias("path")).select("word", F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(as_bytes(i)))).alias("ids"))
+    return lattice.select(*names, path.alias("path")).select(*names, F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(as_bytes(i)))).alias("ids"))
 
 
 def fold(word: str, pieces: dict[str, tuple[int, float]], longest: int, bytes_: list[int]) -> list[int]:
@@ -115,111 +185,164 @@ def long_paths(words: DataFrame, pieces: DataFrame, bytes_: list[int]) -> DataFr
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"word": b["word"], "ids": [fold(w, known, longest, bytes_) for w in b["word"]]})
+            yield b.assign(ids=[fold(w, known, longest, bytes_) for w in b["word"]])
 
-    return words.select("word").mapInPandas(run, "word string, ids array<int>")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
+    return words.mapInPandas(run, f"{schema}, ids array<int>")
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """word, n over all documents."""
-    return docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """word, h (hash), n over all documents."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tidy()
+        for b in batches:
+            for _, raws in grouped(b):
+                w = Words(raws)
+                h, at, n = np.unique(w.h, return_index=True, return_counts=True)
+                # of words with equal hashes here, all but the first are told by their bytes
+                yield pd.DataFrame({"word": [w.text(i) for i in at.tolist()], "h": h.view(np.int64), "n": n})
+                if len(other := w.others(at)):
+                    yield pd.DataFrame({"word": [w.text(i) for i in other.tolist()], "h": w.h[other].view(np.int64), "n": 1})
+
+    return docs.select("text").mapInPandas(count, "word string, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
 
 class Dictionary:
-    """Ids by a word's 64-bit hash in plain arrays: some 22 bytes a word, looked up by binary search."""
+    """Ids by a word's hash, as a file mapped into memory: sorted hashes, where each word's ids begin, and the ids."""
 
-    def __init__(self, hashes: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> None:
-        size = np.diff(ends, prepend=0)
-        order = np.argsort(hashes)
-        self.hashes, self.start, self.size, self.ids = hashes[order], (ends - size)[order].astype(np.int32), size[order].astype(np.int32), ids.astype(np.uint16)
+    def __init__(self, path: str) -> None:
+        n, m, wide = np.fromfile(path, "<i8", 3).tolist()
+        self.hashes = np.memmap(path, "<u8", "r", 24, (n,)) if n else np.zeros(0, np.uint64)
+        self.start = np.memmap(path, "<u4", "r", 24 + 8 * n, (n + 1,))
+        self.ids = np.memmap(path, f"<u{wide}", "r", 24 + 8 * n + 4 * (n + 1), (m,)) if m else np.zeros(0, np.uint16)
 
-    @classmethod
-    def of(cls, coded: DataFrame) -> Dictionary:
+    @staticmethod
+    def bytes_of(coded: DataFrame, size: int) -> bytes:
+        """The file for coded(h, ids) and ids below ``size``."""
         t = coded.select("h", "ids").toArrow()
         lists = [c for c in t["ids"].chunks if len(c)]
-        size = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else np.zeros(0, np.int64)
-        flat = np.concatenate([c.flatten().to_numpy() for c in lists]) if lists else np.zeros(0, np.int64)
-        return cls(t["h"].to_numpy(), flat, np.cumsum(size))
-
-    def known(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.concatenate([np.diff(c.offsets.to_numpy()) for c in lists]) if lists else np.zeros(0, np.int64)
+        kind = "<u2" if size <= 1 << 16 else "<u4"
+        ids = np.concatenate([c.flatten().to_numpy().astype(kind) for c in lists]) if lists else np.zeros(0, kind)
+        h = t["h"].to_numpy().view(np.uint64)
+        del t, lists
+        order = np.argsort(h)
+        before, n = (np.cumsum(n) - n)[order], n[order]
+        start = np.append(0, np.cumsum(n)).astype("<u4")
+        ids = ids[np.repeat(before - start[:-1], n) + np.arange(n.sum())]
+        return np.array([len(h), len(ids), ids.dtype.itemsize], "<i8").tobytes() + h[order].tobytes() + start.tobytes() + ids.tobytes()
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place of each hash, and whether it is there."""
-        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        return at, self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), bool)
+        if not len(self.hashes):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return at, self.hashes[at] == h
+
 
-    def join(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words at these places one after the other, and the number of each."""
-        n = self.size[at].astype(np.int64)
-        before = np.cumsum(n) - n
-        return self.ids[np.repeat(self.start[at] - before, n) + np.arange(n.sum())], n
+class Decoder:
+    """The piece table as one array of bytes."""
 
+    def __init__(self, pieces: list[bytes]) -> None:
+        self.size = np.array([len(p) for p in pieces])
+        self.start, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(pieces), np.uint8)
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, text, ids array<int> for every row of docs(doc_id, text).
+    @classmethod
+    def of(cls, path: str) -> Decoder:
+        import sentencepiece
 
-    Null and empty texts have no ids. The most frequent words, a bounded number, travel to every task as a compact
-    dictionary. If there are more, the rest are joined by shuffle, once for each document that holds them, so that no
-    word is hot there; so are words of more than LONG characters if there are many. Words are told apart by 64-bit hashes. Repeated rows and very long texts need no care; an
+        m = sentencepiece.SentencePieceProcessor(model_file=path)
+        return cls([bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in ((i, m.id_to_piece(i)) for i in range(m.get_piece_size()))])
+
+    def text_of(self, ids) -> str:
+        x = np.asarray(ids, np.int64)
+        n = self.size[x]
+        return self.flat[np.repeat(self.start[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes().decode("utf-8", "replace")[1:]
+
+
+def gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[start : start + n] of each, one after the other."""
+    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> DataFrame:
+    """doc_id, text, ids array<int> for every row of docs(doc_id, text); with ``decoded``, also the ids' text.
+
+    Null and empty texts have no ids. The most frequent words, a bounded number, go to every node as a file. If there
+    are more, the rest are joined by shuffle, once for each document that holds them, so that no word is hot there; so
+    are words of more than LONG characters if there are many. Words are told apart by 64-bit hashes; the few
+    whose hashes clash are joined as strings. Repeated rows and very long texts need no care; an
     empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or model_path()
     words = stored(vocabulary(docs), "words")
     pieces = piece_table(spark, path)
-    if across := [r["piece"] for r in pieces.where(~F.col("piece").rlike(f"^(?:{WORD})\\z")).limit(5).collect()]:
-        raise ValueError(f"pieces reach across words: {across}")
+    table_ = pieces.collect()
+    if across := [r["piece"] for r in table_ if len(Words([r["piece"].replace(SPACE, " ").encode()]).a) > 1]:
+        raise ValueError(f"pieces reach across words: {across[:5]}")
     is_long = F.length("word") > LONG
     total, characters = words.agg(F.count("*"), F.coalesce(F.sum(F.when(is_long, F.length("word"))), F.lit(0))).first()
-    dealt = words.repartition(max(shuffle_partitions(spark), total // WORDS_A_TASK + 1), "word").select("word")
+    clash = np.array(sorted(r["h"] for r in words.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").collect()), np.int64).view(np.uint64)
+    dealt = words.repartition(max(shuffle_partitions(spark), total // WORDS_A_TASK + 1), "word").select("word", "h")
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     old = spark.conf.get(key)
     spark.conf.set(key, 4 * WORDS_A_TASK)  # a task's lattices fit its memory; sorting them would only spill
     try:
-        coded = stored(best_paths(dealt.where(~is_long), pieces, byte_ids(path)).union(long_paths(dealt.where(is_long), pieces, byte_ids(path))).withColumn("h", F.xxhash64("word")), "coded")
+        bytes_ = byte_ids(path)
+        coded = stored(best_paths(dealt.where(~is_long), pieces, bytes_).union(long_paths(dealt.where(is_long), pieces, bytes_)), "coded")
     finally:
         spark.conf.set(key, old)
-    all_known = total <= FREQUENT and characters <= LONG_CHARACTERS
-    top = coded if all_known else words.where(~is_long).orderBy(F.desc("n"), "word").limit(FREQUENT).join(coded, "word")
-    d = Dictionary.of(top)
-    common = spark.sparkContext.broadcast((d.hashes, d.ids, d.start, d.size))
+    all_known = total <= FREQUENT and characters <= LONG_CHARACTERS and not len(clash)
+    top = coded if all_known else words.where(~is_long).orderBy(F.desc("n"), "word").limit(FREQUENT).select("word").join(coded, "word")
+    decoder = Decoder.of(path)
+    data = Dictionary.bytes_of(top, len(decoder.size))
+    name = f"words-{xxhash.xxh64_hexdigest(data)}.bin"
+    ship(spark, data, f"{shared_dir(spark)}/{name}")
+    del data
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    hashes = F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hs")
-
-    def dictionary() -> Dictionary:
-        d = object.__new__(Dictionary)
-        d.hashes, d.ids, d.start, d.size = common.value
-        return d
 
     def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy()
-        d = dictionary()
+        d = Dictionary(SparkFiles.get(name))
         for b in batches:
-            out = []
-            for r, hs in zip(b["row"], b["hs"]):
-                own = np.unique(np.asarray(hs, np.int64))
-                out += [(r, h) for h in own[~d.known(own)[1]].tolist()]
-            yield pd.DataFrame(out, columns=["row", "h"])
+            for at, raws in grouped(b):
+                w = Words(raws)
+                ok = d.find(w.h)[1] & ~np.isin(w.h, clash)
+                out = []
+                for i, (x, y) in enumerate(zip(w.first.tolist(), w.last.tolist())):
+                    out += [(b["row"].iloc[at + i], t) for t in {w.text(x + j) for j in np.flatnonzero(~ok[x:y]).tolist()}]
+                yield pd.DataFrame(out, columns=["row", "word"])
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy()
-        d = dictionary()
+        d = Dictionary(SparkFiles.get(name))
         for b in batches:
-            out = []
-            for hs, r in zip(b["hs"], b["rare"]):
-                at, ok = d.known(hs := np.asarray(hs, np.int64))
-                if ok.all():
-                    out.append(d.join(at)[0].astype(np.int32))
-                else:
-                    own = {x["h"]: np.asarray(x["ids"], np.int32) for x in r}
-                    out.append(np.concatenate([d.join(at[i : i + 1])[0].astype(np.int32) if ok[i] else own[int(hs[i])] for i in range(len(hs))]))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "ids": out})
+            for at, raws in grouped(b):
+                w = Words(raws)
+                h, inverse = np.unique(w.h, return_inverse=True)
+                place, ok = d.find(h)
+                ok &= ~np.isin(h, clash)
+                place, ok = place[inverse], ok[inverse]
+                start, n = d.start[place].astype(np.int64), d.start[place + 1].astype(np.int64) - d.start[place]
+                out, known = [], ok.all()
+                for i, (x, y) in enumerate(zip(w.first.tolist(), w.last.tolist())):
+                    if known or ok[x:y].all():
+                        out.append(gather(d.ids, start[x:y], n[x:y]).astype(np.int32))
+                    else:
+                        own = {r["word"]: np.asarray(r["ids"], np.int32) for r in b["rare"].iloc[at + i]}
+                        out.append(np.concatenate([d.ids[start[j] : start[j] + n[j]].astype(np.int32) if ok[j] else own[w.text(j)] for j in range(x, y)]))
+                part = {"doc_id": b["doc_id"].iloc[at : at + len(raws)], "text": b["text"].iloc[at : at + len(raws)], "ids": out}
+                yield pd.DataFrame(part | ({"decoded": [decoder.text_of(x) for x in out]} if decoded else {}))
 
     if all_known:
-        full = rows.select("doc_id", "text", hashes, F.lit(None).cast("array<struct<h:bigint,ids:array<int>>>").alias("rare"))
+        full = rows.select("doc_id", "text", F.lit(None).cast("array<struct<word:string,ids:array<int>>>").alias("rare"))
     else:
-        found = rows.select("row", hashes).mapInPandas(rare, "row long, h long").join(coded, "h").groupBy("row").agg(F.collect_list(F.struct("h", "ids")).alias("rare"))
-        full = rows.join(found, "row", "left").select("doc_id", "text", hashes, "rare")
-    return full.mapInPandas(put, f"doc_id {kind}, text string, ids array<int>")
+        found = rows.select("row", "text").mapInPandas(rare, "row long, word string").join(coded, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+        full = rows.join(found, "row", "left").select("doc_id", "text", "rare")
+    return full.mapInPandas(put, f"doc_id {kind}, text string, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
@@ -227,23 +350,12 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
     A task holds the piece table, whose size is the vocabulary's, and looks each id up in it.
     """
-    import sentencepiece
-
-    m = sentencepiece.SentencePieceProcessor(model_file=path or model_path())
-    pieces = [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in ((i, m.id_to_piece(i)) for i in range(m.get_piece_size()))]
-
-    size = np.array([len(p) for p in pieces])
-    start, flat = np.cumsum(size) - size, np.frombuffer(b"".join(pieces), np.uint8)
-
-    def text_of(ids) -> str:
-        x = np.asarray(ids, np.int64)
-        n = size[x]
-        return flat[np.repeat(start[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes().decode("utf-8", "replace")[1:]
+    decoder = Decoder.of(path or model_path())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy()
         for b in batches:
-            yield b.assign(decoded=[None if x is None else text_of(x) for x in b["ids"]])
+            yield b.assign(decoded=[None if x is None else decoder.text_of(x) for x in b["ids"]])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
     return coded.mapInPandas(run, f"{schema}, decoded string")
@@ -251,6 +363,6 @@ def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, a hash of the ids, and whether decoding gives the text again."""
-    coded = decode(encode(table(spark, sf_dir, "documents")))
+    coded = encode(table(spark, sf_dir, "documents"), decoded=True)
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_xxhash64"), same.alias("round_trip"))

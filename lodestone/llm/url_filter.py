@@ -9,8 +9,6 @@ of a hit is compared, so that equal digests of different strings do no harm. The
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_dir
-from .common import table
+from .common import ship, table
 
 #: (verdict, host, path) as the query fixes them.
 RULES = [
@@ -136,20 +134,6 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     return pages.select("page_id", host.alias("host"), path.alias("path")).mapInPandas(judge, schema)
 
 
-def ship(spark: SparkSession, data: bytes, where: str) -> None:
-    """Put the file into the shared folder and make it known to every executor, present and future."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(where)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(target):
-        with tempfile.NamedTemporaryFile(delete=False) as f:
-            f.write(data)
-        fs.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{f.name}"), target)
-        if os.path.exists(f.name):
-            os.unlink(f.name)
-    spark.sparkContext.addFile(where)
-
-
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 

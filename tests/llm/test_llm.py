@@ -298,6 +298,19 @@ def test_sentencepiece_takes_pieces_of_space_and_sign_and_folds_long_words(spark
     assert {pieces[p][0] for p in ("▁|", "▁(")} <= set(want[0])
 
 
+def test_words_whose_hashes_clash(spark, monkeypatch):
+    """Four hashes for all words: every word is told by its text."""
+    real = lattice.hashes
+    monkeypatch.setattr(lattice, "hashes", lambda data, a, z: real(data, a, z) & np.uint64(3))
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abé,") for _ in range(rng.randint(1, 4))) for _ in range(30)) for _ in range(8)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces = {r["piece"]: (r["id"], r["cost"]) for r in lattice.piece_table(spark, lattice.model_path()).collect()}
+    for r in lattice.encode(docs, decoded=True).collect():
+        t = texts[r["doc_id"]] or ""
+        assert r["decoded"] == t and len(r["ids"]) == (len(lattice.fold("▁" + t.replace(" ", "▁"), pieces, 16, list(range(256)))) if t else 0)
+
+
 def test_rare_words_are_joined(spark, monkeypatch):
     monkeypatch.setattr(lattice, "FREQUENT", 2)
     docs = spark.createDataFrame([(1, "alpha beta gamma alpha"), (2, "alpha delta")], "doc_id long, text string")
