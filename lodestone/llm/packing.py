@@ -31,7 +31,8 @@ def vocabulary() -> str:
 
 
 def sign_matrix(n: int, dims: int = 3) -> np.ndarray:
-    return np.random.default_rng(7).choice(np.array([-1.0, 1.0], np.float32), (n, dims))
+    """A row of signs for each dimension."""
+    return np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (dims, n))
 
 
 def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -61,9 +62,9 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def curve_key(ids: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
-    v = np.zeros((len(ids), signs.shape[1]))
-    for i, x in enumerate(ids):
-        v[i] = signs[x].sum(axis=0, dtype=np.float64) / np.sqrt(len(x))
+    n = np.array([len(x) for x in ids])
+    flat, at = np.concatenate(ids), np.cumsum(n) - n
+    v = np.stack([np.add.reduceat(row[flat], at, dtype=np.int64) for row in signs], axis=1) / np.sqrt(n)[:, None]
     return hilbert_key(np.clip((np.tanh(v / 4) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1))
 
 
@@ -74,14 +75,13 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tidy()
         words = WordCache(path)
-        size = max(words.whole.get_vocab_size(), END + 1)
-        assert size <= 1 << 16
-        signs = sign_matrix(size)
+        signs, end = sign_matrix(max(words.size, END + 1)), END.to_bytes(2, "little")
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
-                ids = [np.append(np.frombuffer(words.encode(t or ""), "<u4"), END).astype("<u2") for t in part["text"]]
-                yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "n": [len(x) for x in ids], "key": curve_key(ids, signs), "ids": [x.tobytes() for x in ids]})
+            for at in range(0, len(b), 200):
+                part = b.iloc[at : at + 200]
+                raw = [words.encode(t) + end if t else end for t in part["text"]]
+                ids = [np.frombuffer(x, "<u2") for x in raw]
+                yield pd.DataFrame({"row": part["row"], "doc_id": part["doc_id"], "n": [len(x) for x in ids], "key": curve_key(ids, signs), "ids": raw})
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     return rows.mapInPandas(run, f"row long, doc_id {kind}, n long, key long, ids binary")
