@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import content_words, sign_test, support, wilson
 
-ABSTAIN_BELOW, RESAMPLES = 0.6552, 10_000
+ABSTAIN_BELOW, RESAMPLES, ALPHA = 0.6552, 10_000, 0.05
+EXACT_CASES = 20_000  # values of a group that are drawn one after the other
 #: Which metrics are shares of cases and which are means.
 PROPORTIONS = ["recall_at_5", "recall_at_10", "abstain_correct"]
 CONTINUOUS = ["mrr", "groundedness"]
@@ -55,54 +55,94 @@ def proportion_intervals(values: DataFrame) -> DataFrame:
     return x.withColumns({"lo": lo, "hi": hi})
 
 
-def bootstrap_exact(values: DataFrame, seed: int, resamples: int = RESAMPLES) -> DataFrame:
-    """(metric, point, lo, hi, n) by a seeded percentile bootstrap of the mean, a task for each metric.
+def places(resamples: int, alpha: float = 0.05) -> tuple[int, int]:
+    """Where the bounds stand among sorted means, counted from 0."""
+    last = resamples - 1
+    return min(round(alpha / 2 * last), last), min(round((1 - alpha / 2) * last), last)
+
+
+def bootstrap_exact(values: DataFrame, seed: int, resamples: int = RESAMPLES, keys: list[str] = ["metric"]) -> DataFrame:  # noqa: B006
+    """(keys, point, lo, hi, n) by a seeded percentile bootstrap of the mean of values(keys, case_id, value), a task for each group.
 
-    Values are those of one evaluation's cases, a few thousand at most; for more use bootstrap_spread.
+    Draws follow one another from Python's generator, cases in order of case_id, so the bounds are those that any seeded
+    run gives. That can't be spread: a group of more than EXACT_CASES values fails; use bootstrap_spread for it.
     """
+    large = values.groupBy(*keys).agg(F.count("value").alias("n")).where(F.col("n") > EXACT_CASES).limit(1).collect()
+    if large:
+        raise ValueError(f"{large[0].asDict()}: more than {EXACT_CASES} values")
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         rng, x = random.Random(seed), b.sort_values(["case_id", "value"])["value"].tolist()
-        means = sorted(sum(rng.choices(x, k=len(x))) / len(x) for _ in range(resamples))
-        pick = lambda q: means[min(resamples - 1, int(q * resamples))]
-        return pd.DataFrame([(b["metric"].iloc[0], sum(x) / len(x), pick(0.025), pick(0.975), len(x))], columns=["metric", "point", "lo", "hi", "n"])
+        n = len(x)
+        means = sorted(sum([x[rng.randrange(n)] for _ in range(n)]) / n for _ in range(resamples))
+        lo, hi = places(resamples)
+        return b[keys].head(1).assign(point=sum(x) / n, lo=means[lo], hi=means[hi], n=n)
 
-    return values.groupBy("metric").applyInPandas(run, "metric string, point double, lo double, hi double, n long")
+    schema = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
+    return values.where("value is not null").groupBy(*keys).applyInPandas(run, f"{schema}, point double, lo double, hi double, n long")
 
 
-def draw(r: Column, i: Column, seed: int, n: Column) -> Column:
-    """A case number for place i of resample r, from a digest."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), r, i)), 1, 8), 16, 10).cast("long") % n
+def times_drawn(seed: int, r: Column, case_id: Column) -> Column:
+    """How often resample r holds a case: a Poisson number of mean 1, from a digest."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), r, case_id)), 1, 8), 16, 10).cast("double") / (1 << 32)
+    out, p, below = F.lit(0), math.exp(-1), math.exp(-1)
+    for k in range(1, 12):
+        out, p = out + (u >= below).cast("int"), p / k
+        below += p
+    return out
 
 
 def bootstrap_spread(values: DataFrame, seed: int, resamples: int) -> DataFrame:
-    """As bootstrap_exact, with resamples spread over the cluster: places draw case numbers by digest and join their values."""
-    from pyspark.sql import Window
+    """(metric, point, lo, hi, n) by the Poisson bootstrap: every case decides by itself how often each resample holds it.
+
+    Nothing is numbered, gathered or joined: a sum for each metric and resample, combined before the shuffle.
+    """
+    each = values.where("value is not null").select("metric", "case_id", "value", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
+    each = each.withColumn("w", times_drawn(seed, F.col("r"), F.col("case_id")))
+    total = each.groupBy("metric", "r").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"), F.count("*").alias("n"), F.avg("value").alias("point"))
+    total = total.withColumn("mean", F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.col("point")))
+    means = total.groupBy("metric").agg(F.array_sort(F.collect_list("mean")).alias("m"), F.first("n").alias("n"), F.first("point").alias("point"))  # ``resamples`` numbers
+    lo, hi = places(resamples)
+    return means.select("metric", "point", F.element_at("m", lo + 1).alias("lo"), F.element_at("m", hi + 1).alias("hi"), "n")
 
-    x = values.withColumn("i", F.row_number().over(Window.partitionBy("metric").orderBy("case_id")) - 1)
-    n = values.groupBy("metric").agg(F.count("*").alias("n"), F.avg("value").alias("point"))
-    places = x.select("metric", F.col("i").alias("place")).join(n, "metric").select("*", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    drawn = places.withColumn("i", draw(F.col("r"), F.col("place"), seed, F.col("n"))).join(x.select("metric", "i", "value"), ["metric", "i"])
-    means = drawn.groupBy("metric", "r", "n", "point").agg(F.avg("value").alias("mean"))
-    return means.groupBy("metric", "n", "point").agg(F.percentile("mean", 0.025).alias("lo"), F.percentile("mean", 0.975).alias("hi"))
 
+def case_changes(values: DataFrame, by_metric: bool = False) -> DataFrame:
+    """(case_id, change), or for each metric: cases of values(run in {base, current}, case_id, metric, ...) that one run lacks."""
+    keys = ["metric", "case_id"] if by_metric else ["case_id"]
+    x = values.groupBy(*keys).agg(F.bool_or(F.col("run") == "base").alias("b"), F.bool_or(F.col("run") == "current").alias("c"))
+    return x.where("not (b and c)").select(*keys, F.when(F.col("b"), "removed").otherwise("added").alias("change"))
 
-def paired(values: DataFrame) -> DataFrame:
+
+def flips(values: DataFrame) -> DataFrame:
+    """(metric, case_id, flip): cases whose value rose or fell between the runs, for metrics that are shares of cases."""
+    x = values.where(F.col("metric").isin(PROPORTIONS)).groupBy("metric", "case_id").agg(F.max(F.when(F.col("run") == "base", F.col("value"))).alias("b"), F.max(F.when(F.col("run") == "current", F.col("value"))).alias("c"))
+    return x.where("b <> c").select("metric", "case_id", F.when(F.col("c") > F.col("b"), "better").otherwise("worse").alias("flip"))
+
+
+def paired(values: DataFrame, seed: int = 0, resamples: int = RESAMPLES) -> DataFrame:
     """Verdict for each metric of values(run in {base, current}, case_id, metric, value).
 
-    Runs over different cases can't be compared, and added and removed cases are counted.
+    Runs over different cases are incomparable in every metric, and a metric whose own cases differ is so by itself;
+    case_changes names the cases. Shares of cases go by the exact sign test on the cases that flipped, as many up as
+    down being flat; means by a bootstrap of the differences case by case, significant if its interval leaves out 0.
     """
-    b = values.where("run = 'base'").select("case_id", "metric", F.col("value").alias("b"))
-    c = values.where("run = 'current'").select("case_id", "metric", F.col("value").alias("c"))
-    x = b.join(c, ["case_id", "metric"], "full_outer").groupBy("metric").agg(
-        F.count_if(F.expr("b is null")).alias("added"), F.count_if(F.expr("c is null")).alias("removed"), F.count_if(F.expr("c > b")).alias("better"), F.count_if(F.expr("c < b")).alias("worse"), F.avg(F.col("c") - F.col("b")).alias("delta"),
+    pair = values.groupBy("metric", "case_id").agg(F.max(F.when(F.col("run") == "base", F.col("value"))).alias("b"), F.max(F.when(F.col("run") == "current", F.col("value"))).alias("c"))
+    share = F.col("metric").isin(PROPORTIONS)
+    x = pair.groupBy("metric").agg(
+        F.count_if(F.expr("b is null")).alias("added"), F.count_if(F.expr("c is null")).alias("removed"), F.count_if(F.expr("c > b")).alias("up"), F.count_if(F.expr("c < b")).alias("down"), F.avg(F.col("c") - F.col("b")).alias("delta"),
     )
-    p = sign_test(F.col("better"), F.col("worse"))
+    other = not case_changes(values).isEmpty()
+    moved = bootstrap_spread(pair.where(~share).select("metric", "case_id", (F.col("c") - F.col("b")).alias("value")), seed, resamples).select("metric", "lo", "hi")
+    x = x.join(F.broadcast(moved), "metric", "left")  # a row for each metric
+    x = x.withColumns({"better": F.when(share, F.col("up")), "worse": F.when(share, F.col("down")), "p": F.when(share, sign_test(F.col("up"), F.col("down")))})
+    down = F.when(share, F.col("worse") > F.col("better")).otherwise(F.col("delta") < 0)
+    sure = F.when(share, F.col("p") < ALPHA).otherwise(F.when(F.col("delta") < 0, F.col("hi") < 0).otherwise(F.col("lo") > 0))
     verdict = (
-        F.when((F.col("added") > 0) | (F.col("removed") > 0), "incomparable").when(F.col("better") + F.col("worse") == 0, "flat")
-        .when(p >= 0.05, "within-noise").when(F.col("worse") > F.col("better"), "worse").otherwise("better")
+        F.when(F.lit(other) | (F.col("added") > 0) | (F.col("removed") > 0), "incomparable")
+        .when(F.when(share, F.col("worse") == F.col("better")).otherwise(F.col("delta") == 0), "flat")
+        .otherwise(F.concat(F.when(down, "regressed").otherwise("improved"), F.when(sure, "-significant").otherwise("-within-noise")))
     )
-    return x.withColumns({"p": p, "verdict": verdict})
+    return x.select("metric", "added", "removed", "better", "worse", "delta", "lo", "hi", "p", verdict.alias("verdict"))
 
 
 def deltas(base: DataFrame, current: DataFrame) -> DataFrame:
@@ -149,7 +189,7 @@ def case_digest(cases: DataFrame) -> DataFrame:
 
 def gate(verdicts: DataFrame, strict: bool = False) -> DataFrame:
     """(failed, metrics): a significant regression fails, under ``strict`` any decrease."""
-    bad = (F.col("verdict") == "worse") | (F.lit(strict) & (F.col("delta") < 0))
+    bad = (F.col("verdict") == "regressed-significant") | (F.lit(strict) & (F.col("delta") < 0))
     return verdicts.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed"), F.array_join(F.array_sort(F.collect_list(F.when(bad, F.col("metric")))), ",").alias("metrics"))
 
 
@@ -163,9 +203,3 @@ def corpus_stamp(chunks: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: chunk count, distinct files, edge count, newest indexed_at."""
     c = chunks.agg(F.count("*").alias("chunk_count"), F.count_distinct("file_path").alias("file_count"), F.max("indexed_at").alias("max_indexed_at"))
     return c.join(F.broadcast(edges.agg(F.count("*").alias("edge_count"))))  # one row each
-
-
-def score_batches(batches: Iterator[pd.DataFrame], score) -> Iterator[pd.DataFrame]:
-    """For scorers given by a caller: one call a batch."""
-    for b in batches:
-        yield b.assign(value=score(b))

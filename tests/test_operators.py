@@ -207,10 +207,51 @@ def test_run_status(spark, nodes, flags, status):
     assert runs.with_status(df).first()["status"] == status
 
 
-def test_exact_bootstrap_is_repeatable(spark):
-    v = spark.createDataFrame([("m", i, float(i % 2)) for i in range(20)], "metric string, case_id long, value double")
-    a, b = (evaluation.bootstrap_exact(v, 3, 200).first() for _ in range(2))
-    assert a == b and a["lo"] <= 0.5 <= a["hi"]
+def test_exact_bootstrap_gives_the_bounds_of_a_seeded_run(spark):
+    """Drawn by hand: one generator for all resamples, bounds at the rounded places."""
+    x = [0.1, 0.9, 0.4, 0.4, 0.7]
+    v = spark.createDataFrame([("m", i, y) for i, y in enumerate(x)], "metric string, case_id long, value double")
+    rng, means = random.Random(3), []
+    for _ in range(200):
+        means.append(sum(x[rng.randrange(5)] for _ in range(5)) / 5)
+    means.sort()
+    got = evaluation.bootstrap_exact(v, 3, 200).first()
+    assert (got["lo"], got["hi"], got["n"]) == (means[5], means[194], 5)
+    assert evaluation.places(200) == (5, 194) and evaluation.places(10_000) == (250, 9749)
+
+
+def values_of(spark, base, current, metric):
+    rows = [(run, i, metric, float(y)) for run, x in (("base", base), ("current", current)) for i, y in enumerate(x) if y is not None]
+    return spark.createDataFrame(rows, "run string, case_id long, metric string, value double")
+
+
+@pytest.mark.parametrize(
+    "metric, base, current, verdict",
+    [
+        ("groundedness", [0.9] * 40, [0.901] * 30 + [0.0] * 10, "regressed-significant"),
+        ("mrr", [0.5] * 30, [0.7] * 30, "improved-significant"),
+        ("mrr", [0.5, 0.5, 0.5, 0.5], [1.0, 0.4, 0.3, 0.5], "improved-within-noise"),
+        ("mrr", [0.5, 0.2], [0.5, 0.2], "flat"),
+        ("recall_at_5", [1, 1, 0, 0, 1], [0, 0, 1, 1, 1], "flat"),
+        ("recall_at_5", [1] * 10, [0] * 10, "regressed-significant"),
+        ("recall_at_5", [1] * 10, [0] * 3 + [1] * 7, "regressed-within-noise"),
+        ("recall_at_5", [0] * 10, [1] * 8 + [0] * 2, "improved-significant"),
+        ("recall_at_5", [1, 1, 1], [0, 0, None], "incomparable"),
+    ],
+)
+def test_paired_verdicts(spark, metric, base, current, verdict):
+    got = evaluation.paired(values_of(spark, base, current, metric), 3, 400).first()
+    assert got["verdict"] == verdict
+    assert (got["p"] is None) == (metric == "mrr" or metric == "groundedness")
+
+
+def test_one_case_set_for_all_metrics(spark):
+    """A case that one run lacks makes every metric incomparable, also those that the case has no part in."""
+    v = values_of(spark, [1, 0], [1, 0], "recall_at_5").union(values_of(spark, [1, 0, 1], [1, 0, None], "abstain_correct"))
+    assert {r["verdict"] for r in evaluation.paired(v, 3, 50).collect()} == {"incomparable"}
+    assert [tuple(r) for r in evaluation.case_changes(v).collect()] == [(2, "removed")]
+    assert evaluation.gate(evaluation.paired(values_of(spark, [1] * 10, [0] * 10, "recall_at_5"), 3, 50)).first()["failed"]
+
 
 
 def test_stream_keeps_late_turn_in_order(spark, tmp_path):
