@@ -84,12 +84,24 @@ def context_prefix(fields: dict[str, Column]) -> Column:
     return F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n\n"))).otherwise("")
 
 
+def split_at(text: Column, header: str) -> tuple[Column, Column]:
+    """The headers that match, and the texts before, between and behind them: one more."""
+    t = F.coalesce(text, F.lit(""))
+    return F.regexp_extract_all(t, F.lit(header), 0), F.split(t, header, -1)
+
+
 def sections(docs: DataFrame, key: str = "doc_id", text: str = "body") -> DataFrame:
-    """(key, no, section, content): a part for what precedes the first header of level 2 or 3 and one for each header."""
-    parts = F.filter(F.split(text, r"(?dm)(?=^#{2,3}\s+\S)", -1), lambda p: strip(p) != "")
-    rows = docs.select(key, F.posexplode(parts).alias("no", "raw"))
-    section = F.regexp_extract("raw", r"(?d)\A(#{2,3}\s+[^\n]+)", 1)
-    return rows.select(key, "no", strip(section).alias("section"), strip(F.col("raw")).alias("content"))
+    """(key, no, section, content): what precedes the first header of level 2 or 3, unless blank, and a part for each header.
+
+    A part is its header, a line end and the stripped body, or the header alone. Without headers the whole text is the one
+    part, also if it is empty.
+    """
+    heads, bodies = split_at(F.col(text), r"(?dm)^#{2,3}\s+.+$")
+    first = strip(F.get(bodies, F.lit(0)))
+    part = lambda h, i: F.struct(h.alias("section"), F.concat_ws("\n", h, F.nullif(strip(F.get(bodies, i + 1)), F.lit(""))).alias("content"))
+    lead = F.when((first != "") | (F.size(heads) == 0), F.array(F.struct(F.lit("").alias("section"), first.alias("content"))))
+    parts = F.concat(F.coalesce(lead, F.array().cast("array<struct<section:string,content:string>>")), F.transform(heads, part))
+    return docs.select(key, F.posexplode(parts).alias("no", "part")).select(key, "no", "part.section", "part.content")
 
 
 def header_only(content: Column, section: Column) -> Column:
@@ -97,25 +109,29 @@ def header_only(content: Column, section: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Default tokenizer: words, each with the white space after it."""
-    return F.regexp_extract_all(text, F.lit(r"\S+\s*"), 0)
+    """Default tokenizer: words, each with the white space after it; the first also with that before."""
+    return F.regexp_extract_all(text, F.lit(r"(?:\A\s+)?\S+\s*"), 0)
+
 
+def windows(rows: DataFrame, text: str, keep: list[str], size: int = SIZE, overlap: int = OVERLAP, tokenize: Callable[[Column], Column] = words, short_whole: bool = True) -> DataFrame:
+    """(keep, window, content): texts beyond ``size`` tokens in windows that overlap, others whole.
 
-def windows(rows: DataFrame, text: str, keep: list[str], size: int = SIZE, overlap: int = OVERLAP, tokenize: Callable[[Column], Column] = words) -> DataFrame:
-    """(keep, window, content): texts beyond ``size`` tokens in windows that overlap, others whole."""
+    With ``short_whole`` off every text goes in windows, so what the first one shares with the next may stand alone.
+    """
     x = rows.withColumn("__t", tokenize(F.col(text)))
     n = F.size("__t")
-    starts = F.when(n > size, F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array(F.lit(0)))
+    starts = F.when(n > (size if short_whole else size - overlap), F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array(F.lit(0)))
     out = x.select(*keep, text, "__t", F.posexplode(starts).alias("window", "start"))
-    return out.select(*keep, "window", F.when(F.size("__t") > size, F.array_join(F.slice("__t", F.col("start") + 1, size), "")).otherwise(F.col(text)).alias("content"))
+    return out.select(*keep, "window", F.when((F.size("__t") <= size) & (F.col("start") == 0), F.col(text)).otherwise(F.array_join(F.slice("__t", F.col("start") + 1, size), "")).alias("content"))
 
 
 def content_chunks(docs: DataFrame, key: str = "doc_id", text: str = "body", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, position, section_title, is_section_title, content): each header of level 1 to 3 is a chunk, then its body's windows."""
-    parts = F.filter(F.split(text, r"(?dm)(?=^#{1,3}\s+\S)", -1), lambda p: strip(p) != "")
-    rows = docs.select(key, F.posexplode(parts).alias("no", "raw")).withColumn("title", F.nullif(strip(F.regexp_extract("raw", r"(?d)\A#{1,3}\s+([^\n]+)", 1)), F.lit("")))
-    body = rows.withColumn("body", strip(F.regexp_replace("raw", r"(?d)\A#{1,3}\s+[^\n]+", "")))
-    w = windows(body.where("body <> ''").select(key, "no", "title", "body"), "body", [key, "no", "title"], size, overlap)
+    """(key, position, section_title, is_section_title, content): each header of level 1 to 3 is a chunk, then its body's windows, as it stands."""
+    header = r"(?dm)^#{1,3}\s+(.*)$"
+    heads, bodies = split_at(F.col(text), header)
+    titles = F.concat(F.array(F.lit(None).cast("string")), F.transform(heads, lambda h: strip(F.regexp_extract(h, header, 1))))
+    rows = docs.select(key, F.posexplode(F.arrays_zip(titles.alias("title"), bodies.alias("body"))).alias("no", "part")).select(key, "no", "part.title", "part.body")
+    w = windows(rows.where(strip(F.col("body")) != "").select(key, "no", "title", "body"), "body", [key, "no", "title"], size, overlap, short_whole=False)
     heads = rows.where("title is not null").select(key, "no", "title", F.lit(-1).alias("window"), F.col("title").alias("content"))
     position = F.row_number().over(Window.partitionBy(key).orderBy("no", "window")) - 1
     return heads.union(w.select(key, "no", "title", "window", "content")).select(key, position.alias("position"), F.col("title").alias("section_title"), (F.col("window") < 0).alias("is_section_title"), "content")
@@ -123,14 +139,14 @@ def content_chunks(docs: DataFrame, key: str = "doc_id", text: str = "body", siz
 
 def hashed_words(width: int) -> Callable[[list[str]], list[list[float]]]:
     """A deterministic embedder for tests: signed word counts in hashed places."""
-    import zlib
+    from hashlib import md5
 
     def embed(texts: list[str]) -> list[list[float]]:
         out = []
         for t in texts:
             v = [0.0] * width
             for w in (t or "").lower().split():
-                h = zlib.crc32(w.encode())
+                h = int(md5(w.encode()).hexdigest()[:8], 16)
                 v[h % width] += 1.0 if h >> 31 else -1.0
             out.append(v)
         return out
@@ -155,25 +171,25 @@ def embedded(rows: DataFrame, text: str, embed_batch: Callable[[list[str]], list
 def log_entries(docs: DataFrame, key: str = "doc_id", text: str = "body") -> DataFrame:
     """(key, entry, date, title, body) of dated logs.
 
-    '## [run: D]' and '## D' set the date, '## D (title)' is an entry of its own, '### title' one of the date before
-    it unless it has its own; entries without a date are left out, a rule at the end of a body is cut.
+    '## [run: D]' and '## D' set the date, '## D (title)' is an entry of its own, and so is a header of level 2 of any other
+    shape, which takes the first date in it if it has one. '### title' is an entry of the date before it unless it has its
+    own. Entries without a date are left out, a rule at the end of a body is cut.
     """
-    date = r"(\d{4}-\d{2}-\d{2})"
-    lines = docs.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line", "t"))
-    level2, level3 = F.col("t").rlike(r"^##\s"), F.col("t").rlike(r"^###\s")
-    some = lambda pattern, group: F.nullif(F.regexp_extract("t", pattern, group), F.lit(""))
-    titled = r"^#{2,3}\s+" + date + r"\s*\((.+)\)\s*$"
-    found = F.coalesce(some(r"^##\s+(?:\[(?:run:\s*)?)?" + date + r"\]?\s*$", 1), some(titled, 1))
-    title2 = F.when(level2, some(titled, 2))
+    date = r"\d{4}-\d{2}-\d{2}"
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)).alias("line", "t"))
+    level2, level3 = F.startswith("t", F.lit("## ")), F.startswith("t", F.lit("### "))
+    lines = lines.select(key, "line", "t", F.when(level2, 2).when(level3, 3).alias("level"), F.when(level2, strip(F.substring("t", 4, 1 << 30))).when(level3, strip(F.substring("t", 5, 1 << 30))).alias("h"))
+    some = lambda pattern, group: F.nullif(F.regexp_extract("h", pattern, group), F.lit(""))
+    titled = rf"^({date})\s*\((.+)\)$"
+    groups = F.coalesce(some(rf"^\[(?:run:\s*)?({date})\]$", 1), some(rf"^({date})$", 1))
+    two = F.col("level") == 2
     w = Window.partitionBy(key).orderBy("line")
-    head = title2.isNotNull() | level3
-    x = lines.select(key, "line", "t", (level2 | level3).alias("header"), head.alias("head"), F.when(level2, found).alias("d2"), F.when(level3, some(titled, 1)).alias("d3"), F.when(level3, F.coalesce(some(titled, 2), strip(F.regexp_replace("t", r"^###\s+", "")))).otherwise(title2).alias("title"))
-    x = x.withColumn("current", F.last("d2", True).over(w)).withColumn("entry", F.sum(F.when(F.col("header"), 1).otherwise(0)).over(w))
-    heads = x.where("head").select(key, "entry", F.coalesce("d3", "current").alias("date"), "title")
-    bodies = x.where("not header").groupBy(key, "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda s: s["t"]), "\n").alias("body"))
-    out = heads.where("date is not null").join(bodies, [key, "entry"], "left")
-    body = strip(F.regexp_replace(strip(F.coalesce("body", F.lit(""))), r"(?:^|\n)-{3,}$", ""))
-    return out.select(key, "entry", "date", "title", body.alias("body"))
+    x = lines.withColumns({"own": some(titled, 1), "head": F.col("level").isNotNull() & ~(two & groups.isNotNull())})
+    x = x.withColumns({"current": F.last(F.when(two, F.coalesce("own", groups, some(f"({date})", 1))), True).over(w), "entry": F.count("level").over(w)})
+    heads = x.where("head").select(key, "entry", F.coalesce("own", "current").alias("date"), F.coalesce(some(titled, 2), "h").alias("title")).where("date is not null")
+    bodies = x.where("level is null").groupBy(key, "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda s: s["t"]), "\n").alias("body"))
+    body = strip(F.regexp_replace(F.coalesce("body", F.lit("")), r"\n?-{3,}\s*$", ""))
+    return heads.join(bodies, [key, "entry"], "left").select(key, "entry", "date", "title", body.alias("body"))
 
 
 def article_text(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -76,13 +76,14 @@ def a11(spark, d):
 
 def a12(spark, d):
     c = K.content_chunks(markdown(spark, d))
-    return c.select("doc_id", "position", "section_title", "is_section_title", F.length("content").alias("length"))
+    return c.select("doc_id", "position", "section_title", "is_section_title", F.sha2("content", 256).alias("content_sha256"))
 
 
 def a13(spark, d):
-    c = markdown(spark, d).select("doc_id", "body")
-    e = K.embedded(c, "body", K.hashed_words(32), 32, "hashed-32")
-    return e.select("doc_id", F.size("embedding").alias("width"), "embedding_model")
+    """The vectors' numbers that aren't 0."""
+    e = K.embedded(markdown(spark, d).select("doc_id", "body"), "body", K.hashed_words(32), 32, "hashed-32")
+    x = e.select("doc_id", "embedding_model", F.posexplode("embedding").alias("place", "value"))
+    return x.where("value <> 0").select("doc_id", "place", F.col("value").cast("long").alias("value"), "embedding_model")
 
 
 def a14(spark, d):
@@ -130,7 +131,7 @@ def a21(spark, d):
 def a23(spark, d):
     """Logs: lines of a text with headers of every kind put in between."""
     i = F.col("doc_id")
-    lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.when(k % 7 == 1, F.format_string("## [run: 2026-01-%02d]", (i + k) % 28 + 1)).when(k % 7 == 3, F.concat(F.lit("### "), F.substring(x, 1, 12))).when(k % 7 == 5, F.format_string("## 2026-02-%02d (entry)", (i + k) % 28 + 1)).otherwise(x))
+    lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.when(k % 7 == 1, F.format_string("## [run: 2026-01-%02d]", (i + k) % 28 + 1)).when(k % 7 == 3, F.concat(F.lit("### "), x)).when(k % 7 == 5, F.format_string("## 2026-02-%02d (entry)", (i + k) % 28 + 1)).when(k % 7 == 6, F.concat(F.lit("## "), x)).otherwise(x))
     return K.log_entries(read(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("body"))).select("doc_id", "entry", "date", "title", F.sha2("body", 256).alias("body_sha256"))
 
 
@@ -169,9 +170,25 @@ QUERIES = {
     "a25_article_text": a25, "a26_plain_text": a26, "a28_repository": a28, "a29_refresh": _refresh,
 }
 _SKIP = "case when regexp_matches(path, '/_[^/]*$') then 'underscore' when regexp_matches(path, '(^|/)\\.') then 'hidden' when regexp_matches(path, '(^|/)target/') then 'skip_dir' end"
-_SECTION = r"""parts as (select doc_id, list_filter(string_split(regexp_replace(body, '(^|\n)(#{2,3}[ \t]+\S)', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: regexp_matches(x, '\S')) as p from markdown),
-raw as (select doc_id, unnest(range(len(p))) as no, unnest(p) as raw from parts),
-sec as (select doc_id, no, regexp_replace(regexp_extract(raw, '^(#{2,3}[ \t]+[^\n]+)', 1), '^\s+|\s+$', '', 'g') as section, regexp_replace(raw, '^\s+|\s+$', '', 'g') as content from raw)"""
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')".format
+_SECTION = rf"""cut as (select doc_id, regexp_extract_all(coalesce(body, ''), '(?m)^#{{2,3}}\s+.+$') as h, string_split_regex(coalesce(body, ''), '(?m)^#{{2,3}}\s+.+$') as b from markdown),
+part as (select doc_id, '' as section, 0 as i, {_STRIP('b[1]')} as content from cut where len(h) = 0 or {_STRIP('b[1]')} <> ''
+  union all select doc_id, h[i] as section, i, h[i] || case when {_STRIP('b[i + 1]')} = '' then '' else chr(10) || {_STRIP('b[i + 1]')} end from cut, range(1, 100000) t(i) where i <= len(h)),
+sec as (select doc_id, row_number() over (partition by doc_id order by i) - 1 as no, section, content from part)"""
+_CONTENT = rf"""cut as (select doc_id, regexp_extract_all(coalesce(body, ''), '(?m)^#{{1,3}}\s+(.*)$', 1) as h, string_split_regex(coalesce(body, ''), '(?m)^#{{1,3}}\s+.*$') as b from markdown),
+part as (select doc_id, i, case when i > 0 then {_STRIP('h[i]')} end as title, b[i + 1] as body from (select doc_id, h, b, unnest(range(len(b))) as i from cut)),
+tok as (select doc_id, i, title, regexp_extract_all(body, '(?:\A\s+)?\S+\s*') as t from part where {_STRIP('body')} <> ''),
+win as (select doc_id, i, title, t, unnest(range(0, len(t), 450)) as start from tok),
+piece as (select doc_id, i, -1 as start, title, true as is_title, title as content from part where title is not null union all select doc_id, i, start, title, false, array_to_string(t[start + 1:start + 500], '') from win)
+select doc_id, row_number() over (partition by doc_id order by i, start) - 1 as position, title as section_title, is_title as is_section_title, sha256(content) as content_sha256 from piece"""
+_LOG = r"""raw as (select doc_id, unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as k from documents where text is not null),
+made as (select doc_id, k, case when k % 7 = 1 then format('## [run: 2026-01-{:02d}]', (doc_id + k) % 28 + 1) when k % 7 = 3 then '### ' || x when k % 7 = 5 then format('## 2026-02-{:02d} (entry)', (doc_id + k) % 28 + 1) when k % 7 = 6 then '## ' || x else x end as t from raw),
+lines as (select doc_id, k, t, case when starts_with(t, '## ') then 2 when starts_with(t, '### ') then 3 end as level, trim(case when starts_with(t, '## ') then substr(t, 4) when starts_with(t, '### ') then substr(t, 5) end) as h from made),
+own as (select *, nullif(regexp_extract(h, '^(\d{4}-\d{2}-\d{2})\s*\((.+)\)$', 1), '') as own, nullif(regexp_extract(h, '^\[?(?:run:\s*)?(\d{4}-\d{2}-\d{2})\]?$', 1), '') as grp, nullif(regexp_extract(h, '\d{4}-\d{2}-\d{2}'), '') as any_date from lines),
+cur as (select *, last_value(case when level = 2 then coalesce(own, any_date) end ignore nulls) over (partition by doc_id order by k) as current, count(level) over (partition by doc_id order by k) as entry from own),
+body as (select doc_id, entry, string_agg(t, chr(10) order by k) as body from cur where level is null group by all)
+select c.doc_id, c.entry, coalesce(own, current) as date, coalesce(nullif(regexp_extract(h, '^(\d{4}-\d{2}-\d{2})\s*\((.+)\)$', 2), ''), h) as title, sha256(regexp_replace(regexp_replace(coalesce(body, ''), '\n?-{3,}\s*$', ''), '^\s+|\s+$', '', 'g')) as body_sha256
+from cur c left join body using (doc_id, entry) where level is not null and not (level = 2 and grp is not null) and coalesce(own, current) is not null"""
 ORACLE_SQL = {
     "a1_discovery": "with " + _FILES + " select path, case doc_id % 7 when 0 then 'root' when 1 then 'tier' when 2 then 'planning' end as lane_name, case doc_id % 7 when 0 then 'meta' else 'content' end as doc_type from files where doc_id % 7 < 3",
     "a3_skip_rules": "with " + _FILES + f" select path, {_SKIP} as reason from files",
@@ -180,7 +197,12 @@ ORACLE_SQL = {
   case when doc_id % 9 <> 0 then 'active' end as status, case when doc_id % 9 <> 0 and doc_id % 2 <> 0 then 'k' || (doc_id % 5) end as keywords, case when doc_id % 9 <> 0 then lang else '' end as unknown, doc_id % 9 = 0 as failed from documents""",
     "a8_context_prefix": sql("chunks", "select id, 'title: ' || title || chr(10) || 'layer: ' || array_to_string(layer, ', ') || chr(10) || 'project: ' || project || coalesce(chr(10) || 'keywords: ' || status, '') || chr(10) || chr(10) as prefix from chunks"),
     "a9_sections": sql("markdown", _SECTION + r"select doc_id, no, section, sha256(content) as content_sha256, length(regexp_replace(substr(content, length(section) + 1), '^\s+|\s+$', '', 'g')) < 40 as header_only from sec".replace("select", " select", 1)),
-    "a11_token_windows": r"""with t as (select doc_id, text, regexp_extract_all(text, '\S+\s*') as t from documents),
+    "a12_content_chunks": sql("markdown", _CONTENT),
+    "a13_embedding": sql("markdown", r"""w as (select doc_id, unnest(list_filter(string_split_regex(lower(body), '\s+'), lambda x: x <> '')) as w from markdown),
+h as (select doc_id, ('0x' || substr(md5(w), 1, 8))::ubigint as h from w)
+select doc_id, (h % 32)::int as place, sum(case when h >= 2147483648 then 1 else -1 end)::bigint as value, 'hashed-32' as embedding_model from h group by 1, 2 having value <> 0"""),
+    "a23_log_entries": "with " + _LOG,
+    "a11_token_windows": r"""with t as (select doc_id, text, regexp_extract_all(text, '(?:\A\s+)?\S+\s*') as t from documents),
 w as (select doc_id, text, t, unnest(case when len(t) > 500 then range(0, len(t), 450) else [0] end) as start from t)
 select doc_id, start // 450 as "window", sha256(case when len(t) > 500 then array_to_string(t[start + 1:start + 500], '') else text end) as content_sha256 from w""",
     "a14_incremental": sql("chunks", _TIMES + ", " + _NEWEST + " select path from times left join newest using (path) where newest is null or newest <= mtime"),

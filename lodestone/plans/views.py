@@ -160,14 +160,14 @@ GOLDEN = """golden as (
 
 
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as markdown: every third line of a text becomes a header of level 2, every fifth other line one of level 3."""
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("## "), F.substring(x, 1, 30))).when(i % 5 == 4, F.concat(F.lit("### "), F.substring(x, 1, 20))).otherwise(x))
+    """documents as markdown: every third line of a text becomes a header of level 2 (some with a blank line behind), every fifth other line one of level 3."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 3 == 1, F.concat(F.lit("## "), x, F.when(i % 2 == 0, "\n").otherwise(""))).when(i % 5 == 4, F.concat(F.lit("### "), x)).otherwise(x))
     return read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("docs/"), "source", F.lit("/"), "doc_id", F.lit(".md")).alias("path"), "lang", "source", F.array_join(lines, "\n").alias("body"))
 
 
 MARKDOWN = """markdown as (
   select doc_id, 'docs/' || source || '/' || doc_id || '.md' as path, lang, source,
-    array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when (i - 1) % 3 = 1 then '## ' || substr(x, 1, 30) when (i - 1) % 5 = 4 then '### ' || substr(x, 1, 20) else x end), chr(10)) as body
+    array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: case when (i - 1) % 3 = 1 then '## ' || x || case when (i - 1) % 2 = 0 then chr(10) else '' end when (i - 1) % 5 = 4 then '### ' || x else x end), chr(10)) as body
   from documents)"""
 
 

@@ -133,7 +133,7 @@ def test_cutoff_row_is_kept(spark):
 def test_sections_and_headers(spark):
     text = "# Top\nintro\n\n## One\nbody of one that is long enough to stay as a section\n### Two\n## Three\nx"
     got = chunking.sections(spark.createDataFrame([(1, text), (2, "no headers"), (3, None)], "doc_id long, body string")).orderBy("doc_id", "no").collect()
-    assert [r["section"] for r in got] == ["", "## One", "### Two", "## Three", ""]
+    assert [r["section"] for r in got] == ["", "## One", "### Two", "## Three", "", ""]
     assert got[1]["content"].startswith("## One\nbody")
 
 
@@ -274,3 +274,55 @@ def test_versions_and_reports(spark, tmp_path):
     assert t.versions() == [1, 2]
     write_report(df, f"{tmp_path}/r")
     assert read_report(spark, f"{tmp_path}/r", df.schema).collect() == df.collect()
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("## One\n\nbody\n\n", [("## One", "## One\nbody")]),
+        ("", [("", "")]),
+        (None, [("", "")]),
+        (" only text ", [("", "only text")]),
+        ("lead\n\n## A\n### B\nb", [("", "lead"), ("## A", "## A"), ("### B", "### B\nb")]),
+        ("# Top\n#### deep\n##x", [("", "# Top\n#### deep\n##x")]),
+        ("\n\n## A\nx", [("## A", "## A\nx")]),
+    ],
+)
+def test_sections_keep_header_and_stripped_body(spark, text, want):
+    docs = spark.createDataFrame([("d", text)], "doc_id string, body string")
+    assert [(r["section"], r["content"]) for r in chunking.sections(docs).orderBy("no").collect()] == want
+
+
+def test_content_chunks_keep_bodies_as_they_stand(spark):
+    body = " ".join(f"w{i}" for i in range(480))
+    docs = spark.createDataFrame([("d", f"lead \n# T\n\n{body}\n##  \n### U")], "doc_id string, body string")
+    got = [(r["section_title"], r["is_section_title"], r["content"]) for r in chunking.content_chunks(docs).orderBy("position").collect()]
+    assert got[0] == (None, False, "lead \n") and got[1] == ("T", True, "T") and got[2] == ("T", False, f"\n\n{body}\n")
+    assert got[3] == ("T", False, " ".join(f"w{i}" for i in range(450, 480)) + "\n") and got[4] == ("### U", True, "### U") and len(got) == 5
+
+
+def test_log_entries_of_every_heading_shape(spark):
+    log = """### stray
+## [run: 2026-01-02]
+dropped
+### first
+body
+---
+## Notes 2026-02-02 extra
+kept
+### second
+## [2026-03-03]
+### 2025-12-31 (own date)
+x
+## 2026-04-04 (titled)
+
+y
+## No date here
+z
+"""
+    docs = spark.createDataFrame([("d", log)], "doc_id string, body string")
+    got = [(r["date"], r["title"], r["body"]) for r in chunking.log_entries(docs).orderBy("entry").collect()]
+    assert got == [
+        ("2026-01-02", "first", "body"), ("2026-02-02", "Notes 2026-02-02 extra", "kept"), ("2026-02-02", "second", ""), ("2025-12-31", "own date", "x"),
+        ("2026-04-04", "titled", "y"), ("2026-04-04", "No date here", "z"),
+    ]
