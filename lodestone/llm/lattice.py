@@ -16,6 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +32,7 @@ LONG = 64  # characters; longer words are folded one by one outside the relation
 LONG_CHARACTERS = 4_000_000  # of all long words together, up to which they go to every task too
 FREQUENT = 4_000_000  # words whose ids every task gets, in some 90 MB at most; all others are joined
 WORDS_A_TASK = 8_000
-GROUP = 1 << 20  # bytes of texts that are cut into words at once
+GROUP = 1 << 18  # bytes of texts that are cut into words at once
 WEIGHT = 5.0  # of a piece whatever its rank; with it most words fall into the pieces that the library gives
 BYTE_COST = 40.0
 
@@ -62,41 +64,47 @@ def byte_ids(path: str) -> list[int]:
     return [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-def marked(text: str | None) -> bytes:
-    """UTF-8 of a text with a space put in front; nothing for null and empty texts."""
-    return (" " + text.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if text else b""
-
-
 class Words:
-    """Words of a group of texts: which text, where they lie, and a 64-bit hash of each.
+    """Words of a group of texts that lie end to end in ``data``: where each lies, and a 64-bit hash.
 
-    A word is a run of spaces with the characters of one kind that follow, so the words of a text lie end to end.
+    A word is a run of spaces with the characters of one kind that follow, so the words of a text lie end to end too.
     """
 
-    def __init__(self, raws: list[bytes]) -> None:
-        self.raw = b"".join(raws)
-        data = np.frombuffer(self.raw, np.uint8)
-        ends = np.cumsum([len(r) for r in raws])
+    def __init__(self, data: np.ndarray, ends: np.ndarray) -> None:
+        self.data = data
+        begin = np.append(0, ends[:-1])
         lead = np.flatnonzero((data & 0xC0) != 0x80)
         kind = KIND[data[lead]]
-        new = (kind[1:] != kind[:-1]) & (kind[:-1] != 0)
-        self.a = np.append(0, lead[1:][new]) if len(data) else np.zeros(0, np.int64)
-        self.a = np.union1d(self.a, ends[:-1][ends[:-1] < len(data)])  # a text begins a word
+        new = np.append(True, (kind[1:] != kind[:-1]) & (kind[:-1] != 0))[: len(lead)]
+        new[np.searchsorted(lead, begin[begin < len(data)])] = True  # a text begins a word
+        self.a = lead[new]
         self.z = np.append(self.a[1:], len(data))[: len(self.a)]
-        self.first = np.searchsorted(self.a, ends - [len(r) for r in raws])  # of each text
+        self.first = np.searchsorted(self.a, begin)  # of each text
         self.last = np.append(self.first[1:], len(self.a))
         self.h = hashes(data, self.a, self.z)
 
     def others(self, first: np.ndarray) -> np.ndarray:
-        """Words that share the hash of one of the given words, but not its bytes."""
-        rep, n, data = first[np.searchsorted(self.h[first], self.h)], self.z - self.a, np.frombuffer(self.raw, np.uint8)
-        at = np.minimum(np.repeat(self.a[rep] - self.a, n) + np.arange(len(data)), len(data) - 1)
-        return np.flatnonzero(np.logical_or.reduceat(data[at] != data, self.a) | (n != n[rep])) if len(data) else at
+        """Words that share the hash of one of the given words (in order of their hashes), but not its bytes."""
+        if not len(self.a):
+            return self.a
+        rep, n = first[np.searchsorted(self.h[first], self.h)], self.z - self.a
+        wide = np.concatenate([np.zeros(8, np.uint8), self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(wide) - 7,), np.uint64, wide, 0, (1,))  # the eight bytes at each place
+        head = eight[self.a + 8] & MASK[np.minimum(n, 8)]
+        tail = np.where(n > 8, eight[self.z], np.uint64(0))
+        odd = (n != n[rep]) | (head != head[rep]) | (tail != tail[rep])
+        for i in np.flatnonzero((n > 16) & ~odd & (rep != np.arange(len(n)))).tolist():  # the middle of long words
+            odd[i] = self.raw(i) != self.raw(rep[i])
+        return np.flatnonzero(odd)
+
+    def raw(self, i: int) -> bytes:
+        return self.data[self.a[i] : self.z[i]].tobytes()
 
     def text(self, i: int) -> str:
-        return self.raw[self.a[i] : self.z[i]].decode("utf-8", "surrogatepass").replace(" ", SPACE)
+        return self.raw(i).decode("utf-8", "surrogatepass").replace(" ", SPACE)
 
 
+MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _POWERS = [powers(BASE, 1 << 16), powers(BASE_INVERSE, 1 << 16)]
 
 
@@ -117,17 +125,26 @@ def hashes(data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def grouped(b: pd.DataFrame) -> Iterator[tuple[int, list[bytes]]]:
-    """The batch's texts in groups of about GROUP bytes, each with the number of its first row."""
-    at, out, size = 0, [], 0
-    for i, t in enumerate(b["text"]):
-        out.append(marked(t))
-        size += len(out[-1])
-        if size >= GROUP:
-            yield at, out
-            at, out, size = i + 1, [], 0
-    if out:
-        yield at, out
+def strings(data: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Strings of these sizes that lie end to end in UTF-8."""
+    offsets = np.append(0, np.cumsum(n)).astype(np.int32)
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def grouped(text: pa.Array) -> Iterator[tuple[int, int, Words]]:
+    """The texts in groups of about GROUP bytes: first row, rows, words. A space is put in front of a text; null and empty ones have no words."""
+    t = pc.fill_null(text.cast(pa.string()), "")
+    t = pc.replace_substring(t, SPACE, " ")
+    t = pc.if_else(pc.equal(pc.binary_length(t), 0), t, pc.binary_join_element_wise(pa.scalar(" "), t, pa.scalar("")))
+    t = t.combine_chunks() if isinstance(t, pa.ChunkedArray) else t
+    ends = np.frombuffer(t.buffers()[1], np.int32)[t.offset : t.offset + len(t) + 1].astype(np.int64) if len(t) else np.zeros(1, np.int64)
+    data = np.frombuffer(t.buffers()[2], np.uint8) if t.buffers()[2] else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(t):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + GROUP)))
+        to = min(to, len(t))
+        yield at, to - at, Words(data[ends[at] : ends[to]], ends[at + 1 : to + 1] - ends[at])
+        at = to
 
 
 def best_paths(words: DataFrame, pieces: DataFrame, bytes_: list[int]) -> DataFrame:
@@ -141,7 +158,7 @@ def best_paths(words: DataFrame, pieces: DataFrame, bytes_: list[int]) -> DataFr
     # the piece table is a vocabulary file: 32,000 rows here, whatever the corpus
     edges = sub.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
     edge = F.struct((F.col("i") + F.col("n")).cast("int").alias("z"), F.col("i").cast("int").alias("a"), F.coalesce("cost", F.lit(BYTE_COST)).alias("cost"), F.coalesce("id", F.lit(-1)).alias("id"))
-    lattice = edges.groupBy(*names).agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    lattice = edges.groupBy(*names).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     # state: for each place reached, least cost and the ids up to it; edges come by end, so places are final when used
     start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("ids")))
 
@@ -194,18 +211,18 @@ def long_paths(words: DataFrame, pieces: DataFrame, bytes_: list[int]) -> DataFr
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word, h (hash), n over all documents."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         for b in batches:
-            for _, raws in grouped(b):
-                w = Words(raws)
+            for _, _, w in grouped(b.column(0)):
                 h, at, n = np.unique(w.h, return_index=True, return_counts=True)
-                # of words with equal hashes here, all but the first are told by their bytes
-                yield pd.DataFrame({"word": [w.text(i) for i in at.tolist()], "h": h.view(np.int64), "n": n})
-                if len(other := w.others(at)):
-                    yield pd.DataFrame({"word": [w.text(i) for i in other.tolist()], "h": w.h[other].view(np.int64), "n": 1})
+                for i, k in ((at, n), (other := w.others(at), np.ones(len(other), np.int64))):
+                    size = w.z[i] - w.a[i]
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([strings(gather(w.data, w.a[i], size), size), pa.array(w.h[i].view(np.int64)), pa.array(k)], ["word", "h", "n"])
 
-    return docs.select("text").mapInPandas(count, "word string, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    words = docs.select("text").mapInArrow(count, "word string, h long, n long").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    return words.select(F.translate("word", " ", SPACE).alias("word"), "h", "n")
 
 
 class Dictionary:
@@ -255,10 +272,21 @@ class Decoder:
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         return cls([bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in ((i, m.id_to_piece(i)) for i in range(m.get_piece_size()))])
 
+    def flat_text(self, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """UTF-8 of texts of n ids each, end to end without the space in front of each, and the size of each."""
+        ids = ids.astype(np.int64)
+        size = self.size[ids]
+        total = np.append(0, np.cumsum(size))
+        ends = np.cumsum(n)
+        of = total[ends] - total[ends - n]
+        data = gather(self.flat, self.start[ids], size)
+        keep = np.ones(len(data), bool)
+        keep[(np.cumsum(of) - of)[of > 0]] = False
+        return data[keep], of - (of > 0)
+
     def text_of(self, ids) -> str:
         x = np.asarray(ids, np.int64)
-        n = self.size[x]
-        return self.flat[np.repeat(self.start[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())].tobytes().decode("utf-8", "replace")[1:]
+        return self.flat_text(x, np.array([len(x)]))[0].tobytes().decode("utf-8", "replace")
 
 
 def gather(flat: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -280,7 +308,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     words = stored(vocabulary(docs), "words")
     pieces = piece_table(spark, path)
     table_ = pieces.collect()
-    if across := [r["piece"] for r in table_ if len(Words([r["piece"].replace(SPACE, " ").encode()]).a) > 1]:
+    if across := [r["piece"] for r in table_ if len(Words(x := np.frombuffer(r["piece"].replace(SPACE, " ").encode(), np.uint8), np.array([len(x)])).a) > 1]:
         raise ValueError(f"pieces reach across words: {across[:5]}")
     is_long = F.length("word") > LONG
     total, characters = words.agg(F.count("*"), F.coalesce(F.sum(F.when(is_long, F.length("word"))), F.lit(0))).first()
@@ -291,7 +319,8 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     spark.conf.set(key, 4 * WORDS_A_TASK)  # a task's lattices fit its memory; sorting them would only spill
     try:
         bytes_ = byte_ids(path)
-        coded = stored(best_paths(dealt.where(~is_long), pieces, bytes_).union(long_paths(dealt.where(is_long), pieces, bytes_)), "coded")
+        long_ones = words.where(is_long).select("word", "h").repartition(int(characters) // 100_000 + 1)
+        coded = stored(best_paths(dealt.where(~is_long), pieces, bytes_).union(long_paths(long_ones, pieces, bytes_)), "coded")
     finally:
         spark.conf.set(key, old)
     all_known = total <= FREQUENT and characters <= LONG_CHARACTERS and not len(clash)
@@ -304,45 +333,51 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
 
-    def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         d = Dictionary(SparkFiles.get(name))
         for b in batches:
-            for at, raws in grouped(b):
-                w = Words(raws)
+            row = b.column(0).to_numpy()
+            for at, n, w in grouped(b.column(1)):
                 ok = d.find(w.h)[1] & ~np.isin(w.h, clash)
                 out = []
                 for i, (x, y) in enumerate(zip(w.first.tolist(), w.last.tolist())):
-                    out += [(b["row"].iloc[at + i], t) for t in {w.text(x + j) for j in np.flatnonzero(~ok[x:y]).tolist()}]
-                yield pd.DataFrame(out, columns=["row", "word"])
+                    out += [(int(row[at + i]), t) for t in {w.text(x + j) for j in np.flatnonzero(~ok[x:y]).tolist()}]
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["row", "word"])
 
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()
         d = Dictionary(SparkFiles.get(name))
         for b in batches:
-            for at, raws in grouped(b):
-                w = Words(raws)
+            for at, rows_, w in grouped(b.column(1)):
                 h, inverse = np.unique(w.h, return_inverse=True)
                 place, ok = d.find(h)
                 ok &= ~np.isin(h, clash)
-                place, ok = place[inverse], ok[inverse]
                 start, n = d.start[place].astype(np.int64), d.start[place + 1].astype(np.int64) - d.start[place]
-                out, known = [], ok.all()
-                for i, (x, y) in enumerate(zip(w.first.tolist(), w.last.tolist())):
-                    if known or ok[x:y].all():
-                        out.append(gather(d.ids, start[x:y], n[x:y]).astype(np.int32))
-                    else:
-                        own = {r["word"]: np.asarray(r["ids"], np.int32) for r in b["rare"].iloc[at + i]}
-                        out.append(np.concatenate([d.ids[start[j] : start[j] + n[j]].astype(np.int32) if ok[j] else own[w.text(j)] for j in range(x, y)]))
-                part = {"doc_id": b["doc_id"].iloc[at : at + len(raws)], "text": b["text"].iloc[at : at + len(raws)], "ids": out}
-                yield pd.DataFrame(part | ({"decoded": [decoder.text_of(x) for x in out]} if decoded else {}))
+                start, n = start[inverse], n[inverse]
+                if ok.all():
+                    ids = gather(d.ids, start, n)
+                else:
+                    own = {}
+                    for rare_ in b.column(2).slice(at, rows_).to_pylist():
+                        own |= {r["word"]: r["ids"] for r in rare_ or ()}
+                    odd = np.flatnonzero(~ok[inverse])
+                    found = [own[w.text(j)] for j in odd.tolist()]
+                    base, k = len(d.ids), np.array([len(x) for x in found])
+                    start[odd], n[odd] = base + np.cumsum(k) - k, k
+                    ids = gather(np.concatenate([d.ids, *[np.array(x, np.uint32) for x in found]]), start, n)
+                before = np.append(0, np.cumsum(n))
+                of = before[w.last] - before[w.first]
+                ids_ = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(of)).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                part = [b.column(0).slice(at, rows_), b.column(1).slice(at, rows_), ids_] + ([strings(*decoder.flat_text(ids, of))] if decoded else [])
+                yield pa.RecordBatch.from_arrays(part, ["doc_id", "text", "ids"] + ["decoded"] * decoded)
 
     if all_known:
         full = rows.select("doc_id", "text", F.lit(None).cast("array<struct<word:string,ids:array<int>>>").alias("rare"))
     else:
-        found = rows.select("row", "text").mapInPandas(rare, "row long, word string").join(coded, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
+        found = rows.select("row", "text").mapInArrow(rare, "row long, word string").join(coded, "word").groupBy("row").agg(F.collect_list(F.struct("word", "ids")).alias("rare"))
         full = rows.join(found, "row", "left").select("doc_id", "text", "rare")
-    return full.mapInPandas(put, f"doc_id {kind}, text string, ids array<int>" + ", decoded string" * decoded)
+    return full.mapInArrow(put, f"doc_id {kind}, text string, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(coded: DataFrame, path: str | None = None) -> DataFrame:
