@@ -33,8 +33,8 @@ RULES = [
 HEADER = np.dtype([("digest", "<u8"), ("at", "<i8"), ("size", "<i4"), ("allow", "i1"), ("host", "<i4")])
 
 
-def build_index(rules: Iterable[tuple[str, str, str]]) -> tuple[bytes, list[int]]:
-    """The file's bytes (sorted records, then the strings) and the lengths of the rules' paths.
+def build_index(rules: Iterable[tuple[str, str, str]]) -> tuple[bytes, list[int], list[int]]:
+    """The file's bytes (sorted records, then the strings), the lengths of the rules' paths and the labels of their hosts.
 
     Repeated rules keep the last verdict. Host letters A-Z are lower-cased.
     """
@@ -50,7 +50,7 @@ def build_index(rules: Iterable[tuple[str, str, str]]) -> tuple[bytes, list[int]
         at += len(s)
     order = np.argsort(records["digest"], kind="stable")
     lengths = sorted({len(p) for _, p in last})
-    return np.int64(len(records)).tobytes() + records[order].tobytes() + b"".join(s for s, _, _ in strings), lengths
+    return np.int64(len(records)).tobytes() + records[order].tobytes() + b"".join(s for s, _, _ in strings), lengths, sorted({h.count(".") + 1 for h, _ in last})
 
 
 class DigestIndex:
@@ -94,11 +94,11 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
     """page_id, host, path, rule, verdict for every row of pages(page_id, url).
 
     Null urls and urls without ``://`` have an empty host and path; with no rule that fits, rule is null and
-    the verdict is ``default``. Repeated rows are judged one by one; other columns are ignored; an empty
+    the verdict is ``default``. Hosts and paths may be of any length and number of labels. Repeated rows are judged one by one; other columns are ignored; an empty
     table gives an empty result.
     """
     spark = pages.sparkSession
-    data, lengths = build_index(rules)
+    data, lengths, labels = build_index(rules)
     name = f"rules-{xxhash.xxh64_hexdigest(data)}.bin"
     where = f"{shared_dir(spark)}/{name}"
     ship(spark, data, where)
@@ -111,15 +111,17 @@ def url_filter(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
             for i, (h, p) in enumerate(zip(b["host"], b["path"])):
                 if not h:
                     continue
-                parts, tail = h.split("."), h
-                for k in range(len(parts)):
-                    size = len(tail.encode())
+                parts = h.rsplit(".", labels[-1]) if labels else []
+                have = len(parts) - (len(parts) > labels[-1]) if labels else 0  # labels told apart
+                for k in labels:
+                    if k > have:
+                        break
+                    tail = ".".join(parts[len(parts) - k :])
                     for n in lengths:
                         if n <= len(p):
                             keys.append((tail + p[:n]).encode())
                             rows.append(i)
-                            hosts.append(size)
-                    tail = tail[len(parts[k]) + 1 :]
+                            hosts.append(len(tail.encode()))
             found = index.probe(keys, np.array(hosts))
             rule, verdict, most = [None] * len(b), [default] * len(b), [(-1, -1)] * len(b)
             for i, k, f in zip(rows, keys, found):

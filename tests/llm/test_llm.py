@@ -158,6 +158,27 @@ def test_pii_spans_are_those_of_the_patterns(spark):
     assert pii.pii_spans(docs.limit(0)).collect() == []
 
 
+def test_pii_is_linear_in_long_runs():
+    import time
+
+    began = time.time()
+    for t in ("1" * 1_000_000, "a" * 1_000_000 + "@!", "a@" * 300_000, "1.2.3." * 200_000, "+1" + "(" * 500_000, "A" * 500_000, "1 " * 400_000):
+        pii.find_spans(t)
+    assert time.time() - began < 60
+    rng = random.Random(8)
+    for _ in range(400):
+        t = "".join(rng.choice(["a", "@", ".", "1", "-", " ", "b.c", "+", "255", "é"]) for _ in range(40))
+        for kind in pii.BASE:
+            assert list(pii.matches(kind, t)) == [m.span() for m in pii.PATTERNS[kind].finditer(t)], (kind, t)
+
+
+def test_pii_context_decides_added_spans():
+    iban, ssn = "DE89370400440532013000", "078-05-1120"
+    kinds = lambda t: [k for k, *_ in pii.find_spans(t) if k in pii.ADDED]
+    assert kinds(f"bank account {iban}") == ["iban"] == kinds(iban) and kinds(f"order {iban}") == [] and kinds(f"invoice for account {iban}") == ["iban"]
+    assert kinds(f"social security {ssn}") == ["ssn"] and kinds(ssn) == [] == kinds(f"version {ssn} of the security release")
+
+
 def test_pii_redaction_and_checksums(spark, odd):
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
     assert pii.mod97("DE89370400440532013000") and not pii.mod97("DE88370400440532013000")
@@ -352,9 +373,17 @@ def test_url_rules(spark):
     assert url_filter.url_filter(df.limit(0)).collect() == []
 
 
+def test_url_with_many_labels_makes_few_keys(spark):
+    host = "a." * 50_000 + "www.example.com"
+    df = spark.createDataFrame([(1, f"http://{host}/en/x"), (2, "http://.com/"), (3, "http://com/"), (4, "http://example.com./en/")], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(df).collect()}
+    assert got == {1: ("www.example.com/en/", "allow"), 2: ("com/", "allow"), 3: ("com/", "allow"), 4: (None, "allow")}
+    assert url_filter.url_filter(df, []).where("rule is not null").count() == 0
+
+
 def test_digest_collisions_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: 7)
-    data, _ = url_filter.build_index([("block", "a.b", "/"), ("allow", "c.d", "/")])
+    data, _, _ = url_filter.build_index([("block", "a.b", "/"), ("allow", "c.d", "/")])
     (tmp_path / "x").write_bytes(data)
     index = url_filter.DigestIndex(str(tmp_path / "x"))
     found = index.probe([b"c.d/", b"a.b/", b"e.f/"], np.array([3, 3, 3]))
