@@ -1,21 +1,24 @@
 """I-Match fingerprints, by Spark's own functions alone.
 
-The lexicon holds the terms within a band of document frequency. A document keeps its distinct lexicon terms
+The lexicon holds the terms within a band of document frequency, no others. A document keeps its distinct lexicon terms
 in sorted order and hashes the part of them that falls into each of several random subsets of the lexicon;
-these hashes side by side are its fingerprint. Subsets come in three densities, for short and long texts.
+these hashes side by side are its fingerprint. Subsets come in three densities, for short and long texts, a sparse one
+lying inside the next denser.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, stored, table
 
 LOW, HIGH = 0.002, 0.25  # band: the share of documents that hold a term
-SLOTS = 1 << 18  # bits of the lexicon's bitmap
+SLOTS = 1 << 16  # slots of the lexicon in a task
+LEXICON = 200_000  # terms up to which the lexicon goes to every task; a larger one is joined
 DENSITY = [4, 6, 8]  # a subset keeps a term with chance 2 ** -bits
 SUBSETS = 8  # of each density
 
@@ -24,37 +27,47 @@ def terms(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")), "")
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
-    """Bitmap of the band's terms as longs, by a hash of the term.
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """(t): the band's terms. Document frequencies are counted over all documents."""
+    n = docs.count()
+    counts = docs.select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
+    return stored(counts.where((F.col("df") >= max(2, math.ceil(low * n))) & (F.col("df") <= high * n)).select("t"), "lexicon")
+
+
+def slot(t: Column) -> Column:
+    return F.pmod(F.xxhash64(t), F.lit(SLOTS)).cast("int")
 
-    Document frequencies are counted over all documents. At most (mean distinct terms of a document) / low
-    terms are in the band, and the driver gets SLOTS / 64 numbers at most, whatever the size of the corpus.
-    A term outside the band whose slot is taken counts as inside, alike in every document.
+
+def with_known(docs: DataFrame, text: str, name: str, band: DataFrame, small: bool) -> DataFrame:
+    """docs with the sorted lexicon terms of a text.
+
+    A lexicon of at most LEXICON terms is an array by slots, constant in the plan; a larger one is joined, each distinct term of a
+    document being a row.
     """
-    n = docs.count()
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("t")).select(F.xxhash64("t").alias("h")).groupBy("h").agg(F.count("*").alias("df"))
-    slot = F.pmod("h", F.lit(SLOTS))
-    band = counts.where((F.col("df") >= max(2, math.ceil(low * n))) & (F.col("df") <= high * n)).select(slot.alias("slot"))
-    words = band.groupBy(F.shiftright("slot", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    out = [0] * (SLOTS // 64)
-    for r in words.collect():
-        out[r["w"]] = r["bits"]
-    return out
+    if small:
+        slots: list[list[str]] = [[] for _ in range(SLOTS)]
+        for r in band.select("t", slot(F.col("t")).alias("s")).collect():
+            slots[r["s"]].append(r["t"])
+        table_ = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False, separators=(",", ":"))), "array<array<string>>")
+        return docs.withColumn(name, F.array_sort(F.filter(terms(F.col(text)), lambda t: F.array_contains(F.get(table_, slot(t)), t))))
+    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(rows, "texts")  # the numbers have to stay as they are
+    found = rows.select("__row", F.explode(terms(F.col(text))).alias("t")).join(band, "t").groupBy("__row").agg(F.array_sort(F.collect_list("t")).alias(name))
+    return rows.join(found, "__row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("__row")
 
 
-def fingerprint(text: Column, bits: Column) -> Column:
-    """array<string>: a hash for each subset, '' where it holds none of the document's terms."""
-    slot = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS))
-    inside = lambda t: F.getbit(F.get(bits, F.shiftright(slot(t), 6).cast("int")), F.pmod(slot(t), F.lit(64)).cast("int")) == 1
-    known = F.transform(F.array_sort(F.filter(terms(text), inside)), lambda t: F.struct(t.alias("t"), F.xxhash64(F.lit("subset"), t).alias("h")))
+def fingerprint(known: Column) -> Column:
+    """array<string> for sorted lexicon terms: a hash for each subset, '' where it holds none of them."""
+    rows = F.transform(known, lambda t: F.struct(t.alias("t"), F.xxhash64(F.lit("subset"), t).alias("h")))
 
-    def part(rows: Column, size: int, k: int) -> Column:
-        inside = F.filter(rows, lambda x: F.shiftright(x["h"], k * 7).bitwiseAND(F.lit((1 << size) - 1)) == 0)
-        return F.when(F.size(inside) == 0, "").otherwise(F.substring(F.sha1(F.array_join(F.transform(inside, lambda x: x["t"]), " ")), 1, 8))
+    def densities(inside: Column, k: int, sizes: list[int]) -> Column:
+        """Hashes of subset k in each density; a sparser one is taken from the terms of the denser."""
+        part = F.filter(inside, lambda x: F.shiftright(x["h"], k * 7).bitwiseAND(F.lit((1 << sizes[0]) - 1)) == 0)
+        told = lambda p: F.array(F.when(F.size(p) == 0, "").otherwise(F.substring(F.sha1(F.array_join(F.transform(p, lambda x: x["t"]), " ")), 1, 8)))
+        # the transform binds the part once
+        return F.element_at(F.transform(F.array(part), lambda p: F.concat(told(p), densities(p, k, sizes[1:])) if sizes[1:] else told(p)), 1)
 
-    # the outer transform binds the sorted terms once
-    parts = lambda rows: F.array(*[part(rows, size, k) for size in DENSITY for k in range(SUBSETS)])
-    return F.element_at(F.transform(F.array(known), parts), 1)
+    return F.element_at(F.transform(F.array(rows), lambda r: F.flatten(F.array(*[densities(r, k, DENSITY) for k in range(SUBSETS)]))), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -70,9 +83,11 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 
     Documents are dealt to ranges of doc_id whose borders are ids of documents; the document on a border also
     goes to the range above it, as the next one of that range's last. So every range finds its followers by
-    itself. Null ids come last; repeated ids follow in the order of their texts.
+    itself. A row without an id is its own next; repeated ids follow in the order of their texts.
     """
     spark = docs.sparkSession
+    alone = docs.where("doc_id is null").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+    docs = docs.where("doc_id is not null")
     n = 2 * shuffle_partitions(spark)
     q = [i / n for i in range(1, n)]
     r = docs.agg(F.percentile_approx("doc_id", q, 10_000).alias("q"), F.max("doc_id").alias("top")).first()
@@ -80,14 +95,13 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     # smallest border that isn't below the id; the lowest range is 0
     edge = F.array(*[F.lit(b) for b in borders]).cast("array<long>")
     own = F.coalesce(F.size(F.filter(edge, lambda b: b < F.col("doc_id"))), F.lit(0))
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(own)
     homes = [F.when(F.array_contains(edge, F.col("doc_id")), own + 1)]  # guest in the range above
     wrap = F.lit(r["top"]).isNotNull() & (F.col("doc_id") == F.lit(r["top"])) if r["top"] is not None else F.lit(True)
     rows = docs.select("*", F.explode(F.array_compact(F.array(F.struct(own.alias("range"), F.lit(0).alias("guest")), F.when(homes[0].isNotNull(), F.struct(homes[0].alias("range"), F.lit(1).alias("guest"))), F.when(wrap, F.struct(F.lit(0).alias("range"), F.lit(2).alias("guest")))))).alias("__at"))
-    order = Window.partitionBy("__range").orderBy("__guest", F.desc_nulls_last("doc_id"), F.col("text"))
+    order = Window.partitionBy("__range").orderBy("__guest", F.desc("doc_id"), F.col("text"))
     rows = rows.select(*docs.columns, F.col("__at.range").alias("__range"), F.col("__at.guest").alias("__guest"))
     rows = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return rows.where("__guest = 0").drop("__range", "__guest")
+    return rows.where("__guest = 0").drop("__range", "__guest").unionByName(alone)
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,11 +111,13 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     ones. A single document is its own next.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bits = F.array(*[F.lit(x) for x in lexicon(docs)]).cast("array<long>")
+    band = lexicon(docs)
+    small = band.count() <= LEXICON
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
-    rows = with_next(docs.withColumn("fp", fingerprint(F.col("text"), bits)), ["text", "fp"])
+    known = with_known(docs, "text", "__known", band, small)
+    rows = with_next(known.withColumn("fp", fingerprint(F.col("__known"))).drop("__known"), ["text", "fp"])
     rows = rows.select("doc_id", "fp", "next_fp", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = rows.withColumn("efp", fingerprint(F.col("edited"), bits))
+    rows = with_known(rows, "edited", "__known", band, small).withColumn("efp", fingerprint(F.col("__known")))
     return rows.select(
         "doc_id",
         "n_chars",

@@ -355,6 +355,40 @@ def test_fingerprints(spark, odd, tmp_path):
     assert mean("near_edited") > mean("near_next")
 
 
+def plain_i_match(texts: dict[int, str], low: float, high: float) -> tuple[dict, dict]:
+    """I-Match by plain Python, but for the hash that deals terms to subsets: the lexicon, and each text's terms."""
+    import re
+
+    split = lambda t: {x for x in re.split(r"[\W_]+", t.lower()) if x}
+    own = {d: split(t) for d, t in texts.items()}
+    df: dict = {}
+    for ts in own.values():
+        for t in ts:
+            df[t] = df.get(t, 0) + 1
+    n = len(texts)
+    band = {t for t, k in df.items() if max(2, math.ceil(low * n)) <= k <= high * n}
+    return band, {d: sorted(ts & band) for d, ts in own.items()}
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_fingerprints_against_plain_i_match(spark, monkeypatch, most):
+    """Exact band, sorted terms, every subset's hash; with the lexicon in the plan and joined."""
+    monkeypatch.setattr(fingerprint, "LEXICON", most)
+    monkeypatch.setattr(fingerprint, "SLOTS", 8)
+    rng = random.Random(1)
+    texts = {i: ", ".join(f"{rng.choice('ABc')}été{min(rng.randrange(400), rng.randrange(400))}" for _ in range(rng.randint(0, 60))) for i in range(80)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    band, want = plain_i_match(texts, 0.03, 0.2)
+    lex = fingerprint.lexicon(docs, 0.03, 0.2)
+    assert {r["t"] for r in lex.collect()} == band and 20 < len(band)
+    got = fingerprint.with_known(docs, "text", "known", lex, lex.count() <= fingerprint.LEXICON).withColumn("fp", fingerprint.fingerprint(F.col("known")))
+    h = {r["t"]: r["h"] for r in lex.select("t", F.xxhash64(F.lit("subset"), "t").alias("h")).collect()}
+    for r in got.collect():
+        assert r["known"] == want[r["doc_id"]]
+        parts = [[t for t in r["known"] if (h[t] >> 7 * k) & ((1 << size) - 1) == 0] for k in range(fingerprint.SUBSETS) for size in fingerprint.DENSITY]
+        assert r["fp"] == [hashlib.sha1(" ".join(p).encode()).hexdigest()[:8] if p else "" for p in parts]
+
+
 def test_next_document_with_odd_ids(spark, odd):
     got = fingerprint.with_next(odd.select("doc_id", "text"), ["doc_id"]).select("doc_id", "next_doc_id").collect()
     assert len(got) == odd.count() and (7, 6) in [tuple(r) for r in got]
