@@ -51,8 +51,8 @@ def decayed(confidence: Column, factor: Column, weeks: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case runs of a-z and 0-9."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), 0)
+    """Lower-case runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def content_words(text: Column) -> Column:
@@ -124,6 +124,19 @@ def is_kebab(name: Column) -> Column:
     return name.rlike("^[a-z0-9]+(-[a-z0-9]+)*$")
 
 
+def iso_time(at: Column) -> Column:
+    """A time in UTC as ISO 8601 with microseconds and offset, as in 2024-06-01T00:00:00.000000+00:00."""
+    us = F.unix_micros(at)
+    return F.concat(F.date_format(F.timestamp_seconds(F.floor(us / 1_000_000)), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad(F.pmod(us, F.lit(1_000_000)).cast("string"), 6, "0"), F.lit("+00:00"))
+
+
+def parsed_time(text: Column) -> Column:
+    """The time that an ISO 8601 text names (Z, an offset or none, which is UTC); null for anything else."""
+    whole = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+    zoned = F.when(text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & text.contains(":"), text).otherwise(F.concat(text, F.when(text.contains(":"), "Z").otherwise("T00:00:00Z")))
+    return F.when(text.rlike(whole), F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+
+
 def window_hours(text: Column) -> Column:
     """'3d' or '12h' in hours; null for anything else."""
     n, unit = F.regexp_extract(text, "^([0-9]+)([dh])$", 1), F.regexp_extract(text, "^([0-9]+)([dh])$", 2)

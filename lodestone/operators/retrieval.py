@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import doubles, first_structured_id, squash, tokens, weeks_between
 from ..functions.sizes import broadcast_if_small
-from ..functions.scalars import doubles, squash, tokens, weeks_between
+from ..sources.shared import kept
 
 # Sizes and weights of the retrieval stages.
 SEEDS, SEMANTIC, KEYWORD, MEMORY = 5, 20, 15, 3
@@ -19,6 +20,7 @@ PER_FILE, CONFIDENCE_WINDOW = 2, 5
 STOPPED = ["a", "and", "for", "in", "is", "of", "the", "to"]
 FIELD_WEIGHTS = {"title": 1.0, "keywords": 1.0, "description": 0.4, "content": 0.2}
 QUERY_BLOCK, ITEM_BLOCK = 512, 4000
+QUERIES_HELD = 4096  # vectors of queries up to which every task gets them all
 
 
 @dataclass(frozen=True)
@@ -30,53 +32,89 @@ class Corpus:
     graded: bool = True
 
 
+def unit(vs: pd.Series, width: int) -> np.ndarray:
+    """Rows at length 1; zeros for missing vectors and those of another width."""
+    x = np.zeros((len(vs), width))
+    for r, v in enumerate(vs):
+        if v is not None and len(v) == width:
+            x[r] = v
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def best_of(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best scores in order, ids deciding ties; those of -inf are none."""
+    # all that tie with the k-th best stay, so that ids decide
+    at = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
+    at = at[np.lexsort((ids[at], -s[at]))][:k]
+    return at[s[at] > -np.inf]
+
+
 def scored(queries: DataFrame, items: DataFrame, k: int, weight: str | None = None, same: tuple[str, str] | None = None, keep_missing: bool = False) -> DataFrame:
     """(qid, id, score, rn): the k best items of each query by cosine, times ``weight`` where given.
 
-    A stated set of queries against all rows, in blocks: query blocks are dealt to every block of items, a block
-    pair is one matrix product that returns k rows for each query at most, and a window picks the best of these.
-    ``same`` names a column of each side that must agree. Missing or zero vectors score 0 or, by default, go.
+    A stated set of queries against all rows. Up to QUERIES_HELD queries travel to the items: a task multiplies its rows
+    with all of them, batch by batch, and returns k rows for each query, so no vector of an item is shuffled. More queries are
+    dealt in blocks to every block of items. A window picks the best of what comes back. ``same`` names a column of each
+    side that must agree, a query without a value taking all. Missing or zero vectors score 0 or, by default, go.
     """
-    n = items.count()
-    blocks = max(1, -(-n // ITEM_BLOCK))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     left, right = same or (None, None)
-    q = queries.select(F.col("qid"), doubles(F.col("qvec")).alias("v"), (F.col(left) if left else F.lit("")).alias("g"), F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).alias("qb"))
-    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"))
-    i = items.select(F.col("id"), doubles(F.col("embedding")).alias("v"), (F.col(right) if right else F.lit("")).alias("g"), w.alias("w"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("ib"))
+    q = queries.select(F.col("qid"), doubles(F.col("qvec")).alias("v"), (F.col(left) if left else F.lit(None).cast("string")).alias("g"))
+    i = items.select(F.col("id"), doubles(F.col("embedding")).alias("v"), (F.col(right) if right else F.lit("")).alias("g"), w.alias("w"))
     if not keep_missing:
         i = i.where("v is not null")
+    held = q.limit(QUERIES_HELD + 1).toPandas()
+    top = _best_in_tasks(held, i, k) if len(held) <= QUERIES_HELD else _best_in_blocks(q, i, k)
+    rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
+    return top.withColumn("rn", rn).where(F.col("rn") <= k)
+
+
+def _products(a: np.ndarray, group: pd.Series, b: pd.DataFrame) -> np.ndarray:
+    s = a @ unit(b["v"], a.shape[1]).T * b["w"].to_numpy(np.float64)
+    if (some := group.notna().to_numpy()).any():
+        s[some[:, None] & (group.to_numpy()[:, None] != b["g"].to_numpy()[None, :])] = -np.inf
+    s[np.isnan(s)] = -np.inf
+    return s
+
+
+def _best_in_tasks(q: pd.DataFrame, items: DataFrame, k: int) -> DataFrame:
+    a = unit(q["v"], max((len(v) for v in q["v"] if v is not None), default=1))
+    qid, group = q["qid"].to_numpy(np.int64), q["g"]
+
+    def run(batches):
+        ids, score = [np.zeros(0, np.int64)] * len(qid), [np.zeros(0)] * len(qid)
+        for b in batches:
+            s, own = _products(a, group, b), b["id"].to_numpy(np.int64)
+            for r in range(len(qid)):
+                at = best_of(s[r], own, k)
+                x, y = np.append(score[r], s[r][at]), np.append(ids[r], own[at])
+                at = best_of(x, y, k)
+                score[r], ids[r] = x[at], y[at]
+        if len(qid):
+            yield pd.DataFrame({"qid": np.repeat(qid, [len(x) for x in ids]), "id": np.concatenate(ids), "score": np.concatenate(score)})
+
+    return items.mapInPandas(run, "qid long, id long, score double")
+
+
+def _best_in_blocks(q: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    blocks = max(1, -(-items.count() // ITEM_BLOCK))
+    q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-q.count() // QUERY_BLOCK)))))
+    q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"))
+    i = items.withColumn("ib", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     to = q.select(F.col("qb").alias("jb"), F.col("ib").alias("kb")).distinct()
     i = i.join(to, F.col("ib") == F.col("kb")).select("id", "v", "g", "w", "jb", "kb")
 
-    def unit(vs: pd.Series, width: int) -> np.ndarray:
-        x = np.zeros((len(vs), width))
-        for r, v in enumerate(vs):
-            if v is not None and len(v) == width:
-                x[r] = v
-        size = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
-
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(a) or not len(b):
-            return empty
-        width = len(a["v"].iloc[0])
-        s = unit(a["v"], width) @ unit(b["v"], width).T * b["w"].to_numpy()
-        s[a["g"].to_numpy()[:, None] != b["g"].to_numpy()[None, :]] = -np.inf
-        s[np.isnan(s)] = -np.inf
-        ids, out = b["id"].to_numpy(), []
-        for r, qid in enumerate(a["qid"]):
-            # all that tie with the k-th best stay, so that ids decide
-            at = np.flatnonzero(s[r] >= np.partition(s[r], -k)[-k]) if len(ids) > k else np.arange(len(ids))
-            at = at[np.lexsort((ids[at], -s[r][at]))][:k]
-            at = at[s[r][at] > -np.inf]
-            out.append(pd.DataFrame({"qid": qid, "id": ids[at], "score": s[r][at]}))
-        return pd.concat(out) if out else empty
-
-    top = q.groupBy("qb", "ib").cogroup(i.groupBy("jb", "kb")).applyInPandas(best, "qid long, id long, score double")
-    rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
-    return top.withColumn("rn", rn).where(F.col("rn") <= k)
+        out = [pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
+        if len(a) and len(b):
+            s, ids = _products(unit(a["v"], max((len(v) for v in a["v"] if v is not None), default=1)), a["g"], b), b["id"].to_numpy()
+            for r, qid in enumerate(a["qid"]):
+                at = best_of(s[r], ids, k)
+                out.append(pd.DataFrame({"qid": qid, "id": ids[at], "score": s[r][at]}))
+        return pd.concat(out)
+
+    return q.groupBy("qb", "ib").cogroup(i.groupBy("jb", "kb")).applyInPandas(best, "qid long, id long, score double")
 
 
 def live(chunks: DataFrame, include_archived: bool = False) -> DataFrame:
@@ -95,8 +133,8 @@ def filtered(chunks: DataFrame, filters: dict | None, corpus: Corpus = Corpus())
 
 
 def semantic(queries: DataFrame, chunks: DataFrame, k: int = SEMANTIC) -> DataFrame:
-    """(qid, id, distance, rn)."""
-    return scored(queries, chunks, k).select("qid", "id", (1 - F.col("score")).alias("distance"), "rn")
+    """(qid, id, distance, rn). A query with a ``scope`` takes chunks of that project alone."""
+    return scored(queries, chunks, k, same=("scope", "project") if "scope" in queries.columns else None).select("qid", "id", (1 - F.col("score")).alias("distance"), "rn")
 
 
 def distances(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -116,12 +154,16 @@ def structural(found: DataFrame, queries: DataFrame, chunks: DataFrame, edges: D
     return distances(to.join(chunks.select("doc_id", "id"), "doc_id").select("qid", "id"), queries, chunks)
 
 
-def postings(chunks: DataFrame, fields: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """(id, term, s): the sum of a field's weight over the term's occurrences."""
-    rows = [chunks.select("id", F.explode(tokens(F.col(f))).alias("term"), F.lit(FIELD_WEIGHTS[f]).alias("w")) for f in fields]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
+def postings(chunks: DataFrame, fields: tuple[str, ...] = ("title", "content"), wanted: DataFrame | None = None) -> DataFrame:
+    """(id, term, s): the sum of a field's weight over the term's occurrences; of the terms in wanted(term) alone if it is given.
+
+    Fields may be strings or arrays of strings.
+    """
+    text = lambda f: F.array_join(f, " ") if chunks.schema[f].dataType.typeName() == "array" else F.col(f)
+    weighted = lambda f, w: F.transform(tokens(text(f)), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    out = chunks.select("id", F.inline(F.concat(*[weighted(f, FIELD_WEIGHTS[f]) for f in fields])))
+    if wanted is not None:
+        out = out.join(broadcast_if_small(wanted), "term", "left_semi")
     return out.where(~F.col("term").isin(STOPPED)).groupBy("id", "term").agg(F.sum("w").alias("s"))
 
 
@@ -143,11 +185,43 @@ def keyword_candidates(ranks: DataFrame, present: DataFrame, k: int = KEYWORD) -
     return rest.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
+GRAM, SHORT_WORDS = 3, 2000
+
+
+def containing(rows: DataFrame, fields: list[str], terms: DataFrame) -> DataFrame:
+    """rows joined with terms(qid, word): those of which a field contains the word, letter case aside; _ stands for any character.
+
+    A word's first three characters without _ are its key; rows are taken apart into runs of three characters and meet the
+    words whose key they hold. Words too short for a key, of which there are few different ones, are held against every row.
+    """
+    text = F.lower(F.concat_ws("\n", *fields))
+    terms = terms.withColumn("key", F.nullif(F.regexp_extract(F.lower("word"), f"[^_]{{{GRAM}}}", 0), F.lit("")))
+    hit = F.lit(False)
+    for f in fields:
+        hit = hit | F.ilike(f, F.concat(F.lit("%"), F.col("word"), F.lit("%")))
+    keys = terms.where("key is not null").select("key").distinct()
+    cut = rows.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1))))
+    long_ones = cut.join(broadcast_if_small(keys), "key", "left_semi").join(broadcast_if_small(terms.where("key is not null")), "key").where(hit).drop("key")
+    short = terms.where("key is null").drop("key")
+    words = [r["word"] for r in short.select("word").distinct().limit(SHORT_WORDS + 1).collect()]
+    if not words:
+        return long_ones
+    if len(words) > SHORT_WORDS:
+        raise ValueError(f"more than {SHORT_WORDS} different words of under {GRAM} characters")
+    held = [F.when(F.expr(" or ".join(f"{f} ilike w" for f in fields).replace("ilike w", "ilike concat('%', " + sql_string(w) + ", '%')")), F.lit(w)) for w in words]
+    found = rows.withColumn("word", F.explode(F.array_compact(F.array(*held))))
+    return long_ones.unionByName(found.join(broadcast_if_small(short), "word").select(*long_ones.columns))
+
+
+def sql_string(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def flat_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(qid, id) of chunks that contain any word of the query, letter case aside; _ in a word stands for any character."""
     words = F.filter(F.transform(F.split("query", r"\s+"), lambda w: F.regexp_replace(w, r"(?U)\W+", "")), lambda w: w != "")
     terms = queries.select("qid", F.explode(F.array_distinct(words)).alias("word"))
-    return chunks.select("id", "content").join(broadcast_if_small(terms), F.ilike("content", F.concat(F.lit("%"), F.col("word"), F.lit("%")))).select("qid", "id").distinct()
+    return containing(chunks.select("id", "content"), ["content"], terms).select("qid", "id").distinct()
 
 
 def merged(*stages: DataFrame) -> DataFrame:
@@ -202,11 +276,13 @@ def confidence(queries: DataFrame, results: DataFrame) -> DataFrame:
 def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Column, k: int = 10, include_archived: bool = False, expand: bool = True, decay: bool = True, threshold: float = 0.0, corpus: Corpus = Corpus(), filters: dict | None = None, facts: DataFrame | None = None) -> DataFrame:
     """The whole pipeline; (qid, id, rank, score, via, distance, doc_id, file_path). Facts take part where they are given."""
     c = filtered(live(chunks, include_archived), filters, corpus)
-    found = semantic(queries, c)
+    found = kept(semantic(queries, c), "found")
     stages = [found]
     if expand:
         stages.append(structural(found, queries, c, edges))
-    ranks = keyword_rank(queries, postings(c, corpus.fields))
+    ranks = kept(keyword_rank(queries, postings(c, corpus.fields, query_terms(queries).select("term").distinct())), "ranks")
+    if "scope" in queries.columns:
+        ranks = ranks.join(c.select("id", "project"), "id").join(queries.select("qid", "scope"), "qid").where("scope is null or scope = project").select("qid", "id", "rank")
     present = merged(*stages)
     stages.append(distances(keyword_candidates(ranks, present).select("qid", "id"), queries, c))
     if not corpus.graded:
@@ -221,27 +297,25 @@ def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Colum
 
 def exact_id(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:
     """Chunks whose doc_id or path contains the id that a query names; doc_id hits first, then path, then id."""
-    from ..functions.scalars import first_structured_id
-
-    ids = queries.select("qid", first_structured_id(F.col("query")).alias("wanted")).where("wanted is not null")
-    like = F.concat(F.lit("%"), F.col("wanted"), F.lit("%"))
-    hit = chunks.select("id", "doc_id", "file_path").join(broadcast_if_small(ids), F.ilike("doc_id", like) | F.ilike("file_path", like))
-    rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.when(F.ilike("doc_id", like), 0).otherwise(1), "file_path", "id"))
+    ids = queries.select("qid", first_structured_id(F.col("query")).alias("word")).where("word is not null")
+    hit = containing(chunks.select("id", "doc_id", "file_path"), ["doc_id", "file_path"], ids).distinct()
+    first = F.when(F.ilike("doc_id", F.concat(F.lit("%"), F.col("word"), F.lit("%"))), 0).otherwise(1)
+    rn = F.row_number().over(Window.partitionBy("qid").orderBy(first, "file_path", "id"))
     return hit.withColumn("rn", rn).where(F.col("rn") <= limit)
 
 
-def recall(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:
-    """(qid, id, doc_id, file_path, title, section, score, via, rn), one shape on every path.
+def recall(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Column, limit: int = 5, **options) -> DataFrame:
+    """(qid, id, doc_id, file_path, title, section, score, via, rn), one shape on every path, of queries(qid, qvec, query, mode).
 
-    A query that names an id is looked up by it, even if nothing is found; all others go by meaning. The hybrid path is
-    ``hybrid``, in the same shape by ``shaped``.
+    A query that names an id is looked up by it, even if nothing is found; of the others, those of mode 'hybrid' take the whole
+    pipeline and all else go by meaning. A query may have a ``scope``: the project that it is confined to.
     """
-    from ..functions.scalars import first_structured_id
-
     named = first_structured_id(F.col("query")).isNotNull()
+    mixed = F.coalesce(F.col("mode") == "hybrid", F.lit(False))
     exact = exact_id(queries.where(named), chunks, limit).select("qid", "id", F.lit(1.0).alias("score"), F.lit("exact-id").alias("via"), "rn")
-    near = semantic(queries.where(~named), chunks, limit).select("qid", "id", (1 - F.col("distance")).alias("score"), F.lit("semantic").alias("via"), "rn")
-    return shaped(exact.unionByName(near), chunks)
+    near = semantic(queries.where(~named & ~mixed), chunks, limit).select("qid", "id", (1 - F.col("distance")).alias("score"), F.lit("semantic").alias("via"), "rn")
+    both = hybrid(queries.where(~named & mixed), chunks, edges, as_of, limit, **options).select("qid", "id", "score", "via", F.col("rank").alias("rn"))
+    return shaped(exact.unionByName(near).unionByName(both), chunks)
 
 
 def shaped(results: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -130,7 +130,8 @@ def f8(spark, d):
     return _ranked(spark, d, base())
 
 
-_RANK = """sim as (select qid, fact_id, coalesce(list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))), 0) * {w} as score from q join facts on workspace_id = qproject)
+_RANK = """fsim as (select qid, fact_id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as s from q join (select * from facts where embedding is not null) on workspace_id = qproject),
+sim as (select qid, fact_id, coalesce(s, 0) * {w} as score from q join facts on workspace_id = qproject left join fsim using (qid, fact_id))
 select qid, fact_id, round(score, 6) as score, rn from (select *, row_number() over (partition by qid order by score desc, fact_id) as rn from sim) where rn <= 5"""
 _WEEKS = f"greatest(0, floor((epoch_us(timestamp '{BASE}') - epoch_us(updated_at))::double / 604800000000))"
 

@@ -11,15 +11,15 @@ _STOP = ", ".join(f"'{w}'" for w in R.STOPPED)
 _LIVE = "status is null or status <> 'archived'"
 _CTE = f"""
 live as (select * from chunks where {_LIVE}),
-dist as (select qid, id, doc_id, 1 - list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as distance from q, live),
+dist as (select qid, id, doc_id, 1 - list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as distance from q, live where embedding is not null),
 sem as (select * from (select *, row_number() over (partition by qid order by distance, id) as rn from dist) where rn <= {R.SEMANTIC}),
 target as (select distinct s.qid, e.target_id as doc_id from sem s join edges e on e.source_id = s.doc_id where s.rn <= {R.SEEDS} and e.target_id is not null),
 struct_ as (select d.* from dist d join target t on d.qid = t.qid and d.doc_id = t.doc_id where not exists (select 1 from sem s where s.qid = t.qid and s.doc_id = t.doc_id)),
-term as (select distinct qid, t as term from (select qid, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) as t from q) where t not in ({_STOP})),
+term as (select distinct qid, t as term from (select qid, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) as t from q) where t not in ({_STOP})),
 post as (
   select id, t as term, sum(w) as s from (
-    select id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) as t, 1.0::double as w from live
-    union all select id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')), 0.2::double from live)
+    select id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) as t, 1.0::double as w from live
+    union all select id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')), 0.2::double from live)
   where t not in ({_STOP}) group by all),
 krank as (
   select qid, id, sum(s / (s + 1)) / n as rank from term join post using (term) join (select qid, count(*) as n from term group by qid) using (qid)
@@ -72,7 +72,7 @@ def c4(spark, d):
 
 def c5(spark, d):
     q, c, _ = _in(spark, d)
-    return R.keyword_rank(q, R.postings(R.live(c))).select("qid", "id", F.round("rank", 6).alias("rank"))
+    return R.keyword_rank(q, R.postings(R.live(c), wanted=R.query_terms(q).select("term").distinct())).select("qid", "id", F.round("rank", 6).alias("rank"))
 
 
 def c6(spark, d):
@@ -88,7 +88,7 @@ def c8(spark, d):
 
 
 def c14(spark, d):
-    return R.postings(chunks(spark, d)).select("id", "term", F.round("s", 6).alias("s"))
+    return R.postings(chunks(spark, d), ("title", "keywords", "description", "content")).select("id", "term", F.round("s", 6).alias("s"))
 
 
 def _hybrid(spark, d):
@@ -126,9 +126,19 @@ def c7(spark, d):
 
 
 def c12(spark, d):
-    q = recall_queries(spark, d)
-    q = q.withColumn("query", F.when(F.col("qid") % 100 == 0, F.concat(F.lit("see F"), F.col("qid") % 7)).otherwise(F.col("query")))
-    return R.recall(q, chunks(spark, d)).select("qid", "id", "doc_id", "title", "section", "via", "rn", F.round("score", 6).alias("score"))
+    """Ids for every second query, the whole pipeline for some, meaning within a project or a workspace's project for others."""
+    q, c, e = _in(spark, d)
+    i = F.col("qid")
+    q = q.withColumn("query", F.when(i % 100 == 0, F.concat(F.lit("see F"), i % 7)).otherwise(F.col("query")))
+    q = q.withColumn("mode", F.when(i % 150 == 50, "hybrid").otherwise("auto")).withColumn("scope", R.scoped(F.when(i % 350 == 50, "de"), F.when(i % 250 == 50, F.col("qproject"))))
+    return R.recall(q, c, e, base()).select("qid", "id", "doc_id", "title", "section", "via", "rn", F.round("score", 6).alias("score"))
+
+
+def c15_flat(spark, d):
+    """A corpus of flat matches, archived chunks included, without graph and decay, above a threshold."""
+    q, c, e = _in(spark, d)
+    r = R.hybrid(q, c, e, base(), include_archived=True, expand=False, decay=False, threshold=1.1, corpus=R.Corpus(fields=("title",), graded=False))
+    return r.select("qid", "id", "via", "rank", F.round("score", 6).alias("score"))
 
 
 def c15m(spark, d):
@@ -137,31 +147,39 @@ def c15m(spark, d):
 
 
 QUERIES = {
-    "c7_memory_candidates": c7, "c12_dispatch": c12, "c15_with_memory": c15m,
+    "c7_memory_candidates": c7, "c12_dispatch": c12, "c15_with_memory": c15m, "c15_flat_corpus": c15_flat,
     "b1_metadata_filters": b1, "b3_exact_lookup": b3, "c1_semantic_candidates": c1, "c2_semantic_search": c2, "c3_structural": c3, "c4_keyword_candidates": c4,
     "c5_keyword_rank": c5, "c6_flat_keyword": c6, "c8_priority_merge": c8, "c11_confidence": c11, "c14_text_index": c14, "c15_hybrid_recall": c15,
 }
 _tail = lambda body: sql(_V, _CTE + body)
-_MEM = f"""msim as (select qid, fact_id, coalesce(list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))), 0)
-  * confidence * power(0.95::double, greatest(0, floor((epoch_us(timestamp '{BASE}') - epoch_us(updated_at))::double / 604800000000))) as score from q join facts on workspace_id = qproject),
+_MEM = f"""fsim as (select qid, fact_id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as s from q join (select * from facts where embedding is not null) on workspace_id = qproject),
+msim as (select qid, fact_id, coalesce(s, 0) * confidence * power(0.95::double, greatest(0, floor((epoch_us(timestamp '{BASE}') - epoch_us(updated_at))::double / 604800000000))) as score
+  from q join facts on workspace_id = qproject left join fsim using (qid, fact_id)),
 mem as (select qid, -1 - fact_id as id, 1 - score as distance from (select *, row_number() over (partition by qid order by score desc, fact_id) as rn from msim) where rn <= {R.MEMORY})"""
 ORACLE_SQL = {
     "c7_memory_candidates": sql("chunks q facts", _MEM + " select qid, id, round(distance, 6) as distance from mem"),
     "c15_with_memory": sql("chunks q edges facts", _CTE.rstrip() + ",\n" + _MEM + """, every as (select qid, id, via, file_path, score from fuse where score >= 0 union all select qid, id, 'memory', null, 1 - distance from mem where distance <= 1),
 kept2 as (select *, case when file_path is not null and row_number() over (partition by qid, file_path order by score desc, id) > 2 then 1 else 0 end as over_ from every)
 select qid, id, via, rank, round(score, 6) as score from (select *, row_number() over (partition by qid order by over_, score desc, id) as rank from kept2) where rank <= 10"""),
-    "c12_dispatch": sql("chunks q", """want as (select qid, 'F' || (qid % 7) as wanted from q where qid % 100 = 0),
-ex as (select qid, id, 1.0::double as score, 'exact-id' as via, row_number() over (partition by qid order by case when doc_id ilike '%' || wanted || '%' then 0 else 1 end, file_path, id) as rn
-  from chunks, want where doc_id ilike '%' || wanted || '%' or file_path ilike '%' || wanted || '%'),
-d as (select qid, id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as score from q, chunks where qid % 100 <> 0),
-r as (select * from ex union all select qid, id, score, 'semantic', row_number() over (partition by qid order by score desc, id) from d)
-select qid, r.id, doc_id, title, section, via, rn, round(score, 6) as score from r join chunks c on c.id = r.id where rn <= 5"""),
+    "c12_dispatch": None,
+    "c15_flat_corpus": sql("chunks q", f"""d as (select qid, id, file_path, 1 - list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as distance from q, chunks where embedding is not null),
+sem as (select * from (select *, row_number() over (partition by qid order by distance, id) as rn from d) where rn <= {R.SEMANTIC}),
+term as (select distinct qid, t as term from (select qid, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}]+')) as t from q) where t not in ({_STOP})),
+post as (select id, t as term, count(*)::double as s from (select id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) as t from chunks) group by all),
+krank as (select qid, id, sum(s / (s + 1)) / n as rank from term join post using (term) join (select qid, count(*) as n from term group by qid) using (qid) group by qid, id, n having count(*) = n),
+kw as (select * from (select k.*, row_number() over (partition by qid order by rank desc, id) as rn from krank k where not exists (select 1 from sem s where s.qid = k.qid and s.id = k.id)) where rn <= {R.KEYWORD}),
+cand as (select qid, id, distance, file_path, 'semantic' as via from sem union all select kw.qid, kw.id, d.distance, file_path, 'keyword' from kw join d using (qid, id)),
+w as (select distinct qid, regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') as word from (select qid, unnest(string_split(query, ' ')) as x from q)),
+fl as (select distinct qid, id from w, chunks where word <> '' and content ilike '%' || word || '%'),
+fuse as (select c.*, 1 - distance + case when fl.id is not null then {R.FLAT_BOOST}::double else 0 end as score from cand c left join fl using (qid, id)),
+kept as (select *, case when row_number() over (partition by qid, file_path order by score desc, id) > 2 then 1 else 0 end as over_ from fuse where score >= 1.1)
+select qid, id, via, rank, round(score, 6) as score from (select *, row_number() over (partition by qid order by over_, score desc, id) as rank from kept) where rank <= 10"""),
     "b1_metadata_filters": sql("chunks", f"select id, project, title, status from chunks where ({_LIVE}) and project = 'en' and list_contains(layer, 'src1')"),
     "b3_exact_lookup": sql("chunks", """want as (select id as qid, 'F' || (id % 7) as wanted from chunks where id % 50 = 0)
 select qid, id, rn from (select qid, id, row_number() over (partition by qid order by case when doc_id ilike '%' || wanted || '%' then 0 else 1 end, file_path, id) as rn
  from chunks, want where doc_id ilike '%' || wanted || '%' or file_path ilike '%' || wanted || '%') where rn <= 5"""),
     "c1_semantic_candidates": _tail("select qid, id, round(distance, 6) as distance, rn from sem"),
-    "c2_semantic_search": sql("chunks q", """d as (select qid, id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as s from q, chunks)
+    "c2_semantic_search": sql("chunks q", """d as (select qid, id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as s from q, chunks where embedding is not null)
 select qid, id, round(s, 6) as score, rn from (select *, row_number() over (partition by qid order by s desc, id) as rn from d) where rn <= 5"""),
     "c3_structural": _tail("select qid, id, round(distance, 6) as distance from struct_"),
     "c4_keyword_candidates": _tail("select qid, id, round(rank, 6) as rank, rn from kw"),
@@ -171,7 +189,18 @@ select distinct qid, id from w, chunks where word <> '' and content ilike '%' ||
     "c8_priority_merge": _tail("select qid, via, count(*) as n from cand where via <> 'keyword' group by all"),
     "c11_confidence": _tail("select qid, round(confidence, 6) as confidence from conf"),
     "c14_text_index": sql("chunks", f"""select id, term, round(sum(w), 6) as s from (
-    select id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) as term, 1.0::double as w from chunks
-    union all select id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')), 0.2::double from chunks) where term not in ({_STOP}) group by id, term"""),
+    select id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) as term, 1.0::double as w from chunks
+    union all select id, unnest(regexp_extract_all(lower(array_to_string(keywords, ' ')), '[\\p{{L}}\\p{{N}}]+')), 1.0::double from chunks
+    union all select id, unnest(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}]+')), 0.4::double from chunks
+    union all select id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')), 0.2::double from chunks) where term not in ({_STOP}) group by id, term"""),
     "c15_hybrid_recall": _tail("select qid, id, doc_id, file_path, via, rank, round(score, 6) as score from final"),
 }
+_q_hybrid = "qid % 100 <> 0 and qid % 150 = 50"
+_scope = "case when qid % 350 = 50 then 'de' when qid % 250 = 50 then qproject end"
+ORACLE_SQL["c12_dispatch"] = sql(_V, _CTE.replace("from q, live where embedding is not null)", f"from q, live where embedding is not null and {_q_hybrid} and coalesce({_scope}, project) = project)").replace("row_number() over (partition by qid order by over_, score desc, id) as rank from kept) where rank <= 10", "row_number() over (partition by qid order by over_, score desc, id) as rank from kept) where rank <= 5").rstrip() + f""",
+want as (select qid, 'F' || (qid % 7) as wanted from q where qid % 100 = 0),
+ex as (select qid, id, 1.0::double as score, 'exact-id' as via, row_number() over (partition by qid order by case when doc_id ilike '%' || wanted || '%' then 0 else 1 end, file_path, id) as rn
+  from chunks, want where doc_id ilike '%' || wanted || '%' or file_path ilike '%' || wanted || '%'),
+d as (select qid, id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as score from q, chunks where embedding is not null and qid % 100 <> 0 and not ({_q_hybrid}) and coalesce({_scope}, project) = project),
+r as (select * from ex union all select qid, id, score, 'semantic', row_number() over (partition by qid order by score desc, id) from d union all select qid, id, score, via, rank from final)
+select qid, r.id, doc_id, title, section, via, rn, round(score, 6) as score from r join chunks c on c.id = r.id where rn <= 5""")

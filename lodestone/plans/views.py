@@ -24,12 +24,12 @@ def days(n) -> F.Column:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    d = e.join(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").join(e, "doc_id", "left")  # a document without a vector is a chunk too
     i = F.col("doc_id")
     return d.select(
         i.alias("id"),
         F.concat(F.lit("d"), i).alias("doc_id"),
-        F.concat(F.lit("docs/f"), "label", F.lit(".md")).alias("file_path"),
+        F.concat(F.lit("docs/f"), F.coalesce("label", i % 12), F.lit(".md")).alias("file_path"),
         F.concat(F.lit("s"), i % 7).alias("section"),
         F.col("lang").alias("project"),
         F.col("source").alias("title"),
@@ -39,32 +39,34 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 17 == 0, "client").alias("client_slug"),
         F.when(i % 3 == 0, F.lit("m1")).when(i % 3 == 1, F.lit("m2")).alias("embedding_model"),
         F.array("lang", "source").alias("layer"),
+        F.concat(F.lit("from "), "source", F.lit(" in "), "lang").alias("description"),
+        F.array(F.concat(F.lit("k"), i % 5), F.lit("été")).alias("keywords"),
         F.col("text").alias("content"),
         "embedding",
     )
 
 
 CHUNKS = f"""chunks as (
-  select doc_id as id, 'd' || doc_id as doc_id, 'docs/f' || label || '.md' as file_path, 's' || (doc_id % 7) as section, lang as project, source as title,
+  select doc_id as id, 'd' || doc_id as doc_id, 'docs/f' || coalesce(label, doc_id % 12) || '.md' as file_path, 's' || (doc_id % 7) as section, lang as project, source as title,
     case when doc_id % 5 = 0 then null when doc_id % 11 = 0 then 'archived' else 'active' end as status,
     case when doc_id % 13 <> 0 then timestamp '{BASE}' - to_days((doc_id % 100)::int) end as authored_at,
     timestamp '{BASE}' - to_days((doc_id % 30)::int) as indexed_at,
     case when doc_id % 17 = 0 then 'client' end as client_slug,
     case when doc_id % 3 = 0 then 'm1' when doc_id % 3 = 1 then 'm2' end as embedding_model,
-    [lang, source] as layer, text as content, embedding::double[] as embedding
-  from (select vec_id as doc_id, embedding, label from embeddings) join documents using (doc_id))"""
+    [lang, source] as layer, 'from ' || source || ' in ' || lang as description, ['k' || (doc_id % 5), 'été'] as keywords, text as content, embedding::double[] as embedding
+  from documents left join (select vec_id as doc_id, embedding, label from embeddings) using (doc_id))"""
 
 
 def recall_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 50; two words of its text make the query's text."""
-    c = chunks(spark, sf_dir).where("id % 50 = 0")
+    c = chunks(spark, sf_dir).where("id % 50 = 0 and embedding is not null")
     t = tokens(F.col("content"))
     return c.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"), F.concat_ws(" ", F.get(t, F.lit(3)), F.get(t, F.lit(6))).alias("query"), F.col("project").alias("qproject"))
 
 
 QUERIES = """q as (
   select id as qid, embedding as qvec, concat_ws(' ', t[4], t[7]) as query, project as qproject
-  from (select *, regexp_extract_all(lower(content), '[a-z0-9]+') as t from chunks where id % 50 = 0))"""
+  from (select *, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') as t from chunks where id % 50 = 0 and embedding is not null))"""
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

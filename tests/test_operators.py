@@ -146,7 +146,7 @@ def test_windows_overlap(spark):
 
 def test_content_chunks_positions(spark):
     got = chunking.content_chunks(spark.createDataFrame([(1, "pre\n# A\nbody\n## B\n")], "doc_id long, body string")).orderBy("position").collect()
-    assert [(r["position"], r["is_section_title"], r["content"]) for r in got] == [(0, False, "pre"), (1, True, "A"), (2, False, "body"), (3, True, "B")]
+    assert [(r["position"], r["is_section_title"], r["content"]) for r in got] == [(0, False, "pre\n"), (1, True, "A"), (2, False, "\nbody\n"), (3, True, "B")]
 
 
 def test_frontmatter(spark):
