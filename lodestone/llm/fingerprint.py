@@ -49,10 +49,10 @@ def with_known(docs: DataFrame, text: str, name: str, band: DataFrame, small: bo
         for r in band.select("t", slot(F.col("t")).alias("s")).collect():
             slots[r["s"]].append(r["t"])
         table_ = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False, separators=(",", ":"))), "array<array<string>>")
-        return docs.withColumn(name, F.array_sort(F.filter(terms(F.col(text)), lambda t: F.array_contains(F.get(table_, slot(t)), t))))
+        return docs.withColumn(name, F.sort_array(F.filter(terms(F.col(text)), lambda t: F.array_contains(F.get(table_, slot(t)), t))))
     rows = docs.withColumn("__row", F.monotonically_increasing_id())
     rows = stored(rows, "texts")  # the numbers have to stay as they are
-    found = rows.select("__row", F.explode(terms(F.col(text))).alias("t")).join(band, "t").groupBy("__row").agg(F.array_sort(F.collect_list("t")).alias(name))
+    found = rows.select("__row", F.explode(terms(F.col(text))).alias("t")).join(band, "t").groupBy("__row").agg(F.sort_array(F.collect_list("t")).alias(name))
     return rows.join(found, "__row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("__row")
 
 
