@@ -134,7 +134,8 @@ def parsed_time(text: Column) -> Column:
     """The time that an ISO 8601 text names (Z, an offset or none, which is UTC); null for anything else."""
     whole = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
     zoned = F.when(text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$") & text.contains(":"), text).otherwise(F.concat(text, F.when(text.contains(":"), "Z").otherwise("T00:00:00Z")))
-    return F.when(text.rlike(whole), F.regexp_replace(zoned, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp"))
+    full = F.regexp_replace(F.regexp_replace(zoned, r"([T ]\d{2}:\d{2})(?=Z|[+-])", "$1:00"), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    return F.when(text.rlike(whole), full.try_cast("timestamp"))
 
 
 def window_hours(text: Column) -> Column:

@@ -79,12 +79,16 @@ def after_rebuild(index: DataFrame, manifest: DataFrame, workspace: str | None =
     return x.where(~gone).select(*index.columns)
 
 
-def pruned(index: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(index without paths' rows, counts): rows with a client stay and count as protected."""
+def pruned(index: DataFrame, paths: DataFrame, project: str | None = None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(index without paths' rows, counts): rows with a client stay and count as protected.
+
+    With a project, only its rows go; in a dry run none go, and the counts tell what would.
+    """
     hit = index.join(paths.select(F.col("path").alias("file_path")).distinct().withColumn("hit", F.lit(True)), "file_path", "left")
-    gone = F.col("hit").isNotNull() & F.col("client_slug").isNull()
-    counts = hit.agg(F.count_if(gone).alias("deleted"), F.count_if(F.col("hit").isNotNull() & F.col("client_slug").isNotNull()).alias("protected"))
-    return hit.where(~gone).select(*index.columns), counts
+    mine = F.col("hit").isNotNull() & (F.lit(True) if project is None else F.col("project").eqNullSafe(F.lit(project)))
+    gone = mine & F.col("client_slug").isNull()
+    counts = hit.agg(F.count_if(gone).alias("deleted"), F.count_if(mine & F.col("client_slug").isNotNull()).alias("protected"))
+    return index if dry_run else hit.where(~gone).select(*index.columns), counts
 
 
 def quarantined(failed: DataFrame, index: DataFrame) -> DataFrame:
@@ -93,25 +97,77 @@ def quarantined(failed: DataFrame, index: DataFrame) -> DataFrame:
     return failed.select("path").join(n, "path", "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"))
 
 
+def without_quarantined(index: DataFrame, failed: DataFrame) -> DataFrame:
+    """index without the old rows of files that failed to parse, for those who ask for it."""
+    return index.join(failed.select(F.col("path").alias("file_path")), "file_path", "left_anti").select(*index.columns)
+
+
 def backfilled(index: DataFrame, files: DataFrame) -> DataFrame:
-    """index with authored_at from the files' times."""
-    m = files.select(F.col("path").alias("file_path"), "mtime")
-    return index.join(m, "file_path", "left").withColumn("authored_at", F.coalesce("mtime", "authored_at")).drop("mtime").select(*index.columns)
+    """index with authored_at from the files' times. Where files have a project, only rows of that project are filled, null being one too."""
+    keys = ["file_path", "project"] if "project" in files.columns else ["file_path"]
+    m = files.withColumnRenamed("path", "file_path").groupBy(*keys).agg(F.max("mtime").alias("mtime"))
+    i, m = index.alias("i"), m.alias("m")
+    on = F.col("i.file_path") == F.col("m.file_path")
+    on = on & F.col("i.project").eqNullSafe(F.col("m.project")) if "project" in keys else on
+    return i.join(m, on, "left").select(*[F.coalesce("m.mtime", "i.authored_at").alias(c) if c == "authored_at" else F.col(f"i.{c}") for c in index.columns])
 
 
-def restricted(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(files named by wanted, names outside the corpus)."""
-    return files.join(wanted, "path", "left_semi"), wanted.join(files, "path", "left_anti")
+def restricted(files: DataFrame, wanted: DataFrame | None = None, first: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(files named by wanted, names outside the corpus), or the first files in order of their paths."""
+    inside, outside = (files, files.limit(0).select("path")) if wanted is None else (files.join(wanted, "path", "left_semi"), wanted.join(files, "path", "left_anti"))
+    return inside if first is None else inside.orderBy("path").limit(first), outside
 
 
 def ingested(artifacts: DataFrame, size: int = 500, overlap: int = 50) -> DataFrame:
     """Chunks of artifacts(type, id, content, section) under a synthetic path; a given section keeps the text whole."""
     from .chunking import sections, windows
 
+    keep = [c for c in ("project", "title", "description") if c in artifacts.columns]
     a = artifacts.withColumn("path", F.concat(F.lit("ingested/"), "type", F.lit("/"), "id", F.lit(".md")))
-    cut = sections(a.where("section is null"), "path", "content").select("path", "no", "section", "content")
-    whole = a.where("section is not null").select("path", F.lit(0).alias("no"), "section", "content")
-    return windows(cut.union(whole), "content", ["path", "no", "section"], size, overlap)
+    a = a.withColumn("own", F.struct("path", F.col("type"), *keep))
+    cut = sections(a.where("section is null"), "own", "content").select("own", "no", "section", "content")
+    whole = a.where("section is not null").select("own", F.lit(0).alias("no"), "section", "content")
+    w = windows(cut.union(whole), "content", ["own", "no", "section"], size, overlap)
+    return w.select("own.path", *[f"own.{c}" for c in keep and ["type", *keep]], "no", "section", "window", "content")
+
+
+def ingest(index: DataFrame, artifacts: DataFrame, embed_batch, width: int, stamp: str) -> tuple[DataFrame, DataFrame]:
+    """(index, counts): artifacts(type, id, content, section, project, title, description) are cut, embedded and replace what was there.
+
+    The vector is that of the context prefix and the chunk, of which only the chunk is kept. A group is a path and section,
+    within a project where the artifact has one. counts: (path, chunks). index needs file_path, section, project and the columns of the chunks.
+    """
+    from .chunking import context_prefix, embedded
+
+    c = ingested(artifacts)
+    prefix = context_prefix({"type": F.col("type"), "title": F.col("title"), "description": F.col("description"), "project": F.col("project")})
+    rows = embedded(c.withColumn("__text", F.concat(prefix, "content")), "__text", embed_batch, width, stamp).drop("__text")
+    rows = rows.withColumnRenamed("path", "file_path").select(*index.columns)
+    new = rows.select("file_path", "section", F.col("project").alias("__p")).distinct()
+    i = index.join(new.alias("n"), (index["file_path"] == F.col("n.file_path")) & (index["section"] == F.col("n.section")) & (F.col("n.__p").isNull() | (index["project"] == F.col("n.__p"))), "left_anti")
+    return i.unionByName(rows), rows.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"))
+
+
+def store_chunks(chunks: DataFrame, path: str, buckets: int = 16) -> int:
+    """Append chunks(doc_id, position, ...) to a folder dealt by a hash of doc_id; how many were written."""
+    chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
+    return chunks.count()
+
+
+def refresh(index: DataFrame, files: DataFrame, chunked, failed: DataFrame, load_edges=None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(index, summary): files that are due are cut by ``chunked(files)`` and replace their groups, then the edges are loaded.
+
+    Files that failed to parse keep their rows and make the run a failure. A dry run changes nothing and skips the edges.
+    summary: dry_run, due, chunks, failed, success, exit_code, edges (null where skipped).
+    """
+    due = to_index(files, index).join(failed.select("path"), "path", "left_anti")
+    new = chunked(due)
+    edges = None if dry_run or load_edges is None else load_edges()
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    one = count(due, "due").join(F.broadcast(count(new, "chunks"))).join(F.broadcast(count(failed, "failed")))  # one row each
+    ok = F.col("failed") == 0
+    summary = one.select(F.lit(dry_run).alias("dry_run"), "due", "chunks", "failed", ok.alias("success"), F.when(ok, 0).otherwise(1).alias("exit_code"), F.lit(edges).cast("long").alias("edges"))
+    return index if dry_run else replaced(index, new, ["file_path", "section"]), summary
 
 
 class Repository:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import VersionedTable, shared_dir
 
 
 def load_edges(payload: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -14,6 +14,54 @@ def load_edges(payload: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFra
     return payload.join(known, "source_id", "left_semi"), payload.join(known, "source_id", "left_anti")
 
 
+VERSION = "2"
+NODE = "id string, doc_id string, scope string"
+EDGE = "`from` string, to_ref string, target_node_id string, target_doc_id string, kind string"
+_PAYLOAD = f"version string, nodes array<struct<{NODE}>>, edges array<struct<{EDGE}>>"
+
+
+def read_payloads(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(payload): a JSON text for each line, or with ``whole`` for each file."""
+    return spark.read.text(path, wholetext=whole).withColumnRenamed("value", "payload")
+
+
+def payload_fault(payload: Column) -> Column:
+    """Why a payload can't be loaded, or null: no object, keys that are missing, nodes or edges that are no list, another version."""
+    keys = F.json_object_keys(payload)
+    missing = F.array_except(F.array(F.lit("version"), F.lit("nodes"), F.lit("edges")), keys)
+    array = lambda k: F.startswith(F.get_json_object(payload, f"$.{k}"), F.lit("["))
+    bad = lambda k: ~F.coalesce(array(k), F.lit(False))
+    version = F.get_json_object(payload, "$.version")
+    return (
+        F.when(keys.isNull(), "no object").when(F.size(missing) > 0, F.concat(F.lit("missing "), F.array_join(missing, ", "))).when(bad("nodes"), "nodes is no list").when(bad("edges"), "edges is no list")
+        .when(~F.coalesce(version == VERSION, F.lit(False)), F.concat(F.lit("version "), F.coalesce(version, F.lit("null"))))
+    )
+
+
+def edge_rows(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, skipped, rejected) of payloads(payload).
+
+    rows: source_node_id, source_doc_id, to_ref, target_node_id, target_doc_id, kind, scope; targets may be missing, a missing
+    kind is 'related'. skipped: edges whose source is no node of the payload. rejected: payloads with their fault.
+    """
+    x = payloads.withColumn("fault", payload_fault(F.col("payload")))
+    rejected = x.where("fault is not null")
+    p = x.where("fault is null").select(F.monotonically_increasing_id().alias("no"), F.from_json("payload", _PAYLOAD).alias("p"))
+    nodes = p.select("no", F.inline("p.nodes")).where("id is not null").groupBy("no", F.col("id").alias("from")).agg(F.max_by(F.struct("doc_id", "scope"), F.struct("doc_id", "scope")).alias("source"))
+    e = p.select("no", F.inline("p.edges")).join(nodes, ["no", "from"], "left")
+    rows = e.where("source is not null").select(F.col("from").alias("source_node_id"), F.col("source.doc_id").alias("source_doc_id"), "to_ref", "target_node_id", "target_doc_id", F.coalesce("kind", F.lit("related")).alias("kind"), "source.scope")
+    return rows, e.where("source is null").drop("no", "source"), rejected
+
+
+def reload_edges(table: VersionedTable, payloads: DataFrame) -> int:
+    """Clear and reload: the rows of the payloads become the table's next version. A payload with a fault stops it."""
+    rows, _, rejected = edge_rows(payloads)
+    if bad := rejected.select("fault").limit(1).collect():
+        raise ValueError(f"payload: {bad[0]['fault']}")
+    table.write(rows)
+    return table.read().count()
+
+
 def walk(roots: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(root, node, level): breadth-first walks from many roots at once, each node at its least level.
 

@@ -64,11 +64,14 @@ def context_budget(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def consolidation_context(peers: DataFrame, episodes: DataFrame, facts: DataFrame, since: Column) -> DataFrame:
-    """For each peer: its episodes since a time in order, and all its facts. Lists hold ids, texts stay in their tables."""
-    e = episodes.where(F.col("occurred_at") >= since).groupBy("peer_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("occurred_at", "episode_id"))), lambda s: s["episode_id"]).alias("episodes"))
-    f = facts.groupBy("peer_id").agg(F.array_sort(F.collect_list("fact_id")).alias("facts"))
-    none = F.array().cast("array<bigint>")
-    return peers.join(e, "peer_id", "left").join(f, "peer_id", "left").select("peer_id", F.coalesce("episodes", none).alias("episodes"), F.coalesce("facts", none).alias("facts"))
+    """(peer_id, representation, kind, id, at, text): each peer's episodes since a time and all its facts, a row each.
+
+    A peer's context in order is its rows by kind, at, id; a peer without either has one row of no kind. Rows are never gathered,
+    however many a peer has.
+    """
+    e = episodes.where(F.col("occurred_at") >= since).select("peer_id", F.lit("episode").alias("kind"), F.col("episode_id").alias("id"), F.col("occurred_at").alias("at"), F.col("summary").alias("text"))
+    f = facts.select("peer_id", F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), F.lit(None).cast("timestamp").alias("at"), F.col("fact").alias("text"))
+    return peers.select("peer_id", "representation").join(e.unionByName(f), "peer_id", "left")
 
 
 def consolidation_apply(peers: DataFrame, facts: DataFrame, results: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -84,8 +87,12 @@ def consolidation_apply(peers: DataFrame, facts: DataFrame, results: DataFrame,
     return p, old, new
 
 
-def interaction_rows(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(episodes, facts) of records(episode_id, peer_id, summary, occurred_at, facts array<string>): facts cite their episode."""
-    e = records.select("episode_id", "peer_id", "summary", "occurred_at")
+def interaction_rows(records: DataFrame, as_of: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(episodes, facts) of records(episode_id, peer_id, summary, occurred_at, facts array<string>): facts cite their episode.
+
+    Tags and vectors stay with the episode where records have them; an episode without a time took place at ``as_of``.
+    """
+    more = [c for c in ("tags", "embedding") if c in records.columns]
+    e = records.select("episode_id", "peer_id", "summary", F.coalesce("occurred_at", *[as_of] * (as_of is not None)).alias("occurred_at"), *more)
     f = records.select("peer_id", F.explode("facts").alias("fact"), F.array(F.col("episode_id")).alias("evidence"), F.lit(CONFIDENCE).alias("confidence"), F.lit(FACTOR).alias("decay_factor"))
     return e, f

@@ -33,9 +33,16 @@ def active(runs: DataFrame) -> DataFrame:
 
 
 def node_rows(runs: DataFrame) -> DataFrame:
-    """(run_id, node, status, seconds): one row a node run."""
+    """(run_id, node, status, seconds, error, input, input_tokens, output_tokens, model): one row a node run.
+
+    What a node does not record (its struct has no such field) is null.
+    """
+    fields = {f.name for f in runs.schema["node_runs"].dataType.elementType.fields}
     x = runs.select("run_id", F.explode("node_runs").alias("n"))
-    return x.select("run_id", "n.node", "n.status", ((F.unix_micros("n.completed_at") - F.unix_micros("n.started_at")) / 1_000_000).alias("seconds"))
+    some = lambda f, kind: (F.col(f"n.{f}") if f in fields else F.lit(None)).cast(kind).alias(f)
+    used = lambda f, kind: (F.col(f"n.usage.{f}") if "usage" in fields else F.lit(None)).cast(kind).alias(f)
+    seconds = ((F.unix_micros("n.completed_at") - F.unix_micros("n.started_at")) / 1_000_000).alias("seconds")
+    return x.select("run_id", "n.node", "n.status", seconds, some("error", "string"), some("input", "string"), used("input_tokens", "long"), used("output_tokens", "long"), used("model", "string"))
 
 
 def mark_failed(runs: DataFrame, why: Column) -> DataFrame:

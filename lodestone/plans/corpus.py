@@ -51,12 +51,12 @@ def _front(spark, d):
     """documents with a YAML block; every ninth is malformed."""
     i = F.col("doc_id")
     block = F.concat(F.lit("---\ntitle: T"), i, F.lit("\nlayer: ["), "lang", F.lit(", Research]\nstatus: ' Active '\nkeywords: "), F.when(i % 2 == 0, "[]").otherwise(F.concat(F.lit("k"), i % 5)), F.when(i % 9 == 0, "\n: [bad").otherwise(""), F.lit("\n---\n"))
-    return read(spark, d, "documents").select(F.concat(F.lit("docs/x"), i, F.lit(".md")).alias("path"), F.concat(block, F.substring("text", 1, 50)).alias("content"))
+    return read(spark, d, "documents").select(F.concat(F.lit("docs/x"), i, F.lit(".md")).alias("path"), F.concat(block, F.coalesce("text", F.lit(""))).alias("content"))
 
 
 def a6(spark, d):
     p = K.normalised(K.parse_documents(_front(spark, d)))
-    return p.select("path", "doc_id", "title", F.array_join("layer", ",").alias("layer"), "status", F.array_join("keywords", ",").alias("keywords"), F.array_join("unknown_layers", ",").alias("unknown"), F.col("parse_error").isNotNull().alias("failed"))
+    return p.select("path", "doc_id", "title", F.array_join("layer", ",").alias("layer"), "status", F.array_join("keywords", ",").alias("keywords"), F.array_join("unknown_layers", ",").alias("unknown"), F.col("parse_error").isNotNull().alias("failed"), F.when(F.col("parse_error").isNull(), F.sha2("body", 256)).alias("body_sha256"))
 
 
 def a8(spark, d):
@@ -106,26 +106,66 @@ def _paths(spark, d):
 
 
 def a17(spark, d):
-    return C.pruned(chunks(spark, d), _paths(spark, d))[1]
+    """What stays, by the kind of the prune: of all projects, of one, and in a dry run."""
+    c, p = chunks(spark, d), _paths(spark, d)
+    kinds = {"all": C.pruned(c, p), "en": C.pruned(c, p, "en"), "dry": C.pruned(c, p, dry_run=True)}
+    out = None
+    for k, (kept, counts) in kinds.items():
+        x = kept.select(F.lit(k).alias("kind"), "id").unionByName(counts.select(F.lit(k).alias("kind"), F.explode(F.array((-1 - F.col("deleted")), (-1_000_000_000 - F.col("protected")))).alias("id")))
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 def a18(spark, d):
     return C.quarantined(_paths(spark, d), chunks(spark, d))
 
 
+def a18_delete(spark, d):
+    return C.without_quarantined(chunks(spark, d), _paths(spark, d)).select("id", "file_path")
+
+
 def a19(spark, d):
     return C.backfilled(chunks(spark, d), _times(spark, d)).select("id", F.coalesce(F.unix_micros("authored_at"), F.lit(-1)).alias("authored_at"))
 
 
+def a19_project(spark, d):
+    t = _times(spark, d).withColumn("project", F.lit("fr"))
+    return C.backfilled(chunks(spark, d), t).select("id", F.coalesce(F.unix_micros("authored_at"), F.lit(-1)).alias("authored_at"))
+
+
 def a20(spark, d):
-    inside, outside = C.restricted(_times(spark, d).select("path"), _paths(spark, d))
-    return inside.withColumn("known", F.lit(True)).union(outside.withColumn("known", F.lit(False)))
+    """Every third document's file is asked for, and each has a neighbour that isn't in the corpus."""
+    f = _files(spark, d)
+    wanted = f.where("doc_id % 3 = 0").select(F.explode(F.array(F.col("path"), F.concat("path", F.lit(".old")))).alias("path"))
+    inside, outside = C.restricted(f.select("path"), wanted)
+    first, _ = C.restricted(f.select("path"), first=10)
+    return inside.withColumn("known", F.lit("yes")).union(outside.withColumn("known", F.lit("no"))).union(first.withColumn("known", F.lit("first")))
 
 
-def a21(spark, d):
+def _artifacts(spark, d):
     m = markdown(spark, d)
-    a = m.select(F.col("source").alias("type"), F.col("doc_id").cast("string").alias("id"), F.col("body").alias("content"), F.when(F.col("doc_id") % 4 == 0, "given").alias("section"))
-    return C.ingested(a).groupBy("path").agg(F.count("*").alias("chunks"))
+    return m.select(F.col("source").alias("type"), F.col("doc_id").cast("string").alias("id"), F.col("body").alias("content"), F.when(F.col("doc_id") % 4 == 0, "given").alias("section"), F.when(F.col("doc_id") % 3 != 0, F.col("lang")).alias("project"), F.concat(F.lit("T"), "doc_id").alias("title"), F.lit(None).cast("string").alias("description"))
+
+
+def a21(spark, d):
+    """Artifacts over an index that holds older rows of some of them, and rows of another project."""
+    columns = ["file_path", "section", "project", "title", "content", "embedding_model", "window"]
+    a = _artifacts(spark, d)
+    old = a.where("cast(id as bigint) % 8 = 0").select(F.concat(F.lit("ingested/"), "type", F.lit("/"), "id", F.lit(".md")).alias("file_path"), "section", F.explode(F.array("project", F.lit("other"))).alias("project"), F.lit("old").alias("title"), F.lit("old text").alias("content"), F.lit("m").alias("embedding_model"), F.lit(0).alias("window"))
+    index, _ = C.ingest(old.select(*columns), a, K.hashed_words(8), 8, "hashed-8")
+    return index.select("file_path", "section", "project", "title", "window", "embedding_model", F.sha2("content", 256).alias("content_sha256"))
+
+
+def a27(spark, d):
+    """Chunks written twice: each write appends."""
+    from ..sources.shared import shared_dir
+    import uuid
+
+    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    c = K.content_chunks(markdown(spark, d)).select("doc_id", "position", "content")
+    C.store_chunks(c.where("doc_id % 2 = 0"), path)
+    C.store_chunks(c.where("doc_id % 2 = 1"), path)
+    return spark.read.parquet(path).select("doc_id", "position", F.sha2("content", 256).alias("content_sha256"))
 
 
 def a23(spark, d):
@@ -153,21 +193,28 @@ def a28(spark, d):
     return r.latest(50)
 
 
-def _refresh(spark, d):
-    """A refresh in one frame: which files are read, what replaces what, how many edges follow."""
+def _refreshed(spark, d, dry_run=False):
+    """Files that are due get two rows for each row of section s1 or s2; one file can't be parsed."""
     from .views import edges
 
-    due = C.to_index(_times(spark, d), chunks(spark, d)).select(F.col("path").alias("file_path"))
-    c = chunks(spark, d)
-    new = c.join(due, "file_path", "left_semi")
-    after = C.replaced(c.select("id", "file_path", "section"), new.select("id", "file_path", "section"), ["file_path", "section"])
-    return after.agg(F.count("*").alias("chunks")).join(F.broadcast(new.agg(F.count("*").alias("refreshed")))).join(F.broadcast(edges(spark, d).agg(F.count("*").alias("edges"))))
+    c = chunks(spark, d).select("id", "file_path", "section", "indexed_at")
+    bad = read(spark, d, "nation").where("n_nationkey = 5").select(F.lit("docs/f5.md").alias("path"))
+    cut = lambda due: c.where("section in ('s1', 's2')").join(due.select(F.col("path").alias("file_path")), "file_path", "left_semi").withColumn("id", F.explode(F.array(-F.col("id"), F.col("id") + 1_000_000_000))).select(*c.columns)
+    return C.refresh(c, _times(spark, d), cut, bad, lambda: edges(spark, d).count(), dry_run)
+
+
+def a29(spark, d):
+    return _refreshed(spark, d)[0].select("id", "file_path", "section")
+
+
+def a29_summary(spark, d):
+    return _refreshed(spark, d)[1].unionByName(_refreshed(spark, d, True)[1])
 
 
 QUERIES = {
     "a1_discovery": a1, "a3_skip_rules": a3, "a5_attribution": a5, "a6_metadata": a6, "a8_context_prefix": a8, "a9_sections": a9, "a11_token_windows": a11, "a12_content_chunks": a12, "a13_embedding": a13,
-    "a14_incremental": a14, "a15_group_replace": a15, "a16_scoped_rebuild": a16, "a17_prune": a17, "a18_quarantine": a18, "a19_backfill": a19, "a20_restrict": a20, "a21_artifacts": a21, "a23_log_entries": a23,
-    "a25_article_text": a25, "a26_plain_text": a26, "a28_repository": a28, "a29_refresh": _refresh,
+    "a14_incremental": a14, "a15_group_replace": a15, "a16_scoped_rebuild": a16, "a17_prune": a17, "a18_quarantine": a18, "a18_delete": a18_delete, "a19_backfill": a19, "a19_project": a19_project, "a27_store": a27, "a29_summary": a29_summary, "a20_restrict": a20, "a21_artifacts": a21, "a23_log_entries": a23,
+    "a25_article_text": a25, "a26_plain_text": a26, "a28_repository": a28, "a29_refresh": a29,
 }
 _SKIP = "case when regexp_matches(path, '/_[^/]*$') then 'underscore' when regexp_matches(path, '(^|/)\\.') then 'hidden' when regexp_matches(path, '(^|/)target/') then 'skip_dir' end"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')".format
@@ -194,7 +241,7 @@ ORACLE_SQL = {
     "a3_skip_rules": "with " + _FILES + f" select path, {_SKIP} as reason from files",
     "a5_attribution": "with " + _FILES + " select path, case when doc_id % 7 = 2 then 'sub' when doc_id % 2 = 0 then lang end as project from files where doc_id % 7 < 3",
     "a6_metadata": """select 'docs/x' || doc_id || '.md' as path, 'x' || doc_id as doc_id, case when doc_id % 9 <> 0 then 'T' || doc_id end as title, case when doc_id % 9 <> 0 then lang || ',research' end as layer,
-  case when doc_id % 9 <> 0 then 'active' end as status, case when doc_id % 9 <> 0 and doc_id % 2 <> 0 then 'k' || (doc_id % 5) end as keywords, case when doc_id % 9 <> 0 then lang else '' end as unknown, doc_id % 9 = 0 as failed from documents""",
+  case when doc_id % 9 <> 0 then 'active' end as status, case when doc_id % 9 <> 0 and doc_id % 2 <> 0 then 'k' || (doc_id % 5) end as keywords, case when doc_id % 9 <> 0 then lang else '' end as unknown, doc_id % 9 = 0 as failed, case when doc_id % 9 <> 0 then sha256(ltrim(coalesce(text, ''), chr(10))) end as body_sha256 from documents""",
     "a8_context_prefix": sql("chunks", "select id, 'title: ' || title || chr(10) || 'layer: ' || array_to_string(layer, ', ') || chr(10) || 'project: ' || project || coalesce(chr(10) || 'keywords: ' || status, '') || chr(10) || chr(10) as prefix from chunks"),
     "a9_sections": sql("markdown", _SECTION + r"select doc_id, no, section, sha256(content) as content_sha256, length(regexp_replace(substr(content, length(section) + 1), '^\s+|\s+$', '', 'g')) < 40 as header_only from sec".replace("select", " select", 1)),
     "a12_content_chunks": sql("markdown", _CONTENT),
@@ -208,13 +255,33 @@ select doc_id, start // 450 as "window", sha256(case when len(t) > 500 then arra
     "a14_incremental": sql("chunks", _TIMES + ", " + _NEWEST + " select path from times left join newest using (path) where newest is null or newest <= mtime"),
     "a15_group_replace": sql("chunks", "k as (select distinct file_path, section from chunks where id % 9 = 0) select id, file_path, section, title from chunks c where not exists (select 1 from k where k.file_path = c.file_path and k.section = c.section) union all select id + 1000000, file_path, section, 'new' from chunks where id % 9 = 0"),
     "a16_scoped_rebuild": sql("chunks", "select id, project, client_slug from chunks where not (client_slug is null and (project is null or project in ('', 'en', 'de')))"),
-    "a17_prune": sql("chunks", "p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0) select count(*) filter (client_slug is null) as deleted, count(*) filter (client_slug is not null) as protected from chunks join p on path = file_path"),
+    "a17_prune": sql("chunks", """p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0),
+k(kind) as (values ('all'), ('en'), ('dry')), h as (select kind, id, path is not null and (kind <> 'en' or project = 'en') as mine, client_slug from k, chunks left join p on path = file_path)
+select kind, id from h where kind = 'dry' or not (mine and client_slug is null)
+union all select kind, -1 - count(*) filter (mine and client_slug is null) from h group by kind union all select kind, -1000000000 - count(*) filter (mine and client_slug is not null) from h group by kind"""),
+    "a18_delete": sql("chunks", "p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0) select id, file_path from chunks where file_path not in (select path from p)"),
+    "a19_project": sql("chunks", _TIMES + " select id, coalesce(epoch_us(coalesce(mtime, authored_at)), -1) as authored_at from chunks left join times on path = file_path and project = 'fr'"),
+    "a27_store": None,
     "a18_quarantine": sql("chunks", "p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0) select path, count(id) as rows from p left join chunks on path = file_path group by path"),
     "a19_backfill": sql("chunks", _TIMES + " select id, coalesce(epoch_us(coalesce(mtime, authored_at)), -1) as authored_at from chunks left join times on path = file_path"),
-    "a20_restrict": "with " + _TIMES + ", p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0) select path, times.path is not null as known from p left join times using (path)",
+    "a20_restrict": "with " + _FILES + " select path, 'yes' as known from files where doc_id % 3 = 0 union all select path || '.old', 'no' from files where doc_id % 3 = 0 union all (select path, 'first' from files order by path limit 10)",
     "a25_article_text": r"""select page_id, case when a = '' then 'failed' else 'ok' end as fetch_status, sha256(a) as article_sha256 from (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
   '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<head\b.*?</head\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as a from pages)""",
     "a26_plain_text": "select conv_id, turn, case when turn % 3 <> 0 then length(text) else -1 end as length, case when turn % 3 = 0 then 'unsupported type application/pdf' end as reason from conversations",
     "a28_repository": "select c_custkey as id, case when c_custkey % 10 = 0 then 'merged' else c_name end as name from customer where c_custkey % 7 <> 0 order by 1 desc limit 50",
-    "a29_refresh": sql("chunks edges", _TIMES + ", " + _NEWEST + " select (select count(*) from chunks) as chunks, (select count(*) from chunks where file_path in (select path from times left join newest using (path) where newest is null or newest <= mtime)) as refreshed, (select count(*) from edges) as edges"),
+    "a29_refresh": sql("chunks", _TIMES + ", " + _NEWEST + """, due as (select path from times left join newest using (path) where (newest is null or newest <= mtime) and path <> 'docs/f5.md'),
+fresh as (select id, file_path, section from chunks where section in ('s1', 's2') and file_path in (select path from due))
+select id, file_path, section from chunks where (file_path, section) not in (select (file_path, section) from fresh) union all select -id, file_path, section from fresh union all select id + 1000000000, file_path, section from fresh"""),
+    "a29_summary": sql("chunks edges", _TIMES + ", " + _NEWEST + """, due as (select path from times left join newest using (path) where (newest is null or newest <= mtime) and path <> 'docs/f5.md')
+select dry_run, (select count(*) from due) as due, (select 2 * count(*) from chunks where section in ('s1', 's2') and file_path in (select path from due)) as chunks, 1::bigint as failed, false as success, 1 as exit_code,
+  case when not dry_run then (select count(*) from edges) end as edges from (values (false), (true)) t(dry_run)"""),
 }
+ORACLE_SQL["a27_store"] = sql("markdown", _CONTENT.replace("select doc_id, row_number()", "select doc_id, content_sha256, position from (select doc_id, row_number()").rstrip() + ")")
+_ART = _SECTION.replace("from cut where len(h) = 0", "from cut where doc_id % 4 <> 0 and (len(h) = 0").replace("<> ''\n  union all select doc_id, h[i]", "<> '')\n  union all select doc_id, h[i]").replace("where i <= len(h))", "where doc_id % 4 <> 0 and i <= len(h))") + r""",
+every as (select doc_id, section, no, content from sec union all select doc_id, 'given', 0, body from markdown where doc_id % 4 = 0),
+tk as (select *, regexp_extract_all(content, '(?:\A\s+)?\S+\s*') as t from every),
+win as (select *, unnest(case when len(t) > 500 then range(0, len(t), 450) else [0] end) as start from tk),
+piece as (select doc_id, section, (start // 450)::int as w, case when len(t) > 500 then array_to_string(t[start + 1:start + 500], '') else content end as content from win)"""
+ORACLE_SQL["a21_artifacts"] = sql("markdown", _ART + """
+select 'ingested/' || source || '/' || doc_id || '.md' as file_path, section, case when doc_id % 3 <> 0 then lang end as project, 'T' || doc_id as title, w as "window", 'hashed-8' as embedding_model, sha256(content) as content_sha256 from piece join markdown using (doc_id)
+union all select 'ingested/' || source || '/' || doc_id || '.md', 'given', 'other', 'old', 0, 'm', sha256('old text') from markdown where doc_id % 8 = 0 and doc_id % 3 <> 0""".replace("select 'ingested", " select 'ingested", 1))

@@ -144,12 +144,32 @@ def f10(spark, d):
     return memory.context_budget(episodes(spark, d), "peer_id", "summary")
 
 
+def a22(spark, d):
+    """A payload for every hundred documents, written as JSON and read again; some edges have no source, some payloads a fault."""
+    import uuid
+
+    from ..sources.shared import shared_dir
+
+    i = F.col("doc_id")
+    node = F.struct(F.concat(F.lit("n"), i).alias("id"), F.concat(F.lit("d"), i).alias("doc_id"), F.col("lang").alias("scope"))
+    edge = F.struct(F.concat(F.when(i % 5 == 0, "x").otherwise("n"), i).alias("from"), F.concat(F.lit("d"), i + 1).alias("to_ref"), F.when(i % 3 != 0, F.concat(F.lit("n"), i + 1)).alias("target_node_id"), F.when(i % 3 != 0, F.concat(F.lit("d"), i + 1)).alias("target_doc_id"), F.when(i % 2 == 0, "cites").alias("kind"))
+    g = F.floor(i / 100)
+    p = read(spark, d, "documents").groupBy(g.alias("g")).agg(F.collect_list(node).alias("nodes"), F.collect_list(edge).alias("edges"))
+    p = p.select(F.when(F.col("g") % 4 == 3, "1").otherwise("2").alias("version"), "nodes", F.when(F.col("g") % 7 != 6, F.col("edges")).alias("edges"))
+    path = f"{shared_dir(spark)}/payload-{uuid.uuid4().hex}"
+    p.write.json(path)
+    rows, skipped, rejected = graph.edge_rows(graph.read_payloads(spark, path))
+    out = rows.select("source_node_id", "source_doc_id", "to_ref", "target_node_id", "target_doc_id", "kind", "scope", F.lit(None).cast("string").alias("fault"))
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    out = out.union(skipped.select("from", none("source_doc_id"), "to_ref", "target_node_id", "target_doc_id", "kind", none("scope"), F.lit("skipped")))
+    return out.union(rejected.select(*[none(c) for c in out.columns[:-1]], "fault"))
+
+
 def f11(spark, d):
-    e, f = episodes(spark, d), facts(spark, d).select(F.concat(F.lit("p"), F.col("fact_id") % 60).alias("peer_id"), "fact_id")
-    peers = e.select("peer_id").distinct()
-    since = F.lit("2024-06-05 00:00:00").cast("timestamp")
-    out = memory.consolidation_context(peers, e, f, since)
-    return out.select("peer_id", F.array_join("episodes", ",").alias("episodes"), F.array_join("facts", ",").alias("facts"))
+    e, f = episodes(spark, d), facts(spark, d).select(F.concat(F.lit("p"), F.col("fact_id") % 60).alias("peer_id"), "fact_id", "fact")
+    peers = e.select("peer_id").distinct().withColumn("representation", F.concat(F.lit("about "), "peer_id"))
+    out = memory.consolidation_context(peers, e, f, F.lit("2024-06-05 00:00:00").cast("timestamp"))
+    return out.select("peer_id", "representation", "kind", "id", F.unix_micros("at").alias("at"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def f12(spark, d):
@@ -214,7 +234,7 @@ cls as (select *, case when abstained then 'abstained' when confidence <= low th
 
 QUERIES = {
     "d1_walk": d1, "d2_edge_load": d2, "d3_neighbours": d3, "e1_abstain_gate": e1, "e3_context_block": e3, "e4_content_words": e4, "e5_sentences": e5, "e7_citations": e7, "e8_envelope": e8, "e9_session_update": e9,
-    "f1_decay": f1, "f3_peer_upsert": f3, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "f12_consolidation_apply": f12, "f13_interactions": f13,
+    "f1_decay": f1, "f3_peer_upsert": f3, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "a22_edge_payload": a22, "f12_consolidation_apply": f12, "f13_interactions": f13,
     "g1_log_rows": g1, "g2_abstain_rate": g2, "g3_mining": g3, "g5_low_threshold": g5, "g6_classification": g6, "g8_draft_cases": g8, "g9_retention": g9,
 }
 from .retrieval import _CTE, _V  # noqa: E402
@@ -243,9 +263,13 @@ from (select conv_id, turn, list(role) over (partition by conv_id) as x from con
     "f8_rank_decayed": sql("chunks q facts", _RANK.format(w=f"confidence * power(0.95::double, {_WEEKS})")),
     "f9_recent_episodes": sql("episodes", "select peer_id, episode_id, rn from (select *, row_number() over (partition by peer_id order by occurred_at desc, episode_id desc) as rn from episodes) where rn <= 3"),
     "f10_budget": sql("episodes", "select peer_id, sum(greatest(1, length(summary) // 4))::bigint as tokens, sum(greatest(1, length(summary) // 4)) > 800 as over_budget from episodes group by peer_id"),
-    "f11_consolidation_context": sql("episodes facts", """e as (select peer_id, string_agg(episode_id::varchar, ',' order by occurred_at, episode_id) as x from episodes where occurred_at >= timestamp '2024-06-05' group by peer_id),
-f as (select 'p' || (fact_id % 60) as peer_id, string_agg(fact_id::varchar, ',' order by fact_id) as y from facts group by 1)
-select p.peer_id, coalesce(x, '') as episodes, coalesce(y, '') as facts from (select distinct peer_id from episodes) p left join e using (peer_id) left join f using (peer_id)"""),
+    "a22_edge_payload": """with g as (select doc_id as i, lang, doc_id // 100 as g from documents), ok as (select * from g where g % 4 <> 3 and g % 7 <> 6)
+select case when i % 5 = 0 then 'x' else 'n' end || i as source_node_id, case when i % 5 <> 0 then 'd' || i end as source_doc_id, 'd' || (i + 1) as to_ref, case when i % 3 <> 0 then 'n' || (i + 1) end as target_node_id, case when i % 3 <> 0 then 'd' || (i + 1) end as target_doc_id,
+  case when i % 2 = 0 then 'cites' when i % 5 <> 0 then 'related' end as kind, case when i % 5 <> 0 then lang end as scope, case when i % 5 = 0 then 'skipped' end as fault from ok
+union all select null, null, null, null, null, null, null, case when g % 7 = 6 then 'missing edges' else 'version 1' end from (select distinct g from g where g % 4 = 3 or g % 7 = 6)""",
+    "f11_consolidation_context": sql("episodes facts", """x as (select peer_id, 'episode' as kind, episode_id as id, epoch_us(occurred_at) as "at", summary as text from episodes where occurred_at >= timestamp '2024-06-05'
+  union all select 'p' || (fact_id % 60), 'fact', fact_id, null, fact from facts)
+select peer_id, 'about ' || peer_id as representation, kind, id, "at", sha256(text) as text_sha256 from (select distinct peer_id from episodes) left join x using (peer_id)"""),
     "f12_consolidation_apply": sql("facts", f"select peer_id, round(sum(case when fact_id % 10 = 3 then confidence * power(0.95::double, {_WEEKS}) * 0.5::double else confidence end), 6) as confidence, 'fresh' as representation, count(*) as new from facts group by peer_id"),
     "f13_interactions": sql("episodes", r"""s as (select peer_id, episode_id, unnest(list_filter(string_split(regexp_replace(regexp_replace(summary, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 40)) as fact from episodes)
 select peer_id, count(*) as n_facts, count(distinct episode_id) as n_episodes from s group by peer_id"""),

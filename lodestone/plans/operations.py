@@ -86,7 +86,11 @@ def j2(spark, d):
 
 
 def j3(spark, d):
-    return J.node_rows(runs(spark, d)).select("run_id", "node", "status", F.round("seconds", 6).alias("seconds"))
+    """Failed nodes have an error; every node tells what it was given and used."""
+    usage = lambda n: F.struct(F.length(n["node"]).cast("long").alias("input_tokens"), F.lit(7).cast("long").alias("output_tokens"), F.lit("m1").alias("model"))
+    more = lambda n: n.withField("error", F.when(n["status"] == "failed", F.concat(F.lit("failed: "), n["node"]))).withField("input", n["node"]).withField("usage", F.when(n["status"] != "running", usage(n)))
+    r = runs(spark, d).withColumn("node_runs", F.transform("node_runs", more))
+    return J.node_rows(r).withColumn("seconds", F.round("seconds", 6))
 
 
 def j4(spark, d):
@@ -106,8 +110,18 @@ def j5(spark, d):
 
 
 def s_text(spark, d):
-    t = F.concat(F.lit("see AB12 and "), F.substring("text", 1, 40))
-    return read(spark, d, "documents").select("doc_id", S.first_structured_id(t).alias("found"), S.normal_title(F.concat(F.lit(" ## "), F.substring("text", 1, 30))).alias("title"), S.token_estimate(F.col("text")).alias("tokens"), S.is_kebab(F.lower("source")).alias("kebab"))
+    """Every third text names an id somewhere inside."""
+    i = F.col("doc_id")
+    t = F.when(i % 3 == 0, F.concat(F.lower("text"), F.lit(" AB"), i % 1000, F.lit(" y"))).otherwise(F.lower("text"))
+    return read(spark, d, "documents").select("doc_id", S.first_structured_id(t).alias("found"), F.sha2(S.normal_title(F.concat(F.lit(" ## "), "text")), 256).alias("title_sha256"), S.token_estimate(F.col("text")).alias("tokens"), S.is_kebab(F.lower("source")).alias("kebab"))
+
+
+def s_iso(spark, d):
+    """Times written and read again, and texts that name a time in other ways or none."""
+    e = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    i = F.col("event_id")
+    odd = F.when(i % 4 == 0, F.concat(F.substring(S.iso_time(F.col("ts")), 1, 19), F.lit("+02:00"))).when(i % 4 == 1, F.concat(F.substring(S.iso_time(F.col("ts")), 1, 10))).when(i % 4 == 2, "yesterday").otherwise(F.concat(F.substring(S.iso_time(F.col("ts")), 1, 16), F.lit("Z")))
+    return e.select("event_id", S.iso_time(F.col("ts")).alias("iso"), F.unix_micros(S.parsed_time(S.iso_time(F.col("ts")))).alias("again"), F.unix_micros(S.parsed_time(odd)).alias("odd"))
 
 
 def s_window(spark, d):
@@ -129,7 +143,7 @@ def b7(spark, d):
 
 QUERIES = {
     "b7_time_window": b7, "i1_deleted_files": i1, "i2_orphan_sections": i2, "i3_orphan_chunks": i3, "i4_dangling_edges": i4, "i5_model_mismatch": i5, "i6_synthetic": i6, "i7_ceiling": i7, "i8_drift_report": i8, "i9_staleness": i9,
-    "i10_repair": i10, "i11_health": i11, "j1_run_status": j1, "j2_active_runs": j2, "j3_node_rows": j3, "j4_failure_marker": j4, "j5_intake": j5, "s_text": s_text, "s_window": s_window, "s_vector": s_vector,
+    "i10_repair": i10, "i11_health": i11, "j1_run_status": j1, "j2_active_runs": j2, "j3_node_rows": j3, "j4_failure_marker": j4, "j5_intake": j5, "s_text": s_text, "s_iso": s_iso, "s_window": s_window, "s_vector": s_vector,
     "t1_intake_stream": feeds.t1, "t2_status_stream": feeds.t2, "t3_ingest_stream": feeds.t3, "t4_memory_stream": feeds.t4, "t5_session_stream": feeds.t5, "t6_abstain_stream": feeds.t6,
 }
 _CONTENT = "content as (select conv_id as doc_id, turn as position, case when conv_id % 4 <> 0 then 'm1' end as embedding_model from conversations where turn <> 0 or conv_id % 9 <> 0)"
@@ -157,12 +171,19 @@ select (select count(*) from left_) as chunks, (select count(*) from content whe
     "i11_health": sql("chunks edges", "select count(distinct doc_id) as documents, count(*) as chunks, epoch_us(max(indexed_at)) as newest, (select count(*) from edges) as edges, false as edges_missing from chunks"),
     "j1_run_status": sql("runs", _STATUS + " select run_id, status from st"),
     "j2_active_runs": sql("runs", "select run_id from runs r where run_id % 10 <= 1 or exists (select 1 from nodes n where n.run_id = r.run_id and status = 'running')"),
-    "j3_node_rows": sql("runs", "select run_id, node, status, round((epoch_us(completed_at) - epoch_us(started_at)) / 1000000, 6) as seconds from nodes"),
+    "j3_node_rows": sql("runs", "select run_id, node, status, round((epoch_us(completed_at) - epoch_us(started_at)) / 1000000, 6) as seconds, case when status = 'failed' then 'failed: ' || node end as error, node as input, case when status <> 'running' then length(node) end as input_tokens, case when status <> 'running' then 7 end as output_tokens, case when status <> 'running' then 'm1' end as model from nodes"),
     "j4_failure_marker": "select event_id, 'event ' || event_id as failure, event_type as kind from events",
     "j5_intake": "select event_id, case when event_type = 'error' then 'unknown_type' when event_id % 9 = 0 then 'bad_payload' end as reason from events",
-    "s_text": r"select doc_id, 'AB12' as found, lower(regexp_replace(regexp_replace(substr(text, 1, 30), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')) as title, greatest(1, length(text) // 4) as tokens, regexp_matches(lower(source), '^[a-z0-9]+(-[a-z0-9]+)*$') as kebab from documents",
+    "s_text": r"select doc_id, case when doc_id % 3 = 0 then 'AB' || (doc_id % 1000) end as found, sha256(lower(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^#+', ''), '\s+', ' ', 'g'))) as title_sha256, greatest(1, length(text) // 4) as tokens, regexp_matches(lower(source), '^[a-z0-9]+(-[a-z0-9]+)*$') as kebab from documents",
+    "s_iso": """select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as iso, epoch_us(ts) as again,
+  case event_id % 4 when 0 then epoch_us(date_trunc('second', ts)) - 7200000000 when 1 then epoch_us(date_trunc('day', ts)) when 3 then epoch_us(date_trunc('minute', ts)) end as odd from (select event_id, ts::timestamp as ts from events)""",
     "s_window": "select event_id, case event_id % 3 when 0 then (event_id % 9) * 24 when 1 then event_id % 9 else -1 end as hours, 'abcdefghij' || (event_id % 10) as video, round(1 / (1 + exp(-value / 100)), 6) as squashed from events",
     "s_vector": "select a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as similarity from (select vec_id, embedding::double[] as e from embeddings) a join (select vec_id + 1 as vec_id, embedding::double[] as e from embeddings) b using (vec_id)",
     "t1_intake_stream": "select event_id, case when event_type = 'error' then 'unknown_type' when event_id % 9 = 0 then 'bad_payload' end as reason from events",
-    "t6_abstain_stream": sql("query_log", "select epoch_us(time_bucket(interval '1 day', created_at)) as day, count(*) as n, round(avg(abstained::int), 6) as rate from query_log group by 1"),
+    "t6_abstain_stream": sql("query_log", "select epoch_us(time_bucket(interval '1 day', created_at)) as day, count(*) as n, round(avg(abstained::int), 6) as rate from query_log group by 1 having max(time_bucket(interval '1 day', created_at)) + interval '1 day' <= (select max(created_at) from query_log) - interval '2 days'"),
+    "t2_status_stream": """with l as (select user_id as run_id, max_by(event_id, (ts, event_id)) as i from events group by user_id)
+select run_id, case when i % 13 = 2 then 'cancelled' when i % 17 = 3 then 'halted' when i % 7 = 0 then 'failed' when i % 5 = 0 then 'running' else 'succeeded' end as status from l""",
+    "t4_memory_stream": "select 'p' || (conv_id % 50) as peer_id, count(*) as episodes, count(*) as facts, sum(length(text))::bigint as characters, max(conv_id * 60 + turn) * 1000000 as updated_at from conversations group by 1",
+    "t5_session_stream": """with f as (select conv_id, split_part(text, ' ', 1) as w, min(turn) as t from conversations group by all)
+select conv_id as session, count(*) as turns, max(turn) as last, sha256(string_agg(text, chr(10) order by turn)) as content_sha256, any_value(topics) as topics from conversations join (select conv_id, string_agg(w, ',' order by t) as topics from f group by conv_id) using (conv_id) group by conv_id""",
 }

@@ -83,7 +83,7 @@ EDGES = """edges as (
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.substring("text", 1, 80).alias("fact"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.col("text").alias("fact"))
     d = d.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     i = F.col("doc_id")
@@ -100,7 +100,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FACTS = f"""facts as (
-  select doc_id as fact_id, source as peer_id, lang as workspace_id, substr(text, 1, 80) as fact, 0.5::double + 0.4::double * quality as confidence, 0.95::double as decay_factor,
+  select doc_id as fact_id, source as peer_id, lang as workspace_id, text as fact, 0.5::double + 0.4::double * quality as confidence, 0.95::double as decay_factor,
     timestamp '{BASE}' - to_days((7 * (doc_id % 52))::int) as updated_at, case when doc_id % 9 <> 0 then embedding::double[] end as embedding
   from documents join labels using (doc_id) left join (select vec_id as doc_id, embedding from embeddings) using (doc_id))"""
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,24 +55,50 @@ def latest_status(snapshots: DataFrame) -> DataFrame:
 
 
 def abstain_rates(log: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Abstain rate by window; rows later than the watermark are dropped once their window is closed."""
+    """Abstain rate by window, for append mode: a window comes out once the watermark has passed its end, its state goes
+    then, and rows that come later are dropped."""
     w = log.withWatermark("created_at", late).groupBy(F.window("created_at", window).alias("w"))
     return w.agg(F.count("*").alias("n"), F.avg(F.col("abstained").cast("int")).alias("rate")).select(F.col("w.start").alias("start"), "n", "rate")
 
 
-def append_session_turns(turns: DataFrame) -> DataFrame:
-    """(session, turns, last) for each session of a batch: turns kept sorted in state, so a late turn finds its place."""
+STATE = "turns array<struct<turn:bigint,at:bigint,content:string,topics:array<string>>>"
+
+
+def append_session_turns(turns: DataFrame, late: str = "1 day", expires: dt.timedelta = dt.timedelta(days=30)) -> DataFrame:
+    """(session, turns, last, content, topics) for each session of a batch of turns(session, turn, at, content, topics).
+
+    Turns are kept in order in state, so a late one finds its place and one that comes again replaces itself; topics are those
+    of the turns in order, each once. A session goes from the state once the watermark is ``expires`` past its last turn.
+    """
+    more = int(expires.total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        have = list(state.get[0]) if state.exists else []
-        seen = set(have)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        have = {t[0]: t for t in map(tuple, state.get[0])} if state.exists else {}
         for b in batches:
-            seen.update(int(t) for t in b["turn"])
-        have = sorted(seen)
-        state.update((have,))
-        yield pd.DataFrame({"session": [key[0]], "turns": [len(have)], "last": [have[-1]]})
+            for turn, at, content, topics in zip(b["turn"], b["at"], b["content"], b["topics"]):
+                have[int(turn)] = (int(turn), int(at.timestamp() * 1000), content, [] if topics is None else list(topics))
+        order = [have[t] for t in sorted(have)]
+        state.update((order,))
+        state.setTimeoutTimestamp(max(max(t[1] for t in order) + more, state.getCurrentWatermarkMs() + 1))
+        topics = list(dict.fromkeys(x for t in order for x in t[3]))
+        yield pd.DataFrame({"session": [key[0]], "turns": [len(order)], "last": [order[-1][0]], "content": ["\n".join(t[2] or "" for t in order)], "topics": [topics]})
+
+    keyed = turns.withWatermark("at", late).groupBy("session")
+    return keyed.applyInPandasWithState(run, "session long, turns long, last long, content string, topics array<string>", STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
 
-    return turns.groupBy("session").applyInPandasWithState(run, "session long, turns long, last long", "seen array<long>", "update", GroupStateTimeout.NoTimeout)
+def by_batch(out: str) -> Callable[[DataFrame, int], None]:
+    """Writes what a batch brings to a folder of its own; a batch that is run again replaces it."""
+    return lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+
+def current(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each key's last batch."""
+    last = rows.groupBy(*keys).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*keys, "batch"], "left_semi")
 
 
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,48 +114,47 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = F.struct(F.col("event_type").alias("node"), F.when(i % 7 == 0, "failed").when(i % 5 == 0, "running").otherwise("success").alias("status"))
     s = stream(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.struct("ts", i).alias("ts"), F.array(node).alias("node_runs"), (i % 13 == 2).alias("cancelled"), (i % 17 == 3).alias("halted"), F.lit(False).alias("failure"), F.lit(False).alias("completion"))
     out = folder(spark, "status")
-    drained(latest_status(s), lambda b, n: b.select("run_id", "status").write.mode("overwrite").parquet(f"{out}/v={n}"), "complete")
-    return spark.read.parquet(out).withColumn("r", F.rank().over(Window.partitionBy("run_id").orderBy(F.desc("v")))).where("r = 1").select("run_id", "status")
+    drained(latest_status(s), lambda b, n: by_batch(out)(b.select("run_id", "status"), n), "update")
+    return current(spark.read.parquet(out), ["run_id"]).select("run_id", "status")
 
 
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Artifacts arrive, are chunked and replace their groups: each batch writes the next version of the index."""
-    a = stream(spark, sf_dir, "documents").select(F.col("source").alias("type"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("section"))
+    """Artifacts arrive and are chunked; a batch's groups (path, section) replace those of earlier batches."""
+    a = stream(spark, sf_dir, "documents").select(F.col("source").alias("type"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.when(F.col("doc_id") % 4 == 0, "given").alias("section"))
     out = folder(spark, "index")
-
-    def each(b: DataFrame, n: int) -> None:
-        new = corpus.ingested(b)
-        if n:
-            new = corpus.replaced(spark.read.parquet(f"{out}/v={n - 1}"), new, ["path", "section"])
-        new.write.mode("overwrite").parquet(f"{out}/v={n}")
-
-    drained(a, each)
-    return spark.read.parquet(out).groupBy("v", "path").agg(F.count("*").alias("chunks")).withColumn("r", F.rank().over(Window.partitionBy("path").orderBy(F.desc("v")))).where("r = 1").select("path", "chunks")
+    drained(a, lambda b, n: by_batch(out)(corpus.ingested(b), n))
+    return current(spark.read.parquet(out), ["path", "section"]).select("path", "no", "section", "window", F.sha2("content", 256).alias("content_sha256"))
 
 
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns arrive as interactions: an episode each, and a fact that cites it; a batch run again replaces its own rows."""
-    c = stream(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("episode_id"), F.concat(F.lit("p"), F.col("conv_id") % 50).alias("peer_id"), F.col("text").alias("summary"), F.lit(None).cast("timestamp").alias("occurred_at"), F.array(F.substring("text", 1, 40)).alias("facts"))
-    out = folder(spark, "facts")
+    """Turns arrive as interactions: an episode each, a fact that cites it, and the peer touched."""
+    c = stream(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("episode_id"), F.concat(F.lit("p"), F.col("conv_id") % 50).alias("peer_id"), F.col("text").alias("summary"), F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")).alias("occurred_at"), F.array("text").alias("facts"))
+    out = folder(spark, "memory")
 
     def each(b: DataFrame, n: int) -> None:
-        _, f = memory.interaction_rows(b)
-        f.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        e, f = memory.interaction_rows(b)
+        by_batch(f"{out}/episodes")(e, n)
+        by_batch(f"{out}/facts")(f, n)
+        by_batch(f"{out}/peers")(e.groupBy("peer_id").agg(F.max("occurred_at").alias("updated_at")), n)
 
     drained(c, each)
-    return spark.read.parquet(out).groupBy("peer_id").agg(F.count("*").alias("facts"))
+    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    episodes = read("episodes").groupBy("peer_id").agg(F.count("*").alias("episodes"))
+    facts = read("facts").groupBy("peer_id").agg(F.count("*").alias("facts"), F.sum(F.length("fact")).alias("characters"))
+    peers = read("peers").groupBy("peer_id").agg(F.max("updated_at").alias("updated_at"))
+    return peers.join(episodes, "peer_id").join(facts, "peer_id").select("peer_id", "episodes", "facts", "characters", F.unix_micros("updated_at").alias("updated_at"))
 
 
 def t5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn")
+    c = stream(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session"), "turn", F.timestamp_seconds(1_700_000_000 + F.col("conv_id") * 60 + F.col("turn")).alias("at"), F.col("text").alias("content"), F.array(F.split_part("text", F.lit(" "), F.lit(1))).alias("topics"))
     out = folder(spark, "sessions")
-    drained(append_session_turns(c), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/v={n}"), "update")
-    return spark.read.parquet(out).groupBy("session").agg(F.max_by("turns", "v").alias("turns"), F.max_by("last", "v").alias("last"))
+    drained(append_session_turns(c), by_batch(out), "update")
+    return current(spark.read.parquet(out), ["session"]).select("session", "turns", "last", F.sha2("content", 256).alias("content_sha256"), F.array_join("topics", ",").alias("topics"))
 
 
 def t6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that are closed: their end is two days before the last row or earlier."""
     e = stream(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("created_at"), (F.col("value") / (F.col("value") + 10) < 0.6552).alias("abstained"))
     out = folder(spark, "rates")
-    drained(abstain_rates(e), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/v={n}"), "complete")
-    x = spark.read.parquet(out).withColumn("r", F.rank().over(Window.partitionBy("start").orderBy(F.desc("v")))).where("r = 1")
-    return x.select(F.unix_micros("start").alias("day"), "n", F.round("rate", 6).alias("rate"))
+    drained(abstain_rates(e), by_batch(out))
+    return spark.read.parquet(out).select(F.unix_micros("start").alias("day"), "n", F.round("rate", 6).alias("rate"))

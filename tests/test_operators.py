@@ -254,10 +254,13 @@ def test_one_case_set_for_all_metrics(spark):
 
 
 
+SESSION = "session long, turn long, at timestamp, content string, topics array<string>"
+
+
 def test_stream_keeps_late_turn_in_order(spark, tmp_path):
     for i, turns in enumerate(([2, 3], [1])):
-        spark.createDataFrame([(7, t) for t in turns], "session long, turn long").coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
-    s = spark.readStream.schema("session long, turn long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        spark.createDataFrame([(7, t, T0, str(t), []) for t in turns], SESSION).coalesce(1).write.parquet(f"{tmp_path}/in/b={i}")
+    s = spark.readStream.schema(SESSION).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     out = []
     feeds.drained(feeds.append_session_turns(s), lambda b, n: out.extend(b.collect()), "update")
     assert out[-1]["turns"] == 3 and out[-1]["last"] == 3
@@ -326,3 +329,56 @@ z
         ("2026-01-02", "first", "body"), ("2026-02-02", "Notes 2026-02-02 extra", "kept"), ("2026-02-02", "second", ""), ("2025-12-31", "own date", "x"),
         ("2026-04-04", "titled", "y"), ("2026-04-04", "No date here", "z"),
     ]
+
+
+def files_in_order(spark, tmp_path, frames):
+    """A stream that reads one frame a batch."""
+    import os
+    import time
+
+    for n, df in enumerate(frames):
+        df.coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        names = [f for f in os.listdir(f"{tmp_path}/in") if f.endswith(".parquet")]
+        newest = max(names, key=lambda f: os.stat(f"{tmp_path}/in/{f}").st_mtime_ns)
+        os.utime(f"{tmp_path}/in/{newest}", (time.time() - 1000 + 60 * n,) * 2)
+    return spark.readStream.schema(frames[0].schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+
+
+def test_late_rows_of_closed_windows_are_dropped(spark, tmp_path):
+    day = lambda n: dt.datetime(2024, 1, n, 12)
+    frame = lambda *rows: spark.createDataFrame(list(rows), "created_at timestamp, abstained boolean")
+    log = files_in_order(spark, tmp_path, [frame((day(1), True), (day(10), False)), frame((day(1), False), (day(9), True)), frame((day(20), True))])
+    feeds.drained(feeds.abstain_rates(log), feeds.by_batch(f"file://{tmp_path}/out"))
+    got = {r["start"].day: (r["n"], r["rate"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {1: (1, 1.0), 9: (1, 1.0), 10: (1, 0.0)}
+
+
+def test_session_turns_find_their_place(spark, tmp_path):
+    at = lambda d: dt.datetime(2024, 1, d)
+    frame = lambda *rows: spark.createDataFrame(list(rows), SESSION)
+    turns = files_in_order(spark, tmp_path, [frame((1, 2, at(2), "b", ["y", "x"])), frame((1, 1, at(2), "a", ["x"]), (1, 2, at(2), "B", ["y"])), frame((2, 1, at(3), None, None))])
+    feeds.drained(feeds.append_session_turns(turns), feeds.by_batch(f"file://{tmp_path}/out"), "update")
+    got = {r["session"]: (r["turns"], r["last"], r["content"], r["topics"]) for r in feeds.current(spark.read.parquet(f"file://{tmp_path}/out"), ["session"]).collect()}
+    assert got == {1: (2, 2, "a\nB", ["x", "y"]), 2: (1, 1, "", [])}
+
+
+def test_edge_payload_faults(spark, tmp_path):
+    ok = '{"version": "2", "nodes": [{"id": "a", "doc_id": "d", "scope": "s"}], "edges": [{"from": "a", "to_ref": "r", "target_doc_id": null}, {"from": "z", "to_ref": "q"}]}'
+    texts = [ok, '{"version": "2", "nodes": []}', '{"version": "1", "nodes": [], "edges": []}', '{"version": "2", "nodes": {}, "edges": []}', '{"version": "2", "nodes": [], "edges": "x"}', "[1]", "{bad"]
+    rows, skipped, rejected = graph.edge_rows(spark.createDataFrame([(t,) for t in texts], "payload string"))
+    assert [tuple(r) for r in rows.collect()] == [("a", "d", "r", None, None, "related", "s")] and [r["from"] for r in skipped.collect()] == ["z"]
+    assert sorted(r["fault"] for r in rejected.collect()) == ["edges is no list", "missing edges", "no object", "no object", "nodes is no list", "version 1"]
+    from lodestone.sources.shared import VersionedTable
+
+    table = VersionedTable(spark, f"file://{tmp_path}/edges")
+    one = spark.createDataFrame([(ok,)], "payload string")
+    assert graph.reload_edges(table, one) == graph.reload_edges(table, one) == 1 and table.versions() == [1, 2]
+    with pytest.raises(ValueError, match="version 1"):
+        graph.reload_edges(table, spark.createDataFrame([(texts[2],)], "payload string"))
+
+
+def test_times_as_text(spark):
+    t = ["2024-01-01T01:02:03.123456+00:00", "2024-01-01T01:02:03+0200", "2024-01-01", "2024-01-01T01:02Z", "x", "2024-13-01", None]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(t)), "i long, t string").orderBy("i").select(F.unix_micros(S.parsed_time(F.col("t")))).collect()]
+    day = 1704067200000000
+    assert got == [day + 3723123456, day + 3723000000 - 7200000000, day, day + 3720000000, None, None, None]
