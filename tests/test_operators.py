@@ -347,7 +347,7 @@ def files_in_order(spark, tmp_path, frames):
 def test_late_rows_of_closed_windows_are_dropped(spark, tmp_path):
     day = lambda n: dt.datetime(2024, 1, n, 12)
     frame = lambda *rows: spark.createDataFrame(list(rows), "created_at timestamp, abstained boolean")
-    log = files_in_order(spark, tmp_path, [frame((day(1), True), (day(10), False)), frame((day(1), False), (day(9), True)), frame((day(20), True))])
+    log = files_in_order(spark, tmp_path, [frame((day(1), True), (day(10), False)), frame((day(9), True)), frame((day(1), False)), frame((day(20), True))])
     feeds.drained(feeds.abstain_rates(log), feeds.by_batch(f"file://{tmp_path}/out"))
     got = {r["start"].day: (r["n"], r["rate"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got == {1: (1, 1.0), 9: (1, 1.0), 10: (1, 0.0)}
