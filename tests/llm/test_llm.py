@@ -128,6 +128,23 @@ def test_cover_tree_against_brute_force(spark, monkeypatch):
     assert cover_tree.near_vectors(df.limit(0)).collect() == []
 
 
+def test_cover_tree_with_planted_copies_at_the_default_block(spark):
+    """Several leaves, near copies of some vectors: links as by all products at once."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(7000, 16))
+    x[6000:] = x[rng.integers(0, 300, 1000)] + rng.normal(scale=0.15, size=(1000, 16))
+    x = x.astype(np.float32)
+    u = cover_tree.units(x)
+    near = u @ u.T >= cover_tree.COSINE
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cover_tree.near_vectors(df).collect()}
+    label = np.arange(len(x))
+    while (new := np.array([min(label[i], *label[near[i]]) if near[i].any() else label[i] for i in range(len(x))])).tolist() != label.tolist():
+        label = new
+    assert sum(near.sum(axis=1) > 0) > 900 and got == {i: (int(n), int(c)) for i, (n, c) in enumerate(zip(near.sum(axis=1), label))}
+
+
 def test_tree_prunes_and_keeps_all_pairs():
     rng = np.random.default_rng(4)
     x = cover_tree.units(np.concatenate([c + rng.normal(scale=0.02, size=(40, 5)) for c in np.eye(5)]))
@@ -211,6 +228,43 @@ def test_language_on_held_out_documents(spark):
     assert right > 0.95
 
 
+def test_language_against_plain_out_of_place(spark):
+    """Ranks, distances and the language by plain Python with strings for n-grams."""
+    from collections import Counter
+
+    def plain(text: str, top: int) -> list[str]:
+        padded = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        n = Counter(g for k in (1, 2, 3) for i in range(len(padded) - k + 1) if (g := padded[i : i + k]) and (k == 1 and g != " " or k == 2 and g != "  " or k == 3 and g[:2] != "  " and g[1:] != "  "))
+        return n, [g for g, _ in n.most_common(top)]
+
+    rng = random.Random(12)
+    made = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklabmn"}
+    text = lambda k: " ".join("".join(rng.choice(made[k]) for _ in range(rng.randint(2, 7))) for _ in range(60))
+    rows = [(i, text(k), k) for i, k in enumerate(list(made) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = language.fit(docs, top=5000)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(docs, p, ["doc_id"]).collect()}
+    counts = {k: sum((plain(t, 1)[0] for _, t, lang in rows if lang == k), Counter()) for k in made}
+    for i, t, _ in rows[:12]:
+        own, _ = plain(t, 1)
+        # ties may be ranked either way, so the bounds of each rank count
+        bounds = lambda n, g: (sum(1 for v in n.values() if v > n[g]), sum(1 for v in n.values() if v >= n[g]) - 1)
+        low, high = {}, {}
+        for k in made:
+            low[k] = high[k] = 0
+            for g in own:
+                (a, b), (c, d) = bounds(own, g), bounds(counts[k], g) if g in counts[k] else (0, 0)
+                if g not in counts[k]:
+                    low[k] += 5000
+                    high[k] += 5000
+                else:
+                    low[k] += max(0, c - b, a - d)
+                    high[k] += max(abs(d - a), abs(b - c))
+        best = got[i][0]
+        assert low[best] <= min(high.values()), (i, low, high)
+        assert 1 - high[best] / (len(own) * 5000) - 1e-9 <= got[i][1] <= 1 - low[best] / (len(own) * 5000) + 1e-9
+
+
 def test_language_odd_rows(spark, odd):
     p = language.fit(odd)
     got = {r["doc_id"]: r for r in language.identify(odd, p, ["doc_id", "key"]).collect()}
@@ -444,14 +498,39 @@ def test_pipeline_against_its_parts(spark):
         out = common.stored(stage(spark, docs, SF), name)
         if name != "packing":
             assert out.columns == docs.columns
-        before, after = {r["doc_id"]: r["text"] for r in docs.collect()}, out.collect()
+        rows, after = docs.collect(), out.collect()
+        before = {r["doc_id"]: r["text"] for r in rows}
         if name == "language":
             assert {r["doc_id"] for r in after} == {d for d, t in before.items() if t and any(c.isalpha() for c in t)}
+            fitted = language.fit(docs.where(~language.held_out())).ready()
+            assert all(r["lang"] == fitted.predict(before[r["doc_id"]])[0] and r["text"] == before[r["doc_id"]] for r in after)
+        elif name == "lines":
+            pages: dict = {}
+            for r in rows:
+                pages.setdefault(r["source"], set()).add(r["text"])
+            share = {h: {} for h in pages}
+            for h, texts in pages.items():
+                for t in texts:
+                    for x in {x.strip(" ") for x in t.split("\n")} - {""}:
+                        share[h][x] = share[h].get(x, 0) + 1
+            cut = lambda r: "\n".join(x for x in r["text"].split("\n") if not x.strip(" ") or not (share[r["source"]][x.strip(" ")] >= line_dedup.MIN_PAGES and share[r["source"]][x.strip(" ")] > line_dedup.RATIO * len(pages[r["source"]])))
+            want = {r["doc_id"]: cut(r) if r["source"] is not None else r["text"] for r in rows}
+            assert {r["doc_id"]: r["text"] for r in after} == want and all(r["n_chars"] == len(r["text"]) for r in after)
         elif name == "near_duplicates":
             label = jaccard.brute_force(before, 5, 80)
             assert {r["doc_id"] for r in after} == {d for d in before if label[d][1] == d}
         elif name == "pii":
             assert all(r["text"] == pii.redact(before[r["doc_id"]], pii.find_spans(before[r["doc_id"]])) for r in after)
         elif name == "packing":
-            assert {r["doc_id"] for r in after} == set(before)
+            from tokenizers import Tokenizer
+
+            t = Tokenizer.from_file(packing.vocabulary())
+            ids = {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, packing.END], "<u4") for d, x in before.items()}
+            assert all(r["doc_tokens"] == len(ids[r["doc_id"]]) and r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes()) for r in after)
+            assert sum(r["length"] for r in after) == sum(map(len, ids.values()))
+            ends = sorted((r["sequence_id"], r["offset"], r["length"]) for r in after)
+            at = 0
+            for seq, off, size in ends:
+                assert seq * packing.LENGTH + off == at
+                at += size
         docs = out
