@@ -1,16 +1,16 @@
 """Exact Jaccard join of documents by word shingles, in the metric space of the Jaccard distance.
 
-Pivots of two kinds cut the space into regions, and documents near a border are copied across it as the
-triangle inequality demands, so that every linked pair shares a region:
-
-* The first pivots are single shingles. The nearest of them to a document is, ties going to the rarest, its
-  rarest shingle; any document within the threshold also holds one of the first ``n - ceil(t n) + 1`` shingles in
-  that order, so a document is copied to the regions of these and of no others. Most regions hold one document
-  or a few. Their pairs are kept while the sizes and the order of the shared shingles allow the threshold.
-* Regions that stay large hold groups of close copies. Their documents are cut again around pivot documents:
+Two steps cut the documents into regions, so that every linked pair shares one:
+
+* A prefix filter on shingles, the rarest first: any document within the threshold of another also holds one of that one's first
+  ``n - ceil(t n) + 1`` shingles in that order, so a document is copied to the regions of these and of no others. Most
+  regions hold one document or a few. Their pairs are kept while the sizes and the order of the shared shingles allow the
+  threshold. Most links are found here.
+* Regions that stay large hold groups of close copies. Their documents are cut by pivot documents into Voronoi balls:
   each is at home in the ball of its nearest pivot, if that is within ``radius``, and is copied to other balls within
   ``radius + eps`` whose pivot is at most ``2 eps`` farther than its own. What no ball holds goes to the next round with
-  new pivots. A ball is compared exactly, block against block.
+  new pivots. Documents that link with their ball's pivot are of one component by that and aren't compared with each
+  other; all other pairs of a ball are compared exactly, block against block.
 
 Only a spanning forest of a block's links leaves its task, never all pairs of a group; the components come
 from these links. Copies with one shingle set are one document throughout.
@@ -207,11 +207,15 @@ def forest(a: np.ndarray, b: np.ndarray, m: int) -> list[tuple[int, int]]:
 
 
 def compared(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within each group of groups(key, doc_id, tokens): blocks of about BLOCK documents, each
-    block against each, a spanning forest of every two blocks' links."""
-    size = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(size, "key").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    rows = rows.select("key", "doc_id", "tokens", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    """Links (a, b) within each group of groups(key, doc_id, tokens, core): blocks of about BLOCK documents, each
+    block against each, a spanning forest of every two blocks' links. Two documents that are core in a group, and so linked
+    already, needn't be found."""
+    size = groups.groupBy("key").agg(F.ceil(F.count_if(~F.col("core")) / BLOCK).cast("int").alias("rest"), F.ceil(F.count_if("core") / BLOCK).cast("int").alias("cores"))
+    rows = groups.join(size.where("rest > 0"), "key")
+    h = F.xxhash64("doc_id")
+    rows = rows.withColumn("mine", F.when(F.col("core"), F.col("rest") + F.pmod(h, F.col("cores"))).otherwise(F.pmod(h, F.col("rest"))).cast("int"))
+    other = F.when(F.col("core"), F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("cores") - 1))
+    rows = rows.select("key", "doc_id", "tokens", "mine", F.explode(other).alias("other"))
     rows = rows.select("key", "doc_id", "tokens", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"))
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
@@ -226,23 +230,23 @@ def compared(groups: DataFrame, percent: int) -> DataFrame:
 
 
 class Pivots:
-    """Pivot sets, laid out so that one search gives the distances of a set to all of them."""
+    """Pivot documents, their sets laid out so that one search gives what a set shares with all of them."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, ids: list[int], sets: list[np.ndarray]) -> None:
+        self.ids = ids
         self.n = np.array([len(s) for s in sets])
         token = np.concatenate(sets)
         self.whose = np.repeat(np.arange(len(sets)), self.n)[order := np.argsort(token, kind="stable")]
         self.token = token[order]
 
-    def distances(self, s: np.ndarray) -> np.ndarray:
+    def shared(self, s: np.ndarray) -> np.ndarray:
         a, z = np.searchsorted(self.token, s, "left"), np.searchsorted(self.token, s, "right")
         hit = z > a
         at = np.concatenate([np.arange(x, y) for x, y in zip(a[hit], z[hit])]) if hit.any() else np.zeros(0, int)
-        both = np.bincount(self.whose[at], minlength=len(self.n))
-        return 1 - both / (self.n + len(s) - both)
+        return np.bincount(self.whose[at], minlength=len(self.n))
 
 
-def choose_pivots(sample: list[np.ndarray]) -> Pivots | None:
+def choose_pivots(ids: list[int], sample: list[np.ndarray]) -> Pivots | None:
     """Documents farther than RADIUS from each other, those with most others around them first."""
     if not sample:
         return None
@@ -253,9 +257,9 @@ def choose_pivots(sample: list[np.ndarray]) -> Pivots | None:
     free, out = np.ones(len(n), bool), []
     while free.any() and len(out) < PIVOTS:
         best = int(np.where(free, (near & free).sum(axis=1), -1).argmax())
-        out.append(sample[best])
+        out.append(best)
         free &= ~near[best]
-    return Pivots(out)
+    return Pivots([ids[i] for i in out], [sample[i] for i in out])
 
 
 def dense_links(sets: DataFrame, regions: DataFrame, percent: int) -> list[DataFrame]:
@@ -263,32 +267,36 @@ def dense_links(sets: DataFrame, regions: DataFrame, percent: int) -> list[DataF
     eps = 1 - percent / 100
     links, rest = [], sets
     for k in range(ROUNDS):
-        sample = [np.frombuffer(r["tokens"], np.uint64) for r in rest.orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id").limit(SAMPLE).select("tokens").toLocalIterator()]
-        if not sample:
+        drawn = list(rest.orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id").limit(SAMPLE).select("doc_id", "tokens").toLocalIterator())
+        if not drawn:
             return links
-        pivots = choose_pivots(sample)
+        pivots = choose_pivots([r["doc_id"] for r in drawn], [np.frombuffer(r["tokens"], np.uint64) for r in drawn])
 
         def deal(batches: Iterator[pd.DataFrame], pivots=pivots) -> Iterator[pd.DataFrame]:
             tidy()
             for b in batches:
                 out = []
                 for doc, n, tokens in zip(b["doc_id"], b["n"], b["tokens"]):
-                    d = pivots.distances(np.frombuffer(tokens, np.uint64))
+                    both = pivots.shared(np.frombuffer(tokens, np.uint64))
+                    either = pivots.n + n - both
+                    d, core = 1 - both / either, 100 * both >= percent * either
                     home, near = int(d.argmin()), np.flatnonzero(d <= RADIUS + eps + 1e-9)
                     if d[home] > RADIUS:
-                        out.append((-1, doc, n, tokens))
+                        out.append((-1, doc, n, tokens, False, None))
                     else:  # a link between two homes is found in the lower one
-                        out.append((home, doc, n, tokens))
+                        out.append((home, doc, n, tokens, bool(core[home]), pivots.ids[home] if core[home] else None))
                         near = near[(near < home) & (d[near] <= d[home] + 2 * eps + 1e-9)]
-                    out += [(int(j), doc, n, tokens) for j in near]
-                yield pd.DataFrame(out, columns=["key", "doc_id", "n", "tokens"])
+                    out += [(int(j), doc, n, tokens, bool(core[j]), pivots.ids[j] if core[j] else None) for j in near]
+                part = pd.DataFrame(out, columns=["key", "doc_id", "n", "tokens", "core", "pivot"])
+                yield part.assign(pivot=part["pivot"].astype("Int64"))
 
-        dealt = stored(rest.mapInPandas(deal, "key long, doc_id long, n long, tokens binary"), "balls")
+        dealt = stored(rest.mapInPandas(deal, "key long, doc_id long, n long, tokens binary, core boolean, pivot long"), "balls")
+        links.append(dealt.where("pivot <> doc_id").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
         links.append(stored(compared(dealt.where("key >= 0"), percent), "links"))
-        rest = dealt.where("key < 0").drop("key")
+        rest = dealt.where("key < 0").select("doc_id", "n", "tokens")
     # what no pivot is near to: large regions one by one, and pair by pair what shares small ones alone
     mine = stored(regions.join(rest.select("doc_id"), "doc_id", "left_semi"), "left")
-    last = rest.join(mine.where(F.col("docs") > SMALL).select("doc_id", F.col("token").alias("key")), "doc_id").select("key", "doc_id", "tokens")
+    last = rest.join(mine.where(F.col("docs") > SMALL).select("doc_id", F.col("token").alias("key")), "doc_id").select("key", "doc_id", "tokens", F.lit(False).alias("core"))
     links.append(stored(compared(last, percent), "links"))
     pairs = small_pairs(mine.where(F.col("docs") <= SMALL).withColumn("dense", F.lit(False)), percent)
     links.append(stored(verified(pairs, rest, percent), "links"))

@@ -1,7 +1,8 @@
 """Line dedup by site-relative frequency.
 
 For each host, the share of its pages that contain a line tells boilerplate from content: lines on more than
-``ratio`` of the pages of a host go from all of its pages.
+``ratio`` of the pages of a host go from all of its pages. Pages of a host with one and the same text count as one page:
+else a page that was copied often enough would be boilerplate as a whole.
 """
 
 from __future__ import annotations
