@@ -19,7 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that Python workers get at once: whole texts are long, and a worker holds several copies of a batch."""
+    """Rows that Python workers get at once: whole texts are long, and a worker holds several copies of a batch.
+
+    Spark bounds a batch by 64 MB as well. The setting is the session's and stays.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 

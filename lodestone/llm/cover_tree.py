@@ -11,6 +11,7 @@ are left are compared exactly, block against block.
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected, stored, table
+from .common import connected, shuffle_partitions, stored, table
 
 COSINE = 0.95
 SAMPLE = 4096  # vectors that shape the tree; all vectors are in it
@@ -27,6 +28,7 @@ LEVELS = 6
 BLOCK = 3000  # vectors in a leaf or a block of one, about
 ROWS = 500  # rows of a block that are multiplied at once
 BROADCAST_TASKS = 200_000
+BEGUN = 1000  # node pairs that the driver opens
 
 
 class Tree:
@@ -81,11 +83,16 @@ class Tree:
             todo = np.concatenate(nxt) if nxt else np.zeros(0, int)
         return at, path, dist
 
-    def dual(self, radius: dict[int, float], reach: float) -> list[tuple[int, int]]:
-        """Leaf pairs (i <= j) that covering radii don't rule out. Nodes without vectors are left out."""
-        out, todo = [], [(0, 0)] if 0 in radius else []
-        while todo:
-            a, b = todo.pop()
+    def dual(self, radius: dict[int, float], reach: float, start: list[tuple[int, int]] | None = None, most: int | None = None) -> list[tuple[int, int]]:
+        """Leaf pairs (i <= j) below the start (the root with itself) that covering radii don't rule out, nodes without vectors left out.
+
+        With ``most``, the traversal goes level by level and stops at so many pairs, which others may go on from.
+        """
+        out, todo = [], deque([(0, 0)] if start is None else start)
+        while todo and 0 in radius:
+            if most is not None and len(todo) + len(out) >= most:
+                return out + list(todo)
+            a, b = todo.popleft() if most is not None else todo.pop()
             if a != b and np.linalg.norm(self.centre[a] - self.centre[b]) > radius[a] + radius[b] + reach + 1e-6:
                 continue
             ka = [k for k in self.children[a] if k in radius]
@@ -211,12 +218,22 @@ def _links_of_width(spark: SparkSession, good: DataFrame, n: int, kind: str, cos
     placed = stored(good.mapInPandas(place, "vec_id long, leaf int, path array<int>, dist array<double>, x binary"), "placed")
     way = placed.select(F.explode(F.arrays_zip("path", "dist")).alias("p"))
     radius = {r["node"]: r["radius"] for r in way.groupBy(F.col("p.path").alias("node")).agg(F.max("p.dist").alias("radius")).collect()}
-    pairs = tree.dual(radius, math.sqrt(2 - 2 * cosine))
+    reach = math.sqrt(2 - 2 * cosine)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for pair in zip(b["i"].tolist(), b["j"].tolist()):
+                out = tree.dual(radius, reach, [pair])
+                for at in range(0, len(out), 100_000):
+                    yield pd.DataFrame(out[at : at + 100_000], columns=["i", "j"])
+
+    # the driver opens the first pairs, tasks all below them
+    begun = spark.createDataFrame(tree.dual(radius, reach, most=BEGUN), "i int, j int")
+    pairs = begun.repartition(shuffle_partitions(spark)).mapInPandas(finish, "i int, j int")
     sizes = placed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = stored(sizes, "leaves")
     # every block of one leaf with every block of the other, once
-    tasks = spark.createDataFrame(pairs, "i int, j int")
-    tasks = tasks.join(sizes.select(F.col("leaf").alias("i"), F.col("blocks").alias("p")), "i").join(sizes.select(F.col("leaf").alias("j"), F.col("blocks").alias("q")), "j")
+    tasks = pairs.join(sizes.select(F.col("leaf").alias("i"), F.col("blocks").alias("p")), "i").join(sizes.select(F.col("leaf").alias("j"), F.col("blocks").alias("q")), "j")
     tasks = tasks.select("i", "j", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("u"), "q").select("i", "j", "u", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("v"))
     tasks = stored(tasks.where("i < j or u <= v").select(F.xxhash64("i", "j", "u", "v").alias("task"), "i", "j", "u", "v"), "tasks")
     sides = tasks.select("task", F.col("i").alias("leaf"), F.col("u").alias("block"), F.lit(0).alias("side")).union(tasks.where("i < j or u < v").select("task", "j", "v", F.lit(1)))

@@ -155,6 +155,8 @@ def test_tree_prunes_and_keeps_all_pairs():
         for k, v in zip(p, d):
             radius[k] = max(v, radius.get(k, 0.0))
     pairs = set(tree.dual(radius, math.sqrt(2 - 2 * 0.95)))
+    begun = tree.dual(radius, math.sqrt(2 - 2 * 0.95), most=5)
+    assert len(begun) >= 5 and sorted(p for b in begun for p in tree.dual(radius, math.sqrt(2 - 2 * 0.95), [b])) == sorted(pairs)
     leaves = len(set(at.tolist()))
     assert len(pairs) < leaves * (leaves + 1) // 2
     for i, j in zip(*np.nonzero(x @ x.T >= 0.95)):
