@@ -281,7 +281,9 @@ _ART = _SECTION.replace("from cut where len(h) = 0", "from cut where doc_id % 4
 every as (select doc_id, section, no, content from sec union all select doc_id, 'given', 0, body from markdown where doc_id % 4 = 0),
 tk as (select *, regexp_extract_all(content, '(?:\A\s+)?\S+\s*') as t from every),
 win as (select *, unnest(case when len(t) > 500 then range(0, len(t), 450) else [0] end) as start from tk),
-piece as (select doc_id, section, (start // 450)::int as w, case when len(t) > 500 then array_to_string(t[start + 1:start + 500], '') else content end as content from win)"""
+piece as (select doc_id, section, no, (start // 450)::int as w, case when len(t) > 500 then array_to_string(t[start + 1:start + 500], '') else content end as content from win)"""
 ORACLE_SQL["a21_artifacts"] = sql("markdown", _ART + """
 select 'ingested/' || source || '/' || doc_id || '.md' as file_path, section, case when doc_id % 3 <> 0 then lang end as project, 'T' || doc_id as title, w as "window", 'hashed-8' as embedding_model, sha256(content) as content_sha256 from piece join markdown using (doc_id)
 union all select 'ingested/' || source || '/' || doc_id || '.md', 'given', 'other', 'old', 0, 'm', sha256('old text') from markdown where doc_id % 8 = 0 and doc_id % 3 <> 0""".replace("select 'ingested", " select 'ingested", 1))
+ORACLE_SQL["t3_ingest_stream"] = "with markdown as (select doc_id, source, lang, text as body from documents),\n" + _ART + """
+select 'ingested/' || source || '/' || doc_id || '.md' as path, no, section, w as "window", sha256(content) as content_sha256 from piece join markdown using (doc_id)"""
