@@ -53,6 +53,7 @@ def envelope(answers: DataFrame, checks: DataFrame, chunk_counts: DataFrame) ->
 
 
 def best_envelope(verified: Column, answered: Column, abstained: Column) -> Column:
+    """The verified answer if there is one, else the answered, else the abstained."""
     return F.coalesce(verified, answered, abstained)
 
 

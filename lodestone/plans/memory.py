@@ -69,7 +69,8 @@ def e7(spark, d):
 
 def e8(spark, d):
     a, v = _answers(spark, d), _evidence(spark, d)
-    return grounding.envelope(a, grounding.check_citations(a, v), v.groupBy("answer_id").agg(F.count("*").alias("n_chunks")))
+    e = grounding.envelope(a, grounding.check_citations(a, v), v.groupBy("answer_id").agg(F.count("*").alias("n_chunks")))
+    return e.withColumn("chosen", grounding.best_envelope(F.when(F.col("verified") > 0, "verified"), F.when(F.col("cited") > 1, "answered"), F.lit("abstained")))
 
 
 def e1(spark, d):
@@ -252,7 +253,7 @@ from (select event_id as qid, event_id % 6 = 0 as none, coalesce(case when event
     "e5_sentences": r"""select doc_id, len(s) as n_sentences, s[1] as first from (select doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') as s from documents)""",
     "e7_citations": "with " + _CHECKS + " select answer_id, place, file_path, round(support, 6) as support, content is not null and support >= 0.3 as verified, case when content is null then 'not_found' when support < 0.3 then 'unsupported' end as reason from checks",
     "e8_envelope": "with " + _CHECKS + """, v as (select answer_id, count(*) filter (content is not null and support >= 0.3) as verified, count(*) as cited, count(distinct case when content is not null and support >= 0.3 then file_path end) as files from checks group by answer_id)
-select answer_id, verified, cited, cited > 0 and verified = 0 as withheld, files >= 2 as corroborated, high_stakes and files < 2 as escalate from answers join v using (answer_id)""",
+select answer_id, verified, cited, cited > 0 and verified = 0 as withheld, files >= 2 as corroborated, high_stakes and files < 2 as escalate, case when verified > 0 then 'verified' when cited > 1 then 'answered' else 'abstained' end as chosen from answers join v using (answer_id)""",
     "e9_session_update": """select conv_id, count(*) + 2 as n_turns, 'ok' as last, array_to_string(list_concat(list_distinct_in_order, list_filter(['user', 'new', 'new'], lambda t: not list_contains(list_distinct_in_order, t))), ',') as topics
 from (select conv_id, turn, list(role) over (partition by conv_id) as x from conversations) join (select conv_id, list(role order by first) as list_distinct_in_order from (select conv_id, role, min(turn) as first from conversations group by all) group by conv_id) using (conv_id) group by conv_id, list_distinct_in_order""",
     "f1_decay": sql("facts", f"select fact_id, {_WEEKS}::int as weeks, round(confidence * power(0.95::double, {_WEEKS}), 6) as effective from facts"),

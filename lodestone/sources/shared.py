@@ -53,7 +53,8 @@ class VersionedTable:
         return self.spark.read.parquet(f"{self.path}/v={self.versions()[-1]}")
 
     def write(self, rows: DataFrame) -> int:
-        """The next version. The folder's name is taken before anything is written, so of two writers one fails."""
+        """The next version. The folder's name is taken before anything is written, so of two writers one fails. A writer that
+        died leaves its name below _claims, which has to be removed before that version can be written."""
         fs, at = self._fs()
         n = max([0, *self.versions()]) + 1
         claim = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_claims/{n}")
