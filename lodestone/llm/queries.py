@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, fingerprint, jaccard, language, lattice, line_dedup, packing, pii, suffix_dedup, url_filter
+from . import cover_tree, fim, fingerprint, jaccard, language, lattice, line_dedup, packing, pii, sharding, suffix_dedup, url_filter, variants
 from .common import small_batches
 
 
@@ -34,10 +34,15 @@ _QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
-QUERIES = {name: batched(query) for name, query in _QUERIES.items()}
+QUERIES = {name: batched(query) for name, query in _QUERIES.items()} | {
+    "op11_sharding": sharding.op11_sharding,
+    "op12_spelling_variants": variants.op12_spelling_variants,
+    "op13_fill_in_middle": fim.op13_fill_in_middle,
+}
 
 ORACLE_SQL = {
     "op1_cover_tree": cover_tree.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op13_fill_in_middle": fim.OP13_SQL,
 }

@@ -14,21 +14,9 @@ import corpus_pipeline
 from lodestone.llm import common, cover_tree, fingerprint, jaccard, language, lattice, line_dedup, packing, pii, suffix_dedup, url_filter
 
 SF = "/root/testdata/sf0.001"
-DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 given = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
 
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Nulls in any column, empty and very long texts, ties, repeated rows and a column that clashes."""
-    rng = random.Random(3)
-    words = [f"w{i}" for i in range(3000)]
-    long = " ".join(rng.choice(words) for _ in range(40_000))
-    same = " ".join(rng.choice(words) for _ in range(60))
-    rows = [(1, same, "en", "s", 1), (2, same, "en", None, None), (2, same, "en", None, None), (3, None, None, "s", 0), (4, "", "en", "s", 0), (5, long, None, "s", 1), (6, same + " end", "de", "s", 1), (None, same, "en", "s", 1), (7, "-- 12 --", "en", "s", 1)]
-    return spark.createDataFrame([(*r, "x", 0) for r in rows], DOCS + ", words string, key long")
-
-
 def near_texts(seed: int, n: int = 60) -> dict:
     rng = random.Random(seed)
     words = [f"{rng.choice('abcdefgh')}{i}" for i in range(400)]
