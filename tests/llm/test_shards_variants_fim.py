@@ -196,7 +196,7 @@ def test_gather_undoes_scatter(texts, rng):
     """Any cuts between characters, not at lines alone."""
     raw = [t.encode() for t in texts]
     at = np.cumsum([0, *map(len, raw)])
-    cuts = np.array([[at[i] + len(t[:a].encode()), at[i] + len(t[:z].encode())] for i, t in enumerate(texts) for a, z in [sorted((rng.randint(0, len(t)), rng.randint(0, len(t))))]]).reshape(-1, 2)
+    cuts = np.array([[at[i] + len(t[:a].encode()), at[i] + len(t[:z].encode())] for i, t in enumerate(texts) for a, z in [sorted((rng.randint(0, len(t)), rng.randint(0, len(t))))]], np.int64).reshape(-1, 2)
     forms = ["plain" if "<P>" in t else rng.choice(["psm", "spm", "plain"]) for t in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     out, to = fim.scatter(data, at, cuts, forms)
