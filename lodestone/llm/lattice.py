@@ -331,7 +331,9 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
     ship(spark, data, f"{shared_dir(spark)}/{name}")
     del data
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = docs.select("doc_id", "text")
+    if not all_known:  # they are joined by number, which has to stay as it is
+        rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tidy()

@@ -382,6 +382,14 @@ def test_rare_words_are_joined(spark, monkeypatch):
     assert all(r["text"] == r["decoded"] for r in lattice.decode(lattice.encode(docs)).collect())
 
 
+def test_rare_words_behind_a_shuffle(spark, monkeypatch):
+    """Rows that another evaluation would number otherwise: every text keeps its own words."""
+    monkeypatch.setattr(lattice, "FREQUENT", 2)
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id"), F.lit(" common x"), F.col("id") % 7).alias("text")).repartition(7, F.rand())
+    got = lattice.encode(docs, decoded=True).collect()
+    assert len(got) == 300 and all(r["text"] == r["decoded"] and r["text"].startswith(f"w{r['doc_id']} ") for r in got)
+
+
 def test_fingerprints(spark, odd, tmp_path):
     rng = random.Random(9)
     words = [f"term{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
