@@ -42,12 +42,33 @@ def unit(vs: pd.Series, width: int) -> np.ndarray:
     return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
 
 
-def best_of(s: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best scores in order, ids deciding ties; those of -inf are none."""
-    # all that tie with the k-th best stay, so that ids decide
-    at = np.flatnonzero(s >= np.partition(s, -k)[-k]) if len(s) > k else np.arange(len(s))
-    at = at[np.lexsort((ids[at], -s[at]))][:k]
-    return at[s[at] > -np.inf]
+CELLS = 1 << 21  # products held at once
+
+
+class Best:
+    """The k best items of each of n queries so far, by score and then by id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k, self.score, self.id = k, np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def add(self, s: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Scores of some queries (all where rows is None) with items; -inf is none. All queries are settled by one partition."""
+        rows = np.arange(len(self.score)) if rows is None else rows
+        x = np.concatenate([self.score[rows], s], axis=1)
+        at = x.shape[1] - self.k
+        # all that tie with the k-th best stay, so that ids decide
+        r, c = np.nonzero((x >= np.partition(x, at, axis=1)[:, at, None]) & (x > -np.inf))
+        own = np.where(c < self.k, self.id[rows[r], np.minimum(c, self.k - 1)], ids[np.maximum(c - self.k, 0)] if len(ids) else 0)
+        order = np.lexsort((own, -x[r, c], r))
+        r, c, own = r[order], c[order], own[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        kept_ = place < self.k
+        self.score[rows] = -np.inf
+        self.score[rows[r[kept_]], place[kept_]], self.id[rows[r[kept_]], place[kept_]] = x[r, c][kept_], own[kept_]
+
+    def frame(self, qid: np.ndarray) -> pd.DataFrame:
+        r, c = np.nonzero(self.score > -np.inf)
+        return pd.DataFrame({"qid": qid[r], "id": self.id[r, c], "score": self.score[r, c]})
 
 
 def scored(queries: DataFrame, items: DataFrame, k: int, weight: str | None = None, same: tuple[str, str] | None = None, keep_missing: bool = False) -> DataFrame:
@@ -70,29 +91,32 @@ def scored(queries: DataFrame, items: DataFrame, k: int, weight: str | None = No
     return top.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
-def _products(a: np.ndarray, group: pd.Series, b: pd.DataFrame) -> np.ndarray:
-    s = a @ unit(b["v"], a.shape[1]).T * b["w"].to_numpy(np.float64)
+def same_group(s: np.ndarray, group: pd.Series, own: pd.Series) -> np.ndarray:
+    """Scores without those of items of another group than the query's; a query of no group takes all. NaN is none."""
     if (some := group.notna().to_numpy()).any():
-        s[some[:, None] & (group.to_numpy()[:, None] != b["g"].to_numpy()[None, :])] = -np.inf
+        s[some[:, None] & (group.to_numpy()[:, None] != own.to_numpy()[None, :])] = -np.inf
     s[np.isnan(s)] = -np.inf
     return s
 
 
+def _settled(best: Best, a: np.ndarray, group: pd.Series, b: pd.DataFrame) -> None:
+    """Products of all queries with a batch of items, slice by slice."""
+    step = max(1, CELLS // max(1, len(a)))
+    for at in range(0, len(b), step):
+        part = b.iloc[at : at + step]
+        s = a @ unit(part["v"], a.shape[1]).T * part["w"].to_numpy(np.float64)
+        best.add(same_group(s, group, part["g"]), part["id"].to_numpy(np.int64))
+
+
 def _best_in_tasks(q: pd.DataFrame, items: DataFrame, k: int) -> DataFrame:
     a = unit(q["v"], max((len(v) for v in q["v"] if v is not None), default=1))
     qid, group = q["qid"].to_numpy(np.int64), q["g"]
 
     def run(batches):
-        ids, score = [np.zeros(0, np.int64)] * len(qid), [np.zeros(0)] * len(qid)
+        best = Best(len(qid), k)
         for b in batches:
-            s, own = _products(a, group, b), b["id"].to_numpy(np.int64)
-            for r in range(len(qid)):
-                at = best_of(s[r], own, k)
-                x, y = np.append(score[r], s[r][at]), np.append(ids[r], own[at])
-                at = best_of(x, y, k)
-                score[r], ids[r] = x[at], y[at]
-        if len(qid):
-            yield pd.DataFrame({"qid": np.repeat(qid, [len(x) for x in ids]), "id": np.concatenate(ids), "score": np.concatenate(score)})
+            _settled(best, a, group, b)
+        yield best.frame(qid)
 
     return items.mapInPandas(run, "qid long, id long, score double")
 
@@ -106,13 +130,10 @@ def _best_in_blocks(q: DataFrame, items: DataFrame, k: int) -> DataFrame:
     i = i.join(to, F.col("ib") == F.col("kb")).select("id", "v", "g", "w", "jb", "kb")
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        if len(a) and len(b):
-            s, ids = _products(unit(a["v"], max((len(v) for v in a["v"] if v is not None), default=1)), a["g"], b), b["id"].to_numpy()
-            for r, qid in enumerate(a["qid"]):
-                at = best_of(s[r], ids, k)
-                out.append(pd.DataFrame({"qid": qid, "id": ids[at], "score": s[r][at]}))
-        return pd.concat(out)
+        top = Best(len(a), k)
+        if len(a):
+            _settled(top, unit(a["v"], max((len(v) for v in a["v"] if v is not None), default=1)), a["g"], b)
+        return top.frame(a["qid"].to_numpy(np.int64))
 
     return q.groupBy("qb", "ib").cogroup(i.groupBy("jb", "kb")).applyInPandas(best, "qid long, id long, score double")
 
@@ -132,9 +153,14 @@ def filtered(chunks: DataFrame, filters: dict | None, corpus: Corpus = Corpus())
     return chunks
 
 
-def semantic(queries: DataFrame, chunks: DataFrame, k: int = SEMANTIC) -> DataFrame:
-    """(qid, id, distance, rn). A query with a ``scope`` takes chunks of that project alone."""
-    return scored(queries, chunks, k, same=("scope", "project") if "scope" in queries.columns else None).select("qid", "id", (1 - F.col("score")).alias("distance"), "rn")
+def semantic(queries: DataFrame, chunks: DataFrame, k: int = SEMANTIC, vectors=None, where=None) -> DataFrame:
+    """(qid, id, distance, rn). A query with a ``scope`` takes chunks of that project alone.
+
+    With ``vectors``, a `VectorIndex` of the chunks, its lists are read instead, cut down by ``where``, a function of their rows.
+    """
+    same = ("scope", "project") if "scope" in queries.columns else None
+    found = scored(queries, chunks, k, same=same) if vectors is None else vectors.search(queries, k, same=same, where=where)
+    return found.select("qid", "id", (1 - F.col("score")).alias("distance"), "rn")
 
 
 def distances(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -273,14 +299,23 @@ def confidence(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.select("qid").join(mean, "qid", "left").select("qid", F.coalesce(squash(F.col("mean")), F.lit(0.0)).alias("confidence"))
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Column, k: int = 10, include_archived: bool = False, expand: bool = True, decay: bool = True, threshold: float = 0.0, corpus: Corpus = Corpus(), filters: dict | None = None, facts: DataFrame | None = None) -> DataFrame:
-    """The whole pipeline; (qid, id, rank, score, via, distance, doc_id, file_path). Facts take part where they are given."""
-    c = filtered(live(chunks, include_archived), filters, corpus)
-    found = kept(semantic(queries, c), "found")
+def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Column, k: int = 10, include_archived: bool = False, expand: bool = True, decay: bool = True, threshold: float = 0.0, corpus: Corpus = Corpus(), filters: dict | None = None, facts: DataFrame | None = None, index=None, vectors=None) -> DataFrame:
+    """The whole pipeline; (qid, id, rank, score, via, distance, doc_id, file_path). Facts take part where they are given.
+
+    ``index`` and ``vectors``, a `TextIndex` and a `VectorIndex` of all chunks, spare taking texts apart and reading all vectors.
+    """
+    narrowed = lambda x: filtered(live(x, include_archived), filters, corpus)
+    c = narrowed(chunks)
+    found = kept(semantic(queries, c, vectors=vectors, where=narrowed), "found")
     stages = [found]
     if expand:
         stages.append(structural(found, queries, c, edges))
-    ranks = kept(keyword_rank(queries, postings(c, corpus.fields, query_terms(queries).select("term").distinct())), "ranks")
+    wanted = query_terms(queries).select("term").distinct()
+    if index is None:
+        ranks = keyword_rank(queries, postings(c, corpus.fields, wanted))
+    else:
+        ranks = keyword_rank(queries, index.postings(wanted, corpus.fields)).join(c.select("id"), "id", "left_semi")
+    ranks = kept(ranks, "ranks")
     if "scope" in queries.columns:
         ranks = ranks.join(c.select("id", "project"), "id").join(queries.select("qid", "scope"), "qid").where("scope is null or scope = project").select("qid", "id", "rank")
     present = merged(*stages)

@@ -12,6 +12,7 @@ from ..operators import retrieval as R
 from ..sources.shared import read_report, shared_dir, write_report
 from .memory import _words
 from .retrieval import _CTE
+from .stores import indexes
 from .views import base, chunks, edges, golden, read, sql
 
 
@@ -28,7 +29,7 @@ def _cases(spark, d):
 def _scores(spark, d):
     cases, q = _cases(spark, d)
     c = chunks(spark, d)
-    r = R.hybrid(q, c, edges(spark, d), base())
+    r = R.hybrid(q, c, edges(spark, d), base(), **indexes(spark, d))
     return E.case_scores(cases, r.join(c.select("id", "content"), "id"), R.confidence(q, r))
 
 

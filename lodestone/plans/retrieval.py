@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.text_index import TextIndex
+from ..sources.shared import shared_dir
+from .stores import indexes, text_index, vector_index
 from .views import BASE, base, chunks, edges, facts, recall_queries, sql
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOPPED)
@@ -47,12 +52,12 @@ def _in(spark, d):
 
 def c1(spark, d):
     q, c, _ = _in(spark, d)
-    return R.semantic(q, R.live(c)).select("qid", "id", F.round("distance", 6).alias("distance"), "rn")
+    return R.semantic(q, c, vectors=vector_index(spark, d), where=R.live).select("qid", "id", F.round("distance", 6).alias("distance"), "rn")
 
 
 def c2(spark, d):
     q, c, _ = _in(spark, d)
-    return R.semantic(q, c, 5).select("qid", "id", F.round(1 - F.col("distance"), 6).alias("score"), "rn")
+    return R.semantic(q, c, 5, vector_index(spark, d)).select("qid", "id", F.round(1 - F.col("distance"), 6).alias("score"), "rn")
 
 
 def c3(spark, d):
@@ -61,18 +66,24 @@ def c3(spark, d):
     return R.structural(R.semantic(q, c), q, c, e).select("qid", "id", F.round("distance", 6).alias("distance"))
 
 
+def _ranks(spark, d, q, c):
+    """Keyword ranks by the stored index, of the live chunks."""
+    found = text_index(spark, d).postings(R.query_terms(q).select("term").distinct(), R.Corpus().fields)
+    return R.keyword_rank(q, found).join(c.select("id"), "id", "left_semi")
+
+
 def c4(spark, d):
     q, c, e = _in(spark, d)
     c = R.live(c)
     s = R.semantic(q, c)
     present = R.merged(s, R.structural(s, q, c, e))
-    k = R.keyword_candidates(R.keyword_rank(q, R.postings(c)), present)
+    k = R.keyword_candidates(_ranks(spark, d, q, c), present)
     return k.select("qid", "id", F.round("rank", 6).alias("rank"), "rn")
 
 
 def c5(spark, d):
     q, c, _ = _in(spark, d)
-    return R.keyword_rank(q, R.postings(R.live(c), wanted=R.query_terms(q).select("term").distinct())).select("qid", "id", F.round("rank", 6).alias("rank"))
+    return _ranks(spark, d, q, R.live(c)).select("qid", "id", F.round("rank", 6).alias("rank"))
 
 
 def c6(spark, d):
@@ -88,12 +99,23 @@ def c8(spark, d):
 
 
 def c14(spark, d):
-    return R.postings(chunks(spark, d), ("title", "keywords", "description", "content")).select("id", "term", F.round("s", 6).alias("s"))
+    return text_index(spark, d).postings().select("id", "term", F.round("s", 6).alias("s"))
+
+
+def c14_update(spark, d):
+    """Files f3 and f5 are replaced: the one's chunks get another title, the other's go; a chunk of a new file comes."""
+    c = chunks(spark, d)
+    index = TextIndex(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", ("title", "description"))
+    index.build(c)
+    new = c.where("file_path = 'docs/f3.md'").withColumn("title", F.concat("title", F.lit(" revised "), F.col("id") % 3))
+    more = c.where("id % 40 = 7").withColumns({"id": -F.col("id"), "file_path": F.lit("docs/new.md")})
+    index.update(spark.createDataFrame([("docs/f3.md",), ("docs/f5.md",), ("docs/new.md",)], "file_path string"), new.unionByName(more))
+    return index.postings().select("id", "term", F.round("s", 6).alias("s"))
 
 
 def _hybrid(spark, d):
     q, c, e = _in(spark, d)
-    return q, R.hybrid(q, c, e, base())
+    return q, R.hybrid(q, c, e, base(), **indexes(spark, d))
 
 
 def c15(spark, d):
@@ -131,25 +153,25 @@ def c12(spark, d):
     i = F.col("qid")
     q = q.withColumn("query", F.when(i % 100 == 0, F.concat(F.lit("see F"), i % 7)).otherwise(F.col("query")))
     q = q.withColumn("mode", F.when(i % 150 == 50, "hybrid").otherwise("auto")).withColumn("scope", R.scoped(F.when(i % 350 == 50, "de"), F.when(i % 250 == 50, F.col("qproject"))))
-    return R.recall(q, c, e, base()).select("qid", "id", "doc_id", "title", "section", "via", "rn", F.round("score", 6).alias("score"))
+    return R.recall(q, c, e, base(), **indexes(spark, d)).select("qid", "id", "doc_id", "title", "section", "via", "rn", F.round("score", 6).alias("score"))
 
 
 def c15_flat(spark, d):
     """A corpus of flat matches, archived chunks included, without graph and decay, above a threshold."""
     q, c, e = _in(spark, d)
-    r = R.hybrid(q, c, e, base(), include_archived=True, expand=False, decay=False, threshold=1.1, corpus=R.Corpus(fields=("title",), graded=False))
+    r = R.hybrid(q, c, e, base(), include_archived=True, expand=False, decay=False, threshold=1.1, corpus=R.Corpus(fields=("title",), graded=False), **indexes(spark, d))
     return r.select("qid", "id", "via", "rank", F.round("score", 6).alias("score"))
 
 
 def c15m(spark, d):
-    r = R.hybrid(_workspace_queries(spark, d), chunks(spark, d), edges(spark, d), base(), facts=facts(spark, d))
+    r = R.hybrid(_workspace_queries(spark, d), chunks(spark, d), edges(spark, d), base(), facts=facts(spark, d), **indexes(spark, d))
     return r.select("qid", "id", "via", "rank", F.round("score", 6).alias("score"))
 
 
 QUERIES = {
     "c7_memory_candidates": c7, "c12_dispatch": c12, "c15_with_memory": c15m, "c15_flat_corpus": c15_flat,
     "b1_metadata_filters": b1, "b3_exact_lookup": b3, "c1_semantic_candidates": c1, "c2_semantic_search": c2, "c3_structural": c3, "c4_keyword_candidates": c4,
-    "c5_keyword_rank": c5, "c6_flat_keyword": c6, "c8_priority_merge": c8, "c11_confidence": c11, "c14_text_index": c14, "c15_hybrid_recall": c15,
+    "c5_keyword_rank": c5, "c6_flat_keyword": c6, "c8_priority_merge": c8, "c11_confidence": c11, "c14_text_index": c14, "c14_index_update": c14_update, "c15_hybrid_recall": c15,
 }
 _tail = lambda body: sql(_V, _CTE + body)
 _MEM = f"""fsim as (select qid, fact_id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as s from q join (select * from facts where embedding is not null) on workspace_id = qproject),
@@ -193,6 +215,13 @@ select distinct qid, id from w, chunks where word <> '' and content ilike '%' ||
     union all select id, unnest(regexp_extract_all(lower(array_to_string(keywords, ' ')), '[\\p{{L}}\\p{{N}}]+')), 1.0::double from chunks
     union all select id, unnest(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}]+')), 0.4::double from chunks
     union all select id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')), 0.2::double from chunks) where term not in ({_STOP}) group by id, term"""),
+    "c14_index_update": sql("chunks", f"""now as (
+    select id, title, description from chunks where file_path not in ('docs/f3.md', 'docs/f5.md')
+    union all select id, title || ' revised ' || (id % 3), description from chunks where file_path = 'docs/f3.md'
+    union all select -id, title, description from chunks where id % 40 = 7)
+  select id, term, round(sum(w), 6) as s from (
+    select id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) as term, 1.0::double as w from now
+    union all select id, unnest(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}]+')), 0.4::double from now) where term not in ({_STOP}) group by id, term"""),
     "c15_hybrid_recall": _tail("select qid, id, doc_id, file_path, via, rank, round(score, 6) as score from final"),
 }
 _q_hybrid = "qid % 100 <> 0 and qid % 150 = 50"
