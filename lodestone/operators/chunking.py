@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import markup
 from ..functions.scalars import strip
 
 SIZE, OVERLAP, HEADER_ONLY = 500, 50, 40
@@ -175,6 +176,7 @@ def log_entries(docs: DataFrame, key: str = "doc_id", text: str = "body") -> Dat
     shape, which takes the first date in it if it has one. '### title' is an entry of the date before it unless it has its
     own. Entries without a date are left out, a rule at the end of a body is cut.
     """
+    # The forms of a date and of headers that hold one.
     date = r"\d{4}-\d{2}-\d{2}"
     lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)).alias("line", "t"))
     level2, level3 = F.startswith("t", F.lit("## ")), F.startswith("t", F.lit("### "))
@@ -193,13 +195,13 @@ def log_entries(docs: DataFrame, key: str = "doc_id", text: str = "body") -> Dat
 
 
 def article_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with article and fetch_status: scripts, styles, comments and navigation dropped, tags stripped."""
-    t = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?-->|<(script|style|nav|head)\b.*?</\1\s*>", " ")
-    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
-    for entity, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(c))
-    t = strip(F.regexp_replace(t, r"\s+", " "))
-    return pages.withColumn("article", t).withColumn("fetch_status", F.when(F.col("article") == "", "failed").otherwise("ok"))
+    """pages with article and fetch_status (ok, fallback_used or failed); see `functions.markup`."""
+
+    @F.pandas_udf("article string, fetch_status string")
+    def read(html_: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([markup.article(t) for t in html_], columns=["article", "fetch_status"])
+
+    return pages.withColumn("__read", read(F.col(html))).withColumns({"article": F.col("__read.article"), "fetch_status": F.col("__read.fetch_status")}).drop("__read")
 
 
 def plain_text(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.sizes import broadcast_if_small
@@ -39,6 +39,12 @@ def discover(files: DataFrame, lanes: list[tuple[str, str]]) -> DataFrame:
     return ok.where("lane is not null").withColumn("__n", first).where("__n = 1").drop("__n").withColumn("lane_name", F.get(F.array(*[F.lit(x) for x, _ in lanes]), F.col("lane")))
 
 
+def discover_workspace(files: DataFrame) -> DataFrame:
+    """files(path) of a workspace: markdown of any depth, without names that begin with a dot and folders named target."""
+    folders = F.slice(parts(F.col("path")), 1, F.size(parts(F.col("path"))) - 1)
+    return files.where(F.col("path").rlike(r"\.mdx?$") & ~F.exists(parts(F.col("path")), lambda p: p.startswith(".")) & ~F.array_contains(folders, "target"))
+
+
 def doc_type(path: Column, types: list[tuple[str, str]] = TYPES) -> Column:
     """By the first prefix that fits; content otherwise."""
     out = F.lit("content")
@@ -53,9 +59,13 @@ def attributed(lane: Column, slug: Column, own: Column) -> Column:
 
 
 def to_index(files: DataFrame, index: DataFrame) -> DataFrame:
-    """files(path, mtime) to read again: those whose newest row isn't strictly later than the file."""
-    newest = index.groupBy(F.col("file_path").alias("path")).agg(F.max("indexed_at").alias("newest"))
-    return files.join(newest, "path", "left").where("newest is null or newest <= mtime")
+    """files(path, mtime) to read again: those whose newest row isn't strictly later than the file.
+
+    Where files have a project, as in a workspace, only rows of that project count.
+    """
+    keys = ["path", "project"] if "project" in files.columns else ["path"]
+    newest = index.withColumnRenamed("file_path", "path").groupBy(*keys).agg(F.max("indexed_at").alias("newest"))
+    return files.join(newest, keys, "left").where("newest is null or newest <= mtime")
 
 
 def stale(files: DataFrame, index: DataFrame) -> DataFrame:
@@ -149,9 +159,11 @@ def ingest(index: DataFrame, artifacts: DataFrame, embed_batch, width: int, stam
 
 
 def store_chunks(chunks: DataFrame, path: str, buckets: int = 16) -> int:
-    """Append chunks(doc_id, position, ...) to a folder dealt by a hash of doc_id; how many were written."""
-    chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(path)
-    return chunks.count()
+    """Append chunks(doc_id, position, ...) to a folder dealt by a hash of doc_id; how many were written, counted as they are."""
+    seen = Observation()
+    rows = chunks.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).observe(seen, F.count("*").alias("n"))
+    rows.write.mode("append").partitionBy("bucket").parquet(path)
+    return seen.get["n"]
 
 
 def refresh(index: DataFrame, files: DataFrame, chunked, failed: DataFrame, load_edges=None, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -14,7 +14,10 @@ ABSTAIN_BELOW, RESAMPLES, ALPHA = 0.6552, 10_000, 0.05
 EXACT_CASES = 20_000  # values of a group that are drawn one after the other
 #: Which metrics are shares of cases and which are means.
 PROPORTIONS = ["recall_at_5", "recall_at_10", "abstain_correct"]
-CONTINUOUS = ["mrr", "groundedness"]
+CONTINUOUS = ["mrr", "groundedness", "groundedness_on_hits"]
+#: The seed of each mean's interval, and of that of its differences between two runs.
+SEEDS = {"mrr": 0, "groundedness": 1, "groundedness_on_hits": 2}
+PAIRED_SEEDS = {"mrr": 10, "groundedness": 11, "groundedness_on_hits": 12}
 
 
 def case_scores(cases: DataFrame, results: DataFrame, confidence: DataFrame) -> DataFrame:
@@ -39,13 +42,19 @@ def case_scores(cases: DataFrame, results: DataFrame, confidence: DataFrame) ->
 def aggregates(scores: DataFrame) -> DataFrame:
     """One row of means; cases without expectation count for abstention alone; no case gives 0."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    on_hits = F.coalesce(F.avg(F.when(F.col("matched"), F.col("groundedness"))), F.lit(0.0))
-    return scores.agg(F.count("*").alias("cases"), *[mean(c).alias(c) for c in PROPORTIONS + CONTINUOUS], on_hits.alias("groundedness_on_hits"))
+    return with_on_hits(scores).agg(F.count("*").alias("cases"), *[mean(c).alias(c) for c in PROPORTIONS + CONTINUOUS])
+
+
+def with_on_hits(scores: DataFrame) -> DataFrame:
+    """scores with groundedness_on_hits, which is defined on cases that found an expected document (``matched``) alone."""
+    return scores.withColumn("groundedness_on_hits", F.when(F.col("matched"), F.col("groundedness")))
 
 
 def long_form(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys..., metric, value) without null values."""
-    return scores.unpivot(keys, [F.col(c).cast("double").alias(c) for c in PROPORTIONS + CONTINUOUS], "metric", "value").where("value is not null")
+    """(keys..., metric, value) without null values: a metric stands where its case defines it. Without ``matched``, nothing is said on hits."""
+    metrics = [c for c in PROPORTIONS + CONTINUOUS if c != "groundedness_on_hits" or "matched" in scores.columns]
+    scores = with_on_hits(scores) if "matched" in scores.columns else scores
+    return scores.unpivot(keys, [F.col(c).cast("double").alias(c) for c in metrics], "metric", "value").where("value is not null")
 
 
 def proportion_intervals(values: DataFrame) -> DataFrame:
@@ -82,9 +91,9 @@ def bootstrap_exact(values: DataFrame, seed: int, resamples: int = RESAMPLES, ke
     return values.where("value is not null").groupBy(*keys).applyInPandas(run, f"{schema}, point double, lo double, hi double, n long")
 
 
-def times_drawn(seed: int, r: Column, case_id: Column) -> Column:
+def times_drawn(seed: Column, r: Column, case_id: Column) -> Column:
     """How often resample r holds a case: a Poisson number of mean 1, from a digest."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), r, case_id)), 1, 8), 16, 10).cast("double") / (1 << 32)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", seed, r, case_id)), 1, 8), 16, 10).cast("double") / (1 << 32)
     out, p, below = F.lit(0), math.exp(-1), math.exp(-1)
     for k in range(1, 12):
         out, p = out + (u >= below).cast("int"), p / k
@@ -92,13 +101,16 @@ def times_drawn(seed: int, r: Column, case_id: Column) -> Column:
     return out
 
 
-def bootstrap_spread(values: DataFrame, seed: int, resamples: int) -> DataFrame:
+def bootstrap_spread(values: DataFrame, seed: int | dict[str, int], resamples: int) -> DataFrame:
     """(metric, point, lo, hi, n) by the Poisson bootstrap: every case decides by itself how often each resample holds it.
 
-    Nothing is numbered, gathered or joined: a sum for each metric and resample, combined before the shuffle.
+    ``seed`` may differ by metric (0 for those that it doesn't name). Nothing is numbered, gathered or joined: a sum for each metric and resample, combined before the shuffle.
     """
     each = values.where("value is not null").select("metric", "case_id", "value", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("r"))
-    each = each.withColumn("w", times_drawn(seed, F.col("r"), F.col("case_id")))
+    own = F.lit(seed if isinstance(seed, int) else 0)
+    for metric, s in seed.items() if isinstance(seed, dict) else ():
+        own = F.when(F.col("metric") == metric, s).otherwise(own)
+    each = each.withColumn("w", times_drawn(own, F.col("r"), F.col("case_id")))
     total = each.groupBy("metric", "r").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"), F.count("*").alias("n"), F.avg("value").alias("point"))
     total = total.withColumn("mean", F.when(F.col("w") > 0, F.col("s") / F.col("w")).otherwise(F.col("point")))
     means = total.groupBy("metric").agg(F.array_sort(F.collect_list("mean")).alias("m"), F.first("n").alias("n"), F.first("point").alias("point"))  # ``resamples`` numbers
@@ -119,7 +131,7 @@ def flips(values: DataFrame) -> DataFrame:
     return x.where("b <> c").select("metric", "case_id", F.when(F.col("c") > F.col("b"), "better").otherwise("worse").alias("flip"))
 
 
-def paired(values: DataFrame, seed: int = 0, resamples: int = RESAMPLES) -> DataFrame:
+def paired(values: DataFrame, seed: int | dict[str, int] = PAIRED_SEEDS, resamples: int = RESAMPLES) -> DataFrame:  # noqa: B006
     """Verdict for each metric of values(run in {base, current}, case_id, metric, value).
 
     Runs over different cases are incomparable in every metric, and a metric whose own cases differ is so by itself;

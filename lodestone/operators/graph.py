@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import VersionedTable, shared_dir
+from ..sources.shared import VersionedTable, kept, shared_dir
 
 
 def load_edges(payload: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,6 +47,7 @@ def edge_rows(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     x = payloads.withColumn("fault", payload_fault(F.col("payload")))
     rejected = x.where("fault is not null")
     p = x.where("fault is null").select(F.monotonically_increasing_id().alias("no"), F.from_json("payload", _PAYLOAD).alias("p"))
+    p = kept(p, "payloads")  # nodes and edges meet by number, which has to stay as it is
     nodes = p.select("no", F.inline("p.nodes")).where("id is not null").groupBy("no", F.col("id").alias("from")).agg(F.max_by(F.struct("doc_id", "scope"), F.struct("doc_id", "scope")).alias("source"))
     e = p.select("no", F.inline("p.edges")).join(nodes, ["no", "from"], "left")
     rows = e.where("source is not null").select(F.col("from").alias("source_node_id"), F.col("source.doc_id").alias("source_doc_id"), "to_ref", "target_node_id", "target_doc_id", F.coalesce("kind", F.lit("related")).alias("kind"), "source.scope")

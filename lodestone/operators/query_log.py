@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import order_statistic, ranked_within
+from ..functions.scalars import window_hours
+
 MIN_COUNT, GAP, KEYWORD_SHARE, KEEP_DAYS = 2, 0.05, 0.5, 90
 
 
@@ -34,6 +39,14 @@ def read_log(log: DataFrame, since: Column | None = None, abstained_only: bool =
     return x.where("abstained") if abstained_only else x
 
 
+def read_window(log: DataFrame, window: str, as_of: Column, abstained_only: bool = False) -> DataFrame:
+    """Rows of the last '7d' or '36h' before as_of, the border included, newest first by whoever sorts them; any other text is refused."""
+    if not re.fullmatch(r"[0-9]+[dh]", window.strip()):
+        raise ValueError(f"{window!r} is no window like 7d or 24h")
+    since = as_of - F.make_dt_interval(hours=window_hours(F.lit(window.strip())))
+    return read_log(log, since, abstained_only)
+
+
 def abstain_rate(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.col("abstained").cast("int")), F.lit(0.0)).alias("rate"))
 
@@ -49,8 +62,8 @@ def mined(log: DataFrame, golden: DataFrame | None = None, least: int = MIN_COUN
 
 def low_threshold(candidates: DataFrame) -> DataFrame:
     """One row: the lower quartile of the means that weren't abstained on; the least of under four; null of none."""
-    c = candidates.where("not latest.abstained")
-    return c.agg(F.when(F.count("*") < 4, F.min("confidence")).otherwise(F.percentile("confidence", 0.25)).alias("low"))
+    c = order_statistic(candidates.where("not latest.abstained"), "confidence", 0.25)
+    return c.select(F.when(F.col("n") < 4, F.col("least")).otherwise(F.col("quantile")).alias("low"))
 
 
 def classified(candidates: DataFrame) -> DataFrame:
@@ -66,7 +79,7 @@ def classified(candidates: DataFrame) -> DataFrame:
 
 def ranked(candidates: DataFrame) -> DataFrame:
     """In order of count, time and text; place is 1, 2, ... within each reason."""
-    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("reason").orderBy(F.desc("n"), F.desc("last_seen"), "query")))
+    return ranked_within(candidates, ["reason"], [F.desc("n"), F.desc("last_seen"), F.col("query").asc()])
 
 
 def draft_cases(candidates: DataFrame) -> DataFrame:

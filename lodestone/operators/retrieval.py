@@ -33,13 +33,13 @@ class Corpus:
 
 
 def unit(vs: pd.Series, width: int) -> np.ndarray:
-    """Rows at length 1; zeros for missing vectors and those of another width."""
+    """Rows at length 1; zeros for vectors that are missing, of another width, or not finite."""
     x = np.zeros((len(vs), width))
     for r, v in enumerate(vs):
         if v is not None and len(v) == width:
             x[r] = v
     size = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+    return np.divide(x, size, out=np.zeros_like(x), where=(size > 0) & np.isfinite(size))
 
 
 CELLS = 1 << 21  # products held at once
@@ -77,7 +77,8 @@ def scored(queries: DataFrame, items: DataFrame, k: int, weight: str | None = No
     A stated set of queries against all rows. Up to QUERIES_HELD queries travel to the items: a task multiplies its rows
     with all of them, batch by batch, and returns k rows for each query, so no vector of an item is shuffled. More queries are
     dealt in blocks to every block of items. A window picks the best of what comes back. ``same`` names a column of each
-    side that must agree, a query without a value taking all. Missing or zero vectors score 0 or, by default, go.
+    side that must agree, a query without a value taking all. Vectors that are missing, zero or hold
+    what is no number score 0 or, by default, go, on either side.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     left, right = same or (None, None)
@@ -86,11 +87,18 @@ def scored(queries: DataFrame, items: DataFrame, k: int, weight: str | None = No
     if not keep_missing:
         i = i.where("v is not null")
     held = q.limit(QUERIES_HELD + 1).toPandas()
-    top = _best_in_tasks(held, i, k) if len(held) <= QUERIES_HELD else _best_in_blocks(q, i, k)
+    top = _best_in_tasks(held, i, k, keep_missing) if len(held) <= QUERIES_HELD else _best_in_blocks(q, i, k, keep_missing)
     rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return top.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
+def directed(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Scores without those of vectors that have no direction, zeros in either matrix: their distance is no number."""
+    s[~a.any(axis=1)] = -np.inf
+    s[:, ~b.any(axis=1)] = -np.inf
+    return s
+
+
 def same_group(s: np.ndarray, group: pd.Series, own: pd.Series) -> np.ndarray:
     """Scores without those of items of another group than the query's; a query of no group takes all. NaN is none."""
     if (some := group.notna().to_numpy()).any():
@@ -99,29 +107,30 @@ def same_group(s: np.ndarray, group: pd.Series, own: pd.Series) -> np.ndarray:
     return s
 
 
-def _settled(best: Best, a: np.ndarray, group: pd.Series, b: pd.DataFrame) -> None:
+def _settled(best: Best, a: np.ndarray, group: pd.Series, b: pd.DataFrame, missing: bool) -> None:
     """Products of all queries with a batch of items, slice by slice."""
     step = max(1, CELLS // max(1, len(a)))
     for at in range(0, len(b), step):
         part = b.iloc[at : at + step]
-        s = a @ unit(part["v"], a.shape[1]).T * part["w"].to_numpy(np.float64)
-        best.add(same_group(s, group, part["g"]), part["id"].to_numpy(np.int64))
+        x = unit(part["v"], a.shape[1])
+        s = a @ x.T * part["w"].to_numpy(np.float64)
+        best.add(same_group(s if missing else directed(s, a, x), group, part["g"]), part["id"].to_numpy(np.int64))
 
 
-def _best_in_tasks(q: pd.DataFrame, items: DataFrame, k: int) -> DataFrame:
+def _best_in_tasks(q: pd.DataFrame, items: DataFrame, k: int, missing: bool) -> DataFrame:
     a = unit(q["v"], max((len(v) for v in q["v"] if v is not None), default=1))
     qid, group = q["qid"].to_numpy(np.int64), q["g"]
 
     def run(batches):
         best = Best(len(qid), k)
         for b in batches:
-            _settled(best, a, group, b)
+            _settled(best, a, group, b, missing)
         yield best.frame(qid)
 
     return items.mapInPandas(run, "qid long, id long, score double")
 
 
-def _best_in_blocks(q: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def _best_in_blocks(q: DataFrame, items: DataFrame, k: int, missing: bool) -> DataFrame:
     blocks = max(1, -(-items.count() // ITEM_BLOCK))
     q = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(max(1, -(-q.count() // QUERY_BLOCK)))))
     q = q.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ib"))
@@ -132,7 +141,7 @@ def _best_in_blocks(q: DataFrame, items: DataFrame, k: int) -> DataFrame:
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         top = Best(len(a), k)
         if len(a):
-            _settled(top, unit(a["v"], max((len(v) for v in a["v"] if v is not None), default=1)), a["g"], b)
+            _settled(top, unit(a["v"], max((len(v) for v in a["v"] if v is not None), default=1)), a["g"], b, missing)
         return top.frame(a["qid"].to_numpy(np.int64))
 
     return q.groupBy("qb", "ib").cogroup(i.groupBy("jb", "kb")).applyInPandas(best, "qid long, id long, score double")
@@ -163,6 +172,12 @@ def semantic(queries: DataFrame, chunks: DataFrame, k: int = SEMANTIC, vectors=N
     return found.select("qid", "id", (1 - F.col("score")).alias("distance"), "rn")
 
 
+def stamped(chunks: DataFrame, stamp: str) -> DataFrame:
+    """chunks, whose vectors have to bear the caller's stamp or none: one of another model fails the job where it is read."""
+    other = F.concat(F.lit(f"a vector of {stamp} can't be compared with one of "), "embedding_model")
+    return chunks.withColumn("embedding", F.when(F.col("embedding_model") != stamp, F.raise_error(other).cast(chunks.schema["embedding"].dataType)).otherwise(F.col("embedding")))
+
+
 def distances(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """pairs (qid, id, ...) with distance; the candidates are few for each query."""
     from ..functions.scalars import cosine_distance

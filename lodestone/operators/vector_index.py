@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import doubles
 from ..sources.generations import Generations
 from ..sources.shared import kept
-from .retrieval import QUERIES_HELD, Best, same_group, scored, unit
+from .retrieval import QUERIES_HELD, Best, directed, same_group, scored, unit
 
 SAMPLE = 20_000  # vectors that centres are fitted on, those with the least hashes of their ids
 MOST_LISTS = 1024
@@ -58,8 +58,7 @@ class VectorIndex:
         def run(batches):
             for b in batches:
                 u = unit(b["v"], centres.shape[1])
-                ok = np.isfinite(u).all(axis=1) & u.any(axis=1)
-                s = np.where(ok[:, None], u, 0) @ centres.T
+                ok, s = u.any(axis=1), u @ centres.T
                 yield b.assign(angle=np.where(ok, np.arccos(np.clip(s.max(axis=1, initial=-1), -1, 1)), 0.0), list=np.where(ok, s.argmax(axis=1), -1) if len(centres) else -1)
 
         return x.mapInPandas(run, f"{fields}, angle double, list int")
@@ -73,7 +72,7 @@ class VectorIndex:
         have = rows.where("embedding is not null").select("id", doubles(F.col("embedding")).alias("v"))
         sample = have.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
         u = unit(sample["v"], max((len(v) for v in sample["v"]), default=1))
-        u = u[np.isfinite(u).all(axis=1) & u.any(axis=1)]
+        u = u[u.any(axis=1)]
         n = have.count()
         centres = fitted(u, self.lists or min(MOST_LISTS, max(1, round(n**0.5)))) if len(u) else np.zeros((0, 1))
         radii = lambda tables: self._measured(self.store.store.read("rows", state={"tables": tables}))
@@ -123,10 +122,9 @@ class VectorIndex:
         radii = {r["list"]: r["radius"] for r in self.store.store.read("radii", state=state).collect()}
         used = np.array(sorted(radii), np.int64)
         radius = np.array([radii[i] for i in used.tolist()])
-        with np.errstate(invalid="ignore"):
-            angle = np.arccos(np.clip(a @ centres[used].T, -1, 1)) if len(used) else np.zeros((len(a), 0))
-        flat = ~(np.isfinite(a).all(axis=1) & a.any(axis=1))  # queries without a direction rule out nothing
-        bound = np.cos(np.clip(np.nan_to_num(angle) - radius - SLACK, 0, np.pi)) + SLACK
+        angle = np.arccos(np.clip(a @ centres[used].T, -1, 1)) if len(used) else np.zeros((len(a), 0))
+        flat = ~a.any(axis=1)  # queries without a direction find all rows alike, or nothing
+        bound = np.cos(np.clip(angle - radius - SLACK, 0, np.pi)) + SLACK
         first = np.zeros(bound.shape, bool)
         np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
 
@@ -141,8 +139,9 @@ class VectorIndex:
                 for b in batches:
                     for n, rows in b.groupby("list"):
                         to = wanted[n]
-                        s = a[to] @ unit(rows["v"], a.shape[1]).T * rows["w"].to_numpy(np.float64)
-                        best.add(same_group(s, group.iloc[to], rows["g"]), rows["id"].to_numpy(np.int64), to)
+                        x = unit(rows["v"], a.shape[1])
+                        s = a[to] @ x.T * rows["w"].to_numpy(np.float64)
+                        best.add(same_group(s if keep_missing else directed(s, a[to], x), group.iloc[to], rows["g"]), rows["id"].to_numpy(np.int64), to)
                 yield best.frame(qid)
 
             rows = self.store.rows(state, lambda p: items(p.where(F.col("list").isin(lists))))
@@ -152,7 +151,9 @@ class VectorIndex:
 
         rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
         top = lambda x: x.withColumn("rn", rn).where(F.col("rn") <= k)
-        found = read(first, True)
+        found = read(first, keep_missing)
+        if found is None:  # no list has rows
+            return top(self.spark.createDataFrame([], "qid long, id long, score double"))
         found = kept(top(found).drop("rn"), "first-lists")
         least = dict(found.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score"))).collect())
         most = self.store.rows(state, items).agg(F.max("w")).first()[0] if weight else 1.0
@@ -160,6 +161,8 @@ class VectorIndex:
         # a row's score is its cosine times its weight; below 0 no weight helps, so 0 bounds it
         reach = np.maximum(bound, 0) * (most or 0.0) if weight else bound
         more = ~first & ((reach >= worst[:, None]) | flat[:, None])
+        if not keep_missing:
+            more &= ~flat[:, None]
         if report is not None:
             report.update(lists=len(used), pairs=int(first.size), read=int((first | more).sum()))
         rest = read(more, False)

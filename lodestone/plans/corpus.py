@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import chunking as K
 from ..operators import corpus as C
+from ..operators import upkeep as U
+from ..sources.listing import contents, listed, write_files
+from ..sources.manifest import Manifest
+from ..sources.shared import shared_dir
 from .views import BASE, base, chunks, days, markdown, read, sql
 
 LANES = [("root", "^docs/"), ("tier", "^tier[0-9]/docs/"), ("planning", "^[^/]+/planning/"), ("repo_docs", "^[^/]+/docs/")]
@@ -37,6 +43,34 @@ def a1(spark, d):
     return C.discover(_files(spark, d), LANES).select("path", "lane_name", C.doc_type(F.col("path")).alias("doc_type"))
 
 
+def _written(spark, d):
+    """A folder of files, one for each document, of the seven kinds of `_files`."""
+    root = f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    texts = read(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    write_files(_files(spark, d).join(texts, "doc_id").select("path", "content"), root)
+    return root
+
+
+def a1_listing(spark, d):
+    """Lanes of the files that a folder holds, as its listing tells them."""
+    f = C.discover(listed(spark, _written(spark, d)), LANES)
+    return f.select("path", "lane_name", "length")
+
+
+def a2(spark, d):
+    """What a workspace of the same folder takes, and the texts that are read of it."""
+    root = _written(spark, d)
+    f = C.discover_workspace(listed(spark, root))
+    return contents(root, f).select("path", F.sha2("content", 256).alias("content_sha256"))
+
+
+def a14_workspace(spark, d):
+    """Files of two projects of the same paths: each is due by its own project's rows."""
+    t = _times(spark, d)
+    f = t.withColumn("project", F.lit("fr")).unionByName(t.withColumn("project", F.lit("none")))
+    return C.to_index(f, chunks(spark, d)).select("path", "project")
+
+
 def a3(spark, d):
     return _files(spark, d).select("path", C.skipped(F.col("path")).alias("reason"))
 
@@ -158,9 +192,6 @@ def a21(spark, d):
 
 def a27(spark, d):
     """Chunks written twice: each write appends."""
-    from ..sources.shared import shared_dir
-    import uuid
-
     path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     c = K.content_chunks(markdown(spark, d)).select("doc_id", "position", "content")
     C.store_chunks(c.where("doc_id % 2 = 0"), path)
@@ -176,7 +207,10 @@ def a23(spark, d):
 
 
 def a25(spark, d):
-    return K.article_text(read(spark, d, "pages")).select("page_id", "fetch_status", F.sha2("article", 256).alias("article_sha256"))
+    """Pages, every tenth behind a navigation that is never closed; and what is left of some when their text is taken away."""
+    i = F.col("page_id")
+    p = read(spark, d, "pages").select("page_id", F.when(i % 10 == 3, F.concat(F.lit("<nav>"), "html")).when(i % 10 == 7, F.concat(F.regexp_extract("html", "(?is)<style.*?</style>", 0), F.lit("<!-- none -->"))).otherwise(F.col("html")).alias("html"))
+    return K.article_text(p).select("page_id", "fetch_status", F.sha2("article", 256).alias("article_sha256"))
 
 
 def a26(spark, d):
@@ -211,7 +245,47 @@ def a29_summary(spark, d):
     return _refreshed(spark, d)[1].unionByName(_refreshed(spark, d, True)[1])
 
 
+def _payloads(spark, d):
+    """A payload for each document: itself as a node and its edge, without a target for every 22nd, and for every 30th from a node that it doesn't name."""
+    from .views import edges
+
+    i = F.regexp_extract("source_id", "[0-9]+", 0).cast("long")
+    e = edges(spark, d)
+    node = F.struct(F.col("source_id").alias("id"), F.col("source_id").alias("doc_id"), F.lit("s").alias("scope"))
+    edge = F.struct(F.when(i % 30 == 0, "nobody").otherwise(F.col("source_id")).alias("from"), "to_ref", F.lit(None).cast("string").alias("target_node_id"), F.when(i % 22 != 0, F.col("to_ref")).alias("target_doc_id"), F.lit("related").alias("kind"))
+    return e.select(F.to_json(F.struct(F.lit("2").alias("version"), F.array(node).alias("nodes"), F.array(edge).alias("edges"))).alias("payload"))
+
+
+def _upkeep(spark, d, rebuild=None):
+    """A store of the index and edges after a refresh; one file can't be parsed."""
+    from .views import edges
+
+    c = chunks(spark, d).select("id", "file_path", "section", "indexed_at", "project", "client_slug")
+    store = Manifest(spark, f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    store.commit(replace={"index": c, "edges": edges(spark, d).select("source_id", "to_ref", "target_id")})
+    bad = read(spark, d, "nation").where("n_nationkey = 5").select(F.lit("docs/f5.md").alias("path"), F.lit("bad header").alias("error"))
+    cut = lambda due: c.where("section in ('s1', 's2')").join(due.select(F.col("path").alias("file_path")), "file_path", "left_semi").withColumn("id", F.explode(F.array(-F.col("id"), F.col("id") + 1_000_000_000))).select(*c.columns)
+    summary = U.refresh(store, _times(spark, d), cut, bad, _payloads(spark, d), rebuild)
+    return store, summary
+
+
+def a29_commit(spark, d):
+    """What a refresh changed in the index, the edges that it loaded and its errors, as rows."""
+    store, _ = _upkeep(spark, d)
+    changed = U.difference(store.read("index", 1), store.read("index", 2), ["id"]).select(F.lit("index").alias("table"), F.col("id").cast("string").alias("key"), "change")
+    edges_ = store.read("edges", 2).select(F.lit("edges"), "source_id", F.coalesce("target_id", F.lit("none")))
+    return changed.union(edges_).union(store.read("errors", 2).select(F.concat(F.lit("error "), "kind"), "key", "error"))
+
+
+def a29_rebuild(spark, d):
+    """The index after a rebuild of two projects, and the run's summary as a row of no id."""
+    store, summary = _upkeep(spark, d, spark.createDataFrame([("en",), ("de",)], "slug string"))
+    told = summary.select(F.lit(None).cast("long").alias("id"), F.concat_ws(" ", "version", "due", "chunks", "failed", "exit_code", "edges").alias("file_path"))
+    return store.read("index", 2).select("id", "file_path").unionByName(told)
+
+
 QUERIES = {
+    "a1_listing": a1_listing, "a2_workspace": a2, "a14_workspace": a14_workspace, "a29_commit": a29_commit, "a29_rebuild": a29_rebuild,
     "a1_discovery": a1, "a3_skip_rules": a3, "a5_attribution": a5, "a6_metadata": a6, "a8_context_prefix": a8, "a9_sections": a9, "a11_token_windows": a11, "a12_content_chunks": a12, "a13_embedding": a13,
     "a14_incremental": a14, "a15_group_replace": a15, "a16_scoped_rebuild": a16, "a17_prune": a17, "a18_quarantine": a18, "a18_delete": a18_delete, "a19_backfill": a19, "a19_project": a19_project, "a27_store": a27, "a29_summary": a29_summary, "a20_restrict": a20, "a21_artifacts": a21, "a23_log_entries": a23,
     "a25_article_text": a25, "a26_plain_text": a26, "a28_repository": a28, "a29_refresh": a29,
@@ -236,7 +310,23 @@ cur as (select *, last_value(case when level = 2 then coalesce(own, any_date) en
 body as (select doc_id, entry, string_agg(t, chr(10) order by k) as body from cur where level is null group by all)
 select c.doc_id, c.entry, coalesce(own, current) as date, coalesce(nullif(regexp_extract(h, '^(\d{4}-\d{2}-\d{2})\s*\((.+)\)$', 2), ''), h) as title, sha256(regexp_replace(regexp_replace(coalesce(body, ''), '\n?-{3,}\s*$', ''), '^\s+|\s+$', '', 'g')) as body_sha256
 from cur c left join body using (doc_id, entry) where level is not null and not (level = 2 and grp is not null) and coalesce(own, current) is not null"""
+_DUE = "due as (select path from times left join newest using (path) where (newest is null or newest <= mtime) and path <> 'docs/f5.md')"
 ORACLE_SQL = {
+    "a1_listing": "with " + _FILES + " select path, case doc_id % 7 when 0 then 'root' when 1 then 'tier' when 2 then 'planning' end as lane_name, strlen(coalesce(text, ''))::bigint as length from files join documents using (doc_id) where doc_id % 7 < 3",
+    "a2_workspace": "with " + _FILES + " select path, sha256(coalesce(text, '')) as content_sha256 from files join documents using (doc_id) where doc_id % 7 in (0, 1, 2, 3)",
+    "a14_workspace": sql("chunks", _TIMES + """, pr(project) as (values ('fr'), ('none')), newest as (select file_path as path, project, max(indexed_at) as newest from chunks group by all)
+select path, project from (select * from times, pr) t left join newest using (path, project) where newest is null or newest <= mtime"""),
+    "a29_commit": sql("chunks edges", _TIMES + ", " + _NEWEST + ", " + _DUE + """,
+fresh as (select id, file_path, section from chunks where section in ('s1', 's2') and file_path in (select path from due)),
+ed as (select *, substr(source_id, 2)::bigint as i from edges)
+select 'index' as "table", id::varchar as key, 'removed' as change from chunks where (file_path, section) in (select (file_path, section) from fresh) and id <> 0
+union all select 'index', (-id)::varchar, 'added' from fresh where id <> 0 union all select 'index', (id + 1000000000)::varchar, 'added' from fresh
+union all select 'edges', source_id, case when i % 22 <> 0 then to_ref else 'none' end from ed where i % 30 <> 0
+union all select 'error edge', 'nobody', 'unknown source' from ed where i % 30 = 0 union all select 'error parse', 'docs/f5.md', 'bad header' from nation where n_nationkey = 5"""),
+    "a29_rebuild": sql("chunks edges", _TIMES + """, due as (select path from times where path <> 'docs/f5.md'), base as (select id, file_path, section from chunks where not (client_slug is null and (project is null or project in ('', 'en', 'de')))),
+fresh as (select id, file_path, section from chunks where section in ('s1', 's2') and file_path in (select path from due))
+select id, file_path from base where (file_path, section) not in (select (file_path, section) from fresh) union all select -id, file_path from fresh union all select id + 1000000000, file_path from fresh
+union all select null, '2 ' || (select count(*) from due) || ' ' || (select 2 * count(*) from fresh) || ' 1 1 ' || (select count(*) from edges where substr(source_id, 2)::bigint % 30 <> 0)"""),
     "a1_discovery": "with " + _FILES + " select path, case doc_id % 7 when 0 then 'root' when 1 then 'tier' when 2 then 'planning' end as lane_name, case doc_id % 7 when 0 then 'meta' else 'content' end as doc_type from files where doc_id % 7 < 3",
     "a3_skip_rules": "with " + _FILES + f" select path, {_SKIP} as reason from files",
     "a5_attribution": "with " + _FILES + " select path, case when doc_id % 7 = 2 then 'sub' when doc_id % 2 = 0 then lang end as project from files where doc_id % 7 < 3",
@@ -265,8 +355,9 @@ union all select kind, -1 - count(*) filter (mine and client_slug is null) from
     "a18_quarantine": sql("chunks", "p as (select 'docs/f' || n_nationkey || '.md' as path from nation where n_nationkey % 3 = 0) select path, count(id) as rows from p left join chunks on path = file_path group by path"),
     "a19_backfill": sql("chunks", _TIMES + " select id, coalesce(epoch_us(coalesce(mtime, authored_at)), -1) as authored_at from chunks left join times on path = file_path"),
     "a20_restrict": "with " + _FILES + " select path, 'yes' as known from files where doc_id % 3 = 0 union all select path || '.old', 'no' from files where doc_id % 3 = 0 union all (select path, 'first' from files order by path limit 10)",
-    "a25_article_text": r"""select page_id, case when a = '' then 'failed' else 'ok' end as fetch_status, sha256(a) as article_sha256 from (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
-  '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<head\b.*?</head\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as a from pages)""",
+    "a25_article_text": r"""select page_id, case when a = '' then 'failed' when page_id % 10 = 3 then 'fallback_used' else 'ok' end as fetch_status, sha256(a) as article_sha256 from (select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(
+  case when page_id % 10 = 7 then '' when page_id % 10 = 3 then html else regexp_replace(html, '(?is)<!--.*?-->|<nav\b.*?</nav\s*>|<head\b.*?</head\s*>', ' ', 'g') end,
+  '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as a from pages)""",
     "a26_plain_text": "select conv_id, turn, case when turn % 3 <> 0 then length(text) else -1 end as length, case when turn % 3 = 0 then 'unsupported type application/pdf' end as reason from conversations",
     "a28_repository": "select c_custkey as id, case when c_custkey % 10 = 0 then 'merged' else c_name end as name from customer where c_custkey % 7 <> 0 order by 1 desc limit 50",
     "a29_refresh": sql("chunks", _TIMES + ", " + _NEWEST + """, due as (select path from times left join newest using (path) where (newest is null or newest <= mtime) and path <> 'docs/f5.md'),

@@ -26,8 +26,9 @@ def _cases(spark, d):
     return cases, cases.join(e, "case_id").select(F.col("case_id").alias("qid"), "qvec", "query")
 
 
-def _scores(spark, d):
+def _scores(spark, d, scope=None):
     cases, q = _cases(spark, d)
+    q = q if scope is None else q.withColumn("scope", scope)
     c = chunks(spark, d)
     r = R.hybrid(q, c, edges(spark, d), base(), **indexes(spark, d))
     return E.case_scores(cases, r.join(c.select("id", "content"), "id"), R.confidence(q, r))
@@ -54,6 +55,12 @@ def h1(spark, d):
     return _scores(spark, d).select("case_id", F.col("recall_at_5").cast("double").alias("recall_at_5"), F.col("recall_at_10").cast("double").alias("recall_at_10"), F.round("mrr", 6).alias("mrr"), F.round("groundedness", 6).alias("groundedness"), "matched", "abstained", "abstain_correct")
 
 
+def h17(spark, d):
+    """A run whose cases are confined to a project each, but for every fourth."""
+    scope = F.get(F.array(F.lit("en"), F.lit("de"), F.lit("fr"), F.lit(None)), (F.col("qid") % 4).cast("int"))
+    return _scores(spark, d, scope).select("case_id", *[F.col(c).cast("double").alias(c) for c in ("recall_at_5", "recall_at_10")], *[F.round(c, 6).alias(c) for c in ("mrr", "groundedness")], "matched", "abstained")
+
+
 def h4(spark, d):
     x = E.aggregates(_scores(spark, d))
     return x.select("cases", *[F.round(c, 6).alias(c) for c in x.columns if c != "cases"])
@@ -64,7 +71,7 @@ def _values(spark, d, both=False):
     e = read(spark, d, "events")
     x = e.groupBy(F.when(F.col("event_id") % 2 == 0, "base").otherwise("current").alias("run"), F.col("user_id").alias("case_id")).agg(F.count("*").alias("n"), F.max("event_id").alias("m"))
     hit = (F.col("m") % 3 != 0).cast("int")
-    x = x.select("run", "case_id", hit.alias("recall_at_5"), F.lit(1).alias("recall_at_10"), (1 / (1 + F.col("n") % 5)).alias("mrr"), (F.col("n") % 7 / 7).alias("groundedness"), (F.col("n") % 2).cast("int").alias("abstain_correct"))
+    x = x.select("run", "case_id", hit.alias("recall_at_5"), F.lit(1).alias("recall_at_10"), (1 / (1 + F.col("n") % 5)).alias("mrr"), (F.col("n") % 7 / 7).alias("groundedness"), (F.col("n") % 2).cast("int").alias("abstain_correct"), (F.col("case_id") % 3 != 0).alias("matched"))
     v = E.long_form(x, ["run", "case_id"])
     if both:
         v = v.join(e.groupBy(F.col("user_id").alias("case_id")).agg(F.count_distinct(F.col("event_id") % 2).alias("k")).where("k = 2"), "case_id", "left_semi")
@@ -75,15 +82,16 @@ _VALUES = """g as (select case when event_id % 2 = 0 then 'base' else 'current'
 vals as (
   select run, case_id, 'recall_at_5' as metric, (m % 3 <> 0)::int::double as value from g union all select run, case_id, 'recall_at_10', 1.0::double from g
   union all select run, case_id, 'mrr', 1.0::double / (1 + n % 5) from g union all select run, case_id, 'groundedness', (n % 7)::double / 7 from g where run <> 'base' or case_id % 40 <> 7
+  union all select run, case_id, 'groundedness_on_hits', (n % 7)::double / 7 from g where case_id % 3 <> 0
   union all select run, case_id, 'abstain_correct', (n % 2)::double from g)"""
 _BOTH = _VALUES.replace("from events group by all)", "from events where user_id in (select user_id from events group by user_id having count(distinct event_id % 2) = 2) group by all)")
 _POISSON = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(j) for j in range(k)):.17g}::double)::int" for k in range(1, 12))
 
 
 def _bootstrap(source, seed, resamples):
-    """SQL of the Poisson bootstrap of source(metric, case_id, value): table boot(metric, point, lo, hi, n)."""
+    """SQL of the Poisson bootstrap of source(metric, case_id, value): table boot(metric, point, lo, hi, n). A seed may be an expression of the metric."""
     lo, hi = E.places(resamples)
-    return f"""each as (select metric, r, value, ('0x' || substr(md5('{seed}:' || r || ':' || case_id), 1, 8))::ubigint::double / 4294967296 as u from {source}, range({resamples}) t(r)),
+    return f"""each as (select metric, r, value, ('0x' || substr(md5(({seed}) || ':' || r || ':' || case_id), 1, 8))::ubigint::double / 4294967296 as u from {source}, range({resamples}) t(r)),
 drawn as (select metric, r, sum(({_POISSON}) * value) as s, sum({_POISSON}) as w, count(*) as n, avg(value) as point from each group by metric, r),
 boot as (select metric, any_value(point) as point, list_sort(list(s / w))[{lo + 1}] as lo, list_sort(list(s / w))[{hi + 1}] as hi, any_value(n) as n from drawn group by metric)"""
 
@@ -91,9 +99,9 @@ boot as (select metric, any_value(point) as point, list_sort(list(s / w))[{lo +
 def _paired(source):
     return source + """,
 b as (select case_id, metric, value as b from vals where run = 'base'), c as (select case_id, metric, value as c from vals where run = 'current'),
-bc as (select * from b full join c using (case_id, metric)), dv as (select metric, case_id, c - b as value from bc where metric in ('mrr', 'groundedness') and c - b is not null),
-pm as (select metric, metric in ('mrr', 'groundedness') as mean, count(*) filter (b is null) as added, count(*) filter (c is null) as removed, count(*) filter (c > b) as up, count(*) filter (c < b) as down, avg(c - b) as delta from bc group by metric),
-""" + _bootstrap("dv", 3, 200) + """,
+bc as (select * from b full join c using (case_id, metric)), dv as (select metric, case_id, c - b as value from bc where metric in ('mrr', 'groundedness', 'groundedness_on_hits') and c - b is not null),
+pm as (select metric, metric in ('mrr', 'groundedness', 'groundedness_on_hits') as mean, count(*) filter (b is null) as added, count(*) filter (c is null) as removed, count(*) filter (c > b) as up, count(*) filter (c < b) as down, avg(c - b) as delta from bc group by metric),
+""" + _bootstrap("dv", "case metric when 'mrr' then 10 when 'groundedness' then 11 else 12 end", 200) + """,
 lost as (select exists (select 1 from vals group by case_id having count(distinct run) < 2) as x),
 pp as (select pm.*, lo, hi, x as other, case when mean then null when up + down = 0 then 1::double else least(1, 2 * (select sum(exp(lgamma(up + down + 1) - lgamma(i + 1) - lgamma(up + down - i + 1) - (up + down) * ln(2::double))) from range(least(up, down) + 1) t(i))) end as p from pm left join boot using (metric), lost),
 verdicts as (select *, case when not mean then up end as better, case when not mean then down end as worse, case when other or added > 0 or removed > 0 then 'incomparable'
@@ -142,13 +150,14 @@ def h9_flips(spark, d):
 
 
 def h10(spark, d):
-    x = E.paired(_values(spark, d, True), 3, 200)
+    """Six metrics, that on hits over the cases that matched alone."""
+    x = E.paired(_values(spark, d, True), resamples=200)
     return x.select("metric", "added", "removed", "better", "worse", *[F.round(c, 6).alias(c) for c in ("delta", "lo", "hi", "p")], "verdict")
 
 
 def h10_other_cases(spark, d):
     """The same over runs that differ in some users: nothing can be compared."""
-    return E.paired(_values(spark, d), 3, 200).select("metric", "added", "removed", "verdict")
+    return E.paired(_values(spark, d), resamples=200).select("metric", "added", "removed", "verdict")
 
 
 def _means(spark, d, run):
@@ -182,7 +191,7 @@ def h15(spark, d):
 
 
 def h16(spark, d):
-    return E.gate(E.paired(_values(spark, d, True), 3, 200), True)
+    return E.gate(E.paired(_values(spark, d, True), resamples=200), True)
 
 
 def a24(spark, d):
@@ -200,18 +209,23 @@ def h18(spark, d):
 
 QUERIES = {
     "h1_case_scores": h1, "h4_aggregates": h4, "h5_wilson": h5, "h6_bootstrap_exact": h6, "h6_bootstrap_spread": h6b, "h7_corpus_stamp": h7, "h8_sign_test": h8, "h9_case_changes": h9, "h9_flips": h9_flips, "h10_paired_verdict": h10, "h10_other_cases": h10_other_cases,
-    "h11_deltas": h11, "h12_confounded": h12, "h13_constants": h13, "h14_case_rules": h14, "h15_case_digest": h15, "h16_gate": h16, "h18_promotable": h18, "a24_report": a24,
+    "h11_deltas": h11, "h12_confounded": h12, "h13_constants": h13, "h14_case_rules": h14, "h15_case_digest": h15, "h16_gate": h16, "h17_scoped_run": h17, "h18_promotable": h18, "a24_report": a24,
 }
 ORACLE_SQL = {
     "h1_case_scores": _h_sql("select case_id, recall_at_5::double as recall_at_5, recall_at_10::double as recall_at_10, round(mrr, 6) as mrr, round(groundedness, 6) as groundedness, matched, abstained, abstain_correct from scores"),
+    "h17_scoped_run": _h_sql("select case_id, recall_at_5::double as recall_at_5, recall_at_10::double as recall_at_10, round(mrr, 6) as mrr, round(groundedness, 6) as groundedness, matched, abstained from scores")
+    .replace("embedding::double[] as qvec, query from cases", "embedding::double[] as qvec, query, case case_id % 4 when 0 then 'en' when 1 then 'de' when 2 then 'fr' end as scope from cases")
+    .replace("from q, live where embedding is not null", "from q, live where embedding is not null and coalesce(scope, project) = project")
+    .replace("from term join post using (term) join (select qid", "from term join (select p.*, l.project as own from post p join live l using (id)) using (term) join (select qid, scope from q) using (qid) join (select qid")
+    .replace("group by qid, id, n having count(*) = n)", "where coalesce(scope, own) = own group by qid, id, n having count(*) = n)"),
     "h4_aggregates": _h_sql("select count(*) as cases, round(coalesce(avg(recall_at_5), 0), 6) as recall_at_5, round(coalesce(avg(recall_at_10), 0), 6) as recall_at_10, round(avg(abstain_correct), 6) as abstain_correct, round(coalesce(avg(mrr), 0), 6) as mrr, round(coalesce(avg(groundedness), 0), 6) as groundedness, round(coalesce(avg(groundedness) filter (matched), 0), 6) as groundedness_on_hits from scores"),
     "h5_wilson": "with " + _VALUES + """, w as (select metric, sum(value) as k, count(*)::double as n from vals where run = 'base' and metric in ('recall_at_5', 'recall_at_10', 'abstain_correct') group by metric)
 select metric, k::bigint as k, n::bigint as n, round(greatest(0, (k / n + 1.9208::double / n - 1.96::double * sqrt((k / n * (1 - k / n) + 0.9604::double / n) / n)) / (1 + 3.8416::double / n)), 6) as lo,
   round(least(1, (k / n + 1.9208::double / n + 1.96::double * sqrt((k / n * (1 - k / n) + 0.9604::double / n) / n)) / (1 + 3.8416::double / n)), 6) as hi from w""",
-    "h6_bootstrap_spread": "with " + _VALUES + ", x as (select * from vals where run = 'current' and metric in ('mrr', 'groundedness')), " + _bootstrap("x", 17, 100) + " select metric, round(point, 6) as point, round(lo, 6) as lo, round(hi, 6) as hi, n from boot",
+    "h6_bootstrap_spread": "with " + _VALUES + ", x as (select * from vals where run = 'current' and metric in ('mrr', 'groundedness', 'groundedness_on_hits')), " + _bootstrap("x", 17, 100) + " select metric, round(point, 6) as point, round(lo, 6) as lo, round(hi, 6) as hi, n from boot",
     "h9_case_changes": "with " + _VALUES + """ select null::varchar as metric, case_id, case when min(run) = 'base' then 'removed' else 'added' end as change from vals group by case_id having count(distinct run) < 2
 union all select metric, case_id, case when min(run) = 'base' then 'removed' else 'added' end from vals group by metric, case_id having count(distinct run) < 2""",
-    "h9_flips": "with " + _VALUES + " select b.metric, b.case_id, case when c.value > b.value then 'better' else 'worse' end as flip from vals b join vals c on b.run = 'base' and c.run = 'current' and b.metric = c.metric and b.case_id = c.case_id where b.value <> c.value and b.metric not in ('mrr', 'groundedness')",
+    "h9_flips": "with " + _VALUES + " select b.metric, b.case_id, case when c.value > b.value then 'better' else 'worse' end as flip from vals b join vals c on b.run = 'base' and c.run = 'current' and b.metric = c.metric and b.case_id = c.case_id where b.value <> c.value and b.metric not in ('mrr', 'groundedness', 'groundedness_on_hits')",
     "h10_other_cases": "with " + _paired(_VALUES) + " select metric, added, removed, verdict from verdicts",
     "h7_corpus_stamp": sql("chunks edges", "select count(*) as chunk_count, count(distinct file_path) as file_count, epoch_us(max(indexed_at)) as max_indexed_at, (select count(*) from edges) as edge_count from chunks"),
     "h8_sign_test": """select user_id, better, worse, round(case when better + worse = 0 then 1::double else least(1, 2 * (select sum(exp(lgamma(better + worse + 1) - lgamma(i + 1) - lgamma(better + worse - i + 1) - (better + worse) * ln(2::double))) from range(least(better, worse) + 1) t(i))) end, 6) as p

@@ -185,7 +185,15 @@ def f12(spark, d):
 def f13(spark, d):
     e = episodes(spark, d).withColumn("facts", F.filter(S.sentences(F.col("summary")), lambda s: F.length(s) > 40))
     _, f = memory.interaction_rows(e)
-    return f.groupBy("peer_id").agg(F.count("*").alias("n_facts"), F.count_distinct(F.get("evidence", F.lit(0))).alias("n_episodes"))
+    return f.select("peer_id", F.get("evidence", F.lit(0)).alias("evidence"), F.sha2("fact", 256).alias("fact_sha256"), "confidence", "decay_factor")
+
+
+def f4(spark, d):
+    """Episodes as they are appended, with tags and vectors; every third turn tells no time."""
+    i = F.col("turn")
+    e = episodes(spark, d).withColumns({"occurred_at": F.when(i % 3 != 0, F.col("occurred_at")), "tags": F.array("role", F.concat(F.lit("t"), i)), "embedding": F.array(F.length("summary").cast("float"), i.cast("float")), "facts": F.array().cast("array<string>")})
+    rows, _ = memory.interaction_rows(e, base())
+    return rows.select("episode_id", "peer_id", F.sha2("summary", 256).alias("summary_sha256"), F.unix_micros("occurred_at").alias("occurred_at"), F.array_join("tags", ",").alias("tags"), F.get("embedding", F.lit(0)).cast("long").alias("first"))
 
 
 def g1(spark, d):
@@ -235,7 +243,7 @@ cls as (select *, case when abstained then 'abstained' when confidence <= low th
 
 QUERIES = {
     "d1_walk": d1, "d2_edge_load": d2, "d3_neighbours": d3, "e1_abstain_gate": e1, "e3_context_block": e3, "e4_content_words": e4, "e5_sentences": e5, "e7_citations": e7, "e8_envelope": e8, "e9_session_update": e9,
-    "f1_decay": f1, "f3_peer_upsert": f3, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "a22_edge_payload": a22, "f12_consolidation_apply": f12, "f13_interactions": f13,
+    "f1_decay": f1, "f3_peer_upsert": f3, "f4_episode_append": f4, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "a22_edge_payload": a22, "f12_consolidation_apply": f12, "f13_interactions": f13,
     "g1_log_rows": g1, "g2_abstain_rate": g2, "g3_mining": g3, "g5_low_threshold": g5, "g6_classification": g6, "g8_draft_cases": g8, "g9_retention": g9,
 }
 from .retrieval import _CTE, _V  # noqa: E402
@@ -273,7 +281,8 @@ union all select null, null, null, null, null, null, null, case when g % 7 = 6 t
 select peer_id, 'about ' || peer_id as representation, kind, id, "at", sha256(text) as text_sha256 from (select distinct peer_id from episodes) left join x using (peer_id)"""),
     "f12_consolidation_apply": sql("facts", f"select peer_id, round(sum(case when fact_id % 10 = 3 then confidence * power(0.95::double, {_WEEKS}) * 0.5::double else confidence end), 6) as confidence, 'fresh' as representation, count(*) as new from facts group by peer_id"),
     "f13_interactions": sql("episodes", r"""s as (select peer_id, episode_id, unnest(list_filter(string_split(regexp_replace(regexp_replace(summary, '^\s+|\s+$', '', 'g'), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 40)) as fact from episodes)
-select peer_id, count(*) as n_facts, count(distinct episode_id) as n_episodes from s group by peer_id"""),
+select peer_id, episode_id as evidence, sha256(fact) as fact_sha256, 0.9::double as confidence, 0.95::double as decay_factor from s"""),
+    "f4_episode_append": sql("episodes", f"""select episode_id, peer_id, sha256(summary) as summary_sha256, epoch_us(case when turn % 3 <> 0 then occurred_at else timestamp '{BASE}' end) as occurred_at, role || ',t' || turn as tags, length(summary) as first from episodes"""),
     "g1_log_rows": sql(_V, _CTE + """select q.qid, query, count(f.id) as result_count, round(max(f.score) filter (f.rank = 1), 6) as top_score, string_agg(f.doc_id, ',' order by f.rank) filter (f.rank <= 5) as top_doc_ids, count(*) filter (f.via = 'keyword') as n_keyword,
   max(confidence) < 0.6552::double as abstained, 'unknown' as surface from q left join final f using (qid) join conf using (qid) group by q.qid, query"""),
     "g2_abstain_rate": sql("query_log", "select count(*) as n, round(avg(abstained::int), 6) as rate from query_log where created_at >= timestamp '2024-01-20'"),

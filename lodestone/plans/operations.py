@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import chunking as K
 from ..operators import reconcile as I
 from ..operators import runs as J
+from ..operators.query_log import read_window
+from ..operators.upkeep import repair
+from ..sources.manifest import Manifest
+from ..sources.shared import shared_dir
 from ..streaming import feeds
-from .corpus import _FILES, _files, _times, _TIMES
+from .corpus import _FILES, _files, _payloads, _times, _TIMES
 from .views import base, chunks, edges, query_log, read, runs, sql
 
 
@@ -56,8 +62,8 @@ def i7(spark, d):
 
 
 def i8(spark, d):
-    r = I.report(chunks(spark, d), _times(spark, d), _current(spark, d), _content(spark, d), edges(spark, d), "m1")
-    return r.groupBy("axis").agg(F.count("*").alias("n"))
+    """Every finding."""
+    return I.report(chunks(spark, d), _times(spark, d), _current(spark, d), _content(spark, d), edges(spark, d), "m1")
 
 
 def i9(spark, d):
@@ -67,9 +73,17 @@ def i9(spark, d):
 
 
 def i10(spark, d):
-    c = chunks(spark, d)
-    new, content, cut = I.repaired(c, _times(spark, d), _content(spark, d), edges(spark, d))
-    return new.agg(F.count("*").alias("chunks")).join(F.broadcast(content.agg(F.count("*").alias("content")))).join(F.broadcast(cut.agg(F.count("target_id").alias("targets"))))
+    """Findings before and after a repair of the stored tables, and what became of each."""
+    store = Manifest(spark, f"{shared_dir(spark)}/repair-{uuid.uuid4().hex}")
+    columns = ["id", "doc_id", "file_path", "section", "client_slug", "embedding_model"]
+    store.commit(replace={"index": chunks(spark, d).select(*columns), "content": _content(spark, d), "edges": edges(spark, d).select("source_id", "to_ref", "target_id")})
+    return repair(store, _times(spark, d), _current(spark, d), _payloads(spark, d), "m1")
+
+
+def i10_cut(spark, d):
+    """Without payloads: edges to documents that are gone are cut to null."""
+    _, _, cut = I.repaired(chunks(spark, d), _times(spark, d), _content(spark, d), edges(spark, d))
+    return cut.select("source_id", "to_ref", "target_id")
 
 
 def i11(spark, d):
@@ -138,12 +152,17 @@ def s_vector(spark, d):
 
 
 def b7(spark, d):
-    return query_log(spark, d).where(F.col("created_at") >= F.lit("2024-01-30").cast("timestamp") - F.make_dt_interval(F.lit(7))).groupBy("surface").agg(F.count("*").alias("n"))
+    """Rows of three windows, read as texts."""
+    out = None
+    for w in ("7d", "36h", " 2d "):
+        x = read_window(query_log(spark, d), w, F.lit("2024-01-30").cast("timestamp")).groupBy("surface").agg(F.count("*").alias("n")).withColumn("window", F.lit(w))
+        out = x if out is None else out.unionByName(x)
+    return out
 
 
 QUERIES = {
     "b7_time_window": b7, "i1_deleted_files": i1, "i2_orphan_sections": i2, "i3_orphan_chunks": i3, "i4_dangling_edges": i4, "i5_model_mismatch": i5, "i6_synthetic": i6, "i7_ceiling": i7, "i8_drift_report": i8, "i9_staleness": i9,
-    "i10_repair": i10, "i11_health": i11, "j1_run_status": j1, "j2_active_runs": j2, "j3_node_rows": j3, "j4_failure_marker": j4, "j5_intake": j5, "s_text": s_text, "s_iso": s_iso, "s_window": s_window, "s_vector": s_vector,
+    "i10_repair": i10, "i10_cut_edges": i10_cut, "i11_health": i11, "j1_run_status": j1, "j2_active_runs": j2, "j3_node_rows": j3, "j4_failure_marker": j4, "j5_intake": j5, "s_text": s_text, "s_iso": s_iso, "s_window": s_window, "s_vector": s_vector,
     "t1_intake_stream": feeds.t1, "t2_status_stream": feeds.t2, "t3_ingest_stream": feeds.t3, "t4_memory_stream": feeds.t4, "t5_session_stream": feeds.t5, "t6_abstain_stream": feeds.t6,
 }
 _CONTENT = "content as (select conv_id as doc_id, turn as position, case when conv_id % 4 <> 0 then 'm1' end as embedding_model from conversations where turn <> 0 or conv_id % 9 <> 0)"
@@ -155,7 +174,7 @@ st as (select r.run_id, case when no_nodes and not cancelled and not halted and
   when failure or coalesce(failed, false) then 'failed' when completion then 'succeeded' when n is null then 'running' when running then 'running' else 'succeeded' end as status
   from runs r left join nn on nn.run_id = r.run_id)"""
 ORACLE_SQL = {
-    "b7_time_window": sql("query_log", "select surface, count(*) as n from query_log where created_at >= timestamp '2024-01-23' group by surface"),
+    "b7_time_window": sql("query_log", "w(\"window\", since) as (values ('7d', timestamp '2024-01-23'), ('36h', timestamp '2024-01-28 12:00:00'), (' 2d ', timestamp '2024-01-28')) select \"window\", surface, count(*) as n from query_log, w where created_at >= since group by all"),
     "i1_deleted_files": sql("chunks", _TIMES + ", " + _I1 + " select path from del"),
     "i2_orphan_sections": sql("chunks", _I2 + " select * from orph"),
     "i3_orphan_chunks": "with " + _CONTENT + " select doc_id from content group by doc_id having count(*) filter (position = 0) = 0",
@@ -163,11 +182,22 @@ ORACLE_SQL = {
     "i5_model_mismatch": sql("chunks", _CONTENT + " select 'index' as \"table\", count(*) filter (embedding_model <> 'm1') as mismatched, count(*) filter (embedding_model is null) as unstamped from chunks union all select 'content', count(*) filter (embedding_model <> 'm1'), count(*) filter (embedding_model is null) from content"),
     "i6_synthetic": sql("chunks", "select count(*) as n, epoch_us(min(authored_at)) as first, epoch_us(max(authored_at)) as last from chunks where id % 6 = 0"),
     "i7_ceiling": "with " + _FILES + " select case when doc_id % 7 = 3 then 'underscore' when doc_id % 7 = 4 then 'skip_dir' when doc_id % 7 = 5 then 'hidden' when doc_id % 10 = 0 then 'unparseable' else 'no_rows' end as reason, count(*) as n from files where doc_id % 7 in (3, 4, 5) or doc_id % 10 = 0 or doc_id % 3 <> 0 group by 1",
-    "i8_drift_report": sql("chunks edges", _TIMES + ", " + _I1 + ", " + _I2 + ", " + _I4 + ", " + _CONTENT + """ select axis, count(*) as n from (select 'deleted' as axis from del union all select 'section' from orph union all select 'dangling' from dang
-  union all select 'orphan_chunk' from (select doc_id from content group by doc_id having count(*) filter (position = 0) = 0) union all select distinct 'model' from chunks where embedding_model <> 'm1') group by axis"""),
+    "i8_drift_report": sql("chunks edges", _TIMES + ", " + _I1 + ", " + _I2 + ", " + _I4 + ", " + _CONTENT + """ select 'deleted' as axis, path as key, '' as detail from del union all select 'section', path, section from orph union all select 'dangling', source_id, to_ref from dang
+  union all select 'orphan_chunk', doc_id::varchar, '' from content group by doc_id having count(*) filter (position = 0) = 0 union all select 'model', 'index', (count(*))::varchar from chunks where embedding_model <> 'm1' having count(*) > 0"""),
     "i9_staleness": sql("chunks", _TIMES + " select path from times left join (select file_path as path, max(indexed_at) as newest from chunks group by 1) using (path) where newest is null or mtime > newest"),
-    "i10_repair": sql("chunks edges", _TIMES + ", " + _I1 + ", " + _CONTENT + """, left_ as (select * from chunks where client_slug is not null or file_path not in (select path from del))
-select (select count(*) from left_) as chunks, (select count(*) from content where doc_id in (select doc_id from content where position = 0)) as content, (select count(*) from edges where target_id in (select doc_id from left_)) as targets"""),
+    "i10_repair": sql("chunks edges", _TIMES + ", " + _I1 + ", " + _I2 + ", " + _I4 + ", " + _CONTENT + """, left_ as (select * from chunks where client_slug is not null or file_path not in (select path from del)),
+fresh as (select source_id, to_ref, case when i % 22 <> 0 then to_ref end as target_id from (select *, substr(source_id, 2)::bigint as i from edges) where i % 30 <> 0),
+found as (
+  select 1 as seen, 'deleted' as axis, path as key, '' as detail from del
+  union all select 1, 'section', path, section from orph union all select 2, 'section', path, section from orph where path not in (select path from del) or exists (select 1 from left_ l where l.file_path = orph.path and l.section = orph.section and l.client_slug is null)
+  union all select distinct 1, 'dangling', source_id, to_ref from dang
+  union all select distinct 2, 'dangling', source_id, to_ref from fresh where target_id is null or target_id not in (select doc_id from left_)
+  union all select 1, 'orphan_chunk', doc_id::varchar, '' from content group by doc_id having count(*) filter (position = 0) = 0
+  union all select 1, 'model', 'index', (count(*))::varchar from chunks where embedding_model <> 'm1' having count(*) > 0
+  union all select 2, 'model', 'index', (count(*))::varchar from left_ where embedding_model <> 'm1' having count(*) > 0)
+select axis, key, detail, case when sum(seen) = 1 then 'repaired' when sum(seen) = 2 then 'new' when axis in ('deleted', 'orphan_chunk', 'dangling') then 'left' else 'manual' end as outcome from (select distinct * from found) group by axis, key, detail"""),
+    "i10_cut_edges": sql("chunks edges", _TIMES + ", " + _I1 + """, left_ as (select * from chunks where client_slug is not null or file_path not in (select path from del))
+select source_id, to_ref, case when target_id in (select doc_id from left_) then target_id end as target_id from edges"""),
     "i11_health": sql("chunks edges", "select count(distinct doc_id) as documents, count(*) as chunks, epoch_us(max(indexed_at)) as newest, (select count(*) from edges) as edges, false as edges_missing from chunks"),
     "j1_run_status": sql("runs", _STATUS + " select run_id, status from st"),
     "j2_active_runs": sql("runs", "select run_id from runs r where run_id % 10 <= 1 or exists (select 1 from nodes n where n.run_id = r.run_id and status = 'running')"),

@@ -60,6 +60,13 @@ def c2(spark, d):
     return R.semantic(q, c, 5, vector_index(spark, d)).select("qid", "id", F.round(1 - F.col("distance"), 6).alias("score"), "rn")
 
 
+def u1(spark, d):
+    """Search of vectors that one model made or that bear no stamp, guarded against any other; a query without direction finds nothing."""
+    q, c, _ = _in(spark, d)
+    c = R.stamped(R.live(c).where("coalesce(embedding_model, 'm1') = 'm1'"), "m1")
+    return R.semantic(q.unionByName(q.limit(1).withColumns({"qid": F.lit(-1).cast(q.schema["qid"].dataType), "qvec": F.transform("qvec", lambda x: F.lit(float("nan")).cast(q.schema["qvec"].dataType.elementType))})), c, 5).select("qid", "id", F.round("distance", 6).alias("distance"), "rn")
+
+
 def c3(spark, d):
     q, c, e = _in(spark, d)
     c = R.live(c)
@@ -95,7 +102,7 @@ def c8(spark, d):
     q, c, e = _in(spark, d)
     c = R.live(c)
     s = R.semantic(q, c)
-    return R.merged(s, R.structural(s, q, c, e)).groupBy("qid", "via").agg(F.count("*").alias("n"))
+    return R.merged(s, R.structural(s, q, c, e)).select("qid", "id", "via", F.round("distance", 6).alias("distance"))
 
 
 def c14(spark, d):
@@ -171,7 +178,7 @@ def c15m(spark, d):
 QUERIES = {
     "c7_memory_candidates": c7, "c12_dispatch": c12, "c15_with_memory": c15m, "c15_flat_corpus": c15_flat,
     "b1_metadata_filters": b1, "b3_exact_lookup": b3, "c1_semantic_candidates": c1, "c2_semantic_search": c2, "c3_structural": c3, "c4_keyword_candidates": c4,
-    "c5_keyword_rank": c5, "c6_flat_keyword": c6, "c8_priority_merge": c8, "c11_confidence": c11, "c14_text_index": c14, "c14_index_update": c14_update, "c15_hybrid_recall": c15,
+    "c5_keyword_rank": c5, "c6_flat_keyword": c6, "c8_priority_merge": c8, "c11_confidence": c11, "c14_text_index": c14, "c14_index_update": c14_update, "u1_stamp_guard": u1, "c15_hybrid_recall": c15,
 }
 _tail = lambda body: sql(_V, _CTE + body)
 _MEM = f"""fsim as (select qid, fact_id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as s from q join (select * from facts where embedding is not null) on workspace_id = qproject),
@@ -208,13 +215,14 @@ select qid, id, round(s, 6) as score, rn from (select *, row_number() over (part
     "c5_keyword_rank": _tail("select qid, id, round(rank, 6) as rank from krank"),
     "c6_flat_keyword": sql("chunks q", f"""w as (select distinct qid, regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') as word from (select qid, unnest(string_split(query, ' ')) as x from q))
 select distinct qid, id from w, chunks where word <> '' and content ilike '%' || word || '%' and ({_LIVE})"""),
-    "c8_priority_merge": _tail("select qid, via, count(*) as n from cand where via <> 'keyword' group by all"),
+    "c8_priority_merge": _tail("select qid, id, via, round(distance, 6) as distance from cand where via <> 'keyword'"),
     "c11_confidence": _tail("select qid, round(confidence, 6) as confidence from conf"),
     "c14_text_index": sql("chunks", f"""select id, term, round(sum(w), 6) as s from (
     select id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) as term, 1.0::double as w from chunks
     union all select id, unnest(regexp_extract_all(lower(array_to_string(keywords, ' ')), '[\\p{{L}}\\p{{N}}]+')), 1.0::double from chunks
     union all select id, unnest(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}]+')), 0.4::double from chunks
     union all select id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')), 0.2::double from chunks) where term not in ({_STOP}) group by id, term"""),
+    "u1_stamp_guard": _tail("select qid, id, round(distance, 6) as distance, rn from (select d.qid, d.id, distance, row_number() over (partition by d.qid order by distance, d.id) as rn from dist d join live l using (id) where coalesce(l.embedding_model, 'm1') = 'm1') where rn <= 5"),
     "c14_index_update": sql("chunks", f"""now as (
     select id, title, description from chunks where file_path not in ('docs/f3.md', 'docs/f5.md')
     union all select id, title || ' revised ' || (id % 3), description from chunks where file_path = 'docs/f3.md'

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import corpus, memory, runs
+from ..sources.manifest import Manifest
 from ..sources.shared import shared_dir
+from .run_state import last_status, stream_session
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -47,13 +49,6 @@ def intake(events: DataFrame, accepted: str, rejected: str) -> None:
     drained(events, each)
 
 
-def latest_status(snapshots: DataFrame) -> DataFrame:
-    """Streaming aggregate: the last snapshot(run_id, ts, node_runs and flags) of each run, with its status."""
-    s = F.struct("node_runs", "cancelled", "halted", "failure", "completion")
-    last = snapshots.groupBy("run_id").agg(F.max_by(s, "ts").alias("s"))
-    return runs.with_status(last.select("run_id", "s.*"))
-
-
 def abstain_rates(log: DataFrame, window: str = "1 day", late: str = "2 days") -> DataFrame:
     """Abstain rate by window, for append mode: a window comes out once the watermark has passed its end, its state goes
     then, and rows that come later are dropped."""
@@ -101,6 +96,18 @@ def current(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(last, [*keys, "batch"], "left_semi")
 
 
+def remember(store: Manifest, interactions: DataFrame, batch: int, stream: str = "interactions") -> None:
+    """Episodes, facts and peers of a batch of interactions(workspace_id and the columns of `memory.interaction_rows`) in one commit.
+
+    A reader sees all of a batch or nothing; a batch that is run again, whole or after a failure between two tables, counts once.
+    """
+    e, f = memory.interaction_rows(interactions)
+    touched = interactions.groupBy("workspace_id", "peer_id").agg(F.max("occurred_at").alias("updated_at"))
+    state = store.state()
+    peers = memory.upsert_peers(store.read("peers", state=state), touched) if "peers" in state["tables"] else touched
+    store.commit(append={"episodes": e, "facts": f}, replace={"peers": peers}, based_on=state, writer=stream, batch=batch)
+
+
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream(spark, sf_dir, "events").withColumn("props", F.when(F.col("event_id") % 9 == 0, "{broken").otherwise(F.col("props")))
     a, r = folder(spark, "accepted"), folder(spark, "rejected")
@@ -110,11 +117,11 @@ def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots: each event of a user is one of its run, with a node that has the event's state."""
-    i = F.col("event_id")
+    own, i = stream_session(spark), F.col("event_id")
     node = F.struct(F.col("event_type").alias("node"), F.when(i % 7 == 0, "failed").when(i % 5 == 0, "running").otherwise("success").alias("status"))
-    s = stream(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), F.struct("ts", i).alias("ts"), F.array(node).alias("node_runs"), (i % 13 == 2).alias("cancelled"), (i % 17 == 3).alias("halted"), F.lit(False).alias("failure"), F.lit(False).alias("completion"))
+    s = stream(own, sf_dir, "events").select(F.col("user_id").cast("long").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), i.cast("long").alias("seq"), F.array(node).alias("node_runs"), (i % 13 == 2).alias("cancelled"), (i % 17 == 3).alias("halted"), F.lit(False).alias("failure"), F.lit(False).alias("completion"))
     out = folder(spark, "status")
-    drained(latest_status(s), lambda b, n: by_batch(out)(b.select("run_id", "status"), n), "update")
+    drained(last_status(s), lambda b, n: by_batch(out)(b.select("run_id", "status"), n), "update")
     return current(spark.read.parquet(out), ["run_id"]).select("run_id", "status")
 
 
@@ -129,16 +136,10 @@ def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns arrive as interactions: an episode each, a fact that cites it, and the peer touched."""
     c = stream(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("episode_id"), F.concat(F.lit("p"), F.col("conv_id") % 50).alias("peer_id"), F.col("text").alias("summary"), F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")).alias("occurred_at"), F.array("text").alias("facts"))
-    out = folder(spark, "memory")
-
-    def each(b: DataFrame, n: int) -> None:
-        e, f = memory.interaction_rows(b)
-        by_batch(f"{out}/episodes")(e, n)
-        by_batch(f"{out}/facts")(f, n)
-        by_batch(f"{out}/peers")(e.groupBy("peer_id").agg(F.max("occurred_at").alias("updated_at")), n)
-
-    drained(c, each)
-    read = lambda name: spark.read.parquet(f"{out}/{name}")
+    store = Manifest(spark, folder(spark, "memory"))
+    drained(c.withColumn("workspace_id", F.lit("w")), lambda b, n: remember(store, b, n))
+    state = store.state()
+    read = lambda name: store.read(name, state=state)
     episodes = read("episodes").groupBy("peer_id").agg(F.count("*").alias("episodes"))
     facts = read("facts").groupBy("peer_id").agg(F.count("*").alias("facts"), F.sum(F.length("fact")).alias("characters"))
     peers = read("peers").groupBy("peer_id").agg(F.max("updated_at").alias("updated_at"))
