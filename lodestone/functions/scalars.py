@@ -72,8 +72,8 @@ def sentences(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Blanks, tabs and line ends off both ends; only the ends are looked at."""
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def normal_title(title: Column) -> Column:

@@ -41,11 +41,15 @@ def contradict(facts: DataFrame, hits: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
-def rank_facts(queries: DataFrame, facts: DataFrame, k: int, as_of: Column | None = None, scope: str | None = "workspace_id") -> DataFrame:
+def rank_facts(queries: DataFrame, facts: DataFrame, k: int, as_of: Column | None = None, scope: str | None = "workspace_id", vectors=None) -> DataFrame:
     """(qid, id, score, rn): facts of the query's workspace by similarity, times effective confidence where as_of is given.
 
-    Facts without a vector score 0 and come last.
+    Facts without a vector score 0 and come last. With ``vectors``, a `VectorIndex` of the facts that keeps the scope, confidence, decay_factor and
+    updated_at, its lists are read instead.
     """
+    if vectors is not None:
+        weight = (lambda x: decayed(F.col("confidence"), F.col("decay_factor"), weeks_between(F.col("updated_at"), as_of))) if as_of is not None else None
+        return vectors.search(queries, k, weight, (scope, scope) if scope else None, keep_missing=True)
     f = facts.withColumnRenamed("fact_id", "id")
     weight = None
     if as_of is not None:

@@ -226,36 +226,29 @@ def keyword_candidates(ranks: DataFrame, present: DataFrame, k: int = KEYWORD) -
     return rest.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
-GRAM, SHORT_WORDS = 3, 2000
+GRAM = 3  # characters of a word's key, where it has so many
 
 
 def containing(rows: DataFrame, fields: list[str], terms: DataFrame) -> DataFrame:
     """rows joined with terms(qid, word): those of which a field contains the word, letter case aside; _ stands for any character.
 
-    A word's first three characters without _ are its key; rows are taken apart into runs of three characters and meet the
-    words whose key they hold. Words too short for a key, of which there are few different ones, are held against every row.
+    A word's key is its first run of three characters without _, of two or one where it has no longer one, or nothing for a word of _ alone. Rows are
+    taken apart into runs of as many characters as there are keys of, and meet the words whose key they hold.
     """
     text = F.lower(F.concat_ws("\n", *fields))
-    terms = terms.withColumn("key", F.nullif(F.regexp_extract(F.lower("word"), f"[^_]{{{GRAM}}}", 0), F.lit("")))
+    key = F.lit("")
+    for n in range(1, GRAM + 1):
+        longer = F.regexp_extract(F.lower("word"), f"[^_]{{{n}}}", 0)
+        key = F.when(longer != "", longer).otherwise(key)
+    terms = terms.where("word <> ''").withColumn("key", key)
     hit = F.lit(False)
     for f in fields:
         hit = hit | F.ilike(f, F.concat(F.lit("%"), F.col("word"), F.lit("%")))
-    keys = terms.where("key is not null").select("key").distinct()
-    cut = rows.withColumn("key", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1))))
-    long_ones = cut.join(broadcast_if_small(keys), "key", "left_semi").join(broadcast_if_small(terms.where("key is not null")), "key").where(hit).drop("key")
-    short = terms.where("key is null").drop("key")
-    words = [r["word"] for r in short.select("word").distinct().limit(SHORT_WORDS + 1).collect()]
-    if not words:
-        return long_ones
-    if len(words) > SHORT_WORDS:
-        raise ValueError(f"more than {SHORT_WORDS} different words of under {GRAM} characters")
-    held = [F.when(F.expr(" or ".join(f"{f} ilike w" for f in fields).replace("ilike w", "ilike concat('%', " + sql_string(w) + ", '%')")), F.lit(w)) for w in words]
-    found = rows.withColumn("word", F.explode(F.array_compact(F.array(*held))))
-    return long_ones.unionByName(found.join(broadcast_if_small(short), "word").select(*long_ones.columns))
-
-
-def sql_string(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    keys = terms.select("key").distinct()
+    sizes = [r["n"] for r in keys.select(F.length("key").alias("n")).distinct().collect()]  # up to GRAM + 1 numbers
+    runs = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) if n else F.array(F.lit("")) for n in sizes]
+    cut = rows.withColumn("key", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<string>"))))
+    return cut.join(broadcast_if_small(keys), "key", "left_semi").join(broadcast_if_small(terms), "key").where(hit).drop("key")
 
 
 def flat_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:

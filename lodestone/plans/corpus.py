@@ -75,6 +75,16 @@ def a3(spark, d):
     return _files(spark, d).select("path", C.skipped(F.col("path")).alias("reason"))
 
 
+def a3_prefixes(spark, d):
+    """Two folders more that are never read."""
+    return _files(spark, d).select("path", C.skipped(F.col("path"), ["target"], ("docs/src1", "sub/planning")).alias("reason"))
+
+
+def a16_workspace(spark, d):
+    """A rebuild of one workspace clears its rows alone."""
+    return C.after_rebuild(chunks(spark, d), spark.createDataFrame([], "slug string"), "en").select("id", "project")
+
+
 def a5(spark, d):
     f = C.discover(_files(spark, d), LANES)
     own = F.when(F.col("doc_id") % 2 == 0, F.col("lang"))
@@ -285,6 +295,7 @@ def a29_rebuild(spark, d):
 
 
 QUERIES = {
+    "a3_prefixes": a3_prefixes, "a16_workspace": a16_workspace,
     "a1_listing": a1_listing, "a2_workspace": a2, "a14_workspace": a14_workspace, "a29_commit": a29_commit, "a29_rebuild": a29_rebuild,
     "a1_discovery": a1, "a3_skip_rules": a3, "a5_attribution": a5, "a6_metadata": a6, "a8_context_prefix": a8, "a9_sections": a9, "a11_token_windows": a11, "a12_content_chunks": a12, "a13_embedding": a13,
     "a14_incremental": a14, "a15_group_replace": a15, "a16_scoped_rebuild": a16, "a17_prune": a17, "a18_quarantine": a18, "a18_delete": a18_delete, "a19_backfill": a19, "a19_project": a19_project, "a27_store": a27, "a29_summary": a29_summary, "a20_restrict": a20, "a21_artifacts": a21, "a23_log_entries": a23,
@@ -312,6 +323,8 @@ select c.doc_id, c.entry, coalesce(own, current) as date, coalesce(nullif(regexp
 from cur c left join body using (doc_id, entry) where level is not null and not (level = 2 and grp is not null) and coalesce(own, current) is not null"""
 _DUE = "due as (select path from times left join newest using (path) where (newest is null or newest <= mtime) and path <> 'docs/f5.md')"
 ORACLE_SQL = {
+    "a3_prefixes": "with " + _FILES + " select path, case when doc_id % 7 = 3 then 'underscore' when doc_id % 7 = 5 then 'hidden' when doc_id % 7 in (0, 2, 4) then 'skip_dir' end as reason from files",
+    "a16_workspace": sql("chunks", "select id, project from chunks where project is distinct from 'en'"),
     "a1_listing": "with " + _FILES + " select path, case doc_id % 7 when 0 then 'root' when 1 then 'tier' when 2 then 'planning' end as lane_name, strlen(coalesce(text, ''))::bigint as length from files join documents using (doc_id) where doc_id % 7 < 3",
     "a2_workspace": "with " + _FILES + " select path, sha256(coalesce(text, '')) as content_sha256 from files join documents using (doc_id) where doc_id % 7 in (0, 1, 2, 3)",
     "a14_workspace": sql("chunks", _TIMES + """, pr(project) as (values ('fr'), ('none')), newest as (select file_path as path, project, max(indexed_at) as newest from chunks group by all)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph, grounding, memory, query_log
+from .stores import fact_index
 from .views import BASE, base, chunks, edges, episodes, facts, golden, markdown, query_log as log_view, read, recall_queries, sql
 
 _STOP = ", ".join("'" + w + "'" for w in S.STOP_WORDS)
@@ -118,13 +119,18 @@ def f6(spark, d):
     return out.select("fact_id", F.round("confidence", 6).alias("confidence"), F.unix_micros("updated_at").alias("updated_at"))
 
 
-def _ranked(spark, d, as_of):
+def _ranked(spark, d, as_of, vectors=None):
     q = recall_queries(spark, d).withColumnRenamed("qproject", "workspace_id")
-    return memory.rank_facts(q, facts(spark, d), 5, as_of).select("qid", F.col("id").alias("fact_id"), F.round("score", 6).alias("score"), "rn")
+    return memory.rank_facts(q, facts(spark, d), 5, as_of, vectors=vectors).select("qid", F.col("id").alias("fact_id"), F.round("score", 6).alias("score"), "rn")
 
 
 def f7(spark, d):
-    return _ranked(spark, d, None)
+    return _ranked(spark, d, None, fact_index(spark, d))
+
+
+def f8_index(spark, d):
+    """f8 by the lists of the stored index."""
+    return _ranked(spark, d, base(), fact_index(spark, d))
 
 
 def f8(spark, d):
@@ -243,7 +249,7 @@ cls as (select *, case when abstained then 'abstained' when confidence <= low th
 
 QUERIES = {
     "d1_walk": d1, "d2_edge_load": d2, "d3_neighbours": d3, "e1_abstain_gate": e1, "e3_context_block": e3, "e4_content_words": e4, "e5_sentences": e5, "e7_citations": e7, "e8_envelope": e8, "e9_session_update": e9,
-    "f1_decay": f1, "f3_peer_upsert": f3, "f4_episode_append": f4, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "a22_edge_payload": a22, "f12_consolidation_apply": f12, "f13_interactions": f13,
+    "f1_decay": f1, "f3_peer_upsert": f3, "f4_episode_append": f4, "f5_fact_insert": f5, "f6_contradiction": f6, "f7_rank_facts": f7, "f8_rank_decayed": f8, "f8_indexed": f8_index, "f9_recent_episodes": f9, "f10_budget": f10, "f11_consolidation_context": f11, "a22_edge_payload": a22, "f12_consolidation_apply": f12, "f13_interactions": f13,
     "g1_log_rows": g1, "g2_abstain_rate": g2, "g3_mining": g3, "g5_low_threshold": g5, "g6_classification": g6, "g8_draft_cases": g8, "g9_retention": g9,
 }
 from .retrieval import _CTE, _V  # noqa: E402
@@ -270,6 +276,7 @@ from (select conv_id, turn, list(role) over (partition by conv_id) as x from con
     "f6_contradiction": sql("facts", f"select fact_id, round(case when fact_id % 4 = 0 then confidence * power(0.95::double, {_WEEKS}) * case when fact_id % 8 = 0 then 0.25::double else 0.5::double end else confidence end, 6) as confidence, epoch_us(case when fact_id % 4 = 0 then timestamp '{BASE}' else updated_at end) as updated_at from facts"),
     "f7_rank_facts": sql("chunks q facts", _RANK.format(w="1")),
     "f8_rank_decayed": sql("chunks q facts", _RANK.format(w=f"confidence * power(0.95::double, {_WEEKS})")),
+    "f8_indexed": sql("chunks q facts", _RANK.format(w=f"confidence * power(0.95::double, {_WEEKS})")),
     "f9_recent_episodes": sql("episodes", "select peer_id, episode_id, rn from (select *, row_number() over (partition by peer_id order by occurred_at desc, episode_id desc) as rn from episodes) where rn <= 3"),
     "f10_budget": sql("episodes", "select peer_id, sum(greatest(1, length(summary) // 4))::bigint as tokens, sum(greatest(1, length(summary) // 4)) > 800 as over_budget from episodes group by peer_id"),
     "a22_edge_payload": """with g as (select doc_id as i, lang, doc_id // 100 as g from documents), ok as (select * from g where g % 4 <> 3 and g % 7 <> 6)

@@ -9,9 +9,9 @@ from pyspark.sql import SparkSession
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
 from ..sources.shared import shared_dir
-from .views import chunks
+from .views import chunks, facts
 
-_TABLES = ("documents", "embeddings")
+_TABLES = ("documents", "embeddings", "labels")
 
 
 def _place(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -40,6 +40,15 @@ def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     return index
 
 
+def fact_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    """Of all facts, those without a vector too, with what their weight at a time is made of."""
+    keep = ("workspace_id", "confidence", "decay_factor", "updated_at")
+    index = VectorIndex(spark, _place(spark, sf_dir, "facts"), keep, group="peer_id")
+    if not index.exists():
+        index.build(facts(spark, sf_dir).withColumnRenamed("fact_id", "id"))
+    return index
+
+
 def indexes(spark: SparkSession, sf_dir: str) -> dict:
     """As arguments of `retrieval.hybrid`."""
     return {"index": text_index(spark, sf_dir), "vectors": vector_index(spark, sf_dir)}

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -382,3 +383,22 @@ def test_times_as_text(spark):
     got = [r[0] for r in spark.createDataFrame(list(enumerate(t)), "i long, t string").orderBy("i").select(F.unix_micros(S.parsed_time(F.col("t")))).collect()]
     day = 1704067200000000
     assert got == [day + 3723123456, day + 3723000000 - 7200000000, day, day + 3720000000, None, None, None]
+
+
+def test_words_of_any_length_are_found(spark):
+    """Words of under three characters have keys of their own, however many there are; _ stands for any character."""
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choice("aBcé1 .") for _ in range(rng.randint(0, 9)))) for i in range(60)] + [(60, None), (61, "İ_x")]
+    words = [a + b + c for a in "abcé1_" for b in ["", *"abé_"] for c in ["", *"aB_"]] + ["__a_b"]
+    terms = [(k % 5, w) for k, w in enumerate(words)]
+    found = retrieval.containing(spark.createDataFrame(rows, "id long, content string"), ["content"], spark.createDataFrame(terms, "qid long, word string"))
+    got = sorted((r["id"], r["word"]) for r in found.collect())
+    pattern = lambda w: re.compile("".join("." if c == "_" else re.escape(c) for c in w.lower()), re.S)
+    want = sorted((i, w) for i, t in rows if t is not None and i < 60 for _, w in terms if pattern(w).search(t.lower()))
+    assert [x for x in got if x[0] < 60] == want
+
+
+def test_strip_is_that_of_the_pattern(spark):
+    texts = ["", " a ", "\n\t x y \r\n", "\x0b\x0c", "é ", "a\u00a0", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert all(r[0] == r[1] for r in df.select(S.strip(F.col("t")), F.regexp_replace("t", r"^\s+|\s+$", "")).collect())
