@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
@@ -14,23 +14,19 @@ def ranked_within(rows: DataFrame, group: list[str], order: list[Column], name:
     """rows with their rank 1, 2, ... within each group in an order, which should be total.
 
     Rows are dealt to ranges of (group, order) and sorted there; a row's rank is its place in its range, less where its group begins there, plus
-    the group's rows in earlier ranges. Only those counts, one for each range and group that meet, go through one place.
+    the group's rows in earlier ranges. Of a group, only those counts meet in a task, one for each range that it reaches.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*[F.col(g).asc() for g in group], *order]
     sorted_ = kept(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()), "ranked")
     sorted_ = sorted_.withColumn("__part", F.shiftright("__at", PLACE_BITS)).withColumn("__at", F.col("__at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)))
     counts = sorted_.groupBy("__part", *group).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    earlier = counts.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__{g}") for g in group], F.col("__n").alias("__m"))
-    same = F.col("__p") < F.col("__part")
-    for g in group:
-        same = same & F.col(f"__{g}").eqNullSafe(F.col(g))
-    offsets = counts.join(earlier, same, "left").groupBy("__part", *group, "__first").agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("__before")).alias("o")
+    before = F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = kept(counts.select("__part", *group, "__first", F.coalesce(before, F.lit(0)).alias("__before")), "offsets").alias("o")
     r = sorted_.alias("r")
     on = F.col("r.__part") == F.col("o.__part")
     for g in group:
         on = on & F.col(f"r.{g}").eqNullSafe(F.col(f"o.{g}"))
-    # a row for each range and group: ranges times groups of a range, far below the rows
     return r.join(offsets, on).select(*[f"r.{c}" for c in rows.columns], (F.col("o.__before") + F.col("r.__at") - F.col("o.__first") + 1).cast("long").alias(name))
 
 
