@@ -2,7 +2,7 @@
 
 The lexicon holds the terms within a band of document frequency, no others. A document keeps its distinct lexicon terms
 in sorted order and hashes the part of them that falls into each of several random subsets of the lexicon;
-these hashes side by side are its fingerprint. Subsets come in three densities, for short and long texts, a sparse one
+these hashes side by side are its fingerprint. Subsets come in five densities, for short and long texts, a sparse one
 lying inside the next denser.
 """
 
@@ -19,7 +19,7 @@ from .common import shuffle_partitions, stored, table
 LOW, HIGH = 0.002, 0.25  # band: the share of documents that hold a term
 SLOTS = 1 << 16  # slots of the lexicon in a task
 LEXICON = 200_000  # terms up to which the lexicon goes to every task; a larger one is joined
-DENSITY = [4, 6, 8]  # a subset keeps a term with chance 2 ** -bits
+DENSITY = [2, 4, 6, 8, 10]  # a subset keeps a term with chance 2 ** -bits
 SUBSETS = 8  # of each density
 
 
@@ -56,26 +56,36 @@ def with_known(docs: DataFrame, text: str, name: str, band: DataFrame, small: bo
     return rows.join(found, "__row", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>"))).drop("__row")
 
 
-def fingerprint(known: Column) -> Column:
-    """array<string> for sorted lexicon terms: a hash for each subset, '' where it holds none of them."""
-    rows = F.transform(known, lambda t: F.struct(t.alias("t"), F.xxhash64(F.lit("subset"), t).alias("h")))
+def fingerprint(known: Column, text: Column) -> Column:
+    """array<string> for sorted lexicon terms: by subset, a hash for each density, '' where it holds none of them.
+
+    A text none of whose terms is in any subset has hashes of its own, the same in every place.
+    """
+    rows = F.transform(known, lambda t: F.struct(t.alias("t"), F.xxhash64(F.lit("subset"), t).alias("h0"), F.xxhash64(F.lit("other"), t).alias("h1")))
 
     def densities(inside: Column, k: int, sizes: list[int]) -> Column:
-        """Hashes of subset k in each density; a sparser one is taken from the terms of the denser."""
-        part = F.filter(inside, lambda x: F.shiftright(x["h"], k * 7).bitwiseAND(F.lit((1 << sizes[0]) - 1)) == 0)
+        """Hashes of subset k in each density; a sparser one is taken from the terms of the denser. Each subset has 16 bits of its own."""
+        part = F.filter(inside, lambda x: F.shiftright(x[f"h{k // 4}"], k % 4 * 16).bitwiseAND(F.lit((1 << sizes[0]) - 1)) == 0)
         told = lambda p: F.array(F.when(F.size(p) == 0, "").otherwise(F.substring(F.sha1(F.array_join(F.transform(p, lambda x: x["t"]), " ")), 1, 8)))
         # the transform binds the part once
         return F.element_at(F.transform(F.array(part), lambda p: F.concat(told(p), densities(p, k, sizes[1:])) if sizes[1:] else told(p)), 1)
 
-    return F.element_at(F.transform(F.array(rows), lambda r: F.flatten(F.array(*[densities(r, k, DENSITY) for k in range(SUBSETS)]))), 1)
+    hashes = F.element_at(F.transform(F.array(rows), lambda r: F.flatten(F.array(*[densities(r, k, DENSITY) for k in range(SUBSETS)]))), 1)
+    own = F.array_repeat(F.substring(F.sha1(text), 1, 8), SUBSETS * len(DENSITY))
+    return F.element_at(F.transform(F.array(hashes), lambda h: F.when(F.exists(h, lambda x: x != ""), h).otherwise(own)), 1)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that either document has terms in; equal fingerprints give 1."""
-    both = F.zip_with(a, b, lambda x, y: F.struct((x == y).alias("same"), ((x != "") | (y != "")).alias("any")))
-    some = F.size(F.filter(both, lambda p: p["any"]))
-    same = F.size(F.filter(both, lambda p: p["any"] & p["same"]))
-    return F.when(a == b, F.lit(1.0)).otherwise(same / some)
+    """Share of the subsets whose hashes are equal, each taken at the sparsest density in which either document has a term; equal fingerprints give 1.
+
+    Few terms stand behind a hash there, so it outlives edits; subsets in which neither has a term don't count.
+    """
+    same = []
+    for k in range(SUBSETS):
+        places = [(F.get(a, F.lit(i)), F.get(b, F.lit(i))) for i in range((k + 1) * len(DENSITY) - 1, k * len(DENSITY) - 1, -1)]
+        same.append(F.coalesce(*[F.when((x != "") | (y != ""), (x == y).cast("int")) for x, y in places]))
+    told = F.array_compact(F.array(*same))
+    return F.when(a == b, F.lit(1.0)).when(F.size(told) == 0, F.lit(0.0)).otherwise(F.aggregate(told, F.lit(0), lambda s, x: s + x) / F.size(told))
 
 
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,17 +117,17 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text; null texts are empty.
 
-    Texts without a term of the lexicon have an empty fingerprint of separators; equal texts always have equal
-    ones. A single document is its own next.
+    Equal texts always have equal fingerprints; a text without a term in any subset has a fingerprint of its own, like to no other text's. A
+    single document is its own next.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     band = lexicon(docs)
     small = band.count() <= LEXICON
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     known = with_known(docs, "text", "__known", band, small)
-    rows = with_next(known.withColumn("fp", fingerprint(F.col("__known"))).drop("__known"), ["text", "fp"])
+    rows = with_next(known.withColumn("fp", fingerprint(F.col("__known"), F.col("text"))).drop("__known"), ["text", "fp"])
     rows = rows.select("doc_id", "fp", "next_fp", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    rows = with_known(rows, "edited", "__known", band, small).withColumn("efp", fingerprint(F.col("__known")))
+    rows = with_known(rows, "edited", "__known", band, small).withColumn("efp", fingerprint(F.col("__known"), F.col("edited")))
     return rows.select(
         "doc_id",
         "n_chars",

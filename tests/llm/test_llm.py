@@ -433,12 +433,49 @@ def test_fingerprints_against_plain_i_match(spark, monkeypatch, most):
     band, want = plain_i_match(texts, 0.03, 0.2)
     lex = fingerprint.lexicon(docs, 0.03, 0.2)
     assert {r["t"] for r in lex.collect()} == band and 20 < len(band)
-    got = fingerprint.with_known(docs, "text", "known", lex, lex.count() <= fingerprint.LEXICON).withColumn("fp", fingerprint.fingerprint(F.col("known")))
-    h = {r["t"]: r["h"] for r in lex.select("t", F.xxhash64(F.lit("subset"), "t").alias("h")).collect()}
+    got = fingerprint.with_known(docs, "text", "known", lex, lex.count() <= fingerprint.LEXICON).withColumn("fp", fingerprint.fingerprint(F.col("known"), F.coalesce("text", F.lit(""))))
+    h = {r["t"]: (r["h0"], r["h1"]) for r in lex.select("t", F.xxhash64(F.lit("subset"), "t").alias("h0"), F.xxhash64(F.lit("other"), "t").alias("h1")).collect()}
     for r in got.collect():
         assert r["known"] == want[r["doc_id"]]
-        parts = [[t for t in r["known"] if (h[t] >> 7 * k) & ((1 << size) - 1) == 0] for k in range(fingerprint.SUBSETS) for size in fingerprint.DENSITY]
-        assert r["fp"] == [hashlib.sha1(" ".join(p).encode()).hexdigest()[:8] if p else "" for p in parts]
+        parts = [[t for t in r["known"] if (h[t][k // 4] >> k % 4 * 16) & ((1 << size) - 1) == 0] for k in range(fingerprint.SUBSETS) for size in fingerprint.DENSITY]
+        own = [hashlib.sha1((r["text"] or "").encode()).hexdigest()[:8]] * len(parts)
+        assert r["fp"] == ([hashlib.sha1(" ".join(p).encode()).hexdigest()[:8] if p else "" for p in parts] if any(parts) else own)
+
+
+def test_likeness_by_the_sparsest_density(spark):
+    """Subsets as lists of hashes by density, against plain Python; texts without signal are like themselves alone."""
+    rng = random.Random(2)
+    n, m = fingerprint.SUBSETS, len(fingerprint.DENSITY)
+
+    def made():
+        out = []
+        for _ in range(n):
+            have = rng.randint(0, m)  # a sparse subset lies in the denser ones
+            out += [rng.choice("xyz") for _ in range(have)] + [""] * (m - have)
+        return out
+
+    pairs = [(made(), made()) for _ in range(60)] + [([""] * n * m, ["q"] * n * m), (["q"] * n * m,) * 2]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a array<string>, b array<string>").coalesce(1).select(fingerprint.likeness(F.col("a"), F.col("b"))).collect()]
+    for (a, b), g in zip(pairs, got):
+        votes = []
+        for k in range(n):
+            some = [(x, y) for x, y in zip(a[k * m : (k + 1) * m], b[k * m : (k + 1) * m]) if x or y]
+            votes += [some[-1][0] == some[-1][1]] if some else []
+        assert g == (1.0 if a == b else sum(votes) / len(votes) if votes else 0.0)
+
+
+def test_fingerprints_of_odd_rows(spark, odd, tmp_path):
+    """Null ids, repeated rows, empty and null texts, and no rows at all."""
+    odd.write.parquet(f"{tmp_path}/a/documents.parquet")
+    odd.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    got = fingerprint.op8_fingerprint(spark, f"{tmp_path}/a").collect()
+    assert len(got) == odd.count() and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    prints: dict = {}
+    texts = {r["doc_id"]: r["text"] or "" for r in odd.collect()}
+    for r in got:
+        prints.setdefault(texts[r["doc_id"]], set()).add(r["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values()) and len({next(iter(p)) for p in prints.values()}) == len(prints)
+    assert fingerprint.op8_fingerprint(spark, f"{tmp_path}/b").collect() == []
 
 
 def test_next_document_with_odd_ids(spark, odd):
