@@ -72,7 +72,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2_SQL = f"""
 with pages as (select doc_id, source, text, string_split(text, chr(10)) as lines from documents),
-totals as (select source, count(distinct text) as total from pages group by source),
+totals as (select source, count(distinct text) + max(case when text is null then 1 else 0 end) as total from pages group by source),
 often as (
   select source, line from (select source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) as line from (select distinct source, text, lines from pages))
   join totals using (source) where line <> '' group by source, line, total having count(*) >= {MIN_PAGES} and count(*) > {RATIO} * total
@@ -82,6 +82,6 @@ cut as (
   select doc_id, lines, list_filter(lines, lambda x: trim(x) = '' or not coalesce(list_contains(gone, trim(x)), false)) as kept
   from pages left join gone using (source)
 )
-select doc_id, len(lines) as n_lines, len(lines) - len(kept) as n_dropped,
+select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(lines) - len(kept), 0) as n_dropped,
        length(array_to_string(kept, chr(10))) as n_kept_chars, sha256(array_to_string(kept, chr(10))) as kept_sha256 from cut
 """
