@@ -1,7 +1,8 @@
 """A pipeline over documents: language ID, line dedup, n-gram Jaccard join, PII, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-next stage's docs. All but the last return the columns of documents. No stage has SQL of its own: rank-order
+next stage's docs. All but the last return the columns of documents. Rows of one doc_id and text are treated alike in every stage: all of
+them stay or go. Rows without a doc_id are never near duplicates. An empty table passes through. No stage has SQL of its own: rank-order
 profiles, recursive metric regions and tokenizers are beyond it, so the tests hold them against brute force.
 """
 
