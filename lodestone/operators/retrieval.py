@@ -92,6 +92,11 @@ def scored(queries: DataFrame, items: DataFrame, k: int, weight: str | None = No
     return top.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
+def products(a: np.ndarray, x: np.ndarray, w: pd.Series) -> np.ndarray:
+    """Weighted cosines, rounded so that equal vectors have equal scores whatever the batch, and ids decide."""
+    return np.round(a @ x.T * w.to_numpy(np.float64), 12)
+
+
 def directed(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Scores without those of vectors that have no direction, zeros in either matrix: their distance is no number."""
     s[~a.any(axis=1)] = -np.inf
@@ -113,7 +118,7 @@ def _settled(best: Best, a: np.ndarray, group: pd.Series, b: pd.DataFrame, missi
     for at in range(0, len(b), step):
         part = b.iloc[at : at + step]
         x = unit(part["v"], a.shape[1])
-        s = a @ x.T * part["w"].to_numpy(np.float64)
+        s = products(a, x, part["w"])
         best.add(same_group(s if missing else directed(s, a, x), group, part["g"]), part["id"].to_numpy(np.int64))
 
 

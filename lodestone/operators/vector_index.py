@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import doubles
 from ..sources.generations import Generations
 from ..sources.shared import kept
-from .retrieval import QUERIES_HELD, Best, directed, same_group, scored, unit
+from .retrieval import QUERIES_HELD, Best, directed, products, same_group, scored, unit
 
 SAMPLE = 20_000  # vectors that centres are fitted on, those with the least hashes of their ids
 MOST_LISTS = 1024
@@ -140,7 +140,7 @@ class VectorIndex:
                     for n, rows in b.groupby("list"):
                         to = wanted[n]
                         x = unit(rows["v"], a.shape[1])
-                        s = a[to] @ x.T * rows["w"].to_numpy(np.float64)
+                        s = products(a[to], x, rows["w"])
                         best.add(same_group(s if keep_missing else directed(s, a[to], x), group.iloc[to], rows["g"]), rows["id"].to_numpy(np.int64), to)
                 yield best.frame(qid)
 

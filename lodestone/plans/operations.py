@@ -141,7 +141,7 @@ def s_iso(spark, d):
 def s_window(spark, d):
     e = read(spark, d, "events")
     w = F.concat(F.col("event_id") % 9, F.when(F.col("event_id") % 3 == 0, "d").when(F.col("event_id") % 3 == 1, "h").otherwise("x"))
-    return e.select("event_id", F.coalesce(S.window_hours(w), F.lit(-1)).alias("hours"), S.video_id(F.concat(F.lit("https://v.example/watch?v=abcdefghij"), F.col("event_id") % 10)).alias("video"), F.round(S.squash(F.col("value") / 100), 6).alias("squashed"))
+    return e.select("event_id", F.coalesce(S.window_hours(w), F.lit(-1)).alias("hours"), S.video_id(F.concat(F.when(F.col("event_id") % 2 == 0, "https://v.example/watch?v=").otherwise("https://youtu.be/"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 11), F.lit("&t=1"))).alias("video"), F.round(S.squash(F.col("value") / 100), 6).alias("squashed"))
 
 
 def s_vector(spark, d):
@@ -207,7 +207,7 @@ select source_id, to_ref, case when target_id in (select doc_id from left_) then
     "s_text": r"select doc_id, case when doc_id % 3 = 0 then 'AB' || (doc_id % 1000) end as found, sha256(lower(regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '^#+', ''), '\s+', ' ', 'g'))) as title_sha256, greatest(1, length(text) // 4) as tokens, regexp_matches(lower(source), '^[a-z0-9]+(-[a-z0-9]+)*$') as kebab from documents",
     "s_iso": """select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' as iso, epoch_us(ts) as again,
   case event_id % 4 when 0 then epoch_us(date_trunc('second', ts)) - 7200000000 when 1 then epoch_us(date_trunc('day', ts)) when 3 then epoch_us(date_trunc('minute', ts)) end as odd from (select event_id, ts::timestamp as ts from events)""",
-    "s_window": "select event_id, case event_id % 3 when 0 then (event_id % 9) * 24 when 1 then event_id % 9 else -1 end as hours, 'abcdefghij' || (event_id % 10) as video, round(1 / (1 + exp(-value / 100)), 6) as squashed from events",
+    "s_window": "select event_id, case event_id % 3 when 0 then (event_id % 9) * 24 when 1 then event_id % 9 else -1 end as hours, substr(md5(event_id::varchar), 1, 11) as video, round(1 / (1 + exp(-value / 100)), 6) as squashed from events",
     "s_vector": "select a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as similarity from (select vec_id, embedding::double[] as e from embeddings) a join (select vec_id + 1 as vec_id, embedding::double[] as e from embeddings) b using (vec_id)",
     "t1_intake_stream": "select event_id, case when event_type = 'error' then 'unknown_type' when event_id % 9 = 0 then 'bad_payload' end as reason from events",
     "t6_abstain_stream": sql("query_log", "select epoch_us(time_bucket(interval '1 day', created_at)) as day, count(*) as n, round(avg(abstained::int), 6) as rate from query_log group by 1 having max(time_bucket(interval '1 day', created_at)) + interval '1 day' <= (select max(created_at) from query_log) - interval '2 days'"),
