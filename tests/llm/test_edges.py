@@ -95,6 +95,29 @@ def test_suffix_dedup_with_a_small_bitmap(spark, monkeypatch, bits):
     assert got == suffix_dedup.brute_force(texts, 100)
 
 
+def test_suffix_dedup_with_digests_that_clash(spark, monkeypatch):
+    """Digests of two bits: only the bytes tell windows apart."""
+    import hashlib
+
+    real = suffix_dedup.window_digests
+    monkeypatch.setattr(suffix_dedup, "window_digests", lambda *a: real(*a) & np.uint64(3))
+    rng = random.Random(77)
+    parts = ["".join(rng.choice("abcdé \n") for _ in range(150)) for _ in range(5)]
+    texts = {i: "".join(rng.choice(parts)[rng.randrange(60) :] for _ in range(rng.randint(0, 4))) for i in range(40)}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 100).collect()}
+    assert got == suffix_dedup.brute_force(texts, 100)
+
+
+def test_windows_are_compared_by_their_bytes():
+    rng = np.random.default_rng(5)
+    data = rng.integers(0, 2, 400).astype(np.uint8)
+    own = np.sort(rng.integers(0, 390, 300))
+    other = np.where(rng.random(300) < 0.5, own - own[0], rng.integers(0, 390, 300)).clip(0)
+    got = suffix_dedup.equal_windows(data, own, other, 7)
+    assert got.tolist() == [bytes(data[a : a + 7]) == bytes(data[b : b + 7]) for a, b in zip(own, other)]
+    assert suffix_dedup.equal_windows(data, own[:0], other[:0], 7).tolist() == []
+
+
 def test_jaccard_without_broadcast_of_ids(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BROADCAST_IDS", -1)
     rng = random.Random(3)
