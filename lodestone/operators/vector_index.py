@@ -76,7 +76,8 @@ class VectorIndex:
         n = have.count()
         centres = fitted(u, self.lists or min(MOST_LISTS, max(1, round(n**0.5)))) if len(u) else np.zeros((0, 1))
         radii = lambda tables: self._measured(self.store.store.read("rows", state={"tables": tables}))
-        return self.store.build(self._dealt(rows, centres), {"centres": centres.tolist(), "width": centres.shape[1]}, {"radii": radii})
+        told = self.spark.createDataFrame(list(enumerate(centres.tolist())), "list int, centre array<double>")
+        return self.store.build(self._dealt(rows, centres), {"width": centres.shape[1]}, {"radii": radii, "centres": told})
 
     def update(self, groups: DataFrame, rows: DataFrame) -> int:
         """Whole groups are replaced, their new rows dealt to the centres that there are; a list's radius only grows until it is built anew."""
@@ -93,9 +94,10 @@ class VectorIndex:
 
         return self.store.replace(keys.withColumnRenamed(self.group, "grp"), lambda state: self._dealt(own, self._centres(state)), grown)
 
-    @staticmethod
-    def _centres(state: dict) -> np.ndarray:
-        return np.array(state["notes"]["centres"]).reshape(-1, state["notes"]["width"])
+    def _centres(self, state: dict) -> np.ndarray:
+        """The centres in the order of their lists, MOST_LISTS at most."""
+        rows = sorted(self.store.store.read("centres", state=state).collect())
+        return np.array([r["centre"] for r in rows], np.float64).reshape(-1, state["notes"]["width"])
 
     def search(self, queries: DataFrame, k: int, weight: Callable[[DataFrame], Column] | None = None, same: tuple[str, str] | None = None, keep_missing: bool = False, where: Callable[[DataFrame], DataFrame] | None = None, report: dict | None = None) -> DataFrame:
         """(qid, id, score, rn) as `retrieval.scored` gives it for the index's rows that ``where`` keeps.

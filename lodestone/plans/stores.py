@@ -12,11 +12,15 @@ from ..sources.shared import shared_dir
 from .views import chunks, facts
 
 _TABLES = ("documents", "embeddings", "labels")
+LAYOUT = 2  # of what is stored: another number leaves indexes of older code alone
 
 
 def _place(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """A path below the shared folder that names the tables' files as they are: other files, times or sizes mean another index."""
-    conf, told = spark.sparkContext._jsc.hadoopConfiguration(), []
+    """A path below the shared folder that names the tables' files as they are: other files, times or sizes mean another index.
+
+    So an index outlives its session, and the next one's queries find it.
+    """
+    conf, told = spark.sparkContext._jsc.hadoopConfiguration(), [LAYOUT]
     for t in _TABLES:
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
         fs = at.getFileSystem(conf)

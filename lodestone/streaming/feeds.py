@@ -102,10 +102,13 @@ def remember(store: Manifest, interactions: DataFrame, batch: int, stream: str =
     A reader sees all of a batch or nothing; a batch that is run again, whole or after a failure between two tables, counts once.
     """
     e, f = memory.interaction_rows(interactions)
-    touched = interactions.groupBy("workspace_id", "peer_id").agg(F.max("occurred_at").alias("updated_at"))
-    state = store.state()
-    peers = memory.upsert_peers(store.read("peers", state=state), touched) if "peers" in state["tables"] else touched
-    store.commit(append={"episodes": e, "facts": f}, replace={"peers": peers}, based_on=state, writer=stream, batch=batch)
+    touched = newest_peers(interactions.withColumnRenamed("occurred_at", "updated_at"))
+    store.commit(append={"episodes": e, "facts": f, "peers": touched}, based_on=store.state(), writer=stream, batch=batch, folded={"peers": newest_peers})
+
+
+def newest_peers(touched: DataFrame) -> DataFrame:
+    """(workspace_id, peer_id, updated_at) once for each peer. The stored table has a row for each batch that touched one, until its folders are put together."""
+    return touched.groupBy("workspace_id", "peer_id").agg(F.max("updated_at").alias("updated_at"))
 
 
 def t1(spark: SparkSession, sf_dir: str) -> DataFrame:
