@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 from ..operators.text_index import TextIndex
 from ..operators.vector_index import VectorIndex
+from ..sources.manifest import Conflict
 from ..sources.shared import shared_dir
 from .views import chunks, facts
 
@@ -28,29 +29,32 @@ def _place(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{hashlib.sha256(repr(told).encode()).hexdigest()[:24]}"
 
 
-def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
-    """Of all chunks and fields."""
-    index = TextIndex(spark, _place(spark, sf_dir, "text"))
+def _there(index, rows):
+    """The index, built of rows() if it isn't there. Where another application builds it at the same time, the first to finish is taken."""
     if not index.exists():
-        index.build(chunks(spark, sf_dir))
+        try:
+            index.build(rows())
+        except Conflict:
+            pass
     return index
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """Of all chunks and fields."""
+    return _there(TextIndex(spark, _place(spark, sf_dir, "text")), lambda: chunks(spark, sf_dir))
+
+
 def vector_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """Of all chunks that have a vector, with the columns that filters read."""
     index = VectorIndex(spark, _place(spark, sf_dir, "vectors"), keep=("project", "status", "layer"))
-    if not index.exists():
-        index.build(chunks(spark, sf_dir).where("embedding is not null"))
-    return index
+    return _there(index, lambda: chunks(spark, sf_dir).where("embedding is not null"))
 
 
 def fact_index(spark: SparkSession, sf_dir: str) -> VectorIndex:
     """Of all facts, those without a vector too, with what their weight at a time is made of."""
     keep = ("workspace_id", "confidence", "decay_factor", "updated_at")
     index = VectorIndex(spark, _place(spark, sf_dir, "facts"), keep, group="peer_id")
-    if not index.exists():
-        index.build(facts(spark, sf_dir).withColumnRenamed("fact_id", "id"))
-    return index
+    return _there(index, lambda: facts(spark, sf_dir).withColumnRenamed("fact_id", "id"))
 
 
 def indexes(spark: SparkSession, sf_dir: str) -> dict:
