@@ -25,7 +25,7 @@ class Generations:
         self.spark, self.store, self._write, self._read = spark, Manifest(spark, path), write, read
 
     def exists(self) -> bool:
-        return bool(self.store.versions())
+        return self.store.whole()
 
     def state(self) -> dict:
         return self.store.state()

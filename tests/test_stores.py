@@ -81,6 +81,19 @@ def test_text_index_equals_postings_and_a_rebuilt_one(spark, tmp_path, monkeypat
     assert len(index.store.state()["tables"]["rows"]["folders"]) <= 3
 
 
+def test_an_index_whose_files_are_gone_is_built_anew(spark, tmp_path):
+    import shutil
+
+    index = vector_index.VectorIndex(spark, f"file://{tmp_path}/v")
+    rows = spark.createDataFrame([(1, "f", [1.0, 0.0], "p", 1.0)], VECTORS)
+    index.build(rows)
+    assert index.exists()
+    shutil.rmtree(f"{tmp_path}/v/data")
+    assert not index.exists()
+    index.build(rows)
+    assert index.exists() and index.search(spark.createDataFrame([(7, [1.0, 0.0])], "qid long, qvec array<double>"), 3).count() == 1
+
+
 def test_text_index_reads_the_buckets_of_its_terms_alone_and_shuffles_no_postings(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(text_index, "BUCKET_ROWS", 1)
     index = text_index.TextIndex(spark, f"file://{tmp_path}/t", ("title", "content"))
