@@ -9,8 +9,10 @@ Two steps cut the documents into regions, so that every linked pair shares one:
 * Regions that stay large hold groups of close copies. Their documents are cut by pivot documents into Voronoi balls:
   each is at home in the ball of its nearest pivot, if that is within ``radius``, and is copied to other balls within
   ``radius + eps`` whose pivot is at most ``2 eps`` farther than its own. What no ball holds goes to the next round with
-  new pivots. Documents that link with their ball's pivot are of one component by that and aren't compared with each
-  other; all other pairs of a ball are compared exactly, block against block.
+  new pivots. Documents that link with their ball's pivot are of one component by that (its core) and aren't compared
+  with each other. A ball that stays large is a region to be cut again, by pivots of its own at half the radius, in the same way;
+  the documents drawn for that are witnesses too: who links with one of the core's joins the core. All other pairs of a
+  region are compared exactly, block against block.
 
 Only a spanning forest of a block's links leaves its task, never all pairs of a group; the components come
 from these links. Copies with one shingle set are one document throughout.
@@ -18,7 +20,8 @@ from these links. Copies with one shingle set are one document throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,11 @@ RADIUS = 0.5
 PIVOTS = 128
 SAMPLE = 1000  # documents that a round's pivots are chosen from
 ROUNDS = 4
-BLOCK = 1000
+LEVELS = 4  # times that a ball is cut again
+WITNESSES = 200  # documents that a region's pivots are chosen from
+SAMPLE_BYTES = 1 << 26  # bytes of any such sample's sets
+BLOCK = 250
+BLOCK_BYTES = 1 << 24
 BROADCAST_IDS = 1_000_000
 TOP_BIT = np.uint64(1 << 63)
 
@@ -206,11 +213,17 @@ def forest(a: np.ndarray, b: np.ndarray, m: int) -> list[tuple[int, int]]:
     return out
 
 
+def blocks(docs, size) -> F.Column:
+    """Blocks for so many documents of so many bytes."""
+    return F.ceil(F.greatest(docs / BLOCK, size / BLOCK_BYTES)).cast("int")
+
+
 def compared(groups: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within each group of groups(key, doc_id, tokens, core): blocks of about BLOCK documents, each
-    block against each, a spanning forest of every two blocks' links. Two documents that are core in a group, and so linked
-    already, needn't be found."""
-    size = groups.groupBy("key").agg(F.ceil(F.count_if(~F.col("core")) / BLOCK).cast("int").alias("rest"), F.ceil(F.count_if("core") / BLOCK).cast("int").alias("cores"))
+    """Links (a, b) within each group of groups(key, doc_id, tokens, core): blocks of about BLOCK documents and
+    BLOCK_BYTES at most, each block against each, a spanning forest of every two blocks' links. Two documents that are core in a
+    group, and so linked already, needn't be found."""
+    long = F.length("tokens").cast("long")
+    size = groups.groupBy("key").agg(*[blocks(F.count_if(c), F.coalesce(F.sum(F.when(c, long)), F.lit(0))).alias(name) for name, c in [("rest", ~F.col("core")), ("cores", F.col("core"))]])
     rows = groups.join(size.where("rest > 0"), "key")
     h = F.xxhash64("doc_id")
     rows = rows.withColumn("mine", F.when(F.col("core"), F.col("rest") + F.pmod(h, F.col("cores"))).otherwise(F.pmod(h, F.col("rest"))).cast("int"))
@@ -246,28 +259,143 @@ class Pivots:
         return np.bincount(self.whose[at], minlength=len(self.n))
 
 
-def choose_pivots(ids: list[int], sample: list[np.ndarray]) -> Pivots | None:
-    """Documents farther than RADIUS from each other, those with most others around them first."""
-    if not sample:
-        return None
-    n = np.array([len(s) for s in sample])
-    both = overlaps(sample)
+def apart(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of sets: shared elements, elements of either."""
+    n = np.array([len(s) for s in sets])
+    both = overlaps(sets)
     both[np.arange(len(n)), np.arange(len(n))] = n
-    near = 1 - both / (n[:, None] + n[None, :] - both) <= RADIUS
-    free, out = np.ones(len(n), bool), []
-    while free.any() and len(out) < PIVOTS:
+    return both, n[:, None] + n[None, :] - both
+
+
+def spread(near: np.ndarray, most: int) -> list[int]:
+    """Places of which none is near another, those with most others around them first."""
+    free, out = np.ones(len(near), bool), []
+    while free.any() and len(out) < most:
         best = int(np.where(free, (near & free).sum(axis=1), -1).argmax())
         out.append(best)
         free &= ~near[best]
+    return out
+
+
+def choose_pivots(ids: list[int], sample: list[np.ndarray]) -> Pivots | None:
+    """Documents farther than RADIUS from each other."""
+    if not sample:
+        return None
+    both, either = apart(sample)
+    out = spread(1 - both / either <= RADIUS, PIVOTS)
     return Pivots([ids[i] for i in out], [sample[i] for i in out])
 
 
+def seats(d: np.ndarray, radius: float, eps: float) -> tuple[int, np.ndarray]:
+    """For distances to pivots: the ball that a document is at home in (or -1), and those that it is copied to."""
+    home, near = int(d.argmin()), np.flatnonzero(d <= radius + eps + 1e-9)
+    if d[home] > radius:
+        return -1, near
+    return home, near[(near < home) & (d[near] <= d[home] + 2 * eps + 1e-9)]  # a link between two homes is found in the lower one
+
+
+class Witnesses:
+    """A region's drawn documents: all tell who is core, some are pivots of the smaller balls.
+
+    If the smaller balls, tried on the drawn documents that are no pivots, would leave over half of the region's pairs to compare, or if most
+    are pivots, the region has no pivots and stays whole: where documents stand less than the windows apart, no ball tells them apart.
+    """
+
+    def __init__(self, ids: list[int], sets: list[np.ndarray], core: np.ndarray, radius: float, percent: int) -> None:
+        self.all, self.percent, self.radius, self.eps = Pivots(ids, sets), percent, radius, 1 - percent / 100
+        both, either = apart(sets)
+        i, j = np.nonzero(np.triu(100 * both >= percent * either, 1))
+        tree = forest(i, j, len(ids))
+        self.tree: dict[int, list[int]] = {}
+        for x, y in tree:
+            self.tree.setdefault(ids[x], []).append(ids[y])
+        at = np.flatnonzero(core)  # the core is one component already
+        self.label = np.arange(len(ids))
+        for x, y in [*zip(at[:1].repeat(len(at)), at), *tree]:
+            self.label[self.label == self.label[y]] = self.label[x]
+        self.core = {int(self.label[at[0]])} if len(at) else set()
+        self.main = int(np.bincount(self.label).argmax())  # core of what no ball holds
+        tried, self.pivots = np.array(spread(1 - both / either <= radius, PIVOTS)), np.zeros(0, int)
+        test = [x for i, x in enumerate(zip(ids, sets, core)) if i not in set(tried.tolist())]
+        whole = self.pairs(test)
+        self.pivots = tried
+        if 2 * len(test) < len(ids) or 2 * self.pairs(test) > whole:
+            self.pivots = tried[:0]
+
+    def pairs(self, docs: list[tuple[int, np.ndarray, bool]]) -> int:
+        """Pairs to compare if these documents were all."""
+        n: dict[int, list[int]] = {}
+        for doc, s, core in docs:
+            for ball, inside in self.deal(doc, s, bool(core))[0]:
+                n.setdefault(ball, [0, 0])[int(inside)] += 1
+        return sum(rest * (rest + inside) for rest, inside in n.values())
+
+    def deal(self, doc: int, s: np.ndarray, core: bool) -> tuple[list[tuple[int, bool]], list[int]]:
+        """A document's balls (-1: no ball holds it, -2: the region stays whole), each with whether it is core there, and witnesses that it links with: one a component,
+        and for a witness those that hold its component together."""
+        both = self.all.shared(s)
+        either = self.all.n + len(s) - both
+        label, first = np.unique(self.label[linked := np.flatnonzero(100 * both >= self.percent * either)], return_index=True)
+        mine = {*label.tolist(), *(self.core if core else ())}
+        home, near = -2, self.pivots[:0]
+        if len(self.pivots):
+            home, near = seats((1 - both / either)[self.pivots], self.radius, self.eps)
+        out = [(int(j), int(self.label[self.pivots[j]]) in mine) for j in near]
+        out.append((home, (self.main if home < 0 else int(self.label[self.pivots[home]])) in mine))
+        new = [i for i, x in zip(linked[first], label.tolist()) if not (core and x in self.core)]
+        return out, [self.all.ids[i] for i in new] + self.tree.get(doc, [])
+
+
+def dealer(radius: float, percent: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Deals a part of a region, given its witnesses."""
+
+    def deal(x: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        w, out = w.sort_values("doc_id"), []
+        told = Witnesses(w["doc_id"].tolist(), [np.frombuffer(t, np.uint64) for t in w["tokens"]], w["core"].to_numpy(bool), radius, percent) if len(w) else None
+        for key, doc, tokens, core in zip(x["key"], x["doc_id"], x["tokens"], x["core"]):
+            seated, found = told.deal(doc, np.frombuffer(tokens, np.uint64), bool(core)) if told else ([(-2, bool(core))], [])
+            out += [(key, ball, doc, tokens, inside, found if i == 0 else []) for i, (ball, inside) in enumerate(seated)]
+        return pd.DataFrame(out, columns=["key", "ball", "doc_id", "tokens", "core", "found"])
+
+    return deal
+
+
+def cut_again(regions: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Regions(key, doc_id, tokens, core) as regions that are small or that LEVELS cuts didn't make small, and the links found meanwhile.
+
+    A region is dealt in parts of about BLOCK documents, each with all witnesses of the region, whose number and bytes are bounded.
+    """
+    spark, done, links = regions.sparkSession, [], []
+    for k in range(1, LEVELS + 1):
+        size = regions.groupBy("key").agg(F.count("*").alias("docs"), F.sum(F.length("tokens").cast("long")).alias("size"), F.count_if(~F.col("core")).alias("rest"))
+        size = stored(size.select("*", (F.col("rest") * F.col("docs") > BLOCK * BLOCK).alias("large")), "sizes")
+        done.append(regions.join(size.where("rest > 0 and not large").select("key"), "key", "left_semi"))
+        size = size.where("large").select("key", blocks(F.col("docs"), F.col("size")).alias("parts"), F.least(WITNESSES / F.col("docs"), SAMPLE_BYTES / F.col("size")).alias("share"))
+        if size.isEmpty():
+            return functools.reduce(DataFrame.union, done), links
+        rows = regions.join(size, "key")
+        drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+        drawn = drawn.select("key", "doc_id", "tokens", "core", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).toDF("key", "doc_id", "tokens", "core", "part")
+        rows = rows.select("key", "doc_id", "tokens", "core", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+
+        dealt = rows.groupBy("key", "part").cogroup(drawn.groupBy("key", "part")).applyInPandas(dealer(max(RADIUS / 2**k, 1 - percent / 100), percent), "key long, ball long, doc_id long, tokens binary, core boolean, found array<long>")
+        dealt = stored(dealt, "cut")
+        links.append(dealt.select(F.col("doc_id").alias("a"), F.explode("found").alias("b")).where("a <> b"))
+        after = dealt.select(F.xxhash64("key", "ball", F.lit(k)).alias("key"), "doc_id", "tokens", "core", "ball")
+        done.append(after.where("ball = -2").drop("ball"))
+        regions = after.where("ball <> -2").drop("ball")
+    done.append(regions)
+    return functools.reduce(DataFrame.union, done), links
+
+
 def dense_links(sets: DataFrame, regions: DataFrame, percent: int) -> list[DataFrame]:
     """Links among the documents of large regions. sets: theirs; regions: rows of all shared regions."""
     eps = 1 - percent / 100
     links, rest = [], sets
     for k in range(ROUNDS):
-        drawn = list(rest.orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id").limit(SAMPLE).select("doc_id", "tokens").toLocalIterator())
+        docs, size = rest.agg(F.count("*"), F.sum(F.length("tokens").cast("long"))).first()
+        most = min(SAMPLE, 1 + SAMPLE_BYTES * docs // max(size or 0, 1))
+        drawn = list(rest.orderBy(F.xxhash64("doc_id", F.lit(k)), "doc_id").limit(most).select("doc_id", "tokens").toLocalIterator())
         if not drawn:
             return links
         pivots = choose_pivots([r["doc_id"] for r in drawn], [np.frombuffer(r["tokens"], np.uint64) for r in drawn])
@@ -279,25 +407,24 @@ def dense_links(sets: DataFrame, regions: DataFrame, percent: int) -> list[DataF
                 for doc, n, tokens in zip(b["doc_id"], b["n"], b["tokens"]):
                     both = pivots.shared(np.frombuffer(tokens, np.uint64))
                     either = pivots.n + n - both
-                    d, core = 1 - both / either, 100 * both >= percent * either
-                    home, near = int(d.argmin()), np.flatnonzero(d <= RADIUS + eps + 1e-9)
-                    if d[home] > RADIUS:
+                    core = 100 * both >= percent * either
+                    home, near = seats(1 - both / either, RADIUS, eps)
+                    if home < 0:
                         out.append((-1, doc, n, tokens, False, None))
-                    else:  # a link between two homes is found in the lower one
-                        out.append((home, doc, n, tokens, bool(core[home]), pivots.ids[home] if core[home] else None))
-                        near = near[(near < home) & (d[near] <= d[home] + 2 * eps + 1e-9)]
-                    out += [(int(j), doc, n, tokens, bool(core[j]), pivots.ids[j] if core[j] else None) for j in near]
+                    out += [(int(j), doc, n, tokens, bool(core[j]), pivots.ids[j] if core[j] else None) for j in [*near, *([home] if home >= 0 else [])]]
                 part = pd.DataFrame(out, columns=["key", "doc_id", "n", "tokens", "core", "pivot"])
                 yield part.assign(pivot=part["pivot"].astype("Int64"))
 
         dealt = stored(rest.mapInPandas(deal, "key long, doc_id long, n long, tokens binary, core boolean, pivot long"), "balls")
         links.append(dealt.where("pivot <> doc_id").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")))
-        links.append(stored(compared(dealt.where("key >= 0"), percent), "links"))
+        small, found = cut_again(dealt.where("key >= 0").select("key", "doc_id", "tokens", "core"), percent)
+        links += [*found, stored(compared(small, percent), "links")]
         rest = dealt.where("key < 0").select("doc_id", "n", "tokens")
     # what no pivot is near to: large regions one by one, and pair by pair what shares small ones alone
     mine = stored(regions.join(rest.select("doc_id"), "doc_id", "left_semi"), "left")
     last = rest.join(mine.where(F.col("docs") > SMALL).select("doc_id", F.col("token").alias("key")), "doc_id").select("key", "doc_id", "tokens", F.lit(False).alias("core"))
-    links.append(stored(compared(last, percent), "links"))
+    small, found = cut_again(last, percent)
+    links += [*found, stored(compared(small, percent), "links")]
     pairs = small_pairs(mine.where(F.col("docs") <= SMALL).withColumn("dense", F.lit(False)), percent)
     links.append(stored(verified(pairs, rest, percent), "links"))
     return links

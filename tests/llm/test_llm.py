@@ -53,6 +53,62 @@ def test_jaccard_more_clusters_than_pivots(spark, monkeypatch):
     assert got == jaccard.brute_force(texts, 3, 90)
 
 
+def families(rng: random.Random, each: int) -> dict[int, str]:
+    """A base of 100 words and six versions of it with 20 words of their own; each text has up to four words changed. One ball, seven smaller ones."""
+    base, out = [f"b{i}" for i in range(100)], {}
+    for f in range(7):
+        mine = [f"f{f}x{i}" if f and 14 * (f - 1) <= i < 14 * (f - 1) + 20 else w for i, w in enumerate(base)]
+        for _ in range(each):
+            w = list(mine)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(100)] = f"r{rng.randrange(10_000)}"
+            out[len(out)] = " ".join(w)
+    return out
+
+
+@pytest.mark.parametrize("pivots, size", [(128, 1 << 24), (3, 1 << 24), (128, 4000)])
+def test_jaccard_cuts_balls_again(spark, monkeypatch, pivots, size):
+    """Balls that stay large are cut by pivots of their own; with three pivots a region, some documents are left for the next cut."""
+    for name, value in [("SMALL", 4), ("BLOCK", 20), ("WITNESSES", 70), ("PIVOTS", pivots), ("BLOCK_BYTES", size)]:
+        monkeypatch.setattr(jaccard, name, value)
+    cut, keep = [], jaccard.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        cut.extend([r["ball"] for r in out.select("ball").collect()] if name == "cut" else [])
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    texts = families(random.Random(pivots), 50)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs, 1, 90).collect()}
+    assert got == jaccard.brute_force(texts, 1, 90)
+    assert max(cut) > 0
+
+
+@pytest.mark.parametrize("step, percent", [(3, 90), (6, 90), (8, 80)])
+def test_jaccard_chain_through_witnesses(spark, monkeypatch, step, percent):
+    """Each text is the one before, moved on by a few words: one chain, or none, of which no document links with most others."""
+    for name, value in [("SMALL", 2), ("BLOCK", 10), ("WITNESSES", 40)]:
+        monkeypatch.setattr(jaccard, name, value)
+    texts = {i: " ".join(f"w{k}" for k in range(i * step, i * step + 100)) for i in range(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_join(docs, 1, percent).collect()}
+    assert got == jaccard.brute_force(texts, 1, percent)
+
+
+def test_jaccard_witnesses_hold_their_component_together():
+    """Links that a region's documents tell of join the same documents as all of its links do."""
+    rng = random.Random(5)
+    sets = [np.unique(np.array([rng.randrange(k, k + 40) for _ in range(60)], np.uint64)) for k in range(0, 120, 2)]
+    linked = lambda a, b: 100 * len(both := np.intersect1d(a, b)) >= 50 * (len(a) + len(b) - len(both))
+    told = jaccard.Witnesses(list(range(60)), sets, np.zeros(60, bool), 0.5, 50)
+    found = [(i, j) for i in range(60) for j in told.deal(i, sets[i], False)[1]]
+    tree = lambda links: len(jaccard.forest(np.array([a for a, _ in links]), np.array([b for _, b in links]), 60))
+    assert all(linked(sets[i], sets[j]) for i, j in found)
+    assert tree(found) == tree([(i, j) for i in range(60) for j in range(i) if linked(sets[i], sets[j])])
+
+
 def test_jaccard_levels_beyond_31(spark, monkeypatch):
     """Rarest words of levels 31 and 32 in one pair: the order of shingles has to hold as long too."""
     rare, shared, often = [f"r{i}" for i in range(10)], ["s"], [f"f{i}" for i in range(89)]
