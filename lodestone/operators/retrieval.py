@@ -345,11 +345,13 @@ def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Colum
 
 def exact_id(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:
     """Chunks whose doc_id or path contains the id that a query names; doc_id hits first, then path, then id."""
-    ids = queries.select("qid", first_structured_id(F.col("query")).alias("word")).where("word is not null")
-    hit = containing(chunks.select("id", "doc_id", "file_path"), ["doc_id", "file_path"], ids).distinct()
+    ids = queries.select("qid", F.lower(first_structured_id(F.col("query"))).alias("word")).where("word is not null")
+    # queries that name the same id share its rows
+    hit = containing(chunks.select("id", "doc_id", "file_path"), ["doc_id", "file_path"], ids.select("word").distinct()).distinct()
     first = F.when(F.ilike("doc_id", F.concat(F.lit("%"), F.col("word"), F.lit("%"))), 0).otherwise(1)
-    rn = F.row_number().over(Window.partitionBy("qid").orderBy(first, "file_path", "id"))
-    return hit.withColumn("rn", rn).where(F.col("rn") <= limit)
+    rn = F.row_number().over(Window.partitionBy("word").orderBy(first, "file_path", "id"))
+    best = hit.withColumn("rn", rn).where(F.col("rn") <= limit)
+    return ids.join(best, "word")
 
 
 def recall(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Column, limit: int = 5, **options) -> DataFrame:
