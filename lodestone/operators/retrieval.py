@@ -256,11 +256,35 @@ def containing(rows: DataFrame, fields: list[str], terms: DataFrame) -> DataFram
     return cut.join(broadcast_if_small(keys), "key", "left_semi").join(broadcast_if_small(terms), "key").where(hit).drop("key")
 
 
-def flat_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(qid, id) of chunks that contain any word of the query, letter case aside; _ in a word stands for any character."""
+WORD = r"(?U)\w+"
+TOKENS_HELD = 1_000_000  # distinct runs of letters that hold a word, up to which tasks get them all
+
+
+def _words(queries: DataFrame) -> DataFrame:
+    """queries with their distinct words."""
     words = F.filter(F.transform(F.split("query", r"\s+"), lambda w: F.regexp_replace(w, r"(?U)\W+", "")), lambda w: w != "")
-    terms = queries.select("qid", F.explode(F.array_distinct(words)).alias("word"))
-    return containing(chunks.select("id", "content"), ["content"], terms).select("qid", "id").distinct()
+    return queries.select("qid", F.array_distinct(words).alias("words"))
+
+
+def flat_matches(queries: DataFrame, chunks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(qid, id) of chunks that contain any word of the query, letter case aside; _ in a word stands for any character. Of pairs(qid, id) alone where given.
+
+    A word without _ lies within one run of word characters, so words are sought in the distinct runs of all chunks, and chunks meet the
+    words by their runs. A chunk's queries come together in its own row; no pair of query and chunk is shuffled.
+    """
+    own = _words(queries)
+    if pairs is not None:
+        x = pairs.select("qid", "id").distinct().join(own, "qid").join(chunks.select("id", "content"), "id")
+        return x.where(F.exists("words", lambda w: F.ilike("content", F.concat(F.lit("%"), w, F.lit("%"))))).select("qid", "id").distinct()
+    to = kept(own.select("qid", F.explode("words").alias("word")).groupBy(F.lower("word").alias("word")).agg(F.collect_set("qid").alias("qids")), "words")
+    words, wild = to.select("word"), F.contains("word", F.lit("_"))
+    runs = chunks.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(WORD), 0))).alias("run"))
+    holds = containing(runs.select("run").distinct(), ["run"], words.where(~wild)).groupBy("run").agg(F.collect_set("word").alias("found"))
+    hits = runs.join(broadcast_if_small(kept(holds, "runs"), TOKENS_HELD), "run").select("id", F.explode("found").alias("word"))
+    hits = hits.unionByName(containing(chunks.select("id", "content"), ["content"], words.where(wild)).select("id", "word"))
+    found = hits.groupBy("id").agg(F.collect_set("word").alias("found")).select("id", F.explode("found").alias("word"))
+    met = found.join(broadcast_if_small(to), "word").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("qids"))).alias("qids"))
+    return met.select(F.explode("qids").alias("qid"), "id")
 
 
 def merged(*stages: DataFrame) -> DataFrame:
@@ -334,7 +358,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Colum
     present = merged(*stages)
     stages.append(distances(keyword_candidates(ranks, present).select("qid", "id"), queries, c))
     if not corpus.graded:
-        ranks = flat_matches(queries, c).withColumn("rank", F.lit(FLAT_BOOST / KEYWORD_WEIGHT))
+        ranks = flat_matches(queries, c, kept(merged(*stages), "candidates")).withColumn("rank", F.lit(FLAT_BOOST / KEYWORD_WEIGHT))
     found = fused(merged(*stages), c, ranks, as_of, threshold, decay)
     if facts is not None:
         m = memory_candidates(queries, facts, as_of).withColumns({"score": 1 - F.col("distance"), "via": F.lit("memory"), "file_path": F.lit(None).cast("string"), "doc_id": F.lit(None).cast("string")})

@@ -22,3 +22,20 @@ def test_queries_that_name_one_id_look_it_up_once(spark, monkeypatch):
     got = sorted((r["qid"], r["id"], r["rn"]) for r in retrieval.exact_id(q, chunks, 2).collect())
     assert counts[0][0] <= 2
     assert [x for x in got if x[0] < 4] == [(i, n, r) for i in range(4) for n, r in ((1, 1), (4, 2))]
+
+
+def test_flat_words_are_sought_in_distinct_runs(spark, monkeypatch):
+    counts = seen(monkeypatch, "containing", 0)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["Alpha", "beta", "al_pha", "Été", "x1,y", "gamma\n"]) for _ in range(6)) if i % 9 else None) for i in range(80)]
+    words = ["alph", "TÉ", "a_p", "y", "zzz", "__ta", "1y"]
+    q = [(i, f"{words[i % 7]} {words[i * 3 % 7]}!") for i in range(20)]
+    chunks, queries = spark.createDataFrame(rows, "id long, content string"), spark.createDataFrame(q, "qid long, query string")
+    import re
+
+    hit = lambda w, t: re.search("".join("." if c == "_" else c for c in w.lower()), t.lower(), re.S)
+    want = sorted((i, n) for i, x in q for n, t in rows if t is not None and any(hit(w.strip("!"), t) for w in x.split(" ")))
+    assert sorted(map(tuple, retrieval.flat_matches(queries, chunks).select("qid", "id").collect())) == want
+    assert counts[0][1] == ["run"] and counts[0][0] < 10
+    pairs = spark.createDataFrame([(i, n) for i in range(20) for n in range(0, 80, 7)], "qid long, id long")
+    assert sorted(map(tuple, retrieval.flat_matches(queries, chunks, pairs).select("qid", "id").collect())) == [x for x in want if x[1] % 7 == 0]
