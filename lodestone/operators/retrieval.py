@@ -86,12 +86,24 @@ def scored(queries: DataFrame, items: DataFrame, k: int, weight: str | None = No
     i = items.select(F.col("id"), doubles(F.col("embedding")).alias("v"), (F.col(right) if right else F.lit("")).alias("g"), w.alias("w"))
     if not keep_missing:
         i = i.where("v is not null")
+    if keep_missing:
+        i = least_missing(i, ["g"], k)
     held = q.limit(QUERIES_HELD + 1).toPandas()
     top = _best_in_tasks(held, i, k, keep_missing) if len(held) <= QUERIES_HELD else _best_in_blocks(q, i, k, keep_missing)
     rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     return top.withColumn("rn", rn).where(F.col("rn") <= k)
 
 
+def least_missing(items: DataFrame, group: list[str], k: int) -> DataFrame:
+    """items(id, v, w, group) with no more than k of each group that have no vector: those all score 0, so the least ids are all that can be among the best.
+
+    Items without a weight, or whose weight makes no number of 0, score nothing.
+    """
+    rn = F.row_number().over(Window.partitionBy(*group).orderBy("id"))
+    none = items.where("v is null and w is not null and not isnan(w) and abs(w) < double('infinity')")
+    return items.where("v is not null").unionByName(none.withColumn("__rn", rn).where(F.col("__rn") <= k).drop("__rn"))
+
+
 def products(a: np.ndarray, x: np.ndarray, w: pd.Series) -> np.ndarray:
     """Weighted cosines, rounded so that equal vectors have equal scores whatever the batch, and ids decide."""
     return np.round(a @ x.T * w.to_numpy(np.float64), 12)

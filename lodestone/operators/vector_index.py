@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import doubles
 from ..sources.generations import Generations
 from ..sources.shared import kept
-from .retrieval import QUERIES_HELD, Best, directed, products, same_group, scored, unit
+from .retrieval import QUERIES_HELD, Best, directed, least_missing, products, same_group, scored, unit
 
 SAMPLE = 20_000  # vectors that centres are fitted on, those with the least hashes of their ids
 MOST_LISTS = 1024
@@ -147,8 +147,7 @@ class VectorIndex:
                 yield best.frame(qid)
 
             rows = self.store.rows(state, lambda p: items(p.where(F.col("list").isin(lists))))
-            if not keep_missing:
-                rows = rows.where("v is not null")
+            rows = least_missing(rows, ["g"], k) if missing else rows.where("v is not null")
             return rows.select("id", "v", "list", "g", "w").mapInPandas(run, "qid long, id long, score double")
 
         rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))

@@ -39,3 +39,13 @@ def test_flat_words_are_sought_in_distinct_runs(spark, monkeypatch):
     assert counts[0][1] == ["run"] and counts[0][0] < 10
     pairs = spark.createDataFrame([(i, n) for i in range(20) for n in range(0, 80, 7)], "qid long, id long")
     assert sorted(map(tuple, retrieval.flat_matches(queries, chunks, pairs).select("qid", "id").collect())) == [x for x in want if x[1] % 7 == 0]
+
+
+def test_items_without_a_vector_are_cut_to_those_that_can_count(spark):
+    rows = [(i, None, 1.0 if i else None, "ab"[i % 2]) for i in range(40)] + [(100, [1.0, 0.0], 1.0, "a"), (101, [0.0, 0.0], 1.0, "b")]
+    items = spark.createDataFrame(rows, "id long, v array<double>, w double, g string")
+    assert sorted(r["id"] for r in retrieval.least_missing(items, ["g"], 2).collect()) == [1, 2, 3, 4, 100, 101]
+    q = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], None)], "qid long, qvec array<double>, g string")
+    facts = items.withColumnRenamed("v", "embedding")
+    got = sorted((r["qid"], r["rn"], r["id"]) for r in retrieval.scored(q, facts, 3, "w", ("g", "g"), True).collect())
+    assert got == [(1, 1, 100), (1, 2, 2), (1, 3, 4), (2, 1, 100), (2, 2, 1), (2, 3, 2)]
