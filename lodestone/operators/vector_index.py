@@ -40,6 +40,12 @@ def fitted(x: np.ndarray, lists: int, seed: int = 3) -> np.ndarray:
     return c
 
 
+def _some(rows: DataFrame, n: int) -> DataFrame:
+    """Those of n rows whose hash h lies below a bound, about 1.1 * SAMPLE: of an ordered limit each task sends that many rows to the driver, so all have few more among them."""
+    share = 1.1 * SAMPLE / max(1, n)
+    return rows.where(F.col("h") < F.lit(int((share - 0.5) * 2**64))) if share < 1 else rows
+
+
 class VectorIndex:
     """Lists of rows(id, embedding, the group's column and the columns ``keep``) below a path."""
 
@@ -69,11 +75,11 @@ class VectorIndex:
 
     def build(self, rows: DataFrame) -> int:
         """The index of rows, in place of all that was there. The sample bounds what the driver fits; all rows are dealt and measured."""
-        have = rows.where("embedding is not null").select("id", doubles(F.col("embedding")).alias("v"))
-        sample = have.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+        have = rows.where("embedding is not null").select("id", doubles(F.col("embedding")).alias("v"), F.xxhash64("id").alias("h"))
+        n = have.count()
+        sample = _some(have, n).orderBy("h", "id").limit(SAMPLE).select("v").toPandas()
         u = unit(sample["v"], max((len(v) for v in sample["v"]), default=1))
         u = u[u.any(axis=1)]
-        n = have.count()
         centres = fitted(u, self.lists or min(MOST_LISTS, max(1, round(n**0.5)))) if len(u) else np.zeros((0, 1))
         radii = lambda tables: self._measured(self.store.store.read("rows", state={"tables": tables}))
         told = self.spark.createDataFrame(list(enumerate(centres.tolist())), "list int, centre array<double>")

@@ -49,3 +49,10 @@ def test_items_without_a_vector_are_cut_to_those_that_can_count(spark):
     facts = items.withColumnRenamed("v", "embedding")
     got = sorted((r["qid"], r["rn"], r["id"]) for r in retrieval.scored(q, facts, 3, "w", ("g", "g"), True).collect())
     assert got == [(1, 1, 100), (1, 2, 2), (1, 3, 4), (2, 1, 100), (2, 2, 1), (2, 3, 2)]
+
+
+def test_few_more_vectors_than_the_sample_are_ordered(spark, monkeypatch):
+    monkeypatch.setattr(vector_index, "SAMPLE", 100)
+    rows = spark.range(5000).withColumn("h", F.xxhash64("id"))
+    n = vector_index._some(rows, 5000).count()
+    assert 60 < n < 180 and vector_index._some(rows, 50).count() == 5000
