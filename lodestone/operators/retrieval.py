@@ -231,10 +231,120 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.explode(t).alias("term"), F.size(t).alias("terms"))
 
 
-def keyword_rank(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(qid, id, rank) of chunks that hold all of a query's terms: mean of s / (s + 1), so below 1."""
+TERMS_HELD = 1 << 20  # terms of all queries up to which every task gets them
+CHUNKS_AT_ONCE = 1024  # chunks whose ranks are worked out together, or fewer
+
+
+def _term_sets(queries: DataFrame) -> tuple[pd.DataFrame, np.ndarray, list[str]] | None:
+    """(qid, n and g of queries that have terms, their terms' numbers in rows of one width, the terms), None if they are too many to hold. -1 fills up."""
+    scope = F.col("scope") if "scope" in queries.columns else F.lit(None).cast("string")
+    own = query_terms(queries).join(queries.select("qid", scope.alias("g")), "qid")
+    held = own.select("qid", "term", "g").limit(TERMS_HELD + 1).toPandas()
+    if len(held) > TERMS_HELD:
+        return None
+    held = held.drop_duplicates(["qid", "term"]).sort_values(["qid", "term"], ignore_index=True)
+    number, names = pd.factorize(held["term"])
+    each = held.groupby("qid", sort=True).agg(n=("term", "size"), g=("g", "first")).reset_index()
+    row = np.searchsorted(each["qid"].to_numpy(np.int64), held["qid"].to_numpy(np.int64))
+    place = held.groupby("qid").cumcount().to_numpy()
+    sets = np.full((len(each), int(each["n"].max()) if len(each) else 1), -1)
+    sets[row, place] = number
+    return each, sets, list(names)
+
+
+def _slice_ranks(part: pd.DataFrame, queries: pd.DataFrame, sets: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the queries whose terms all occur in these chunks, their ranks of each chunk; -inf where a chunk lacks a term)."""
+    column = np.repeat(np.arange(len(part)), part["js"].map(len).to_numpy())
+    used, j = np.unique(np.concatenate(part["js"].to_list()), return_inverse=True)
+    v = np.concatenate(part["ss"].to_list()).astype(np.float64)
+    shares = np.full((len(used) + 1, len(part)), -np.inf)  # a row for each term that occurs, one that adds nothing
+    shares[j, column], shares[-1] = v / (v + 1), 0
+    at = np.full(terms + 1, -1)
+    at[used], at[-1] = np.arange(len(used)), len(used)
+    at = at[sets]
+    rows = np.flatnonzero((at >= 0).all(axis=1))
+    total = np.zeros((len(rows), len(part)))
+    for p in range(at.shape[1]):
+        total += shares[at[rows, p]]
+    # rounded, so that equal ranks are equal whatever the order of terms, and ids decide
+    total = np.round(total / queries["n"].to_numpy()[rows][:, None], 12)
+    return rows, same_group(total, queries["g"].iloc[rows], part["g"])
+
+
+def _ranked_in_tasks(index: DataFrame, held: tuple, present: DataFrame | None, k: int | None) -> DataFrame:
+    """(qid, id, rank, best) of postings that meet chunk by chunk: all ranks without k; else those of present and each task's k best of the others."""
+    queries, sets, names = held
+    spark = index.sparkSession
+    number = spark.createDataFrame(pd.DataFrame({"term": pd.Series(names, dtype=object), "j": np.arange(len(names), dtype=np.int64)}), "term string, j long")
+    g = F.first("g") if "g" in index.columns else F.lit("")
+    x = index.join(broadcast_if_small(number), "term").groupBy("id").agg(F.collect_list(F.struct("j", "s")).alias("h"), g.alias("g"))
+    x = x.select("id", "g", F.col("h.j").alias("js"), F.col("h.s").alias("ss"))
+    if known := present is not None:
+        x = x.join(present.groupBy("id").agg(F.collect_set("qid").alias("qs")), "id", "left")
+    qid = queries["qid"].to_numpy(np.int64)
+    step = max(1, min(CHUNKS_AT_ONCE, CELLS // max(1, len(qid))))
+
+    def run(batches):
+        top = Best(len(qid), k) if k else None
+        for b in batches:
+            for at in range(0, len(b), step):
+                part = b.iloc[at : at + step]
+                ids = part["id"].to_numpy(np.int64)
+                rows, s = _slice_ranks(part, queries, sets, len(names))
+                if not k:
+                    r, c = np.nonzero(s > -np.inf)
+                    yield pd.DataFrame({"qid": qid[rows[r]], "id": ids[c], "rank": s[r, c], "best": False})
+                    continue
+                if known:
+                    qs = [q if q is not None else () for q in part["qs"]]
+                    c = np.repeat(np.arange(len(part)), [len(q) for q in qs])
+                    wanted = np.array([q for own in qs for q in own], np.int64)
+                    r = np.searchsorted(qid[rows], wanted)
+                    ok = r < len(rows)
+                    ok[ok] = qid[rows][r[ok]] == wanted[ok]
+                    r, c = r[ok], c[ok]
+                    there = s[r, c] > -np.inf
+                    yield pd.DataFrame({"qid": wanted[ok][there], "id": ids[c[there]], "rank": s[r, c][there], "best": False})
+                    s[r, c] = -np.inf
+                top.add(s, ids, rows)
+        if k:
+            yield top.frame(qid).rename(columns={"score": "rank"}).assign(best=True)
+
+    return x.mapInPandas(run, "qid long, id long, rank double, best boolean")
+
+
+def _joined_ranks(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """keyword_rank of more terms than tasks hold."""
     hit = query_terms(queries).join(index, "term")
-    return hit.groupBy("qid", "id", "terms").agg(F.count("*").alias("n"), F.sum(F.col("s") / (F.col("s") + 1)).alias("sum")).where("n = terms").select("qid", "id", (F.col("sum") / F.col("terms")).alias("rank"))
+    if "g" in index.columns:
+        hit = hit.join(queries.select("qid", "scope"), "qid").where("scope is null or scope = g")
+    shares = F.array_sort(F.collect_list(F.struct("term", (F.col("s") / (F.col("s") + 1)).alias("x"))))
+    total = F.aggregate(F.col("shares"), F.lit(0.0), lambda a, t: a + t["x"])
+    hit = hit.groupBy("qid", "id", "terms").agg(shares.alias("shares")).where(F.size("shares") == F.col("terms"))
+    return hit.select("qid", "id", F.round(total / F.col("terms"), 12).alias("rank"))
+
+
+def keyword_rank(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """(qid, id, rank) of chunks that hold all of a query's terms: mean of s / (s + 1), so below 1, at 12 digits.
+
+    ``index`` is postings(id, term, s); with g, the chunk's project, a query with a ``scope`` takes chunks of that project alone. Postings
+    meet chunk by chunk, so no term's list and no pair of query and chunk is shuffled.
+    """
+    held = _term_sets(queries)
+    return _joined_ranks(queries, index) if held is None else _ranked_in_tasks(index, held, None, None).select("qid", "id", "rank")
+
+
+def keyword_best(queries: DataFrame, index: DataFrame, present: DataFrame, k: int = KEYWORD) -> DataFrame:
+    """(qid, id, rank, rn): the k best ranks of each query among the pairs that aren't present yet, and without rn the ranks of those that are."""
+    held = _term_sets(queries)
+    there = F.lit(None).cast("int").alias("rn")
+    if held is None:
+        ranks = kept(_joined_ranks(queries, index), "ranks")
+        return keyword_candidates(ranks, present, k).select("qid", "id", "rank", "rn").unionByName(ranks.join(present.select("qid", "id"), ["qid", "id"], "left_semi").select("qid", "id", "rank", there))
+    found = kept(_ranked_in_tasks(index, held, present.select("qid", "id"), k), "ranks")
+    rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rank"), "id"))
+    best = found.where("best").select("qid", "id", "rank", rn.alias("rn")).where(F.col("rn") <= k)
+    return best.unionByName(found.where("not best").select("qid", "id", "rank", there))
 
 
 def keyword_candidates(ranks: DataFrame, present: DataFrame, k: int = KEYWORD) -> DataFrame:
@@ -360,15 +470,17 @@ def hybrid(queries: DataFrame, chunks: DataFrame, edges: DataFrame, as_of: Colum
     if expand:
         stages.append(structural(found, queries, c, edges))
     wanted = query_terms(queries).select("term").distinct()
+    scoped_ = "scope" in queries.columns
     if index is None:
-        ranks = keyword_rank(queries, postings(c, corpus.fields, wanted))
+        held = postings(c, corpus.fields, wanted)
+        if scoped_:
+            held = held.join(c.select("id", F.col("project").alias("g")), "id")
     else:
-        ranks = keyword_rank(queries, index.postings(wanted, corpus.fields)).join(c.select("id"), "id", "left_semi")
-    ranks = kept(ranks, "ranks")
-    if "scope" in queries.columns:
-        ranks = ranks.join(c.select("id", "project"), "id").join(queries.select("qid", "scope"), "qid").where("scope is null or scope = project").select("qid", "id", "rank")
+        held = index.postings(wanted, corpus.fields)
+        held = held.join(c.select("id", F.col("project").alias("g")), "id") if scoped_ else held.join(c.select("id"), "id", "left_semi")
     present = merged(*stages)
-    stages.append(distances(keyword_candidates(ranks, present).select("qid", "id"), queries, c))
+    ranks = keyword_best(queries, held, present)
+    stages.append(distances(ranks.where("rn is not null").select("qid", "id"), queries, c))
     if not corpus.graded:
         ranks = flat_matches(queries, c, kept(merged(*stages), "candidates")).withColumn("rank", F.lit(FLAT_BOOST / KEYWORD_WEIGHT))
     found = fused(merged(*stages), c, ranks, as_of, threshold, decay)

@@ -73,10 +73,10 @@ def c3(spark, d):
     return R.structural(R.semantic(q, c), q, c, e).select("qid", "id", F.round("distance", 6).alias("distance"))
 
 
-def _ranks(spark, d, q, c):
-    """Keyword ranks by the stored index, of the live chunks."""
+def _postings(spark, d, q, c):
+    """Postings of the queries' terms in chunks, by the stored index."""
     found = text_index(spark, d).postings(R.query_terms(q).select("term").distinct(), R.Corpus().fields)
-    return R.keyword_rank(q, found).join(c.select("id"), "id", "left_semi")
+    return found.join(c.select("id"), "id", "left_semi")
 
 
 def c4(spark, d):
@@ -84,13 +84,13 @@ def c4(spark, d):
     c = R.live(c)
     s = R.semantic(q, c)
     present = R.merged(s, R.structural(s, q, c, e))
-    k = R.keyword_candidates(_ranks(spark, d, q, c), present)
+    k = R.keyword_best(q, _postings(spark, d, q, c), present).where("rn is not null")
     return k.select("qid", "id", F.round("rank", 6).alias("rank"), "rn")
 
 
 def c5(spark, d):
     q, c, _ = _in(spark, d)
-    return _ranks(spark, d, q, R.live(c)).select("qid", "id", F.round("rank", 6).alias("rank"))
+    return R.keyword_rank(q, _postings(spark, d, q, R.live(c))).select("qid", "id", F.round("rank", 6).alias("rank"))
 
 
 def c6(spark, d):

@@ -41,6 +41,28 @@ def test_flat_words_are_sought_in_distinct_runs(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.flat_matches(queries, chunks, pairs).select("qid", "id").collect())) == [x for x in want if x[1] % 7 == 0]
 
 
+def test_ranks_chunk_by_chunk(spark, monkeypatch):
+    """1 + 0.2 and six times 0.2 rank alike, so ids decide; pairs that are present have their ranks but no place. As many terms as tasks can't hold give the same."""
+    chunks = spark.createDataFrame([(9, "k", "k"), (3, "", "k k k k k k"), (5, "k z", "z"), (7, "z", "")], "id long, title string, content string")
+    q = spark.createDataFrame([(1, "k"), (2, "z K k"), (3, "gone k"), (4, "the")], "qid long, query string")
+    index = retrieval.postings(chunks)
+    present = spark.createDataFrame([(1, 5), (2, 9)], "qid long, id long")
+    for held in (1 << 20, 1):
+        monkeypatch.setattr(retrieval, "TERMS_HELD", held)
+        ranks = {(r["qid"], r["id"]): r["rank"] for r in retrieval.keyword_rank(q, index).collect()}
+        assert set(ranks) == {(1, 3), (1, 5), (1, 9), (2, 5)} and ranks[1, 3] == ranks[1, 9] == round(1.2 / 2.2, 12)
+        got = sorted((r["qid"], r["id"], r["rn"]) for r in retrieval.keyword_best(q, index, present, 1).collect())
+        assert got == [(1, 3, 1), (1, 5, None), (2, 5, 1)]
+
+
+def test_ranks_within_a_scope(spark, monkeypatch):
+    index = spark.createDataFrame([(i, "k", 1.0, "ab"[i % 2]) for i in range(6)], "id long, term string, s double, g string")
+    q = spark.createDataFrame([(1, "k", "a"), (2, "k", None)], "qid long, query string, scope string")
+    for held in (1 << 20, 1):
+        monkeypatch.setattr(retrieval, "TERMS_HELD", held)
+        assert sorted(map(tuple, retrieval.keyword_rank(q, index).select("qid", "id").collect())) == [(1, 0), (1, 2), (1, 4), *[(2, i) for i in range(6)]]
+
+
 def test_items_without_a_vector_are_cut_to_those_that_can_count(spark):
     rows = [(i, None, 1.0 if i else None, "ab"[i % 2]) for i in range(40)] + [(100, [1.0, 0.0], 1.0, "a"), (101, [0.0, 0.0], 1.0, "b")]
     items = spark.createDataFrame(rows, "id long, v array<double>, w double, g string")
