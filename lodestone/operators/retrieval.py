@@ -432,7 +432,7 @@ def memory_candidates(queries: DataFrame, facts: DataFrame, as_of: Column, k: in
 
 
 def fused(candidates: DataFrame, chunks: DataFrame, ranks: DataFrame | None, as_of: Column, threshold: float = 0.0, decay: bool = True) -> DataFrame:
-    """candidates with score: similarity plus weighted keyword rank, decayed by whole weeks since authored_at."""
+    """candidates with score: similarity plus weighted keyword rank, decayed by whole weeks since authored_at. At 12 digits, so equal ones go by id whatever stage found them."""
     x = candidates.join(chunks.select("id", "file_path", "doc_id", "authored_at"), "id")
     rank = F.lit(0.0)
     if ranks is not None:
@@ -441,7 +441,7 @@ def fused(candidates: DataFrame, chunks: DataFrame, ranks: DataFrame | None, as_
     score = (1 - F.col("distance")) * TITLE_WEIGHT + KEYWORD_WEIGHT * rank
     if decay:
         score = F.when(F.col("authored_at").isNotNull(), score * F.pow(F.lit(DECAY), weeks_between(F.col("authored_at"), as_of))).otherwise(score)
-    return x.withColumn("score", score).where(F.col("score") >= threshold)
+    return x.withColumn("score", F.round(score, 12)).where(F.col("score") >= threshold)
 
 
 def diverse(results: DataFrame, k: int, per_file: int = PER_FILE) -> DataFrame:

@@ -43,6 +43,16 @@ kept as (select *, case when file_path is not null and row_number() over (partit
 final as (select * from (select *, row_number() over (partition by qid order by over_, score desc, id) as rank from kept) where rank <= 10),
 conf as (select q.qid, coalesce(1 / (1 + exp(-avg(f.score))), 0) as confidence from q left join final f on f.qid = q.qid and f.rank <= 5 group by q.qid)
 """
+# _CTE with ties as the queries have them: s in fifths, whose sum is exact in any order; cosines, ranks and scores at 12 digits, then ids
+_TIED = _CTE
+for _a, _b in [
+    ("1 - list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as distance", "1 - round(list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))), 12) as distance"),
+    ("sum(w) as s", "sum(w) / 5 as s"), ("1.0::double as w", "5 as w"), ("'[\\p{L}\\p{N}]+')), 0.2::double", "'[\\p{L}\\p{N}]+')), 1"),
+    ("sum(s / (s + 1)) / n as rank", "round(sum(s / (s + 1)) / n, 12) as rank"),
+    ("((1 - c.distance) + 0.5", "round(((1 - c.distance) + 0.5"), ("/ 7))) end as score", "/ 7))) end, 12) as score"),
+]:
+    assert _TIED.count(_a) == 1, _a
+    _TIED = _TIED.replace(_a, _b)
 _V = "chunks q edges"
 
 
@@ -181,13 +191,14 @@ QUERIES = {
     "c5_keyword_rank": c5, "c6_flat_keyword": c6, "c8_priority_merge": c8, "c11_confidence": c11, "c14_text_index": c14, "c14_index_update": c14_update, "u1_stamp_guard": u1, "c15_hybrid_recall": c15,
 }
 _tail = lambda body: sql(_V, _CTE + body)
+_tied = lambda body: sql(_V, _TIED + body)
 _MEM = f"""fsim as (select qid, fact_id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as s from q join (select * from facts where embedding is not null) on workspace_id = qproject),
 msim as (select qid, fact_id, coalesce(s, 0) * confidence * power(0.95::double, greatest(0, floor((epoch_us(timestamp '{BASE}') - epoch_us(updated_at))::double / 604800000000))) as score
   from q join facts on workspace_id = qproject left join fsim using (qid, fact_id)),
 mem as (select qid, -1 - fact_id as id, 1 - score as distance from (select *, row_number() over (partition by qid order by score desc, fact_id) as rn from msim) where rn <= {R.MEMORY})"""
 ORACLE_SQL = {
     "c7_memory_candidates": sql("chunks q facts", _MEM + " select qid, id, round(distance, 6) as distance from mem"),
-    "c15_with_memory": sql("chunks q edges facts", _CTE.rstrip() + ",\n" + _MEM + """, every as (select qid, id, via, file_path, score from fuse where score >= 0 union all select qid, id, 'memory', null, 1 - distance from mem where distance <= 1),
+    "c15_with_memory": sql("chunks q edges facts", _TIED.rstrip() + ",\n" + _MEM + """, every as (select qid, id, via, file_path, score from fuse where score >= 0 union all select qid, id, 'memory', null, 1 - distance from mem where distance <= 1),
 kept2 as (select *, case when file_path is not null and row_number() over (partition by qid, file_path order by score desc, id) > 2 then 1 else 0 end as over_ from every)
 select qid, id, via, rank, round(score, 6) as score from (select *, row_number() over (partition by qid order by over_, score desc, id) as rank from kept2) where rank <= 10"""),
     "c12_dispatch": None,
@@ -211,7 +222,7 @@ select qid, id, rn from (select qid, id, row_number() over (partition by qid ord
     "c2_semantic_search": sql("chunks q", """d as (select qid, id, list_dot_product(qvec, embedding) / (sqrt(list_dot_product(qvec, qvec)) * sqrt(list_dot_product(embedding, embedding))) as s from q, chunks where embedding is not null)
 select qid, id, round(s, 6) as score, rn from (select *, row_number() over (partition by qid order by s desc, id) as rn from d) where rn <= 5"""),
     "c3_structural": _tail("select qid, id, round(distance, 6) as distance from struct_"),
-    "c4_keyword_candidates": _tail("select qid, id, round(rank, 6) as rank, rn from kw"),
+    "c4_keyword_candidates": _tied("select qid, id, round(rank, 6) as rank, rn from kw"),
     "c5_keyword_rank": _tail("select qid, id, round(rank, 6) as rank from krank"),
     "c6_flat_keyword": sql("chunks q", f"""w as (select distinct qid, regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]+', '', 'g') as word from (select qid, unnest(string_split(query, ' ')) as x from q))
 select distinct qid, id from w, chunks where word <> '' and content ilike '%' || word || '%' and ({_LIVE})"""),
@@ -230,7 +241,7 @@ select distinct qid, id from w, chunks where word <> '' and content ilike '%' ||
   select id, term, round(sum(w), 6) as s from (
     select id, unnest(regexp_extract_all(lower(title), '[\\p{{L}}\\p{{N}}]+')) as term, 1.0::double as w from now
     union all select id, unnest(regexp_extract_all(lower(description), '[\\p{{L}}\\p{{N}}]+')), 0.4::double from now) where term not in ({_STOP}) group by id, term"""),
-    "c15_hybrid_recall": _tail("select qid, id, doc_id, file_path, via, rank, round(score, 6) as score from final"),
+    "c15_hybrid_recall": _tied("select qid, id, doc_id, file_path, via, rank, round(score, 6) as score from final"),
 }
 _q_hybrid = "qid % 100 <> 0 and qid % 150 = 50"
 _scope = "case when qid % 350 = 50 then 'de' when qid % 250 = 50 then qproject end"
