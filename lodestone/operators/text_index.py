@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens
 from ..sources.generations import Generations
+from ..sources.shared import kept
 from .retrieval import FIELD_WEIGHTS, STOPPED
 
 BUCKET_ROWS, MOST_BUCKETS = 500_000, 4096  # postings a bucket is laid out for, and how many buckets there are at most
@@ -39,6 +40,7 @@ class TextIndex:
         return "postings_" + at.rpartition("-")[2]
 
     def _write(self, rows: DataFrame, at: str, notes: dict) -> None:
+        rows = kept(rows, "occurrences")  # ranges look at the rows first, so texts would be taken apart twice
         # ranges of bucket, term and id: a term that every chunk has is written by several tasks
         dealt = rows.repartitionByRange(F.pmod(F.hash("term"), F.lit(notes["buckets"])), "term", "id")
         dealt.write.bucketBy(notes["buckets"], "term").sortBy("term", "id").option("path", at).format("parquet").saveAsTable(self._name(at))

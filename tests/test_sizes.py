@@ -78,3 +78,10 @@ def test_few_more_vectors_than_the_sample_are_ordered(spark, monkeypatch):
     rows = spark.range(5000).withColumn("h", F.xxhash64("id"))
     n = vector_index._some(rows, 5000).count()
     assert 60 < n < 180 and vector_index._some(rows, 50).count() == 5000
+
+
+def test_texts_are_taken_apart_once_for_an_index(spark, tmp_path, monkeypatch):
+    names, real = [], text_index.kept
+    monkeypatch.setattr(text_index, "kept", lambda df, name: names.append(name) or real(df, name))
+    text_index.TextIndex(spark, f"file://{tmp_path}/i", ("title",)).build(spark.createDataFrame([(1, "f", "a b")], "id long, file_path string, title string"))
+    assert names == ["occurrences"]
