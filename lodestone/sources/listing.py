@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .shared import kept
 
+HELD_BYTES = 4 << 20  # of files that a task holds before it passes them on
+LISTED = 50_000  # files of a folder that are passed on together
+
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """(path, mtime, length) of all files below root, path being relative to it: those too that Spark's sources pass over, because they are
@@ -24,8 +27,9 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
         for b in batches:
             for folder in b["path"]:
                 found = store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/")))
-                if found:
-                    yield pd.DataFrame([(f.path[len(base) :].lstrip("/"), f.mtime, f.size or 0, f.type == fs.FileType.Directory) for f in found], columns=["path", "mtime", "length", "folder"])
+                for at in range(0, len(found), LISTED):
+                    some = found[at : at + LISTED]
+                    yield pd.DataFrame([(f.path[len(base) :].lstrip("/"), f.mtime, f.size or 0, f.type == fs.FileType.Directory) for f in some], columns=["path", "mtime", "length", "folder"])
 
     out, folders = None, spark.createDataFrame([("",)], "path string")
     while True:
@@ -45,11 +49,22 @@ def contents(root: str, paths: DataFrame) -> DataFrame:
 
         store, base = fs.FileSystem.from_uri(root)
         for b in batches:
+            held, texts, size = [], [], 0
             for path in b["path"]:
                 with store.open_input_stream(f"{base}/{path}") as f:
-                    yield pd.DataFrame({"path": [path], "content": [f.read().decode("utf-8", "replace")]})
-
-    return paths.select("path").mapInPandas(run, "path string, content string")
+                    data = f.read()
+                held.append(path)
+                texts.append(data.decode("utf-8", "replace"))
+                size += len(data)
+                if size >= HELD_BYTES:
+                    yield pd.DataFrame({"path": held, "content": texts})
+                    held, texts, size = [], [], 0
+            if held:
+                yield pd.DataFrame({"path": held, "content": texts})
+
+    # a listing has a file for each folder, which one task would read; its names are dealt anew
+    parts = 2 * int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return paths.select("path").repartition(parts, "path").mapInPandas(run, "path string, content string")
 
 
 def write_files(rows: DataFrame, root: str) -> None:

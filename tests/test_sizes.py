@@ -80,6 +80,14 @@ def test_few_more_vectors_than_the_sample_are_ordered(spark, monkeypatch):
     assert 60 < n < 180 and vector_index._some(rows, 50).count() == 5000
 
 
+def test_names_of_a_folder_are_read_by_many_tasks(spark, tmp_path):
+    texts = {f"d/{i}.md": "é" * i for i in range(30)}
+    listing.write_files(spark.createDataFrame(list(texts.items()), "path string, content string"), f"file://{tmp_path}")
+    got = listing.contents(f"file://{tmp_path}", listing.listed(spark, f"file://{tmp_path}").coalesce(1))
+    assert got.rdd.getNumPartitions() == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {r["path"]: r["content"] for r in got.collect()} == texts
+
+
 def test_texts_are_taken_apart_once_for_an_index(spark, tmp_path, monkeypatch):
     names, real = [], text_index.kept
     monkeypatch.setattr(text_index, "kept", lambda df, name: names.append(name) or real(df, name))
