@@ -197,9 +197,10 @@ def log_entries(docs: DataFrame, key: str = "doc_id", text: str = "body") -> Dat
 def article_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with article and fetch_status (ok, fallback_used or failed); see `functions.markup`."""
 
-    @F.pandas_udf("article string, fetch_status string")
-    def read(html_: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([markup.article(t) for t in html_], columns=["article", "fetch_status"])
+    # rows go to Python by the hundred, however large pages are; Arrow's batches have ten thousand
+    @F.udf(returnType="article string, fetch_status string", useArrow=False)
+    def read(html_: str) -> tuple[str, str]:
+        return markup.article(html_)
 
     return pages.withColumn("__read", read(F.col(html))).withColumns({"article": F.col("__read.article"), "fetch_status": F.col("__read.fetch_status")}).drop("__read")
 

@@ -88,6 +88,11 @@ def test_names_of_a_folder_are_read_by_many_tasks(spark, tmp_path):
     assert {r["path"]: r["content"] for r in got.collect()} == texts
 
 
+def test_pages_go_to_python_by_the_hundred(spark):
+    df = chunking.article_text(spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string"))
+    assert "BatchEvalPython" in df._jdf.queryExecution().executedPlan().toString() and df.first()["article"] == "a"
+
+
 def test_texts_are_taken_apart_once_for_an_index(spark, tmp_path, monkeypatch):
     names, real = [], text_index.kept
     monkeypatch.setattr(text_index, "kept", lambda df, name: names.append(name) or real(df, name))
