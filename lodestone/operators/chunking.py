@@ -99,9 +99,9 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "body") -> DataFr
     """
     heads, bodies = split_at(F.col(text), r"(?dm)^#{2,3}\s+.+$")
     first = strip(F.get(bodies, F.lit(0)))
-    part = lambda h, i: F.struct(h.alias("section"), F.concat_ws("\n", h, F.nullif(strip(F.get(bodies, i + 1)), F.lit(""))).alias("content"))
+    part = lambda h, b: F.struct(h.alias("section"), F.concat_ws("\n", h, F.nullif(strip(b), F.lit(""))).alias("content"))
     lead = F.when((first != "") | (F.size(heads) == 0), F.array(F.struct(F.lit("").alias("section"), first.alias("content"))))
-    parts = F.concat(F.coalesce(lead, F.array().cast("array<struct<section:string,content:string>>")), F.transform(heads, part))
+    parts = F.concat(F.coalesce(lead, F.array().cast("array<struct<section:string,content:string>>")), F.zip_with(heads, F.slice(bodies, 2, F.size(heads)), part))  # a text is split once, not for each header
     return docs.select(key, F.posexplode(parts).alias("no", "part")).select(key, "no", "part.section", "part.content")
 
 
@@ -122,8 +122,9 @@ def windows(rows: DataFrame, text: str, keep: list[str], size: int = SIZE, overl
     x = rows.withColumn("__t", tokenize(F.col(text)))
     n = F.size("__t")
     starts = F.when(n > (size if short_whole else size - overlap), F.sequence(F.lit(0), n - 1, F.lit(size - overlap))).otherwise(F.array(F.lit(0)))
-    out = x.select(*keep, text, "__t", F.posexplode(starts).alias("window", "start"))
-    return out.select(*keep, "window", F.when((F.size("__t") <= size) & (F.col("start") == 0), F.col(text)).otherwise(F.array_join(F.slice("__t", F.col("start") + 1, size), "")).alias("content"))
+    # cut within the row: a long text's tokens don't go with each of its windows
+    cut = F.transform(starts, lambda s: F.when((F.size("__t") <= size) & (s == 0), F.col(text)).otherwise(F.array_join(F.slice("__t", s + 1, size), "")))
+    return x.select(*keep, F.posexplode(cut).alias("window", "content"))
 
 
 def content_chunks(docs: DataFrame, key: str = "doc_id", text: str = "body", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:

@@ -153,7 +153,7 @@ def ingest(index: DataFrame, artifacts: DataFrame, embed_batch, width: int, stam
     prefix = context_prefix({"type": F.col("type"), "title": F.col("title"), "description": F.col("description"), "project": F.col("project")})
     rows = embedded(c.withColumn("__text", F.concat(prefix, "content")), "__text", embed_batch, width, stamp).drop("__text")
     rows = rows.withColumnRenamed("path", "file_path").select(*index.columns)
-    new = rows.select("file_path", "section", F.col("project").alias("__p")).distinct()
+    new = c.select(F.col("path").alias("file_path"), "section", F.col("project").alias("__p")).distinct()  # of chunks without vectors, so none is embedded twice
     i = index.join(new.alias("n"), (index["file_path"] == F.col("n.file_path")) & (index["section"] == F.col("n.section")) & (F.col("n.__p").isNull() | (index["project"] == F.col("n.__p"))), "left_anti")
     return i.unionByName(rows), rows.groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("chunks"))
 

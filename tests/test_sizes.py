@@ -88,6 +88,13 @@ def test_names_of_a_folder_are_read_by_many_tasks(spark, tmp_path):
     assert {r["path"]: r["content"] for r in got.collect()} == texts
 
 
+def test_a_text_is_split_once_for_all_its_headers(spark):
+    df = chunking.sections(spark.createDataFrame([(1, "a\n## b\nc\n### d")], "doc_id long, body string"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "lambdafunction(" in plan and all("split(" not in x for x in plan.split("lambdafunction(")[1:])
+    assert [r["content"] for r in df.orderBy("no").collect()] == ["a", "## b\nc", "### d"]
+
+
 def test_pages_go_to_python_by_the_hundred(spark):
     df = chunking.article_text(spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string"))
     assert "BatchEvalPython" in df._jdf.queryExecution().executedPlan().toString() and df.first()["article"] == "a"
