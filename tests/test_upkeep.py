@@ -123,6 +123,21 @@ def test_article(html, want):
     assert want is None or got == want
 
 
+def test_articles_whose_titles_are_cut_within_a_reference(spark, tmp_path):
+    import duckdb
+
+    from lodestone import catalog
+
+    refs = ["&quot", "&lt", "&gt", "&copy", "&nbsp", "&middot", "&#39", "&amp", "&quo", "&am", "&", "&amp;quot;", "&quot;", "&copy=1", "&ltx;", "&lt;b&gt;", "&#39;", "&nbsp;&middot;", "\ue000&quot"]
+    pages = [(10 * i + last, f"<head><title>t {x}</title></head><body><h1>t {x}</h1><p>{x} text {x}") for i, x in enumerate(refs) for last in (1, 3)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["a25_article_text"](spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.sql(catalog.ORACLE_SQL["a25_article_text"]).fetchall())
+    assert markup.article("<p>&ltimes; 1 &lt 2 &quot") == ("\u22c9 1 &lt 2 &quot", "ok")
+
+
 def tables(spark):
     index = spark.createDataFrame([(1, "d1", "a.md", "s", None, "m1", dt.datetime(2024, 1, 5)), (2, "d2", "b.md", "s", None, "m1", dt.datetime(2024, 1, 1)), (3, "d3", "gone.md", "s", None, "m2", dt.datetime(2024, 1, 5)), (4, "d4", "gone.md", "s", "client", "m1", dt.datetime(2024, 1, 5))], "id long, doc_id string, file_path string, section string, client_slug string, embedding_model string, indexed_at timestamp").withColumn("project", F.lit("p"))
     files = spark.createDataFrame([("a.md", dt.datetime(2024, 1, 3)), ("b.md", dt.datetime(2024, 1, 3)), ("bad.md", dt.datetime(2024, 1, 3))], "path string, mtime timestamp")
