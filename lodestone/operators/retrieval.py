@@ -204,12 +204,16 @@ def distances(pairs: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFr
 
 
 def structural(found: DataFrame, queries: DataFrame, chunks: DataFrame, edges: DataFrame, seeds: int = SEEDS) -> DataFrame:
-    """All chunks of the documents that the first rows' documents point to and that aren't there yet."""
+    """All chunks of the documents that the first rows' documents point to and that aren't there yet; with a ``scope``, those of that project alone."""
     here = found.join(chunks.select("id", "doc_id"), "id")
     seed = here.where(F.col("rn") <= seeds).select("qid", F.col("doc_id").alias("source_id"))
     to = seed.join(edges.where("target_id is not null").select("source_id", "target_id"), "source_id").select("qid", F.col("target_id").alias("doc_id")).distinct()
     to = to.join(here.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
-    return distances(to.join(chunks.select("doc_id", "id"), "doc_id").select("qid", "id"), queries, chunks)
+    if "scope" in queries.columns:
+        to = to.join(queries.select("qid", "scope"), "qid").join(chunks.select("doc_id", "id", "project"), "doc_id").where("scope is null or scope = project")
+    else:
+        to = to.join(chunks.select("doc_id", "id"), "doc_id")
+    return distances(to.select("qid", "id"), queries, chunks)
 
 
 def postings(chunks: DataFrame, fields: tuple[str, ...] = ("title", "content"), wanted: DataFrame | None = None) -> DataFrame:

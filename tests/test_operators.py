@@ -52,6 +52,16 @@ def test_angled_vectors_come_in_order(spark):
     assert {r["id"] for r in everything[-2:]} == {77, 78} and everything[-1]["score"] == 0.0
 
 
+def test_neighbours_stay_within_the_scope(spark):
+    chunks = spark.createDataFrame([(i, f"d{i}", p, [1.0, i / 10]) for i, p in enumerate(["a", "a", "b", None])], "id long, doc_id string, project string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.0], None), (3, [1.0, 0.0], "b")], "qid long, qvec array<double>, scope string")
+    edges = spark.createDataFrame([("d0", f"d{i}") for i in range(1, 4)] + [("d2", "d0")], "source_id string, target_id string")
+    found = retrieval.semantic(q, chunks, 1)
+    got = lambda q: {(r["qid"], r["id"]) for r in retrieval.structural(found, q, chunks, edges).collect()}
+    assert got(q) == {(1, 1), (2, 1), (2, 2), (2, 3)}
+    assert got(q.drop("scope")) == {(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 0)}
+
+
 def test_diversity_against_plain_python(spark):
     rng = random.Random(5)
     rows = [(1, i, rng.choice(["a", "b", None]), rng.randint(0, 6) / 7) for i in range(30)]
