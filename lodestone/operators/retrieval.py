@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -383,7 +385,12 @@ def containing(rows: DataFrame, fields: list[str], terms: DataFrame) -> DataFram
 
 
 WORD = r"(?U)\w+"
+RUN = r"[^\x00-/:-@\[-`{-\x7f]+"  # between the ASCII characters that no word without _ has
 TOKENS_HELD = 1_000_000  # distinct runs of letters that hold a word, up to which tasks get them all
+WORDS_HELD = 1 << 17  # words of all queries up to which every task gets them
+KNOWN = 1 << 22  # characters of runs and numbers of their words that a task remembers
+RUNS_TAKEN, RUNS_GIVEN, LONGEST = 200_000, 20_000, 64  # runs of the first texts, of these the distinct ones that it is given, and the longest of them
+KEY = 24  # characters that a word is looked up by
 
 
 def _words(queries: DataFrame) -> DataFrame:
@@ -392,17 +399,110 @@ def _words(queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.array_distinct(words).alias("words"))
 
 
-def flat_matches(queries: DataFrame, chunks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """(qid, id) of chunks that contain any word of the query, letter case aside; _ in a word stands for any character. Of pairs(qid, id) alone where given.
-
-    A word without _ lies within one run of word characters, so words are sought in the distinct runs of all chunks, and chunks meet the
-    words by their runs. A chunk's queries come together in its own row; no pair of query and chunk is shuffled.
+class _Within(dict):
+    """Runs of characters and their places; the numbers of the words that lie within a run are sought when it is first met."""
+
+    def __init__(self, words: dict[str, int], known: dict[str, list[int]]) -> None:
+        super().__init__()
+        self.numbers, self.start, self.room = array("q"), array("q", [0]), KNOWN
+        self.heads: dict[str, int] = {}  # the beginnings of words, with the number of the word that is one
+        self.longer: dict[str, list[tuple[str, int]]] = {}
+        for w, n in words.items():
+            for size in range(1, min(len(w), KEY) + 1):
+                self.heads.setdefault(w[:size], -1)
+            if len(w) <= KEY:
+                self.heads[w] = n
+            else:
+                self.longer.setdefault(w[:KEY], []).append((w, n))
+        for run, found in known.items():
+            self._add(run, found)
+
+    def _add(self, run: str, found) -> int:
+        self.numbers.extend(found)
+        self.start.append(len(self.numbers))
+        self.room -= len(run) + len(found)
+        self[run] = n = len(self.start) - 2
+        return n
+
+    def __missing__(self, run: str) -> int:
+        own, get, size = set(), self.heads.get, len(run)
+        for at in range(size):
+            end = at + 1
+            while end <= size and (n := get(run[at:end])) is not None:
+                if n >= 0:
+                    own.add(n)
+                end += 1
+            if end - at > KEY:
+                own.update(n for w, n in self.longer.get(run[at : at + KEY], ()) if run.startswith(w, at))
+        return self._add(run, own)
+
+    def marked(self, runs: set[str], row: np.ndarray) -> None:
+        """True in the row at the numbers of all words within the runs."""
+        if self.room < 0:
+            self.clear()
+            self.numbers, self.start, self.room = array("q"), array("q", [0]), KNOWN
+        if runs:
+            at = np.fromiter(map(self.__getitem__, runs), np.int64, len(runs))
+            start = np.frombuffer(self.start, np.int64)
+            first, size = start[at], start[at + 1] - start[at]
+            if total := int(size.sum()):
+                row[np.frombuffer(self.numbers, np.int64)[np.arange(total) + np.repeat(first - (np.cumsum(size) - size), size)]] = True
+
+
+def _matched_in_tasks(held: pd.DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, id) of held(qid, word) and chunks: tasks seek all words in the runs of their texts, so neither texts nor pairs are shuffled.
+
+    A word with _ is one that its parts without _ give a hint of; the pattern itself decides. Runs of some texts are looked up beforehand.
     """
-    own = _words(queries)
-    if pairs is not None:
-        x = pairs.select("qid", "id").distinct().join(own, "qid").join(chunks.select("id", "content"), "id")
-        return x.where(F.exists("words", lambda w: F.ilike("content", F.concat(F.lit("%"), w, F.lit("%"))))).select("qid", "id").distinct()
-    to = kept(own.select("qid", F.explode("words").alias("word")).groupBy(F.lower("word").alias("word")).agg(F.collect_set("qid").alias("qids")), "words")
+    held = held.drop_duplicates().sort_values(["qid", "word"], ignore_index=True)
+    number = {w: n for n, w in enumerate(dict.fromkeys(held["word"]))}
+    place = held["word"].map(number).to_numpy(np.int64)
+    qid, start = np.unique(held["qid"].to_numpy(np.int64), return_index=True)
+    width, plain, wild = len(number), {w: n for w, n in number.items() if "_" not in w}, []
+    for w, n in number.items():
+        if "_" in w:
+            parts = [plain.setdefault(x, len(number) + len(plain)) for x in w.split("_") if x]
+            wild.append((n, parts, re.compile("".join("." if c == "_" else re.escape(c) for c in w), re.S)))
+    spark = chunks.sparkSession
+    some = chunks.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(RUN), 0))).alias("run"))
+    some = dict.fromkeys(r["run"] for r in some.where(F.length("run") <= LONGEST).limit(RUNS_TAKEN).collect())  # so no more than the first files are opened
+    listed = lambda name, x: spark.createDataFrame(pd.DataFrame({name: pd.Series(x, dtype=object)}), f"{name} string")
+    given = containing(listed("run", list(some)[:RUNS_GIVEN]), ["run"], listed("word", list(plain))).groupBy("run").agg(F.collect_set("word").alias("found")).collect()
+    known = {r["run"]: [plain[w] for w in r["found"]] for r in given}
+    step = max(1, CELLS // max(1, len(place)))
+    size = max([width, *[n + 1 for n in plain.values()]])
+
+    def run(batches):
+        import pyarrow as pa
+
+        within, runs_of = _Within(plain, known), re.compile(RUN).findall
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            for at in range(0, len(ids), step):
+                part = texts.slice(at, step).to_pylist()
+                there = np.zeros((len(part), size), bool)
+                for row, text in zip(there, part):
+                    if text is not None:
+                        within.marked(set(runs_of(text)), row)
+                        for n, parts, pattern in wild:
+                            row[n] = row[parts].all() and pattern.search(text) is not None
+                r, c = np.nonzero(np.logical_or.reduceat(there[:, place], start, axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(qid[c]), pa.array(ids[at + r])], ["qid", "id"])
+
+    if not len(held):
+        return spark.createDataFrame([], "qid long, id long")
+    met = lambda x: x.select("id", F.lower("content").alias("text")).mapInArrow(run, "qid long, id long")
+    # an id that several chunks bear has its queries once
+    again = kept(chunks.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "again")
+    if again.isEmpty():
+        return met(chunks)
+    again = broadcast_if_small(again)
+    return met(chunks.join(again, "id", "left_anti")).unionByName(met(chunks.join(again, "id", "left_semi")).distinct())
+
+
+def _joined_matches(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """flat_matches of more words than tasks hold: words are sought in the distinct runs of all chunks, and chunks meet the words by their runs."""
+    to = kept(queries.select("qid", F.explode("words").alias("word")).groupBy(F.lower("word").alias("word")).agg(F.collect_set("qid").alias("qids")), "words")
     words, wild = to.select("word"), F.contains("word", F.lit("_"))
     runs = chunks.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(WORD), 0))).alias("run"))
     holds = containing(runs.select("run").distinct(), ["run"], words.where(~wild)).groupBy("run").agg(F.collect_set("word").alias("found"))
@@ -413,6 +513,20 @@ def flat_matches(queries: DataFrame, chunks: DataFrame, pairs: DataFrame | None
     return met.select(F.explode("qids").alias("qid"), "id")
 
 
+def flat_matches(queries: DataFrame, chunks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(qid, id) of chunks that contain any word of the query, letter case aside; _ in a word stands for any character. Of pairs(qid, id) alone where given.
+
+    A word without _ lies within one run of word characters, so words are sought in distinct runs. Nothing is shuffled up to WORDS_HELD words of
+    all queries; more are joined.
+    """
+    own = _words(queries)
+    if pairs is not None:
+        x = pairs.select("qid", "id").distinct().join(own, "qid").join(chunks.select("id", "content"), "id")
+        return x.where(F.exists("words", lambda w: F.ilike("content", F.concat(F.lit("%"), w, F.lit("%"))))).select("qid", "id").distinct()
+    held = own.select("qid", F.explode("words").alias("word")).select("qid", F.lower("word").alias("word")).limit(WORDS_HELD + 1).toPandas()
+    return _joined_matches(own, chunks) if len(held) > WORDS_HELD else _matched_in_tasks(held, chunks)
+
+
 def merged(*stages: DataFrame) -> DataFrame:
     """Union of (qid, id, distance) in stages; the first stage that has an id wins. Adds via."""
     names = ["semantic", "structural", "keyword", "memory"]

@@ -10,7 +10,7 @@ from ..operators import retrieval as R
 from ..operators.text_index import TextIndex
 from ..sources.shared import shared_dir
 from .stores import indexes, text_index, vector_index
-from .views import BASE, base, chunks, edges, facts, recall_queries, sql
+from .views import BASE, base, chunks, edges, facts, recall_queries, sql, texts
 
 _STOP = ", ".join(f"'{w}'" for w in R.STOPPED)
 _LIVE = "status is null or status <> 'archived'"
@@ -104,8 +104,7 @@ def c5(spark, d):
 
 
 def c6(spark, d):
-    q, c, _ = _in(spark, d)
-    return R.flat_matches(q, R.live(c))
+    return R.flat_matches(recall_queries(spark, d), R.live(texts(spark, d)))
 
 
 def c8(spark, d):

@@ -25,6 +25,16 @@ def days(n) -> F.Column:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
     d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").join(e, "doc_id", "left")  # a document without a vector is a chunk too
+    return _chunks(d)
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """chunks without file_path and embedding, which vectors' rows tell, so that texts go through no join."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", F.lit(None).cast("int").alias("label"), F.lit(None).alias("embedding"))
+    return _chunks(d).drop("file_path", "embedding")
+
+
+def _chunks(d: DataFrame) -> DataFrame:
     i = F.col("doc_id")
     return d.select(
         i.alias("id"),

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, retrieval, text_index, vector_index
+from lodestone.plans import views
 from lodestone.sources import listing
 
 
@@ -41,6 +42,35 @@ def test_flat_words_are_sought_in_distinct_runs(spark, monkeypatch):
     assert sorted(map(tuple, retrieval.flat_matches(queries, chunks, pairs).select("qid", "id").collect())) == [x for x in want if x[1] % 7 == 0]
 
 
+def test_flat_matches_shuffle_neither_texts_nor_pairs(spark, monkeypatch):
+    """However little a task remembers, and for more words than tasks hold, results are the same; an id that two chunks bear has a query once."""
+    import re
+
+    rng = random.Random(4)
+    long = "longword" * 5
+    rows = [(i, " ".join(rng.choice(["Alpha", "betalpha", "al_pha", "Été,x", "x" + long + "y", long[:30] + "Z", "a-b", "one\ntwo", "\u4e2d\u6587\u3002tail", "p.h"]) for _ in range(4)) if i % 9 else None) for i in range(60)]
+    words = ["ALPH", "al", "té", long, long[:30], long[:24], "o_e", "e_t_o", "p_h", "____", "\u6587", "zz", "b", long + "q"]
+    queries = [(i, f" {words[i % 14]}!  {words[i * 5 % 13]} ") for i in range(30)] + [(40, ""), (41, "!"), (42, None), (3, "two")]
+    hit = lambda w, t: re.search("".join("." if c == "_" else c for c in w.lower()), t.lower(), re.S)
+    want = lambda rows: sorted({(i, n) for i, q in queries if q for w in q.replace("!", "").split() for n, t in rows if t is not None and hit(w, t)})
+    q, schema = spark.createDataFrame(queries, "qid long, query string"), "id long, content string"
+    df = retrieval.flat_matches(q, spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, df.select("qid", "id").collect())) == want(rows)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    twice = rows + [(n % 7, t) for n, t in rows[30:40]]
+    for name, held in (("KNOWN", 1), ("RUNS_TAKEN", 0), ("CELLS", 1), ("WORDS_HELD", 1)):
+        monkeypatch.setattr(retrieval, name, held)
+        got = retrieval.flat_matches(q, spark.createDataFrame(twice, schema)).select("qid", "id").collect()
+        assert sorted(map(tuple, got)) == want(twice)
+
+
+def test_texts_are_chunks_without_vectors(spark):
+    sf = "/root/testdata/sf0.001"
+    c, t = views.chunks(spark, sf), views.texts(spark, sf)
+    assert t.columns == [x for x in c.columns if x not in ("file_path", "embedding")] and t.exceptAll(c.select(t.columns)).isEmpty() and t.count() == c.count()
+    assert "Join" not in t._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_ranks_chunk_by_chunk(spark, monkeypatch):
     """1 + 0.2 and six times 0.2 rank alike, so ids decide; pairs that are present have their ranks but no place. As many terms as tasks can't hold give the same."""
     chunks = spark.createDataFrame([(9, "k", "k"), (3, "", "k k k k k k"), (5, "k z", "z"), (7, "z", "")], "id long, title string, content string")
